@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup
+from . import exact_dedup, near_dedup
 
 
 def queries():
     return {
+        "op4_near_dedup": near_dedup.op4,
         "op10_exact_dedup": exact_dedup.op10,
     }
 
 
 def oracle_sql():
     return {
+        "op4_near_dedup": near_dedup.OP4_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
     }
