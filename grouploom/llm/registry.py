@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, near_dedup
+from . import bpe, exact_dedup, near_dedup
 
 
 def queries():
     return {
         "op4_near_dedup": near_dedup.op4,
+        "op7_bpe": bpe.op7,
         "op10_exact_dedup": exact_dedup.op10,
     }
 
