@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from . import bpe, exact_dedup, near_dedup
+from . import bpe, exact_dedup, near_dedup, quality, topk
 
 
 def queries():
     return {
+        "op2_topk": topk.op2,
         "op4_near_dedup": near_dedup.op4,
+        "op6_quality": quality.op6,
         "op7_bpe": bpe.op7,
         "op10_exact_dedup": exact_dedup.op10,
     }
@@ -15,6 +17,7 @@ def queries():
 
 def oracle_sql():
     return {
+        "op2_topk": topk.OP2_SQL,
         "op4_near_dedup": near_dedup.OP4_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
     }
