@@ -22,36 +22,39 @@ BATCH_BYTES = 12 << 20
 PACKED = "batch long, ids array<long>, ends array<long>, size long, blob binary"
 
 
-def _pack(batches):
-    ids, blobs, sizes, held = [], [], [], 0
-
-    def row():
-        whole = b"".join(blobs)
-        number = int.from_bytes(os.urandom(8), "little") >> 1
-        return pa.RecordBatch.from_arrays(
-            [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.cumsum(sizes)], pa.list_(pa.int64())), pa.array([len(whole)], pa.int64()), pa.array([pa.compress(whole, "zstd", asbytes=True)], pa.binary())],
-            names=["batch", "ids", "ends", "size", "blob"],
-        )
-
-    for batch in batches:
-        numbers = batch.column("doc_id").to_pylist()
-        for first, data, offsets in text_parts(batch.column("text")):
-            ids += numbers[first : first + len(offsets) - 1]
-            sizes += np.diff(offsets).tolist()
-            blobs.append(data.tobytes())
-            held += len(data)
-            if held >= BATCH_BYTES:
-                yield row()
-                ids, blobs, sizes, held = [], [], [], 0
-    if ids:
-        yield row()
-
-
-def packed(docs: DataFrame) -> DataFrame:
+def _pack(limit: int):
+    def run(batches):
+        ids, blobs, sizes, held = [], [], [], 0
+
+        def row():
+            whole = b"".join(blobs)
+            number = int.from_bytes(os.urandom(8), "little") >> 1
+            return pa.RecordBatch.from_arrays(
+                [pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([np.cumsum(sizes)], pa.list_(pa.int64())), pa.array([len(whole)], pa.int64()), pa.array([pa.compress(whole, "zstd", asbytes=True)], pa.binary())],
+                names=["batch", "ids", "ends", "size", "blob"],
+            )
+
+        for batch in batches:
+            numbers = batch.column("doc_id").to_pylist()
+            for first, data, offsets in text_parts(batch.column("text")):
+                ids += numbers[first : first + len(offsets) - 1]
+                sizes += np.diff(offsets).tolist()
+                blobs.append(data.tobytes())
+                held += len(data)
+                if held >= limit:
+                    yield row()
+                    ids, blobs, sizes, held = [], [], [], 0
+        if ids:
+            yield row()
+
+    return run
+
+
+def packed(docs: DataFrame, limit: int = BATCH_BYTES) -> DataFrame:
     """One row per batch of ``docs`` (doc_id, text; null texts are empty), written: numbers of
     batches are drawn once and then fixed."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return saved(docs.mapInArrow(_pack, PACKED), "packed")
+    return saved(docs.mapInArrow(_pack(limit), PACKED), "packed")
 
 
 class Batch:

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .batches import Batch, bucket_count, bucket_of, by_bucket, merged_counts, packed
+from .batches import BATCH_BYTES, Batch, bucket_count, bucket_of, by_bucket, merged_counts, packed
 from .common import lowered, saved, table, word_hashes, words_of
 
 DEPTH = 4
@@ -254,11 +254,11 @@ def _score(buckets: int, total: int, distinct: int):
 _RESULT = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "n_bytes": pa.int64()}
 
 
-def code_lengths(docs: DataFrame) -> DataFrame:
+def code_lengths(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     n_bytes and bits_per_byte (of the text and its end)."""
     spark = ship(docs.sparkSession)
-    batches = packed(docs)
+    batches = packed(docs, batch_bytes)
     n = batches.count()
     buckets = bucket_count(n)
     sent = saved(batches.mapInArrow(_send(buckets), KEYS), "keys")

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, context_tree, exact_dedup, near_dedup, quality, topk
+from . import bpe, context_tree, exact_dedup, near_dedup, quality, repeats, topk
 
 
 def queries():
@@ -11,6 +11,7 @@ def queries():
         "op4_near_dedup": near_dedup.op4,
         "op6_quality": quality.op6,
         "op7_bpe": bpe.op7,
+        "op8_repeats": repeats.op8,
         "op9_lm_score": context_tree.op9,
         "op10_exact_dedup": exact_dedup.op10,
     }
