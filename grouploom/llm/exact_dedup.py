@@ -100,6 +100,14 @@ def new_index(spark: SparkSession) -> DigestIndex:
     return DigestIndex(spark, f"{shared_folder(spark)}/index", min(buckets, 100_000))
 
 
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs``, all columns, that stay; one of equal rows."""
+    prints = fingerprints(docs)
+    kept = deduplicate(saved(prints, "prints"), new_index(docs.sparkSession)).where("kept").select(F.col("row").alias("__row"))
+    numbered = docs.withColumn("__own", F.monotonically_increasing_id())
+    return numbered.join(kept, F.col("__own") == F.col("__row"), "left_semi").drop("__own")
+
+
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = saved(fingerprints(table(spark, sf_dir, "documents")), "prints")
     return deduplicate(prints, new_index(spark)).select(

@@ -6,9 +6,11 @@ SIDE * SIDE tables of 2 * HALF minhashes cost 2 * SIDE * HALF minhashes instead
 2 * HALF * SIDE * SIDE. Documents that share a key are candidates; every link is confirmed on the
 full shingle sets.
 
-Candidates of one key are not paired with one another. Each pass links the members of a key to
-one centre outside their own component; components grow, and what still shares a key across
-components after ``STAR_PASSES`` passes is compared completely, so no candidate is dropped.
+Candidates of one key are not paired with one another. A first pass compares the members of a key
+with its least document, a second with the member that has the fewest shingles of its own (of a
+group of edited copies, the one nearest to their origin). What still shares a key across
+components is compared completely, except for members that provably link with none there because
+too many of their shingles occur nowhere else; so no link is lost.
 
 Defined results: texts without words (null, empty, white space) have no shingles and link with
 nothing. Documents with equal sets are one class and are compared once. Rows that repeat a doc_id
@@ -27,7 +29,6 @@ from ..session import ship
 from .components import roots
 
 SIDE, HALF = 8, 3
-STAR_PASSES = 3
 _SEEDS = mixed(np.arange(1, 2 * SIDE * HALF + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _FACTORS = _SEEDS | np.uint64(1)
 
@@ -109,6 +110,45 @@ def _cross(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return named.join(mixed_keys, "key")
 
 
+def _components(links: DataFrame) -> DataFrame:
+    return saved(roots(links).select(F.col("node").alias("n"), "root"), "labels")
+
+
+def _private_counts(cross: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, n, own): the size of a set and how many of its shingles no other node of ``cross``,
+    and so no candidate of that node, has."""
+    members = sets.join(cross.select("node").distinct(), "node", "left_semi")
+    shingles = members.select("node", F.explode("members").alias("s")).groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("last"))
+    own = shingles.where("node = last").groupBy("node").agg(F.count("*").alias("own"))
+    return members.select("node", F.size("members").alias("n")).groupBy("node").agg(F.min("n").alias("n"), F.max("n").alias("most")).join(own, "node", "left").select(
+        "node", "n", F.when(F.col("n") == F.col("most"), F.coalesce("own", F.lit(0))).otherwise(0).cast("int").alias("own"), "most"
+    )
+
+
+def _between(cross: DataFrame, sizes: DataFrame, percent: int, complete: bool) -> DataFrame:
+    """Candidate pairs (x > y) between components: of each key's members with its centre, the
+    member with the fewest shingles of its own; or, with ``complete``, of all members.
+
+    A pair shares at most what neither keeps for itself. Where that is too little, even against
+    the smallest set of the key, a member is left out: it provably links with none there.
+    """
+    least = cross.join(sizes, "node").groupBy("key").agg(F.min("n").alias("least"))
+    named = cross.join(sizes, "node").join(least, "key")
+    shared = F.col("most") - F.col("own")
+    named = named.where(shared * 100 >= (F.col("n") + F.greatest(F.col("least"), shared) - shared) * percent)
+    if complete:
+        other = named.select("key", *[F.col(c).alias(c + "2") for c in ("node", "comp", "n", "own", "most")])
+        apart = F.col("comp") < F.col("comp2")
+    else:
+        rank = F.min(F.struct("own", F.xxhash64("node"), "node", "comp", "n", "most"))
+        other = named.groupBy("key").agg(rank.alias("c")).select("key", *[F.col(f"c.{c}").alias(c + "2") for c in ("node", "comp", "n", "own", "most")])
+        apart = F.col("comp") != F.col("comp2")
+    most = F.least(F.col("most") - F.col("own"), F.col("most2") - F.col("own2"))
+    possible = most * 100 >= (F.col("n") + F.col("n2") - most) * percent
+    pairs = named.join(other, "key").where(apart & possible)
+    return pairs.select(F.greatest("node", "node2").alias("x"), F.least("node", "node2").alias("y")).distinct()
+
+
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (u, v) whose full sets overlap enough; sizes are compared before sets are moved."""
     n = sets.select("node", F.size("members").alias("n"), "members")
@@ -155,26 +195,20 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     links = saved(links.unionByName(repeats.distinct()), "links")
     tested = shared.where("node <> lo").select(F.greatest("node", "lo").alias("x"), F.least("node", "lo").alias("y")).distinct()
 
-    for k in range(1, STAR_PASSES + 1):
-        labels = saved(roots(links).select(F.col("node").alias("n"), "root"), "labels")
+    labels, cross = _components(links), None
+    for complete in (False, True):
         cross = saved(_cross(shared.select("key", "node"), labels), "cross")
         if not cross.limit(1).count():
             break
-        if k < STAR_PASSES:
-            centre = F.min(F.struct(F.xxhash64("node", F.lit(k)), "node", "comp")).alias("c")
-            centres = cross.groupBy("key").agg(centre).select("key", F.col("c.node").alias("v"), F.col("c.comp").alias("other"))
-            pairs = cross.join(centres, "key").where("comp <> other").select(F.col("node").alias("u"), "v")
-        else:
-            other = cross.select("key", F.col("node").alias("v"), F.col("comp").alias("other"))
-            pairs = cross.join(other, "key").where("comp < other").select(F.col("node").alias("u"), "v")
-        pairs = pairs.select(F.greatest("u", "v").alias("x"), F.least("u", "v").alias("y")).distinct()
+        if not complete:
+            sizes = saved(_private_counts(cross, sets), "sizes")
+        pairs = _between(cross, sizes, percent, complete)
         pairs = saved(pairs.join(tested, ["x", "y"], "left_anti"), "pairs")
         more = saved(_confirmed(pairs.select(F.col("x").alias("u"), F.col("y").alias("v")), sets, percent), "more")
         tested = tested.unionByName(pairs)
         if more.limit(1).count():
-            links = roots(links.unionByName(more)).select(F.col("node").alias("u"), F.col("root").alias("v"))
-    else:
-        labels = saved(roots(links).select(F.col("node").alias("n"), "root"), "labels")
+            links = labels.where("n <> root").select(F.col("n").alias("u"), F.col("root").alias("v")).unionByName(more)
+            labels = _components(links)
 
     named_classes = classes.join(labels, classes.node == labels.n, "left").select(*group, F.coalesce("root", "node").alias("component_id"))
     own = named.select("doc_id", *group).join(named_classes, group).select("doc_id", "n_shingles", "component_id")
@@ -182,6 +216,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
     return own.unionByName(rest).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``docs``, all columns, except those of a component's larger ids."""
+    gone = near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
+    return docs.join(gone, docs.doc_id.cast("bigint") == F.col("__gone"), "left_anti")
+
+
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 

@@ -253,10 +253,21 @@ def _cut(g: np.ndarray, h: np.ndarray, ridge: float = 5.0) -> tuple[float, np.nd
     return float(gain[i, j] - G[-1, -1] ** 2 / (H[-1, -1] + ridge)), step
 
 
+def _chosen(labels: DataFrame, sample: int) -> DataFrame:
+    usable = labels.where(training_rows(F.col("doc_id"), 3) != 1).where("quality IS NOT NULL")
+    usable = usable.select(F.col("doc_id").alias("labelled"), F.col("quality").cast("double").alias("y"))
+    return usable.orderBy(F.xxhash64("labelled"), "labelled", "y").limit(sample)
+
+
+def training_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
+    """The documents that a fit uses: at most ``sample`` labelled ids, which are broadcast."""
+    ids = F.broadcast(_chosen(labels, sample).select("labelled").distinct())
+    return docs.join(ids, F.col("doc_id") == F.col("labelled"), "left_semi")
+
+
 def fit(found: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveModel:
     """Fits on at most ``sample`` labelled rows outside the held-out third, least hash first."""
-    labels = labels.where(training_rows(F.col("doc_id"), 3) != 1).where("quality IS NOT NULL").select(F.col("doc_id").alias("labelled"), F.col("quality").cast("double").alias("y"))
-    chosen = labels.orderBy(F.xxhash64("labelled"), "labelled", "y").limit(sample)
+    chosen = _chosen(labels, sample)
     rows = chosen.join(found.select("doc_id", "x"), F.col("labelled") == F.col("doc_id")).select("labelled", "y", "x").toPandas()
     rows["order"] = [tuple(v) for v in rows.x]
     rows = rows.sort_values(["labelled", "y", "order"])

@@ -2,13 +2,16 @@
 
 from __future__ import annotations
 
-from . import bpe, context_tree, exact_dedup, near_dedup, quality, repeats, topk
+from . import bpe, chat, context_tree, exact_dedup, mixing, near_dedup, quality, repeats, token_counts, topk
 
 
 def queries():
     return {
+        "op1_mixing": mixing.op1,
         "op2_topk": topk.op2,
+        "op3_token_counts": token_counts.op3,
         "op4_near_dedup": near_dedup.op4,
+        "op5_chat": chat.op5,
         "op6_quality": quality.op6,
         "op7_bpe": bpe.op7,
         "op8_repeats": repeats.op8,
