@@ -1 +1,445 @@
-"""Queries."""
+"""Queries over sample tables: quality, splits, joins, profiles, order and integrity."""
+
+from __future__ import annotations
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from ..functions import scalars as S
+from ..operators import compare as C
+from ..operators import joins as J
+from ..operators import quality as Q
+from ..operators import splits as P
+from .evaluation import rounded, sizes
+from .registry import query
+
+SPLIT_ROWS = "(SELECT sample_id, s.patient_id, s.label, p.split FROM fx_samples s JOIN fx_split p USING (patient_id))"
+
+
+def split_rows(v):
+    return v.samples.select("sample_id", "patient_id", "label").join(v.split.select("patient_id", "split"), "patient_id").select("sample_id", "patient_id", "label", "split")
+
+
+BAD_SAMPLES = "VALUES (-1, ' ', 1, 2, 2, [1, 2, 3, 4], [0, 1, 0, 0]), (-2, 'X', 9, 2, 2, [1, 2, 3, 4], [0, 1, 0, 0]), (-3, 'X', 1, 2, 2, [1, 2, 3], [0, 1, 0, 0]), (-4, 'X', 1, 2, 2, [1, 2, 3, 4], [0, 0, 0, 0]), (-5, 'X', 1, 2, 2, [1, 2, 3, 4], [0, 2, 0, 0]), (-6, 'X', 1, 2, 2, [1, 2, 3, 4], [1])"
+
+
+def bad_samples(v):
+    rows = [(-1, " ", 1, 2, 2, [1, 2, 3, 4], [0, 1, 0, 0]), (-2, "X", 9, 2, 2, [1, 2, 3, 4], [0, 1, 0, 0]), (-3, "X", 1, 2, 2, [1, 2, 3], [0, 1, 0, 0]), (-4, "X", 1, 2, 2, [1, 2, 3, 4], [0, 0, 0, 0]), (-5, "X", 1, 2, 2, [1, 2, 3, 4], [0, 2, 0, 0]), (-6, "X", 1, 2, 2, [1, 2, 3, 4], [1])]
+    return v.samples.unionByName(v.spark.createDataFrame(rows, v.samples.schema))
+
+
+RASTER_RULES = "WHEN len(image_raw) <> height * width THEN 'image_size' WHEN len(tumor_mask) <> height * width THEN 'mask_size' WHEN len(list_filter(tumor_mask, lambda x: x NOT IN (0, 1))) > 0 THEN 'mask_not_binary' WHEN NOT list_contains(tumor_mask, 1) THEN 'empty_mask'"
+
+
+@query("v01_quarantine", f"WITH x AS (SELECT * FROM fx_samples UNION ALL {BAD_SAMPLES}), m AS (SELECT sample_id, CASE WHEN trim(patient_id) = '' THEN 'blank_group' WHEN label NOT IN (1, 2, 3) THEN 'label_domain' {RASTER_RULES} END AS validation_message FROM x) SELECT sample_id, CASE WHEN validation_message IS NULL THEN 'valid' ELSE 'invalid' END AS validation_status, validation_message FROM m")
+def v01(v):
+    return Q.quarantine(bad_samples(v)).select("sample_id", "validation_status", "validation_message")
+
+
+@query("v02_raster_checks", f"WITH x AS (SELECT * FROM fx_samples UNION ALL {BAD_SAMPLES}) SELECT sample_id, CASE {RASTER_RULES} END AS problem FROM x WHERE problem IS NOT NULL")
+def v02(v):
+    checks = Q.raster_checks(F.col("image_raw"), F.col("tumor_mask"), F.col("height"), F.col("width"))
+    return bad_samples(v).select("sample_id", Q.first_failure(checks).alias("problem")).where("problem IS NOT NULL")
+
+
+BAD_INDEX = [(1, "P1_0", 1, "train"), (9001, "P2_1", 3, "test"), (9002, "", 1, "train"), (9003, "Z", 9, "train"), (9004, "Z2", 2, "holdout")]
+BAD_INDEX_SQL = "VALUES " + ", ".join(str(r) for r in BAD_INDEX)
+
+
+def bad_index(v):
+    return split_rows(v).unionByName(v.spark.createDataFrame(BAD_INDEX, "sample_id bigint, patient_id string, label int, split string"))
+
+
+@query("v03_split_index", f"""WITH x AS (SELECT * FROM {SPLIT_ROWS} UNION ALL {BAD_INDEX_SQL}), g AS (SELECT patient_id, count(DISTINCT split) AS s, count(DISTINCT label) AS l FROM x GROUP BY 1)
+SELECT 'duplicate_id' AS rule, CAST(sample_id AS STRING) AS key, CAST(count(*) AS STRING) AS detail FROM x GROUP BY sample_id HAVING count(*) > 1
+UNION ALL SELECT 'blank_group', CAST(sample_id AS STRING), '' FROM x WHERE trim(patient_id) = ''
+UNION ALL SELECT 'label_domain', CAST(sample_id AS STRING), CAST(label AS STRING) FROM x WHERE label NOT IN (1, 2, 3)
+UNION ALL SELECT 'split_domain', CAST(sample_id AS STRING), split FROM x WHERE split NOT IN ('train', 'val', 'test')
+UNION ALL SELECT 'group_in_several_splits', patient_id, CAST(s AS STRING) FROM g WHERE s > 1
+UNION ALL SELECT 'group_with_several_labels', patient_id, CAST(l AS STRING) FROM g WHERE l > 1""")
+def v03(v):
+    return Q.index_violations(bad_index(v), [1, 2, 3], list(P.SPLITS))
+
+
+BAD_MANIFEST = [("0", "P1_0", 1), ("x7", "P1_0", 1), ("5", "P1_4", 1), ("901", " ", 2), ("902", "Z", 4), ("903", "P2_1", 3)]
+
+
+@query("v04_manifest", f"""WITH x AS (SELECT CAST(sample_id AS STRING) AS sample_id, patient_id, label FROM fx_samples UNION ALL VALUES {', '.join(str(r) for r in BAD_MANIFEST)}), g AS (SELECT patient_id, count(DISTINCT label) AS l FROM x GROUP BY 1)
+SELECT 'id_not_positive_integer' AS rule, sample_id AS key, '' AS detail FROM x WHERE coalesce(try_cast(sample_id AS BIGINT) <= 0, true)
+UNION ALL SELECT 'duplicate_id', sample_id, CAST(count(*) AS STRING) FROM x GROUP BY sample_id HAVING count(*) > 1
+UNION ALL SELECT 'blank_group', sample_id, '' FROM x WHERE trim(patient_id) = ''
+UNION ALL SELECT 'label_domain', sample_id, CAST(label AS STRING) FROM x WHERE label NOT IN (1, 2, 3)
+UNION ALL SELECT 'group_with_several_labels', patient_id, CAST(l AS STRING) FROM g WHERE l > 1""")
+def v04(v):
+    rows = v.samples.select(F.col("sample_id").cast("string").alias("sample_id"), "patient_id", "label").unionByName(v.spark.createDataFrame(BAD_MANIFEST, "sample_id string, patient_id string, label int"))
+    return Q.manifest_violations(rows, [1, 2, 3])
+
+
+@query("v06_split_output", """WITH o AS (SELECT split, label, count(*) AS n_groups FROM fx_split GROUP BY ALL), e AS (SELECT s AS split, CAST(l AS INT) AS label FROM (SELECT unnest(['train', 'val', 'test']) AS s), (SELECT unnest([1, 2, 3]) AS l))
+SELECT 'missing_class' AS rule, count(*) AS n FROM e LEFT JOIN o USING (split, label) WHERE o.n_groups IS NULL
+UNION ALL SELECT 'group_overlap', count(*) FROM (SELECT patient_id FROM fx_split GROUP BY 1 HAVING count(DISTINCT split) > 1)
+UNION ALL SELECT 'label_changed', count(*) FROM fx_split p JOIN fx_samples s USING (patient_id) WHERE p.label <> s.label
+UNION ALL SELECT 'sample_without_split', count(*) FROM fx_samples s LEFT JOIN fx_split p USING (patient_id) WHERE p.split IS NULL
+UNION ALL SELECT 'n_groups', count(*) FROM fx_split UNION ALL SELECT 'n_samples', count(*) FROM fx_samples""")
+def v06(v):
+    count = lambda rule, rows: rows.agg(F.count("*").alias("n")).select(F.lit(rule).alias("rule"), "n")
+    split = v.split
+    both = v.samples.select("patient_id", F.col("label").alias("was")).join(split, "patient_id", "left")
+    return Q.violations(
+        count("missing_class", Q.missing_combinations(split, list(P.SPLITS), [1, 2, 3])), count("group_overlap", split.groupBy("patient_id").agg(F.count_distinct("split").alias("s")).where("s > 1")),
+        count("label_changed", both.where("was <> label")), count("sample_without_split", both.where("split IS NULL")), count("n_groups", split), count("n_samples", v.samples.select("sample_id")),
+    )
+
+
+@query("v07_frozen_split", f"WITH n AS (SELECT split, count(*) AS n_samples, count(DISTINCT patient_id) AS n_groups FROM {SPLIT_ROWS} GROUP BY 1), e AS (SELECT * FROM (VALUES ('train', 336, 24), ('val', 80, 6), ('test', 84, 6), ('extra', 1, 1)) t(split, want_samples, want_groups)) SELECT split, coalesce(n_samples, 0) AS n_samples, coalesce(n_groups, 0) AS n_groups, coalesce(n_samples = want_samples AND n_groups = want_groups, false) AS ok FROM e FULL JOIN n USING (split)")
+def v07(v):
+    expected = v.spark.createDataFrame([("train", 336, 24), ("val", 80, 6), ("test", 84, 6), ("extra", 1, 1)], "split string, want_samples int, want_groups int")
+    n = split_rows(v).groupBy("split").agg(F.count("*").alias("n_samples"), F.count_distinct("patient_id").alias("n_groups"))
+    ok = (F.col("n_samples") == F.col("want_samples")) & (F.col("n_groups") == F.col("want_groups"))
+    return expected.join(n, "split", "full").select("split", F.coalesce("n_samples", F.lit(0)).alias("n_samples"), F.coalesce("n_groups", F.lit(0)).alias("n_groups"), F.coalesce(ok, F.lit(False)).alias("ok"))
+
+
+@query("v09_missing_class", f"SELECT split, label FROM (SELECT * FROM (SELECT unnest(['train', 'val', 'test']) AS split), (SELECT CAST(unnest([1, 2, 3, 4]) AS INT) AS label)) e ANTI JOIN {SPLIT_ROWS} r USING (split, label)")
+def v09(v):
+    return Q.missing_combinations(split_rows(v), list(P.SPLITS), [1, 2, 3, 4])
+
+
+@query("v11_selection", "SELECT sample_id, patient_id FROM fx_samples WHERE sample_id IN (3, 5, 8, 13, 21, 34, 55, 99999) ORDER BY sample_id LIMIT 5")
+def v11(v):
+    wanted = F.broadcast(v.spark.createDataFrame([(k,) for k in (3, 5, 8, 13, 21, 34, 55, 99999)], "sample_id bigint"))
+    return v.samples.select("sample_id", "patient_id").join(wanted, "sample_id", "left_semi").orderBy("sample_id").limit(5)
+
+
+@query("v12_held_out_pick", f"SELECT sample_id, patient_id, split FROM {SPLIT_ROWS} WHERE split = 'test' ORDER BY md5('11:' || sample_id) LIMIT 1")
+def v12(v):
+    return split_rows(v).where("split = 'test'").orderBy(P.seeded_order(11, "sample_id")).limit(1).select("sample_id", "patient_id", "split")
+
+
+@query("v13_check_summary", f"""WITH x AS (SELECT * FROM fx_samples UNION ALL {BAD_SAMPLES}), c AS (SELECT 'blank_group' AS "check", sample_id, trim(patient_id) = '' AS bad FROM x UNION ALL SELECT 'label_domain', sample_id, label NOT IN (1, 2, 3) FROM x UNION ALL SELECT 'small_mask', sample_id, list_sum(tumor_mask) < 16 FROM x)
+SELECT "check", NOT bool_or(bad) AS passed, count(*) AS n_checked, count(*) FILTER (bad) AS n_failed, coalesce(array_to_string(list_slice(list_sort(list(sample_id) FILTER (bad)), 1, 5), ','), '') AS offenders FROM c GROUP BY 1""")
+def v13(v):
+    x = bad_samples(v)
+    area = F.aggregate("tumor_mask", F.lit(0), lambda a, m: a + m)
+    return Q.check_summary([("blank_group", x, F.trim("patient_id") == "", "sample_id"), ("label_domain", x, ~F.col("label").isin(1, 2, 3), "sample_id"), ("small_mask", x, area < 16, "sample_id")])
+
+
+@query("s03_split_scan", "SELECT sample_id, s.patient_id, s.label, p.split, len(image_raw) AS n_pixels, s.label <> p.label AS mismatch FROM fx_samples s JOIN fx_split p USING (patient_id) WHERE p.split = 'val'")
+def s03(v):
+    part = v.split.where("split = 'val'").withColumnRenamed("label", "split_label")
+    return v.samples.join(F.broadcast(part), "patient_id").select("sample_id", "patient_id", "label", "split", F.size("image_raw").cast("bigint").alias("n_pixels"), (F.col("label") != F.col("split_label")).alias("mismatch"))
+
+
+@query("s04_metadata_scan", f"SELECT sample_id, patient_id, label, split FROM {SPLIT_ROWS} WHERE split = 'train'")
+def s04(v):
+    return split_rows(v).where("split = 'train'")
+
+
+# joins
+@query("j01_checked_join", "SELECT rule, key FROM (SELECT 'right_key_twice' AS rule, patient_id AS key FROM (SELECT patient_id FROM fx_split UNION ALL SELECT 'P1_0') GROUP BY 2 HAVING count(*) > 1 UNION ALL SELECT DISTINCT 'no_match', patient_id FROM fx_samples WHERE patient_id NOT IN (SELECT patient_id FROM fx_split WHERE patient_id <> 'P2_3')) ")
+def j01(v):
+    right = v.split.where("patient_id <> 'P2_3'").select("patient_id", "split")
+    right = right.unionByName(v.spark.createDataFrame([("P1_0", "test")], "patient_id string, split string"))
+    return J.checked_left_join(v.samples.select("sample_id", "patient_id"), right, "patient_id", "split")[1]
+
+
+@query("j04_id_sets", "WITH a AS (SELECT sample_id AS id FROM fx_samples WHERE sample_id % 7 <> 0), b AS (SELECT sample_id AS id FROM fx_samples WHERE sample_id % 11 <> 0), m AS (SELECT id FROM a ANTI JOIN b USING (id)), x AS (SELECT id FROM b ANTI JOIN a USING (id)) SELECT 'missing' AS side, count(*) AS n, array_to_string(list_slice(list_sort(list(id)), 1, 5), ',') AS examples FROM m UNION ALL SELECT 'extra', count(*), array_to_string(list_slice(list_sort(list(id)), 1, 5), ',') FROM x")
+def j04(v):
+    ids = v.samples.select("sample_id")
+    return J.id_set_difference(ids.where("sample_id % 7 <> 0"), ids.where("sample_id % 11 <> 0"), "sample_id")
+
+
+@query("j05_reconcile", "SELECT a.sample_id, a.label = b.label AS same_label, a.patient_id = b.patient_id AS same_group, a.image_raw = b.image_raw AS same_raster FROM fx_samples a JOIN (SELECT * REPLACE (CASE WHEN sample_id % 50 = 0 THEN label + 1 ELSE label END AS label, CASE WHEN sample_id % 60 = 0 THEN list_reverse(image_raw) ELSE image_raw END AS image_raw) FROM fx_samples) b USING (sample_id) WHERE a.label <> b.label OR a.image_raw <> b.image_raw")
+def j05(v):
+    other = v.samples.select(
+        "sample_id", F.col("patient_id").alias("p2"), F.when(F.col("sample_id") % 50 == 0, F.col("label") + 1).otherwise(F.col("label")).alias("l2"), F.when(F.col("sample_id") % 60 == 0, F.reverse("image_raw")).otherwise(F.col("image_raw")).alias("i2")
+    )
+    same = v.samples.join(other, "sample_id").select("sample_id", F.col("label").eqNullSafe(F.col("l2")).alias("same_label"), F.col("patient_id").eqNullSafe(F.col("p2")).alias("same_group"), F.col("image_raw").eqNullSafe(F.col("i2")).alias("same_raster"))
+    return same.where("NOT (same_label AND same_group AND same_raster)")
+
+
+@query("j06_dimension_join", "SELECT model, seed, sample_id, CAST(list_sum(tumor_mask) AS BIGINT) AS size FROM fx_predictions JOIN fx_samples USING (sample_id)")
+def j06(v):
+    return v.predictions.select("model", "seed", "sample_id").join(sizes(v), "sample_id", "left").select("model", "seed", "sample_id", "size")
+
+
+SECOND = "(SELECT doc_id, path, CASE WHEN doc_id % 7 = 0 THEN sha256(text || 'x') ELSE content_sha256 END AS content_sha256 FROM fx_files WHERE doc_id % 10 <> 1)"
+
+
+def second(v):
+    digest = F.when(F.col("doc_id") % 7 == 0, F.sha2(F.concat("text", F.lit("x")).cast("binary"), 256)).otherwise(F.col("content_sha256"))
+    return v.files.where("doc_id % 10 <> 1").select("doc_id", "path", digest.alias("content_sha256"))
+
+
+@query("j07_conversion_status", f"SELECT path, CASE WHEN f.doc_id % 97 = 0 THEN 'failed' WHEN s.path IS NULL THEN 'converted' WHEN s.content_sha256 = f.content_sha256 THEN 'skipped_existing' ELSE 'regenerated' END AS status FROM fx_files f LEFT JOIN {SECOND} s USING (path)")
+def j07(v):
+    existing = second(v).select("path", F.col("content_sha256").alias("output"))
+    return J.conversion_status(v.files.select("doc_id", "path", "content_sha256"), existing, "path", F.col("output") == F.col("content_sha256"), F.col("doc_id") % 97 == 0, overwrite=False)
+
+
+@query("j08_verify_manifest", f"SELECT path, CASE WHEN s.path IS NULL THEN 'file_missing' ELSE 'content_sha256_mismatch' END AS problem FROM fx_files f LEFT JOIN {SECOND} s USING (path) WHERE s.path IS NULL OR s.content_sha256 <> f.content_sha256")
+def j08(v):
+    return J.verified(v.files, second(v), "path", "content_sha256")
+
+
+@query("j09_snapshot_diff", f"SELECT coalesce(f.path, s.path) AS path, CASE WHEN f.path IS NULL THEN 'added' WHEN s.path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM (SELECT * FROM fx_files WHERE doc_id % 13 <> 0) f FULL JOIN {SECOND} s ON f.path = s.path WHERE f.path IS NULL OR s.path IS NULL OR f.content_sha256 <> s.content_sha256")
+def j09(v):
+    return J.snapshot_diff(v.files.where("doc_id % 13 <> 0"), second(v), "path", "content_sha256")
+
+
+@query("j10_config_diff", "WITH a AS (SELECT source || '.' || lang AS name, CAST(count(*) AS STRING) AS value FROM documents GROUP BY 1), b AS (SELECT source || '.' || lang AS name, CAST(count(*) AS STRING) AS value FROM documents WHERE doc_id % 3 <> 0 GROUP BY 1) SELECT name, a.value AS left_value, b.value AS right_value FROM a FULL JOIN b USING (name) WHERE a.value IS DISTINCT FROM b.value")
+def j10(v):
+    leaves = lambda rows: rows.groupBy(F.concat_ws(".", "source", "lang").alias("name")).agg(F.count("*").cast("string").alias("value"))
+    docs = v.table("documents").select("doc_id", "source", "lang")
+    return J.config_diff(leaves(docs), leaves(docs.where("doc_id % 3 <> 0")))
+
+
+# aggregations
+@query("a01_class_distribution", "SELECT label, count(*) AS n, count(DISTINCT patient_id) AS n_groups FROM fx_samples GROUP BY label")
+def a01(v):
+    return v.samples.groupBy("label").agg(F.count("*").alias("n"), F.count_distinct("patient_id").alias("n_groups"))
+
+
+MULTI = "(SELECT patient_id, CASE WHEN sample_id % 40 = 0 THEN label % 3 + 1 ELSE label END AS label FROM fx_samples)"
+
+
+@query("a02_group_distribution", f"SELECT patient_id, count(*) AS n, count(*) FILTER (label = 1) AS n_1, count(*) FILTER (label = 2) AS n_2, count(*) FILTER (label = 3) AS n_3, array_to_string(list_sort(list(DISTINCT label)), '|') AS labels, count(DISTINCT label) > 1 AS multi FROM {MULTI} GROUP BY 1")
+def a02(v):
+    rows = v.samples.select("patient_id", F.when(F.col("sample_id") % 40 == 0, F.col("label") % 3 + 1).otherwise(F.col("label")).alias("label"))
+    counts = [F.count_if(F.col("label") == k).alias(f"n_{k}") for k in (1, 2, 3)]
+    labels = F.array_join(F.sort_array(F.collect_set("label")).cast("array<string>"), "|")
+    return rows.groupBy("patient_id").agg(F.count("*").alias("n"), *counts, labels.alias("labels"), (F.count_distinct("label") > 1).alias("multi"))
+
+
+@query("a03_shapes", f"WITH x AS (SELECT * FROM fx_samples UNION ALL {BAD_SAMPLES}) SELECT height, width, count(*) AS n FROM x GROUP BY ALL")
+def a03(v):
+    return bad_samples(v).groupBy("height", "width").agg(F.count("*").alias("n"))
+
+
+@query("a04_pixel_moments", "WITH p AS (SELECT sample_id, unnest(image_raw) AS x FROM fx_samples), m AS (SELECT avg(x) AS m FROM p GROUP BY sample_id) SELECT min(x) AS least, max(x) AS most, round(avg(x), 6) AS mean, round(stddev_pop(x), 6) AS std, count(*) AS n, (SELECT round(min(m), 6) FROM m) AS least_mean, (SELECT round(max(m), 6) FROM m) AS most_mean FROM p")
+def a04(v):
+    return rounded(Q.pixel_moments(v.samples), "mean", "std", "least_mean", "most_mean")
+
+
+@query("a05_duplicate_keys", "SELECT content_sha256, count(*) AS n FROM fx_files GROUP BY 1 HAVING count(*) > 1")
+def a05(v):
+    return Q.repeated(v.files, ["content_sha256"])
+
+
+@query("a06_duplicate_content", "SELECT content_sha256, count(*) AS n, string_agg(doc_id || ':' || split, ',' ORDER BY doc_id) AS members FROM fx_files GROUP BY 1 HAVING count(*) > 1")
+def a06(v):
+    keys = Q.repeated(v.files, ["content_sha256"])
+    members = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "split"))), lambda m: F.concat_ws(":", m["doc_id"].cast("string"), m["split"]))
+    return v.files.select("content_sha256", "doc_id", "split").join(keys, "content_sha256").groupBy("content_sha256").agg(F.max("n").alias("n"), F.array_join(members, ",").alias("members"))
+
+
+PROFILE = ", ".join(f"round(quantile_cont({{0}}, {p}), 6) AS {n}" for p, n in ((0.0, "least"), (0.05, "p5"), (0.5, "median"), (0.95, "p95"), (1.0, "most")))
+
+
+@query("a07_percentile_profile", f"SELECT label, count(size) AS n, {PROFILE.format('size')} FROM fx_orders GROUP BY label UNION ALL SELECT 'all', count(size), {PROFILE.format('size')} FROM fx_orders")
+def a07(v):
+    by = Q.percentile_profile(v.orders, "size", ["label"])
+    total = Q.percentile_profile(v.orders.withColumn("label", F.lit("all")), "size", ["label"])
+    return rounded(by.unionByName(total), "least", "p5", "median", "p95", "most")
+
+
+@query("a08_rows_per_group", "SELECT n AS rows_per_group, count(*) AS n_groups FROM (SELECT patient_id, count(*) AS n FROM fx_orders GROUP BY 1) GROUP BY 1")
+def a08(v):
+    return v.orders.groupBy("patient_id").agg(F.count("*").alias("rows_per_group")).groupBy("rows_per_group").agg(F.count("*").alias("n_groups"))
+
+
+@query("a09_groups", "SELECT patient_id, min(label) AS label, count(*) AS n_samples FROM fx_orders GROUP BY 1")
+def a09(v):
+    return P.one_row_per_group(v.orders)
+
+
+@query("a10_split_crosstab", f"SELECT split, {', '.join(f'count(*) FILTER (label = {k}) AS samples_{k}, count(DISTINCT patient_id) FILTER (label = {k}) AS groups_{k}' for k in (1, 2, 3, 4))}, count(*) AS samples, count(DISTINCT patient_id) AS groups FROM {SPLIT_ROWS} GROUP BY split")
+def a10(v):
+    cells = []
+    for k in (1, 2, 3, 4):
+        cells += [F.count_if(F.col("label") == k).alias(f"samples_{k}"), F.count_distinct(F.when(F.col("label") == k, F.col("patient_id"))).alias(f"groups_{k}")]
+    return split_rows(v).groupBy("split").agg(*cells, F.count("*").alias("samples"), F.count_distinct("patient_id").alias("groups"))
+
+
+@query("a11_run_report", "SELECT split AS status, count(*) AS n, min(len(text)) AS least, max(len(text)) AS most, array_to_string(list_slice(list_sort(list(doc_id) FILTER (len(text) < 60)), 1, 10), ',') AS short_ids FROM fx_files GROUP BY split")
+def a11(v):
+    short = F.when(F.col("k") <= 10, F.col("doc_id"))
+    files = v.files.select(F.col("split").alias("status"), "doc_id", F.char_length("text").cast("bigint").alias("n_chars"))
+    ranked = files.withColumn("k", F.when(F.col("n_chars") < 60, F.row_number().over(Window.partitionBy("status", F.col("n_chars") < 60).orderBy("doc_id"))))
+    return ranked.groupBy("status").agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.nullif(F.array_join(F.sort_array(F.collect_list(short)).cast("array<string>"), ","), F.lit("")).alias("short_ids"))
+
+
+@query("a19_gaps", "SELECT i AS missing FROM range(1, (SELECT max(o_orderkey) FROM orders) + 1) t(i) WHERE i % 17 = 0 OR i NOT IN (SELECT o_orderkey FROM orders)")
+def a19(v):
+    ids = v.table("orders").select("o_orderkey")
+    top = ids.agg(F.max("o_orderkey").alias("m"))
+    every = top.select(F.explode(F.sequence(F.lit(1).cast("bigint"), "m")).alias("missing"))
+    return every.join(ids.where("o_orderkey % 17 <> 0"), F.col("missing") == F.col("o_orderkey"), "left_anti")
+
+
+# windows and order
+@query("w01_group_split", "WITH g AS (SELECT DISTINCT patient_id, label FROM fx_orders), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || patient_id)) rn, count(*) OVER (PARTITION BY label) n FROM g) SELECT patient_id, label, CASE WHEN rn <= round_even(n * 0.7, 0) THEN 'train' WHEN rn <= round_even(n * 0.7, 0) + floor((n - round_even(n * 0.7, 0)) / 2) THEN 'val' ELSE 'test' END AS split FROM r")
+def w01(v):
+    return P.assign_group_splits(v.orders, seed=42)
+
+
+@query("w02_random_per_class", "SELECT sample_id, label, CAST(place AS INT) AS place FROM (SELECT sample_id, label, row_number() OVER (PARTITION BY label ORDER BY md5('5:' || sample_id)) AS place FROM fx_orders) WHERE place <= 4")
+def w02(v):
+    return P.first_per_class(v.orders, 4, P.seeded_order(5, "sample_id"), ["sample_id", "label"])
+
+
+@query("w03_qa_pick", "WITH r AS (SELECT sample_id, label, size, row_number() OVER (PARTITION BY label ORDER BY size, sample_id) AS k, count(*) OVER (PARTITION BY label) AS n FROM fx_orders) SELECT sample_id, label, size, CASE WHEN k <= 2 THEN 'smallest' WHEN k > n // 2 - 1 AND k <= n // 2 + 1 THEN 'middle' ELSE 'largest' END AS reason FROM r WHERE k <= 2 OR (k > n // 2 - 1 AND k <= n // 2 + 1) OR k > n - 2")
+def w03(v):
+    return P.qa_pick(v.orders)
+
+
+@query("w04_first_per_class", "SELECT sample_id, label, CAST(place AS INT) AS place FROM (SELECT sample_id, label, row_number() OVER (PARTITION BY label ORDER BY sample_id) AS place FROM fx_samples) WHERE place <= 2")
+def w04(v):
+    return P.first_per_class(v.samples, 2, "sample_id", ["sample_id", "label"])
+
+
+W05 = """WITH RECURSIVE f(run_id, epoch, best, loss, stale, improved) AS (
+SELECT run_id, epoch, val_macro_f1, val_loss, 0, true FROM fx_history WHERE epoch = 0
+UNION ALL SELECT h.run_id, h.epoch, CASE WHEN i THEN h.val_macro_f1 ELSE x.best END, CASE WHEN i THEN h.val_loss ELSE x.loss END, CASE WHEN i THEN 0 ELSE x.stale + 1 END, i
+FROM (SELECT f.*, h.epoch AS e2, (h.val_macro_f1 > f.best + 0.0) OR (abs(h.val_macro_f1 - f.best) <= 1e-12 AND h.val_loss < f.loss) AS i FROM f JOIN fx_history h ON h.run_id = f.run_id AND h.epoch = f.epoch + 1 WHERE f.stale < 8) x JOIN fx_history h ON h.run_id = x.run_id AND h.epoch = x.e2)
+SELECT run_id, epoch, improved, CAST(stale AS INT) AS stale, stale >= 8 AS stopped FROM f"""
+
+
+@query("w05_best_so_far", W05)
+def w05(v):
+    return C.best_so_far(v.history, patience=8)
+
+
+@query("w06_importance_rank", "SELECT candidate_id, macro_f1, row_number() OVER (ORDER BY macro_f1 DESC, candidate_id) AS rank FROM fx_candidates")
+def w06(v):
+    rank = F.row_number().over(Window.orderBy(F.desc("macro_f1"), "candidate_id"))
+    return rounded(v.candidates.select("candidate_id", "macro_f1", rank.cast("bigint").alias("rank")))
+
+
+@query("w07_epoch_order", "SELECT epoch, sample_id, CAST(row_number() OVER (PARTITION BY epoch ORDER BY sha256('42:' || epoch || ':' || sample_id)) AS INT) AS place FROM fx_samples, (SELECT CAST(unnest([0, 1, 2]) AS INT) AS epoch)")
+def w07(v):
+    return P.epoch_order(v.samples, 42, 3)
+
+
+@query("w08_candidate_ranking", "SELECT candidate_id, place, place = 1 AS selected FROM (SELECT candidate_id, CAST(row_number() OVER (ORDER BY macro_f1 DESC, balanced_accuracy DESC, max_depth, weighting_mode, candidate_id) AS INT) AS place FROM fx_candidates)")
+def w08(v):
+    return C.ranked_candidates(v.candidates, [F.desc("macro_f1"), F.desc("balanced_accuracy"), F.col("max_depth"), F.col("weighting_mode"), F.col("candidate_id")], ["candidate_id"])
+
+
+@query("w09_training_curves", "SELECT run_id, count(*) AS n_epochs, arg_max(epoch, val_macro_f1) AS best_epoch, round(max(val_macro_f1), 6) AS best, round(arg_max(val_loss, epoch), 6) AS last_loss FROM (SELECT * FROM fx_history ORDER BY epoch) GROUP BY run_id")
+def w09(v):
+    best = F.max_by("epoch", F.struct("val_macro_f1", -F.col("epoch")))
+    return rounded(v.history.groupBy("run_id").agg(F.count("*").alias("n_epochs"), best.alias("best_epoch"), F.max("val_macro_f1").alias("best"), F.max_by("val_loss", "epoch").alias("last_loss")), "best", "last_loss")
+
+
+@query("t01_numeric_order", "SELECT CAST(sample_id AS STRING) AS id, row_number() OVER (ORDER BY sample_id) AS place FROM fx_samples")
+def t01(v):
+    rows = v.samples.select(F.col("sample_id").cast("string").alias("id"))
+    return rows.select("id", F.row_number().over(Window.orderBy(F.col("id").cast("bigint"))).cast("bigint").alias("place"))
+
+
+@query("t02_top_k", "SELECT candidate_id, round(macro_f1, 6) AS macro_f1 FROM fx_candidates ORDER BY fx_candidates.macro_f1 DESC, candidate_id LIMIT 20")
+def t02(v):
+    return rounded(v.candidates.select("candidate_id", "macro_f1").orderBy(F.desc("macro_f1"), "candidate_id").limit(20), "macro_f1")
+
+
+@query("t05_first_wins", "SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS k FROM events) WHERE k = 1")
+def t05(v):
+    return J.first_per_key(v.table("events").select("user_id", "ts", "event_id", "event_type"), "user_id", ["ts", "event_id"]).select("user_id", "event_id", "event_type")
+
+
+@query("a17_best_per_mode", "SELECT weighting_mode, round(max(macro_f1), 6) AS best FROM fx_candidates GROUP BY 1")
+def a17(v):
+    return rounded(v.candidates.groupBy("weighting_mode").agg(F.max("macro_f1").alias("best")), "best")
+
+
+# set operations
+@query("u01_train_val_union", f"SELECT sample_id, split FROM {SPLIT_ROWS} WHERE split IN ('train', 'val')")
+def u01(v):
+    rows = split_rows(v).select("sample_id", "split")
+    return rows.where("split = 'train'").unionByName(rows.where("split = 'val'"))
+
+
+@query("u02_group_overlap", f"WITH x AS (SELECT DISTINCT patient_id, split FROM (SELECT * FROM {SPLIT_ROWS} UNION ALL {BAD_INDEX_SQL})) SELECT a.split AS left_split, b.split AS right_split, a.patient_id FROM x a JOIN x b ON a.patient_id = b.patient_id AND a.split < b.split")
+def u02(v):
+    x = bad_index(v).select("patient_id", "split").distinct()
+    return x.withColumnRenamed("split", "left_split").join(x.withColumnRenamed("split", "right_split"), "patient_id").where("left_split < right_split").select("left_split", "right_split", "patient_id")
+
+
+@query("u03_id_differences", "SELECT doc_id, side FROM (SELECT doc_id, 'left' AS side FROM (SELECT doc_id FROM fx_files WHERE split = 'train' EXCEPT ALL SELECT doc_id FROM labels) UNION ALL SELECT doc_id, 'right' FROM (SELECT doc_id FROM labels EXCEPT ALL SELECT doc_id FROM fx_files WHERE split = 'train'))")
+def u03(v):
+    a, b = v.files.where("split = 'train'").select("doc_id"), v.table("labels").select("doc_id")
+    return a.exceptAll(b).withColumn("side", F.lit("left")).unionByName(b.exceptAll(a).withColumn("side", F.lit("right")))
+
+
+# scalar functions
+IDS = ["7", " 12 ", "3.0", "0", "-4", "x", "", "5.5", "007"]
+
+
+@query("f02_normalized_id", "SELECT t, CASE WHEN regexp_full_match(trim(t), '[0-9]+(\\.0+)?') AND CAST(regexp_replace(trim(t), '\\.0+$', '') AS BIGINT) > 0 THEN CAST(regexp_replace(trim(t), '\\.0+$', '') AS BIGINT) END AS id FROM (SELECT CAST(doc_id AS STRING) AS t FROM documents UNION ALL SELECT unnest(" + str(IDS) + "))")
+def f02(v):
+    texts = v.table("documents").select(F.col("doc_id").cast("string").alias("t")).unionByName(v.spark.createDataFrame([(x,) for x in IDS], "t string"))
+    return texts.select("t", S.normalized_id(F.col("t")).alias("id"))
+
+
+@query("f03_feature_names", "WITH n AS (SELECT 'glcm_' || p || '_d' || d || '_a' || a AS name FROM (SELECT unnest(['contrast', 'energy']) AS p), (SELECT DISTINCT p_size AS d FROM part), (SELECT unnest([0, 45, 90, 135]) AS a) UNION ALL SELECT 'lbp_' || p_size FROM part) SELECT DISTINCT name, split_part(name, '_', 1) AS family, nullif(regexp_extract(name, '^[a-z]+_([a-z]+)_d', 1), '') AS property, try_cast(nullif(regexp_extract(name, '_d([0-9]+)_a', 1), '') AS INT) AS distance, try_cast(nullif(regexp_extract(name, '_a([0-9]+)$', 1), '') AS INT) AS angle, array_to_string(list_transform(string_split(replace(name, '_', ' '), ' '), lambda w: upper(w[1]) || lower(w[2:])), ' ') AS readable FROM n")
+def f03(v):
+    part = v.table("part").select("p_size").distinct()
+    grid = part.select("p_size", F.explode(F.array(F.lit("contrast"), F.lit("energy"))).alias("p")).select("p_size", "p", F.explode(F.array(*[F.lit(a) for a in (0, 45, 90, 135)])).alias("a"))
+    names = grid.select(F.format_string("glcm_%s_d%d_a%d", "p", "p_size", "a").alias("name")).unionByName(part.select(F.format_string("lbp_%d", "p_size").alias("name")))
+    return names.select("name", *[c.alias(n) for n, c in S.parsed_feature(F.col("name")).items()])
+
+
+@query("f04_run_key", "SELECT p_partkey, p_brand || '_lr' || format('{:.0e}', 1.0 / power(10, 1 + p_size % 5)) || '_seed' || p_size AS run_key FROM part")
+def f04(v):
+    lr = F.lit(1.0) / F.pow(F.lit(10.0), 1 + F.col("p_size") % 5)
+    return v.table("part").select("p_partkey", S.run_key(F.col("p_brand"), lr, F.col("p_size")).alias("run_key"))
+
+
+@query("f05_text_from_codes", "SELECT doc_id, trim(array_to_string(list_transform(list_filter(list_transform(string_split(substr(lang || ' ' || source || '  ', 1, 40), ''), lambda c: CASE WHEN c = 'r' THEN 0 ELSE ord(c) END), lambda x: x <> 0), lambda x: chr(CAST(x AS INT))), '')) AS text FROM documents")
+def f05(v):
+    label = F.substring(F.concat("lang", F.lit(" "), "source", F.lit("  ")), 1, 40)
+    codes = F.transform(F.split(label, ""), lambda c: F.when(c == "r", 0).otherwise(F.ascii(c)))
+    return v.table("documents").select("doc_id", S.text_from_codes(codes).alias("text"))
+
+
+@query("f11_borders", "WITH x AS (SELECT sample_id, list_transform(list_slice(image_raw, 1, CAST(sample_id % 9 AS INT)), lambda v: CASE WHEN v = 0 AND sample_id % 5 = 0 THEN CAST('nan' AS DOUBLE) ELSE CAST(v AS DOUBLE) END) AS b FROM fx_samples) SELECT sample_id, CAST(len(b) // 2 AS INT) AS n_points, concat_ws('; ', CASE WHEN len(b) = 0 THEN 'empty' END, CASE WHEN len(list_filter(b, lambda v: isnan(v))) > 0 THEN 'non_finite' END, CASE WHEN len(b) % 2 = 1 THEN 'odd_count' END) AS warnings FROM x")
+def f11(v):
+    cut = F.slice("image_raw", F.lit(1), (F.col("sample_id") % 9).cast("int"))
+    border = F.transform(cut, lambda x: F.when((x == 0) & (F.col("sample_id") % 5 == 0), F.lit(float("nan"))).otherwise(x.cast("double")))
+    return v.samples.select("sample_id", border.alias("b")).select("sample_id", S.border_points(F.col("b")).alias("n_points"), S.border_warnings(F.col("b")).alias("warnings"))
+
+
+# weights
+@query("g01_class_weights", "WITH t AS (SELECT label FROM fx_orders) SELECT label, count(*) AS n, round((SELECT count(*) FROM t) / (5.0 * count(*)), 6) AS weight FROM t GROUP BY 1")
+def g01(v):
+    return rounded(P.class_weights(v.orders.select("label"), 5), "weight")
+
+
+@query("g02_row_weights", "WITH w AS (SELECT sample_id, count(*) OVER () / (5.0 * count(*) OVER (PARTITION BY label)) * (1.0 / count(*) OVER (PARTITION BY patient_id)) AS raw FROM fx_orders) SELECT sample_id, round(raw / avg(raw) OVER (), 6) AS weight FROM w")
+def g02(v):
+    return rounded(P.row_weights(v.orders, "both", 5).select("sample_id", "weight"), "weight")
+
+
+# integrity
+@query("i01_content_hash", "SELECT sample_id, sha256('sample_id=' || sample_id || ';label=' || label || ';shape=' || height || 'x' || width || ';raw=' || array_to_string(image_raw, ',')) AS content_sha256 FROM fx_samples")
+def i01(v):
+    from ..operators.integrity import content_hash
+
+    return v.samples.select("sample_id", content_hash({"sample_id": F.col("sample_id"), "label": F.col("label"), "shape": F.concat_ws("x", "height", "width"), "raw": F.array_join(F.col("image_raw").cast("array<string>"), ",")}).alias("content_sha256"))
+
+
+@query("i04_order_digest", "WITH d AS (SELECT sample_id // 100 AS part, sha256(string_agg(CAST(sample_id AS STRING), ',' ORDER BY sample_id)) AS h FROM fx_samples GROUP BY 1) SELECT sha256(string_agg(h, ',' ORDER BY part)) AS digest, count(*) AS parts FROM d")
+def i04(v):
+    from ..operators.integrity import ordered_digest
+
+    return ordered_digest(v.samples.select("sample_id"), "sample_id", 100)
+
+
+@query("i05_staleness", f"WITH r AS (SELECT source, md5(string_agg(f.content_sha256, ',' ORDER BY f.path)) AS h FROM fx_files f JOIN documents d USING (doc_id) GROUP BY 1), c AS (SELECT source, md5(string_agg(s.content_sha256, ',' ORDER BY s.path)) AS h FROM {SECOND} s JOIN documents d USING (doc_id) GROUP BY 1) SELECT source, r.h IS NOT DISTINCT FROM c.h AS fresh FROM r LEFT JOIN c USING (source)")
+def i05(v):
+    from ..operators.integrity import fresh
+
+    keyed = lambda rows: C.order_digest(rows.join(v.table("documents").select("doc_id", "source"), "doc_id"), ["source"], "path", F.col("content_sha256"))
+    return fresh(keyed(v.files.select("doc_id", "path", "content_sha256")), keyed(second(v)), "source", "digest")
+
+
