@@ -7,10 +7,10 @@ SIDE * SIDE tables of 2 * HALF minhashes cost 2 * SIDE * HALF minhashes instead
 full shingle sets.
 
 Candidates of one key are not paired with one another. A first pass compares the members of a key
-with its least document, a second with the member that has the fewest shingles of its own (of a
-group of edited copies, the one nearest to their origin). What still shares a key across
-components is compared completely, except for members that provably link with none there because
-too many of their shingles occur nowhere else; so no link is lost.
+with its least document, a second with its most typical member (of a group of edited copies, the
+one nearest to their origin). What still shares keys across components then goes through an exact
+prefix filter with positions, which finds every remaining link among these documents and meets
+only pairs that could be linked; so no candidate is dropped.
 
 Defined results: texts without words (null, empty, white space) have no shingles and link with
 nothing. Documents with equal sets are one class and are compared once. Rows that repeat a doc_id
@@ -21,7 +21,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import lowered, mixed, saved, table, text_parts, word_hashes, words_of
@@ -114,38 +114,38 @@ def _components(links: DataFrame) -> DataFrame:
     return saved(roots(links).select(F.col("node").alias("n"), "root"), "labels")
 
 
-def _private_counts(cross: DataFrame, sets: DataFrame) -> DataFrame:
-    """(node, n, own): the size of a set and how many of its shingles no other node of ``cross``,
-    and so no candidate of that node, has."""
-    members = sets.join(cross.select("node").distinct(), "node", "left_semi")
-    shingles = members.select("node", F.explode("members").alias("s")).groupBy("s").agg(F.min("node").alias("node"), F.max("node").alias("last"))
-    own = shingles.where("node = last").groupBy("node").agg(F.count("*").alias("own"))
-    return members.select("node", F.size("members").alias("n")).groupBy("node").agg(F.min("n").alias("n"), F.max("n").alias("most")).join(own, "node", "left").select(
-        "node", "n", F.when(F.col("n") == F.col("most"), F.coalesce("own", F.lit(0))).otherwise(0).cast("int").alias("own"), "most"
-    )
-
-
-def _between(cross: DataFrame, sizes: DataFrame, percent: int, complete: bool) -> DataFrame:
-    """Candidate pairs (x > y) between components: of each key's members with its centre, the
-    member with the fewest shingles of its own; or, with ``complete``, of all members.
-
-    A pair shares at most what neither keeps for itself. Where that is too little, even against
-    the smallest set of the key, a member is left out: it provably links with none there.
-    """
-    least = cross.join(sizes, "node").groupBy("key").agg(F.min("n").alias("least"))
-    named = cross.join(sizes, "node").join(least, "key")
-    shared = F.col("most") - F.col("own")
-    named = named.where(shared * 100 >= (F.col("n") + F.greatest(F.col("least"), shared) - shared) * percent)
-    if complete:
-        other = named.select("key", *[F.col(c).alias(c + "2") for c in ("node", "comp", "n", "own", "most")])
-        apart = F.col("comp") < F.col("comp2")
-    else:
-        rank = F.min(F.struct("own", F.xxhash64("node"), "node", "comp", "n", "most"))
-        other = named.groupBy("key").agg(rank.alias("c")).select("key", *[F.col(f"c.{c}").alias(c + "2") for c in ("node", "comp", "n", "own", "most")])
-        apart = F.col("comp") != F.col("comp2")
-    most = F.least(F.col("most") - F.col("own"), F.col("most2") - F.col("own2"))
-    possible = most * 100 >= (F.col("n") + F.col("n2") - most) * percent
-    pairs = named.join(other, "key").where(apart & possible)
+def _tokens(cross: DataFrame, sets: DataFrame) -> DataFrame:
+    """(node, sid, n, s, df): the shingles of the nodes of ``cross``, and in how many of these
+    sets each occurs. sid tells the sets of a doc_id with several texts apart."""
+    members = sets.join(cross.select("node").distinct(), "node", "left_semi").select("node", F.xxhash64("members").alias("sid"), F.size("members").alias("n"), F.explode("members").alias("s"))
+    counts = members.groupBy("s").agg(F.count("*").alias("df"))
+    return members.join(counts, "s")
+
+
+def _star_pairs(cross: DataFrame, tokens: DataFrame) -> DataFrame:
+    """Each key's members with its centre, the member whose shingles are the most common ones: of
+    a group of edited copies the one nearest to their origin."""
+    central = tokens.groupBy("node").agg(F.avg("df").alias("common"))
+    named = cross.join(central, "node")
+    centre = named.groupBy("key").agg(F.max(F.struct("common", -F.col("node"), "node", "comp")).alias("c")).select("key", F.col("c.node").alias("node2"), F.col("c.comp").alias("comp2"))
+    return named.join(centre, "key").where("comp <> comp2").select(F.greatest("node", "node2").alias("x"), F.least("node", "node2").alias("y")).distinct()
+
+
+def _prefix_pairs(cross: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
+    """All pairs between components of ``cross`` that can be linked, by a prefix filter.
+
+    With the shingles of all sets in one order, rarest first, linked sets share one within their
+    first n - ceil(n * percent / 100) + 1 shingles; and after the first that they share, enough
+    must be left in both (positions). Edits come first in that order, so members of a group that
+    differ too much from one another never meet."""
+    nodes = cross.select("node", "comp").distinct()
+    place = F.row_number().over(Window.partitionBy("node", "sid").orderBy("df", "s"))
+    ordered = tokens.join(nodes, "node").select("node", "comp", "n", "s", "df", place.alias("place"))
+    prefix = ordered.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).drop("df")
+    other = prefix.select("s", *[F.col(c).alias(c + "2") for c in ("node", "comp", "n", "place")])
+    left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + 1
+    enough = left * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
+    pairs = prefix.join(other, "s").where((F.col("comp") < F.col("comp2")) & enough)
     return pairs.select(F.greatest("node", "node2").alias("x"), F.least("node", "node2").alias("y")).distinct()
 
 
@@ -201,8 +201,8 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
         if not cross.limit(1).count():
             break
         if not complete:
-            sizes = saved(_private_counts(cross, sets), "sizes")
-        pairs = _between(cross, sizes, percent, complete)
+            tokens = saved(_tokens(cross, sets), "tokens")
+        pairs = _prefix_pairs(cross, tokens, percent) if complete else _star_pairs(cross, tokens)
         pairs = saved(pairs.join(tested, ["x", "y"], "left_anti"), "pairs")
         more = saved(_confirmed(pairs.select(F.col("x").alias("u"), F.col("y").alias("v")), sets, percent), "more")
         tested = tested.unionByName(pairs)
