@@ -93,7 +93,7 @@ def roi_geometry(samples: DataFrame, target: int = 128) -> DataFrame:
     over = {"over_top": -F.col("top"), "over_left": -F.col("left"), "over_bottom": F.col("top") + F.col("side") - F.col("height"), "over_right": F.col("left") + F.col("side") - F.col("width")}
     for name, value in over.items():
         g = g.withColumn(name, F.greatest(value, F.lit(0)).cast("bigint"))
-    return g.withColumn("upscale", F.lit(float(target)) / F.col("side"))
+    return g.withColumn("upscale", F.try_divide(F.lit(float(target)), F.col("side")))
 
 
 def cropped(samples: DataFrame) -> DataFrame:

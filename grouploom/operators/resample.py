@@ -14,12 +14,12 @@ from .metrics import HEADLINE, argmax, auc, fill_cells, headline, long_metrics,
 
 def multiplicities(groups: DataFrame, group: str, resamples: int, seed: int) -> DataFrame:
     """b, group, times: how often each resample drew each group."""
-    numbered = groups.select(group).distinct().select(group, (F.row_number().over(Window.orderBy(group)) - 1).alias("g"))
+    numbered = groups.select(group).distinct().select(group, (F.row_number().over(Window.orderBy(group)) - 1).alias("group_no"))
     size = numbered.agg(F.count("*").alias("n_groups"))
     draws = size.select("n_groups", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).select("b", "n_groups", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_groups") - 1)).alias("k"))
     text = F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("k").cast("string"))
     g = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") % F.col("n_groups")
-    return draws.groupBy("b", g.alias("g")).agg(F.count("*").alias("times")).join(numbered, "g").select("b", group, "times")
+    return draws.groupBy("b", g.alias("group_no")).agg(F.count("*").alias("times")).join(numbered, "group_no").select("b", group, "times")
 
 
 def resampled(rows: DataFrame, draws: DataFrame, keys: list[str], group: str, classes: int, with_auc: bool = False) -> DataFrame:
