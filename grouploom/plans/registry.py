@@ -6,7 +6,7 @@ import importlib
 
 from .fixtures import Views, with_views
 
-_FAMILIES = ("evaluation", "tables", "rasters", "learning")
+_FAMILIES = ("evaluation", "tables", "storage", "rasters", "learning")
 _queries: dict = {}
 _sql: dict[str, str] = {}
 
