@@ -27,10 +27,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .batches import BATCH_BYTES, Batch, bucket_count, by_bucket, packed
+from .batches import Batch, bucket_count, by_bucket, packed
 from .common import _BYTE, _power_tables, mixed, saved, table
 
 LENGTH, ANCHOR = 50, 20
+#: Bytes of text in a batch; a batch's runs and windows are sorted in one worker's memory.
+BATCH_BYTES = 4 << 20
 NO_ID = np.int64(2**62)
 _PLACE = np.uint64((1 << 24) - 1)
 SENT = "batch long, bucket int, n int, keys binary, more binary, docs binary"
@@ -241,7 +243,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     SHA-256 in hex where ``keep_text`` is false)."""
     ship(docs.sparkSession)
     batches = packed(docs, batch_bytes)
-    buckets = bucket_count(batches.count())
+    buckets = max(96, bucket_count(batches.count()))
     sort = lambda sent: sent.groupBy("bucket").applyInArrow(_resolve, "batch long, bucket int, answer binary")
     second = saved(sort(batches.mapInArrow(_send(buckets, length, anchor), SENT)), "second")
     refined = batches.groupBy("batch").cogroup(second.groupBy("batch")).applyInArrow(_refine(buckets, length, anchor), SENT)
