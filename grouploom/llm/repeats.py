@@ -14,7 +14,7 @@ least doc_id, however often it occurs there; buckets sort what they get and answ
 
 Defined results: a null text counts as empty; texts shorter than ``LENGTH`` bytes lose nothing.
 Rows that repeat a doc_id don't take bytes from one another. Rows without doc_id come after all
-others and take nothing. Digits are compared by hashes of 80 bits (runs) and 64 bits (windows).
+others and take nothing. Digits are compared by hashes of 80 bits.
 """
 
 from __future__ import annotations
@@ -30,7 +30,9 @@ from ..session import ship
 from .batches import Batch, bucket_count, by_bucket, packed
 from .common import _BYTE, _power_tables, mixed, saved, table
 
-LENGTH, ANCHOR = 50, 20
+LENGTH, ANCHOR = 50, 28
+#: Bytes of text that are hashed at once.
+PART_BYTES = 1 << 19
 #: Bytes of text in a batch; a batch's runs and windows are sorted in one worker's memory.
 BATCH_BYTES = 4 << 20
 NO_ID = np.int64(2**62)
@@ -88,7 +90,7 @@ class Sorted:
         self.docs = np.array([NO_ID if k is None else k for k in batch.ids], np.int64)
         starts = np.concatenate(([0], batch.ends))
         found = []
-        for row, data, offsets in batch.parts():
+        for row, data, offsets in batch.parts(PART_BYTES):
             text, start, count, gram, cover = runs(data, offsets, length, anchor)
             key = (gram & np.uint64(0xFFFFFFFF00000000)) | (cover >> np.uint64(32))
             found.append((text + row, start + starts[row], count, key, (cover & np.uint64(0xFFFF)).astype(np.uint16)))
@@ -167,10 +169,10 @@ def _gather(keys: np.ndarray, answers, buckets: int) -> np.ndarray:
 
 
 def _windows(batch: Batch, found: Sorted, asked: np.ndarray, length: int):
-    """Place and hash of every window of the asked runs."""
-    places, hashes = [], []
+    """Place, run and hash of every window of the asked runs."""
+    places, owners, hashes = [], [], []
     starts = np.concatenate(([0], batch.ends))
-    for row, data, offsets in batch.parts():
+    for row, data, offsets in batch.parts(PART_BYTES):
         at = np.flatnonzero(asked & (found.text >= row) & (found.text < row + len(offsets) - 1))
         if len(at):
             count = found.count[at]
@@ -178,10 +180,11 @@ def _windows(batch: Batch, found: Sorted, asked: np.ndarray, length: int):
             place = first + np.arange(len(first))
             sums, down = prefix_sums(data)
             places.append(place + starts[row])
+            owners.append(np.repeat(at, count))
             hashes.append(mixed((sums[place + length] - sums[place]) * down[place]))
     if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(places), np.concatenate(hashes)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    return np.concatenate(places), np.concatenate(owners), np.concatenate(hashes)
 
 
 def _asked(found: Sorted, answer: np.ndarray) -> np.ndarray:
@@ -190,10 +193,12 @@ def _asked(found: Sorted, answer: np.ndarray) -> np.ndarray:
 
 
 def _window_classes(batch: Batch, found: Sorted, answer: np.ndarray, length: int):
-    place, hashes = _windows(batch, found, _asked(found, answer), length)
-    owner = np.searchsorted(batch.ends, place, side="right")
-    doc = found.docs[owner]
-    return place, doc, *classes(hashes, np.zeros(len(hashes), np.uint16), doc)
+    place, run, hashes = _windows(batch, found, _asked(found, answer), length)
+    doc = found.doc[run]
+    # equal windows have equal anchors: digit 1 leads the key, and neighbours in order share it
+    high = found.keys[found.cls[run]] & np.uint64(0xFFFFFFFF00000000)
+    key = high | (hashes >> np.uint64(32))
+    return place, doc, *classes(key, (hashes & np.uint64(0xFFFF)).astype(np.uint16), doc)
 
 
 def _refine(buckets: int, length: int, anchor: int):
