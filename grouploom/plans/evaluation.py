@@ -9,6 +9,7 @@ from ..functions import scalars as S
 from ..operators import compare as C
 from ..operators import metrics as M
 from ..operators import resample as B
+from ..operators import splits as P
 from .registry import query
 
 RUN = ["model", "seed"]
@@ -207,9 +208,15 @@ def e10(v):
     return rounded(C.strata_report(with_bucket(v), [*RUN, "bucket"], K), "accuracy", "macro_f1", "recall_0", "recall_1", "recall_2")
 
 
-@query("e11_size_edges", "SELECT round(quantile_cont(size, 1 / 3.0), 6) AS low, round(quantile_cont(size, 2 / 3.0), 6) AS high, count(*) AS n, round(min(size), 6) AS least, round(max(size), 6) AS most FROM fx_orders WHERE label IN ('BUILDING', 'MACHINERY')")
+ORDER_SPLIT = """(WITH g AS (SELECT DISTINCT patient_id, label FROM fx_orders), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || patient_id)) rn, count(*) OVER (PARTITION BY label) n FROM g)
+SELECT patient_id, label, CASE WHEN rn <= round_even(n * 0.7, 0) THEN 'train' WHEN rn <= round_even(n * 0.7, 0) + floor((n - round_even(n * 0.7, 0)) / 2) THEN 'val' ELSE 'test' END AS split FROM r)"""
+
+
+@query("e11_size_edges", f"SELECT round(quantile_cont(size, 1 / 3.0), 6) AS low, round(quantile_cont(size, 2 / 3.0), 6) AS high, count(*) AS n, round(min(size), 6) AS least, round(max(size), 6) AS most FROM fx_orders o JOIN {ORDER_SPLIT} s ON s.patient_id = o.patient_id AND s.split = 'train'")
 def e11(v):
-    return rounded(C.size_edges(v.orders.where(F.col("label").isin("BUILDING", "MACHINERY"))), "low", "high", "least", "most")
+    """Edges come from the training groups only."""
+    train = P.assign_group_splits(v.orders, seed=42).where("split = 'train'").select("patient_id")
+    return rounded(C.size_edges(v.orders.join(train, "patient_id", "left_semi")), "low", "high", "least", "most")
 
 
 W12 = "(CASE true_idx WHEN 0 THEN 1.0 WHEN 1 THEN 2.0 ELSE 0.5 END)"

@@ -83,17 +83,17 @@ def a14(v):
     return rounded(T.class_distribution(v.features_a, CO_NAMES), "q1", "median", "q3", "low", "high")
 
 
-PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM fx_features_a" for k, a in enumerate(CO_NAMES[:8]) for b in CO_NAMES[k + 1 : 8])
+PAIRS = " UNION ALL ".join(f"SELECT '{a}' AS a, '{b}' AS b, corr({a}, {b}) AS r FROM fx_features_a" for k, a in enumerate(CO_NAMES) for b in CO_NAMES[k + 1 :])
 
 
 @query("a15_correlations", f"SELECT a, b, round(r, 6) + 0.0 AS r FROM ({PAIRS})")
 def a15(v):
-    return rounded(T.correlations(v.features_a, CO_NAMES[:8]), "r")
+    return rounded(T.correlations(v.features_a, CO_NAMES), "r")
 
 
 @query("a15_family_correlation", f"SELECT regexp_extract(a, '_d([0-9]+)_', 1) AS family, round(avg(abs(r)), 6) AS mean_abs_r, count(*) AS n_pairs FROM ({PAIRS}) WHERE regexp_extract(a, '_d([0-9]+)_', 1) = regexp_extract(b, '_d([0-9]+)_', 1) GROUP BY 1")
 def a15_family(v):
-    return rounded(T.family_correlation(T.correlations(v.features_a, CO_NAMES[:8]), "_d([0-9]+)_"), "mean_abs_r")
+    return rounded(T.family_correlation(T.correlations(v.features_a, CO_NAMES), "_d([0-9]+)_"), "mean_abs_r")
 
 
 @query("a16_importance_by_distance", f"SELECT regexp_extract(feature, '_d([0-9]+)_', 1) AS distance, round(sum(i), 6) AS total, round(avg(i), 6) AS mean FROM (SELECT feature, avg(abs(x)) AS i FROM {LONG_A} GROUP BY 1) GROUP BY 1")

@@ -10,7 +10,7 @@ from ..operators import compare as C
 from ..operators import joins as J
 from ..operators import quality as Q
 from ..operators import splits as P
-from .evaluation import rounded, sizes
+from .evaluation import ORDER_SPLIT, rounded, sizes
 from .registry import query
 
 SPLIT_ROWS = "(SELECT sample_id, s.patient_id, s.label, p.split FROM fx_samples s JOIN fx_split p USING (patient_id))"
@@ -277,7 +277,7 @@ def a19(v):
 
 
 # windows and order
-@query("w01_group_split", "WITH g AS (SELECT DISTINCT patient_id, label FROM fx_orders), r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY md5('42:' || patient_id)) rn, count(*) OVER (PARTITION BY label) n FROM g) SELECT patient_id, label, CASE WHEN rn <= round_even(n * 0.7, 0) THEN 'train' WHEN rn <= round_even(n * 0.7, 0) + floor((n - round_even(n * 0.7, 0)) / 2) THEN 'val' ELSE 'test' END AS split FROM r")
+@query("w01_group_split", f"SELECT * FROM {ORDER_SPLIT}")
 def w01(v):
     return P.assign_group_splits(v.orders, seed=42)
 
