@@ -101,7 +101,10 @@ def new_index(spark: SparkSession) -> DigestIndex:
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs``, all columns, that stay; one of equal rows."""
+    """The rows of ``docs``, all columns, that stay; one of equal rows.
+
+    Rows are told apart by their number in the scan, so ``docs`` should be a table that is read the
+    same way twice, such as Parquet files."""
     prints = fingerprints(docs)
     kept = deduplicate(saved(prints, "prints"), new_index(docs.sparkSession)).where("kept").select(F.col("row").alias("__row"))
     numbered = docs.withColumn("__own", F.monotonically_increasing_id())
