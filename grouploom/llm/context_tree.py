@@ -72,20 +72,40 @@ def is_training(ids: list) -> np.ndarray:
     return np.array([k is not None and zlib.crc32(str(k).encode()) % 10 != 0 for k in ids], bool)
 
 
-def batch_keys(batch: Batch, kind: str) -> tuple[np.ndarray, np.ndarray]:
-    training = is_training(batch.ids)
+def distinct(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys in order and how often each occurs."""
+    found = np.sort(found)
+    first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else np.zeros(0, np.int64)
+    return found[first], np.diff(np.append(first, len(found)))
+
+
+def batch_keys(batch: Batch, kind: str, training: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct keys of a batch and, given which texts are training texts, their counts there."""
     keys, counts = [], []
     for row, data, offsets in batch.parts():
         found, owner = TOKENS[kind](data, offsets)
-        weight = training[row + owner]
-        order = np.argsort(found, kind="stable")
-        found, weight = found[order], weight[order]
-        first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-        keys.append(found[first])
-        counts.append(np.add.reduceat(weight.astype(np.int64), first))
+        all_keys, _ = distinct(found)
+        count = np.zeros(len(all_keys), np.int64)
+        if training is not None:
+            own, times = distinct(found[training[row + owner]])
+            count[np.searchsorted(all_keys, own)] = times
+        keys.append(all_keys)
+        counts.append(count)
     return merged_counts(keys, counts)
 
 
+def sums_by_text(found: np.ndarray, owner: np.ndarray, keys: np.ndarray, values: np.ndarray, texts: int) -> np.ndarray:
+    """Sum of the values of the string keys of every text. Keys and places are sorted as one
+    number, so that the key table is read in order."""
+    out = np.zeros(texts)
+    for a in range(0, len(found), 1 << 23):
+        part = np.sort((found[a : a + (1 << 23)] << np.uint64(23)) | np.arange(min(1 << 23, len(found) - a), dtype=np.uint64))
+        value = np.empty(len(part))
+        value[(part & np.uint64((1 << 23) - 1)).astype(np.int64)] = values[np.searchsorted(keys, part >> np.uint64(23))]
+        out += np.bincount(owner[a : a + (1 << 23)], value, texts)
+    return out
+
+
 def _bucket(keys: np.ndarray, kind: str, buckets: int) -> np.ndarray:
     # strings of one bucket share their two nearest context bytes
     return bucket_of(keys >> np.uint64(8 * (DEPTH - 1)), buckets) if kind == "string" else bucket_of(keys, buckets)
@@ -96,8 +116,9 @@ def _send(buckets: int):
         for part in rows:
             for k in range(part.num_rows):
                 batch = Batch(part, k)
+                training = is_training(batch.ids)
                 for kind in TOKENS:
-                    keys, counts = batch_keys(batch, kind)
+                    keys, counts = batch_keys(batch, kind, training)
                     out = [(batch.number, kind, b, keys[at].tobytes(), counts[at].tobytes()) for b, at in by_bucket(_bucket(keys, kind, buckets), buckets)]
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["batch", "kind", "bucket", "keys", "counts"])
@@ -233,11 +254,12 @@ def _score(buckets: int, total: int, distinct: int):
                     values[at] = np.frombuffer(found[kind, b], np.float64 if kind == "string" else np.int64)
                 for row, data, offsets in batch.parts():
                     tokens, owner = TOKENS[kind](data, offsets)
-                    got, m = values[np.searchsorted(keys, tokens)], len(offsets) - 1
+                    m = len(offsets) - 1
                     to = slice(row, row + m)
                     if kind == "string":
-                        sums["score"][to] += np.bincount(owner, got, m)
+                        sums["score"][to] += sums_by_text(tokens, owner, keys, values, m)
                     else:
+                        got = values[np.searchsorted(keys, tokens)]
                         sums["n_tokens"][to] += np.bincount(owner, minlength=m)
                         sums["n_known"][to] += np.bincount(owner, got > 0, m)
                         sums["base"][to] += np.bincount(owner, np.log10(got + 0.1) - unit, m)
