@@ -38,6 +38,31 @@ def resampled(rows: DataFrame, draws: DataFrame, keys: list[str], group: str, cl
     return long_metrics(wide, own, names)
 
 
+def resampled_auc(rows: DataFrame, draws: DataFrame, keys: list[str], group: str) -> DataFrame:
+    """keys, b, metric (macro_auc), value, as ``resampled`` has it. Pairs of a positive and a negative
+    row that are in order, with ties as halves, are counted once per pair of groups; a resample
+    weighs the counts by both groups' multiplicities."""
+    own = [*keys, "class"]
+    scored = one_vs_rest(rows.withColumn("__group", F.col(group)), [*keys, "__group"])
+    cells = scored.groupBy(*own, "__group", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    groups = rows.select(*keys, F.col(group).alias("h")).distinct()
+    # per pair (group, h): negatives of h at lower scores and at the same score
+    spread = cells.join(groups, keys)
+    own_neg = F.when(F.col("__group") == F.col("h"), F.col("neg")).otherwise(0)
+    at = spread.groupBy(*own, "h", "score").agg(F.sum(own_neg).alias("same"))
+    lower = F.coalesce(F.sum("same").over(Window.partitionBy(*own, "h").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    below = at.select(*own, "h", "score", (lower + F.col("same") / 2).alias("below"))
+    ordered = cells.where("pos > 0").join(below, [*own, "score"]).groupBy(*own, F.col("__group").alias("g"), "h").agg(F.sum(F.col("pos") * F.col("below")).alias("pairs"))
+    one = draws.select("b", F.col(group).alias("g"), F.col("times").alias("times_g"))
+    two = draws.select("b", F.col(group).alias("h"), F.col("times").alias("times_h"))
+    won = ordered.join(one, "g").join(two, ["b", "h"]).groupBy(*own, "b").agg(F.sum(F.col("pairs") * F.col("times_g") * F.col("times_h")).alias("won"))
+    sizes = cells.groupBy(*own, F.col("__group").alias("g")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    total = sizes.join(one, "g").groupBy(*own, "b").agg(F.sum(F.col("pos") * F.col("times_g")).alias("n_pos"), F.sum(F.col("neg") * F.col("times_g")).alias("n_neg"))
+    area = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.coalesce("won", F.lit(0)) / (F.col("n_pos") * F.col("n_neg")))
+    each = total.join(won, [*own, "b"], "left").select(*own, "b", area.alias("auc"))
+    return long_metrics(each.groupBy(*keys, "b").agg(F.avg("auc").alias("macro_auc")), [*keys, "b"], ("macro_auc",))
+
+
 def interval(values: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame:
     """keys, low, high, n_valid: percentiles over resamples; undefined values are left out."""
     bounds = F.percentile("value", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))

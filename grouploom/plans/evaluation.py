@@ -258,8 +258,10 @@ def a18(v):
     return rounded(rows.groupBy("model", "correct").agg(F.avg("c").alias("mean"), F.percentile("c", F.lit(0.5)).alias("median"), F.count("*").alias("n")), "mean", "median")
 
 
-# resampling: 20 resamples here; the number is a parameter
+# resampling: SQL and the queries that it checks take 20 resamples; the queries named ..._2000, without SQL, take
+# the 2000 of the survey
 N_RESAMPLES = 20
+SURVEYED = 2000
 
 
 def draws_sql(seed: int) -> str:
@@ -278,12 +280,12 @@ def resampled_sql(with_auc: bool = False, where: str = "true") -> str:
     return long_sql(wide, keys, names)
 
 
-def draws(v) -> DataFrame:
-    return B.multiplicities(v.predictions, "patient_id", N_RESAMPLES, 7)
+def draws(v, n: int = N_RESAMPLES) -> DataFrame:
+    return B.multiplicities(v.predictions, "patient_id", n, 7)
 
 
-def resampled(v, with_auc=False) -> DataFrame:
-    return B.resampled(v.predictions, draws(v), RUN, "patient_id", K, with_auc)
+def resampled(v, with_auc=False, n: int = N_RESAMPLES) -> DataFrame:
+    return B.resampled(v.predictions, draws(v, n), RUN, "patient_id", K, with_auc)
 
 
 def interval_sql(values: str, keys: str) -> str:
@@ -294,25 +296,25 @@ LONG9 = long_sql(f"SELECT * FROM ({HEAD}) JOIN (SELECT model, seed, avg({NLL}) A
 
 
 @query("b01_group_bootstrap", f"SELECT * FROM ({interval_sql(resampled_sql(), 'model, seed, metric')}) JOIN (SELECT model, seed, metric, round(value, 6) AS point FROM ({LONG9})) USING (model, seed, metric)")
-def b01(v):
+def b01(v, n: int = N_RESAMPLES):
     loss = v.predictions.groupBy(*RUN).agg(F.avg(M.nll(F.col("p"), F.col("true_idx"))).alias("log_loss"))
     wide = M.headline(M.per_class(M.confusion(v.predictions, RUN, K), RUN), RUN, K).join(loss, RUN)
     point = M.long_metrics(wide, RUN, (*M.HEADLINE, "log_loss")).withColumnRenamed("value", "point")
-    return rounded(B.interval(resampled(v), [*RUN, "metric"]).join(point, [*RUN, "metric"]), "low", "high", "point")
+    return rounded(B.interval(resampled(v, n=n), [*RUN, "metric"]).join(point, [*RUN, "metric"]), "low", "high", "point")
 
 
 PAIRED = f"WITH r AS ({resampled_sql()}) SELECT a.seed, a.b, a.metric, a.value - o.value AS value FROM r a JOIN r o ON a.model = 'a' AND o.model = 'b' AND a.seed = o.seed AND a.b = o.b AND a.metric = o.metric"
 
 
-def paired_rows(v) -> DataFrame:
-    r = resampled(v)
+def paired_rows(v, n: int = N_RESAMPLES) -> DataFrame:
+    r = resampled(v, n=n)
     part = lambda m: r.where(F.col("model") == m).drop("model")
     return B.paired(part("a"), part("b"), ["seed"])
 
 
 @query("b02_paired_bootstrap", f"SELECT * FROM ({interval_sql(PAIRED, 'seed, metric')}) JOIN (SELECT seed, metric, round(avg(CASE WHEN value > 0 THEN 1.0 ELSE 0.0 END), 6) AS frac_a_greater FROM ({PAIRED}) GROUP BY ALL) USING (seed, metric)")
-def b02(v):
-    p = paired_rows(v)
+def b02(v, n: int = N_RESAMPLES):
+    p = paired_rows(v, n)
     frac = p.groupBy("seed", "metric").agg(F.avg((F.col("value") > 0).cast("double")).alias("frac_a_greater"))
     return rounded(B.interval(p, ["seed", "metric"]).join(frac, ["seed", "metric"]), "low", "high", "frac_a_greater")
 
@@ -320,18 +322,18 @@ def b02(v):
 SEEDED = f"SELECT model, b, metric, avg(value) AS value FROM ({resampled_sql()}) GROUP BY ALL"
 
 
-def seed_means(v) -> DataFrame:
-    return resampled(v).groupBy("model", "b", "metric").agg(F.avg("value").alias("value"))
+def seed_means(v, n: int = N_RESAMPLES) -> DataFrame:
+    return resampled(v, n=n).groupBy("model", "b", "metric").agg(F.avg("value").alias("value"))
 
 
 @query("b03_multi_seed_bootstrap", interval_sql(SEEDED, "model, metric"))
-def b03(v):
-    return rounded(B.interval(seed_means(v), ["model", "metric"]), "low", "high")
+def b03(v, n: int = N_RESAMPLES):
+    return rounded(B.interval(seed_means(v, n), ["model", "metric"]), "low", "high")
 
 
 @query("b04_paired_multi_seed", interval_sql(f"WITH s AS ({SEEDED}) SELECT x.model || '-' || y.model AS pair, x.b, x.metric, x.value - y.value AS value FROM s x JOIN s y ON x.model <= y.model AND x.b = y.b AND x.metric = y.metric", "pair, metric"))
-def b04(v):
-    s = seed_means(v)
+def b04(v, n: int = N_RESAMPLES):
+    s = seed_means(v, n)
     other = s.select(F.col("model").alias("other"), "b", "metric", F.col("value").alias("less"))
     both = s.join(other, ["b", "metric"]).where("model <= other").select(F.concat_ws("-", "model", "other").alias("pair"), "b", "metric", (F.col("value") - F.col("less")).alias("value"))
     return rounded(B.interval(both, ["pair", "metric"]), "low", "high")
@@ -344,6 +346,13 @@ def b05(v):
     return rounded(B.interval(r, [*RUN, "metric"]), "low", "high")
 
 
+@query("b05_auc_bootstrap_2000")
+def b05_surveyed(v):
+    """All runs; the cost is resamples times pairs of groups."""
+    r = B.resampled_auc(v.predictions, draws(v, SURVEYED), RUN, "patient_id")
+    return rounded(B.interval(r, [*RUN, "metric"]), "low", "high")
+
+
 # comparison tables
 def spread_sql(values: str, keys: str) -> str:
     return f"SELECT {keys}, round(avg(value), 6) + 0.0 AS mean, round(CASE WHEN count(value) = 0 THEN NULL WHEN count(value) = 1 THEN 0.0 ELSE stddev_samp(value) END, 6) AS std, count(value) AS n FROM ({values}) GROUP BY ALL"
@@ -408,9 +417,13 @@ def c09(v):
 
 
 @query("c10_headline_bars", f"WITH m AS (SELECT model, metric, avg(value) AS mean FROM ({LONG}) GROUP BY ALL), i AS (SELECT model, metric, quantile_cont(value, 0.025) AS low, quantile_cont(value, 0.975) AS high FROM ({SEEDED}) GROUP BY ALL) SELECT model, metric, round(mean, 6) AS mean, round(coalesce(mean - low, 0), 6) + 0.0 AS below, round(coalesce(high - mean, 0), 6) + 0.0 AS above FROM m LEFT JOIN i USING (model, metric)")
-def c10(v):
+def c10(v, n: int = N_RESAMPLES):
     mean = C.seed_spread(long_full(v), ["model", "metric"]).select("model", "metric", "mean")
-    return rounded(C.bars(mean, B.interval(seed_means(v), ["model", "metric"])), "mean", "below", "above")
+    return rounded(C.bars(mean, B.interval(seed_means(v, n), ["model", "metric"])), "mean", "below", "above")
+
+
+for _name, _f in (("b01_group_bootstrap", b01), ("b02_paired_bootstrap", b02), ("b03_multi_seed_bootstrap", b03), ("b04_paired_multi_seed", b04), ("c10_headline_bars", c10)):
+    query(f"{_name}_{SURVEYED}")(lambda v, f=_f: f(v, SURVEYED))
 
 
 # scalar functions over predictions
