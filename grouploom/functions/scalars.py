@@ -37,8 +37,11 @@ def run_key(model: Column, lr: Column, seed: Column) -> Column:
 
 
 def text_from_codes(codes: Column) -> Column:
-    """Text of character codes; zero codes are dropped, ends trimmed."""
-    return F.trim(F.array_join(F.transform(F.filter(codes, lambda c: c != 0), lambda c: F.char(c)), ""))
+    """Text of character codes (Unicode; what is none becomes U+FFFD); zero codes are dropped, ends trimmed."""
+    valid = lambda c: F.when(c.between(1, 0xD7FF) | c.between(0xE000, 0x10FFFF), c).otherwise(0xFFFD)
+    units = F.transform(F.filter(codes, lambda c: c != 0), lambda c: F.lpad(F.hex(valid(c).cast("bigint")), 8, "0"))
+    # the mark in front says the byte order, so that a mark in the text stays
+    return F.trim(F.decode(F.unhex(F.concat(F.lit("0000FEFF"), F.array_join(units, ""))), "UTF-32"))
 
 
 def size_bucket(size: Column, low: float, high: float) -> Column:

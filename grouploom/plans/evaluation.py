@@ -461,6 +461,10 @@ def f10(v):
     return rounded(S.row_percent(M.confusion(v.predictions, RUN, K), [*RUN, "true_idx"]), "percent").select(*RUN, "true_idx", "pred_idx", "percent")
 
 
+def _bad_rows(v) -> DataFrame:
+    return v.spark.createDataFrame([(-1, 0, [0.5, 0.3, 0.1]), (-2, 1, [float("nan"), 0.5, 0.5]), (-3, 7, [0.2, 0.3, 0.5]), (-4, 2, [1.5, -0.5, 0.0])], "sample_id bigint, true_idx int, p array<double>")
+
+
 @query("v08_probability_rows", f"""WITH x AS (SELECT CAST(sample_id AS BIGINT) AS sample_id, true_idx, p0, p1, p2 FROM fx_predictions WHERE model = 'a' AND seed = 42
 UNION ALL VALUES (-1, 0, 0.5, 0.3, 0.1), (-2, 1, CAST('nan' AS DOUBLE), 0.5, 0.5), (-3, 7, 0.2, 0.3, 0.5), (-4, 2, 1.5, -0.5, 0.0))
 SELECT sample_id, CASE WHEN isnan(p0) OR isnan(p1) OR isnan(p2) THEN 'not_finite' WHEN least(p0, p1, p2) < 0 THEN 'negative' WHEN abs(p0 + p1 + p2 - 1) > 1e-5 THEN 'row_sum' WHEN true_idx NOT BETWEEN 0 AND 2 THEN 'label' END AS rule FROM x
@@ -468,11 +472,20 @@ WHERE rule IS NOT NULL""")
 def v08(v):
     from ..operators.quality import probability_violations
 
-    bad = v.spark.createDataFrame([(-1, 0, [0.5, 0.3, 0.1]), (-2, 1, [float("nan"), 0.5, 0.5]), (-3, 7, [0.2, 0.3, 0.5]), (-4, 2, [1.5, -0.5, 0.0])], "sample_id bigint, true_idx int, p array<double>")
-    rows = v.predictions.where("model = 'a' AND seed = 42").select("sample_id", "true_idx", "p").unionByName(bad)
+    rows = v.predictions.where("model = 'a' AND seed = 42").select("sample_id", "true_idx", "p").unionByName(_bad_rows(v))
     return probability_violations(rows, K).select("sample_id", "rule")
 
 
+@query("v08_probability_rows_all_runs")
+def v08_all(v):
+    """Bad rows of every run, and four planted ones of a run of their own."""
+    from ..operators.quality import probability_violations
+
+    planted = _bad_rows(v).withColumns({"model": F.lit("x"), "seed": F.lit(0)})
+    rows = v.predictions.select(*RUN, "sample_id", "true_idx", "p").unionByName(planted)
+    return probability_violations(rows, K).select(*RUN, "sample_id", "rule")
+
+
 # pairing, registration and choice
 @query("j12_registered_hash", "WITH f AS (SELECT model, seed, md5(string_agg(CAST(sample_id AS STRING) || ':' || CAST(true_idx AS STRING), ',' ORDER BY sample_id)) AS h FROM fx_predictions GROUP BY ALL), r AS (SELECT model, seed, CASE WHEN seed = 44 THEN 'x' ELSE h END AS r FROM f WHERE NOT (model = 'b' AND seed = 43)) SELECT model, seed, CASE WHEN r IS NULL THEN 'unregistered' WHEN r <> h THEN 'mismatch' ELSE 'ok' END AS status FROM f LEFT JOIN r USING (model, seed)")
 def j12(v):

@@ -402,6 +402,13 @@ def f05(v):
     return v.table("documents").select("doc_id", S.text_from_codes(codes).alias("text"))
 
 
+@query("f05_text_from_codes_whole")
+def f05_whole(v):
+    """The codes of whole texts, with a zero code before each character."""
+    codes = F.flatten(F.transform(F.split(F.col("text"), ""), lambda c: F.array(F.lit(0), F.ascii(c))))
+    return v.table("documents").select("doc_id", S.text_from_codes(codes).alias("text"))
+
+
 @query("f11_borders", "WITH x AS (SELECT sample_id, list_transform(list_slice(image_raw, 1, CAST(sample_id % 9 AS INT)), lambda v: CASE WHEN v = 0 AND sample_id % 5 = 0 THEN CAST('nan' AS DOUBLE) ELSE CAST(v AS DOUBLE) END) AS b FROM fx_samples) SELECT sample_id, CAST(len(b) // 2 AS INT) AS n_points, concat_ws('; ', CASE WHEN len(b) = 0 THEN 'empty' END, CASE WHEN len(list_filter(b, lambda v: isnan(v))) > 0 THEN 'non_finite' END, CASE WHEN len(b) % 2 = 1 THEN 'odd_count' END) AS warnings FROM x")
 def f11(v):
     cut = F.slice("image_raw", F.lit(1), (F.col("sample_id") % 9).cast("int"))
