@@ -14,7 +14,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import WHITE, saved, shared_folder, table
@@ -26,12 +26,12 @@ HOT_SHARE = 1000
 INDEX_COLUMNS = "digest BINARY, keep_id BIGINT, keep_row BIGINT, batch STRING"
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
+def fingerprints(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """doc_id, row number, code points of the text and SHA-256 of the text without white space."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     return docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"),
-        F.monotonically_increasing_id().alias("row"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row"),
         F.char_length(text).cast("bigint").alias("n_chars"),
         F.unhex(F.sha2(F.regexp_replace(text, WHITE, "").cast("binary"), 256)).alias("digest"),
     )
@@ -103,11 +103,10 @@ def new_index(spark: SparkSession) -> DigestIndex:
 def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stay; one of equal rows.
 
-    Rows are told apart by their number in the scan, so ``docs`` should be a table that is read the
-    same way twice, such as Parquet files."""
-    prints = fingerprints(docs)
+    Rows are numbered once, in a saved copy that both the digests and the result are read from."""
+    numbered = saved(docs.withColumn("__own", F.monotonically_increasing_id()), "numbered")
+    prints = fingerprints(numbered, F.col("__own"))
     kept = deduplicate(saved(prints, "prints"), new_index(docs.sparkSession)).where("kept").select(F.col("row").alias("__row"))
-    numbered = docs.withColumn("__own", F.monotonically_increasing_id())
     return numbered.join(kept, F.col("__own") == F.col("__row"), "left_semi").drop("__own")
 
 
