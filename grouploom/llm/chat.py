@@ -1,10 +1,12 @@
 """Chat formatting by quotation linking.
 
 Messages are split into passages: paragraphs of lines with one quote level (leading ``>`` marks,
-nested ``> >``). Passages are normalised (white space folded, letters lower-cased) and hashed.
-What a message quotes at level 1 is joined to the first earlier message of its conversation that
-holds the passage as its own text; of several such messages the one with the most quoted words is
-replied to, then the later. Replies join the thread of the message they answer. Each message
+nested ``> >``), without lines that introduce a quote. Passages and their lines are normalised
+(white space folded, letters lower-cased) and hashed. A quoted passage is joined to the first
+earlier message of its conversation that holds it as a paragraph of its own text; where there is
+none, each of its lines is joined to the first earlier message with that line. What counts is the least quote level with such a message: level 1, or deeper ones where level 1 has no
+owner. Of several messages the one with the most quoted words is replied to, then the later.
+Replies join the thread of the message they answer. Each message
 comes back without quotes, with its thread and depth: ``ORDER BY conv_id, thread, turn`` reads a
 conversation in reply order, every reply after what it answers.
 
@@ -33,25 +35,29 @@ _MARKS = re.compile(r"(?:[ \t]{0,3}>)+ ?")
 _INTRODUCES = re.compile(r".{0,200}(?:wrote|writes|schrieb|a écrit|escribió)\s*:\s*$", re.IGNORECASE)
 
 
-def parse(text: str) -> tuple[str, list[tuple[int, str, int]]]:
-    """The text without quotes, and its passages: quote level, normalised text, words."""
+def parse(text: str) -> tuple[str, list[tuple[int, str, int, list[tuple[str, int]]]]]:
+    """The text without quotes, and its passages: quote level, normalised text, words, and the
+    same of its lines."""
     lines = []
     for line in text.replace("\r\n", "\n").replace("\r", "\n").split("\n"):
         marks = _MARKS.match(line)
         lines.append((marks[0].count(">"), line[marks.end() :]) if marks else (0, line))
     own, passages, at = [], [], 0
     for k, (level, line) in enumerate(lines):
-        after = next((lv for lv, s in lines[k + 1 :][:2] if lv or s.strip()), 0)
-        if level == 0 and not (after and _INTRODUCES.match(line)):
+        after = next((lv for lv, s in lines[k + 1 : k + 3] if lv or s.strip()), 0)
+        if level == 0 and after and _INTRODUCES.match(line):
+            lines[k] = (0, "")
+        elif level == 0:
             own.append(line)
     while at < len(lines):
         level, run = lines[at][0], []
         while at < len(lines) and lines[at][0] == level and lines[at][1].strip():
             run.append(lines[at][1])
             at += 1
-        words = " ".join(run).lower().split()
+        each = [line.lower().split() for line in run]
+        words = sum(each, [])
         if words:
-            passages.append((level, " ".join(words), len(words)))
+            passages.append((level, " ".join(words), len(words), [(" ".join(w), len(w)) for w in each]))
         if not run:
             at += 1
     return "\n".join(own).strip("\n"), passages
@@ -60,8 +66,10 @@ def parse(text: str) -> tuple[str, list[tuple[int, str, int]]]:
 def _parsed(batches):
     for batch in batches:
         out = [parse(t or "") for t in batch.column("text").to_pylist()]
-        passages = [[{"level": lv, "hash": hashlib.sha256(p.encode()).digest()[:16], "words": n} for lv, p, n in ps] for _, ps in out]
-        kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.binary()), ("words", pa.int32())]))
+        digest = lambda p: hashlib.sha256(p.encode()).digest()[:16]
+        passages = [[{"level": lv, "hash": digest(p), "words": n, "lines": [{"hash": digest(x), "words": m} for x, m in ls]} for lv, p, n, ls in ps] for _, ps in out]
+        line = pa.struct([("hash", pa.binary()), ("words", pa.int32())])
+        kind = pa.list_(pa.struct([("level", pa.int32()), ("hash", pa.binary()), ("words", pa.int32()), ("lines", pa.list_(line))]))
         yield pa.RecordBatch.from_arrays([batch.column("conv_id"), batch.column("turn"), batch.column("role"), pa.array([t for t, _ in out], pa.string()), pa.array(passages, kind)], names=["conv_id", "turn", "role", "text", "passages"])
 
 
@@ -69,13 +77,19 @@ def reply_ordered(messages: DataFrame) -> DataFrame:
     """conv_id, turn, role, reply_to, thread, depth, text, chat (the message with its role mark)."""
     ship(messages.sparkSession)
     messages = messages.select(F.col("conv_id").cast("bigint").alias("conv_id"), F.col("turn").cast("bigint").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
-    parsed = saved(messages.mapInArrow(_parsed, "conv_id long, turn long, role string, text string, passages array<struct<level:int,hash:binary,words:int>>"), "parsed")
-    passages = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.level", "p.hash", "p.words")
-    # the first to write a passage owns it, so that a passage of many messages is one row
-    owners = passages.where("level = 0").groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
-    quoted = passages.where("level = 1").groupBy("conv_id", "turn", "hash").agg(F.max("words").alias("words"))
-    votes = quoted.join(owners, ["conv_id", "hash"]).where("source < turn").groupBy("conv_id", "turn", "source").agg(F.sum("words").alias("words"))
-    replies = saved(votes.groupBy("conv_id", "turn").agg(F.max(F.struct("words", "source")).alias("best")).select("conv_id", "turn", F.col("best.source").alias("reply_to")), "replies")
+    parsed = saved(messages.mapInArrow(_parsed, "conv_id long, turn long, role string, text string, passages array<struct<level:int,hash:binary,words:int,lines:array<struct<hash:binary,words:int>>>>"), "parsed")
+    passages = parsed.where("conv_id IS NOT NULL AND turn IS NOT NULL").select("conv_id", "turn", F.explode("passages").alias("p")).select("conv_id", "turn", "p.*")
+    # the first to write a passage or a line owns it, so that a passage of many messages is one row
+    own = passages.where("level = 0")
+    owners = own.groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
+    line_owners = own.select("conv_id", "turn", F.explode("lines.hash").alias("hash")).groupBy("conv_id", "hash").agg(F.min("turn").alias("source"))
+    quoted = passages.where("level > 0").groupBy("conv_id", "turn", "level", "hash").agg(F.max("words").alias("words"), F.max("lines").alias("lines"))
+    with_owner = lambda rows, by: rows.join(by, ["conv_id", "hash"], "left").withColumn("source", F.when(F.col("source") < F.col("turn"), F.col("source")))
+    whole = saved(with_owner(quoted, owners), "whole")
+    lines = whole.where("source IS NULL").select("conv_id", "turn", "level", F.explode("lines").alias("x")).select("conv_id", "turn", "level", "x.hash", "x.words").distinct()
+    found = whole.select("conv_id", "turn", "level", "source", "words").unionByName(with_owner(lines, line_owners).select("conv_id", "turn", "level", "source", "words")).where("source IS NOT NULL")
+    votes = found.groupBy("conv_id", "turn", "level", "source").agg(F.sum("words").alias("words"))
+    replies = saved(votes.groupBy("conv_id", "turn").agg(F.max(F.struct((-F.col("level")).alias("near"), "words", "source")).alias("best")).select("conv_id", "turn", F.col("best.source").alias("reply_to")), "replies")
     # up: the message reached after `depth` links; each round doubles it
     reach = replies.select("conv_id", "turn", F.col("reply_to").alias("up"), F.lit(1).cast("long").alias("depth"))
     while True:
