@@ -1,9 +1,9 @@
 """MinHash near-dedup with tensored banding.
 
-Two collections of ``SIDE`` half keys of ``HALF`` minhashes each are computed per text; table
+Two collections of ``side`` half keys of ``HALF`` minhashes each are computed per text; table
 (i, j) is keyed by half key i of the first and half key j of the second collection. So
-SIDE * SIDE tables of 2 * HALF minhashes cost 2 * SIDE * HALF minhashes instead of
-2 * HALF * SIDE * SIDE. Documents that share a key are candidates; every link is confirmed on the
+side * side tables of 2 * HALF minhashes cost 2 * side * HALF minhashes instead of
+2 * HALF * side * side. ``sides`` chooses side by the bound on similarity. Documents that share a key are candidates; every link is confirmed on the
 full shingle sets.
 
 Candidates of one key are not paired with one another. A first pass compares the members of a key
@@ -28,9 +28,22 @@ from .common import lowered, mixed, saved, table, text_parts, word_hashes, words
 from ..session import ship
 from .components import roots
 
-SIDE, HALF = 8, 3
-_SEEDS = mixed(np.arange(1, 2 * SIDE * HALF + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
-_FACTORS = _SEEDS | np.uint64(1)
+HALF = 3
+#: Share of pairs just at the bound that may have no key in common.
+MISSED = 0.001
+
+
+def found_share(side: int, percent: int) -> float:
+    """Probability that two texts of similarity ``percent`` share a key."""
+    return (1 - (1 - (percent / 100) ** HALF) ** side) ** 2
+
+
+def sides(percent: int) -> int:
+    """The least number of half keys a side that misses at most ``MISSED`` at the bound."""
+    side = 1
+    while found_share(side, percent) < 1 - MISSED:
+        side += 1
+    return side
 
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int):
@@ -62,7 +75,10 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int):
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.cumsum(sizes)
 
 
-def _signatures(words: int):
+def _signatures(words: int, side: int):
+    seeds = mixed(np.arange(1, 2 * side * HALF + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
+    factors = seeds | np.uint64(1)
+
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
@@ -72,17 +88,17 @@ def _signatures(words: int):
                 full = sizes > 0
                 n = len(sizes)
                 sums = np.zeros((2, n), np.uint64)
-                least = np.zeros((n, 2 * SIDE * HALF), np.uint64)
+                least = np.zeros((n, 2 * side * HALF), np.uint64)
                 if len(values):
                     at = ends[:-1][full]
                     sums[0, full] = np.add.reduceat(values, at)
                     sums[1, full] = np.add.reduceat(mixed(values ^ np.uint64(0xA0761D6478BD642F)), at)
-                    for k in range(2 * SIDE * HALF):
-                        least[full, k] = np.minimum.reduceat((values ^ _SEEDS[k]) * _FACTORS[k], at)
-                halves = np.zeros((n, 2 * SIDE), np.uint64)
+                    for k in range(2 * side * HALF):
+                        least[full, k] = np.minimum.reduceat((values ^ seeds[k]) * factors[k], at)
+                halves = np.zeros((n, 2 * side), np.uint64)
                 for k in range(HALF):
                     halves = mixed(halves + least[:, k::HALF] + np.uint64(k))
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (2 * SIDE)), pa.array(halves.ravel().view(np.int64)))
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * (2 * side)), pa.array(halves.ravel().view(np.int64)))
                 yield pa.RecordBatch.from_arrays(
                     [ids.slice(row, n), pa.array(sizes), pa.array(sums[0].view(np.int64)), pa.array(sums[1].view(np.int64)), lists],
                     names=["doc_id", "n_shingles", "s1", "s2", "halves"],
@@ -171,13 +187,14 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """One row per row of ``docs``: doc_id, n_shingles, component_id, kept."""
     ship(docs.sparkSession)
+    side = sides(percent)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    signed = saved(docs.mapInArrow(_signatures(words), "doc_id long, n_shingles long, s1 long, s2 long, halves array<long>"), "signed")
+    signed = saved(docs.mapInArrow(_signatures(words, side), "doc_id long, n_shingles long, s1 long, s2 long, halves array<long>"), "signed")
     group = ["n_shingles", "s1", "s2"]
     named = signed.where("doc_id IS NOT NULL AND n_shingles > 0")
     classes = saved(named.groupBy(group).agg(F.min("doc_id").alias("node"), F.any_value("halves").alias("halves")), "classes")
 
-    left, right = F.slice("halves", 1, SIDE), F.slice("halves", SIDE + 1, SIDE)
+    left, right = F.slice("halves", 1, side), F.slice("halves", side + 1, side)
     keys = (
         classes.select("node", right.alias("right"), F.posexplode(left).alias("i", "a"))
         .select("node", "i", "a", F.posexplode("right").alias("j", "b"))
