@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import mixed, saved, text_parts
+from .common import mixed, saved_by, text_parts
 
 #: Bytes of text in a batch, about.
 BATCH_BYTES = 12 << 20
@@ -50,11 +50,13 @@ def _pack(limit: int):
     return run
 
 
-def packed(docs: DataFrame, limit: int = BATCH_BYTES) -> DataFrame:
-    """One row per batch of ``docs`` (doc_id, text; null texts are empty), written: numbers of
-    batches are drawn once and then fixed."""
+def packed(docs: DataFrame, limit: int = BATCH_BYTES) -> tuple[DataFrame, int]:
+    """One row per batch of ``docs`` (doc_id, text; null texts are empty), and the bytes of all
+    texts. Batches are written, bucketed by their numbers: the numbers are drawn once and then
+    fixed, and answers come to a batch without moving its texts again."""
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return saved(docs.mapInArrow(_pack(limit), PACKED), "packed")
+    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
+    return saved_by(docs.mapInArrow(_pack(limit), PACKED), "batch", size // limit + 1), size
 
 
 class Batch:
@@ -87,6 +89,15 @@ def bucket_count(batches: int) -> int:
     return int(min(16_384, max(32, batches // 4)))
 
 
+def planes(values: np.ndarray) -> bytes:
+    """Byte planes: the high bytes of sorted keys and of ids compress well."""
+    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+
+
+def from_planes(data: bytes, n: int, kind) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(data, np.uint8).reshape(-1, n).T).view(kind).ravel()
+
+
 def by_bucket(bucket: np.ndarray, buckets: int):
     """Places of the keys of each bucket that has any, in the keys' order."""
     order = np.argsort(bucket, kind="stable")

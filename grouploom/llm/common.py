@@ -19,10 +19,13 @@ _own_folder: list[str] = []
 def shared_folder(spark: SparkSession) -> str:
     """A new folder below ``spark.checkpoint.dir``, which every executor can reach.
 
-    Where the setting is absent (tests on one machine) a temporary folder stands in.
+    Where the setting is absent a temporary folder stands in, on a local master only: on a cluster
+    every executor would write to a disk of its own.
     """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         if not _own_folder:
             _own_folder.append(tempfile.mkdtemp(prefix="spark-grouploom-"))
         base = _own_folder[0]
@@ -38,6 +41,16 @@ def saved(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def saved_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
+    """As ``saved``, with the rows bucketed by ``key``: joins and cogroups on it move only the
+    other side. ``buckets`` is raised to the session's number of shuffle partitions."""
+    spark = df.sparkSession
+    buckets = min(100_000, max(buckets, int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    path, name = shared_folder(spark), f"grouploom_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(buckets, key).option("path", path).saveAsTable(name)
+    return spark.table(name)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -122,6 +135,31 @@ def words_of(data: np.ndarray, offsets: np.ndarray):
     return starts, ends, owner
 
 
+class Rolling:
+    """Hashes of substrings by prefix sums of a polynomial over random byte values. Two objects
+    with different seeds are independent."""
+
+    def __init__(self, seed: int):
+        base = int(mixed(np.array([seed], np.uint64))[0]) | 5
+        self.byte = mixed(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15) + np.uint64(seed))
+        self.bases, self.up, self.down = (base, pow(base, -1, 1 << 64)), *[np.ones(1, np.uint64)] * 2
+
+    def sums(self, data: np.ndarray) -> np.ndarray:
+        if len(self.up) <= len(data):
+            self.up, self.down = (np.multiply.accumulate(np.concatenate((np.ones(1, np.uint64), np.full(max(len(data), 1 << 20), b, np.uint64)))) for b in self.bases)
+        sums = np.zeros(len(data) + 1, np.uint64)
+        np.cumsum(self.byte[data] * self.up[: len(data)], out=sums[1:])
+        return sums
+
+    def of(self, sums: np.ndarray, start, stop) -> np.ndarray:
+        return mixed((sums[stop] - sums[start]) * self.down[start] + (stop - start).astype(np.uint64))
+
+    def grams(self, sums: np.ndarray, length: int) -> np.ndarray:
+        """Hashes of all substrings of ``length`` bytes."""
+        m = max(0, len(sums) - length)
+        return mixed((sums[length : length + m] - sums[:m]) * self.down[:m] + np.uint64(length))
+
+
 def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
     """A 64-bit hash of every word: a polynomial over random byte values, by prefix sums."""
     if not len(starts):

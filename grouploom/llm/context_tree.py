@@ -280,7 +280,7 @@ def code_lengths(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
     n_bytes and bits_per_byte (of the text and its end)."""
     spark = ship(docs.sparkSession)
-    batches = packed(docs, batch_bytes)
+    batches, _ = packed(docs, batch_bytes)
     n = batches.count()
     buckets = bucket_count(n)
     sent = saved(batches.mapInArrow(_send(buckets), KEYS), "keys")

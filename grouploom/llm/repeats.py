@@ -1,25 +1,38 @@
 """Removal of repeated byte strings by a depth-limited radix sort of suffixes.
 
-Suffixes are ordered only through their first ``LENGTH`` bytes, by passes over digits from coarse
-to fine; equal groups after the last digit are exactly the repeated windows, and a group of one
-leaves the sort as soon as a pass shows it alone.
-
-* Digit 1: an ``ANCHOR``-byte string inside the window, the one with the least hash. Windows that
-  share it are neighbours (a run), so a run is sorted instead of each of its windows.
-* Digit 2: the bytes that the run's windows cover. Runs equal in both digits have equal windows.
-* Digit 3: the window's own bytes, only for runs whose anchor also occurs in a different run.
-
-Digits are dealt over Spark tasks by hash. Each batch of documents sends a digit once, with its
-least doc_id, however often it occurs there; buckets sort what they get and answer the batches.
+Every suffix of every text is sorted by its own leading bytes, most significant digit first, and
+only through ``LENGTH`` bytes; groups that are equal after the last pass are exactly the repeated
+windows. A suffix leaves the sort as soon as one of its digits stands alone.
+
+* Passes over the digits of ``DIGIT`` bytes at depths 0, 16, 32 and ``LENGTH - DIGIT``. The digit
+  of a suffix at depth d is the first digit of the suffix d bytes further on, so one exchange of
+  first digits serves all of these passes. Suffixes one of whose digits occurs in a single text
+  leave: no other text has their window. Digits are told apart by a hash with about four slots per
+  suffix of the corpus, so that a few suffixes stay that could leave; none leaves that must stay.
+* The last pass decides on the whole window. Suffixes that stayed come in stretches of neighbours,
+  and windows of a stretch that share the ``ANCHOR``-byte string with the least hash are sorted as
+  one, by the bytes that they cover. Where stretches with one anchor differ, their windows are
+  sorted one by one.
+
+A digit's group is found in the bucket of its hash (a radix sort's order of digits is immaterial
+to which suffixes are equal). Each batch of documents sends a digit once, however often it occurs
+there, so copies and common passages collapse before the shuffle; buckets sort what they get and
+answer the batches. A batch's row for a bucket is the unit of the exchange.
+
+Equality in the last pass is equality of 128 bits: 32 of the anchor and 96 of the bytes covered.
+With 10^13 stretches (some 10^14 bytes) the chance that any two unequal ones agree is below 1e-12.
 
 Defined results: a null text counts as empty; texts shorter than ``LENGTH`` bytes lose nothing.
 Rows that repeat a doc_id don't take bytes from one another. Rows without doc_id come after all
-others and take nothing. Digits are compared by hashes of 80 bits.
+others and take nothing. Very long texts are sorted in units of ``UNIT`` suffixes with the same
+result. Equal windows at several places of one text aren't repeats. An empty table gives no rows;
+extra columns take no part.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 
 import numpy as np
 import pyarrow as pa
@@ -27,24 +40,139 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .batches import Batch, bucket_count, by_bucket, packed
-from .common import _BYTE, _power_tables, mixed, saved, table
-
-LENGTH, ANCHOR = 50, 28
-#: Bytes of text that are hashed at once.
-PART_BYTES = 1 << 19
-#: Bytes of text in a batch; a batch's runs and windows are sorted in one worker's memory.
-BATCH_BYTES = 4 << 20
+from .batches import Batch, from_planes, packed, planes
+from .common import Rolling, mixed, saved, table
+
+LENGTH, DIGIT, ANCHOR = 50, 16, 28
+#: Suffixes that are hashed at once.
+CHUNK = 1 << 19
+#: Suffixes whose first digits are sorted at once, in one worker's memory.
+UNIT = 1 << 23
+#: Bytes of text in a batch.
+BATCH_BYTES = 8 << 20
+#: Suffixes of the corpus per bucket of first digits.
+BUCKET_SUFFIXES = 12 << 20
 NO_ID = np.int64(2**62)
+_FIRST, _SECOND = Rolling(1), Rolling(2)
 _PLACE = np.uint64((1 << 24) - 1)
-SENT = "batch long, bucket int, n int, keys binary, more binary, docs binary"
+_DIGITS = "batch long, unit int, bucket int, n int, digits binary, several binary"
+_WINDOWS = "batch long, bucket int, n int, high binary, low binary, docs binary"
+_ANSWERS = "batch long, pass int, unit int, bucket int, answer binary"
+
+
+def _squeezed(data: bytes) -> bytes:
+    return pa.compress(data, "zstd", asbytes=True)
+
+
+def _columns(out: list[tuple], ddl: str) -> pa.RecordBatch:
+    kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
+    fields = [x.split() for x in ddl.split(", ")]
+    columns = zip(*out, strict=True) if out else [[]] * len(fields)
+    return pa.RecordBatch.from_arrays([pa.array(list(c), kinds[t]) for c, (_, t) in zip(columns, fields, strict=True)], names=[c for c, _ in fields])
+
+
+class Suffixes:
+    """The suffixes of a batch's texts."""
+
+    def __init__(self, batch: Batch):
+        self.batch, self.data = batch, batch.data
+        sizes = np.diff(np.concatenate(([0], batch.ends)))
+        self.text = np.repeat(np.arange(len(sizes), dtype=np.int32), sizes)
+        self.docs = np.array([NO_ID if k is None else k for k in batch.ids], np.int64)
+
+    def inside(self, place: np.ndarray, length: int) -> np.ndarray:
+        """Whether the string at each place lies in one text."""
+        return self.text[place] == self.text[place + (length - 1)]
+
+    def units(self, size: int):
+        for unit, a in enumerate(range(0, len(self.data), size)):
+            yield unit, a, min(a + size, len(self.data))
+
+
+class FirstDigits:
+    """The suffixes a to b of a batch in the order of their first digits' hashes."""
+
+    def __init__(self, suffixes: Suffixes, a: int, b: int, digit: int, bits: int):
+        found = []
+        for c in range(a, b, CHUNK):
+            data = suffixes.data[c : min(b, c + CHUNK) + digit - 1]
+            hashes = _FIRST.grams(_FIRST.sums(data), digit) >> np.uint64(64 - bits)
+            place = np.arange(c, c + len(hashes))
+            inside = suffixes.inside(place, digit)
+            found.append((hashes[inside] << np.uint64(24)) | (place[inside] - a).astype(np.uint64))
+        keys = np.concatenate(found) if found else np.zeros(0, np.uint64)
+        keys.sort()
+        self.place = (keys & _PLACE).astype(np.int32)
+        keys >>= np.uint64(24)
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        self.digits = keys[first]
+        self.count = np.diff(np.append(first, len(keys)))
+        text = suffixes.text[self.place + a]
+        # places rise within a group, so its first and last text tell whether there are several
+        self.several = text[first] != text[first + self.count - 1]
+
+    def cuts(self, bits: int, buckets: int) -> np.ndarray:
+        """Where each bucket, a range of hashes, begins."""
+        bounds = np.array([-(-(k << bits) // buckets) for k in range(buckets + 1)], np.uint64)
+        return np.searchsorted(self.digits, bounds)
+
+
+def hash_bits(suffixes: int) -> int:
+    """Four to eight slots per suffix; beyond 2^38 suffixes fewer, and more suffixes stay."""
+    return min(40, max(8, math.ceil(math.log2(4 * suffixes + 1))))
+
+
+def _send_digits(digit: int, bits: int, buckets: int, size: int):
+    def run(rows):
+        for part in rows:
+            for k in range(part.num_rows):
+                suffixes = Suffixes(batch := Batch(part, k))
+                for unit, a, b in suffixes.units(size):
+                    own = FirstDigits(suffixes, a, b, digit, bits)
+                    cuts = own.cuts(bits, buckets)
+                    steps = np.diff(own.digits, prepend=np.uint64(0))
+                    out = []
+                    for bucket in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+                        x, y = cuts[bucket], cuts[bucket + 1]
+                        step = steps[x:y].copy()
+                        step[0] = own.digits[x]
+                        out.append((batch.number, unit, bucket, y - x, _squeezed(planes(step)), np.packbits(own.several[x:y]).tobytes()))
+                    yield _columns(out, _DIGITS)
+
+    return run
 
 
-def prefix_sums(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    up, down = _power_tables(len(data) + 1)
-    sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=sums[1:])
-    return sums, down
+def _resolve_digits(key, rows):
+    """For each digit that a batch sent, whether it occurs in several texts."""
+    sizes = rows["n"].to_pylist()
+    sent = [np.cumsum(from_planes(pa.decompress(d, 8 * n, "zstd", asbytes=True), n, np.uint64)) for d, n in zip(rows["digits"].to_pylist(), sizes, strict=True)]
+    every = np.sort(np.concatenate(sent))
+    found = [every[1:][every[1:] == every[:-1]]]
+    for digits, several in zip(sent, rows["several"].to_pylist(), strict=True):
+        found.append(digits[np.unpackbits(np.frombuffer(several, np.uint8), count=len(digits)).view(bool)])
+    shared = np.append(np.unique(np.concatenate(found)), np.uint64(2**64 - 1))
+    answers = [_squeezed(np.packbits(shared[np.searchsorted(shared, d)] == d).tobytes()) for d in sent]
+    n = len(sizes)
+    return pa.table({"batch": rows["batch"], "pass": pa.array([1] * n, pa.int32()), "unit": rows["unit"], "bucket": pa.array([key[0].as_py()] * n, pa.int32()), "answer": pa.array(answers, pa.binary())})
+
+
+def _staying(suffixes: Suffixes, answers: dict, length: int, digit: int, bits: int, buckets: int, size: int) -> np.ndarray:
+    """Which suffixes have only digits that occur in several texts."""
+    shared = np.zeros(len(suffixes.data), bool)
+    for unit, a, b in suffixes.units(size):
+        own = FirstDigits(suffixes, a, b, digit, bits)
+        cuts = own.cuts(bits, buckets)
+        stays = np.zeros(len(own.digits), np.uint8)
+        for bucket in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+            n = int(cuts[bucket + 1] - cuts[bucket])
+            stays[cuts[bucket] : cuts[bucket + 1]] = np.unpackbits(np.frombuffer(pa.decompress(answers[unit, bucket], -(-n // 8), "zstd", asbytes=True), np.uint8), count=n)
+        shared[own.place + a] = np.repeat(stays.view(bool), own.count)
+    m = max(0, len(shared) - length + 1)
+    stay = np.ones(m, bool)
+    for depth in sorted({min(k, length - digit) for k in range(0, length, digit)}):
+        stay &= shared[depth : depth + m]
+    stay &= suffixes.text[:m] == suffixes.text[length - 1 : length - 1 + m]
+    return stay
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
@@ -58,156 +186,147 @@ def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
 
 
-def runs(data: np.ndarray, offsets: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
-    """Runs of windows with one anchor: text, first window, number of windows, digits 1 and 2."""
-    n = len(data)
-    if n < length:
-        return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
-    sums, down = prefix_sums(data)
-    m = n - anchor + 1
-    grams = mixed((sums[anchor:] - sums[:m]) * down[:m])
-    if n > int(_PLACE):  # a text beyond 16 MB: keep more bits for places
-        place = np.uint64((1 << int(n).bit_length()) - 1)
-    else:
-        place = _PLACE
-    least = sliding_minimum((grams & ~place) | np.arange(m, dtype=np.uint64), length - anchor + 1) & place
-    windows = np.arange(n - length + 1)
-    end = np.repeat(offsets[1:], np.diff(offsets))[: len(windows)]
-    windows = windows[windows + length <= end]
-    at = least[windows].astype(np.int64)
-    first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1]))) if len(at) else np.zeros(0, np.int64)
-    start = windows[first]
-    count = np.diff(np.append(first, len(at)))
-    stop = start + count - 1 + length
-    cover = mixed((sums[stop] - sums[start]) * down[start] + (stop - start).astype(np.uint64))
-    return np.searchsorted(offsets, start, side="right") - 1, start, count, grams[at[first]], cover
-
-
-class Sorted:
-    """All runs of a batch, sorted: the class of every run and the least doc_id of every class."""
-
-    def __init__(self, batch: Batch, length: int, anchor: int):
-        self.docs = np.array([NO_ID if k is None else k for k in batch.ids], np.int64)
-        starts = np.concatenate(([0], batch.ends))
-        found = []
-        for row, data, offsets in batch.parts(PART_BYTES):
-            text, start, count, gram, cover = runs(data, offsets, length, anchor)
-            key = (gram & np.uint64(0xFFFFFFFF00000000)) | (cover >> np.uint64(32))
-            found.append((text + row, start + starts[row], count, key, (cover & np.uint64(0xFFFF)).astype(np.uint16)))
-        empty = (np.zeros(0, np.int64),) * 3 + (np.zeros(0, np.uint64), np.zeros(0, np.uint16))
-        self.text, self.start, self.count, key, more = (np.concatenate(x) for x in zip(*(found or [empty]), strict=True))
-        self.doc = self.docs[self.text]
-        self.keys, self.more, self.least, self.cls = classes(key, more, self.doc)
-
-
-def classes(key: np.ndarray, more: np.ndarray, doc: np.ndarray):
-    """Distinct (key, more) in order with their least doc, and the class of every input."""
-    order = np.lexsort((doc, more, key))
-    k, m = key[order], more[order]
+def classes(high: np.ndarray, low: np.ndarray, doc: np.ndarray):
+    """Distinct (high, low) in order with their least doc, and the class of every input."""
+    order = np.lexsort((doc, low, high))
+    h, w = high[order], low[order]
     new = np.ones(len(order), bool)
-    new[1:] = (k[1:] != k[:-1]) | (m[1:] != m[:-1])
+    new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
     cls = np.empty(len(order), np.int64)
     cls[order] = np.cumsum(new) - 1
-    return k[new], m[new], doc[order][new], cls
+    return h[new], w[new], doc[order][new], cls
 
 
-def _planes(values: np.ndarray) -> bytes:
-    """Byte planes: the high bytes of sorted keys and of ids compress well."""
-    return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
+class Stretches:
+    """The suffixes of a batch that stayed, as stretches of windows with one anchor, in classes."""
 
+    def __init__(self, suffixes: Suffixes, stay: np.ndarray, length: int, anchor: int):
+        self.suffixes, self.length = suffixes, length
+        found = []
+        for a in range(0, len(stay), CHUNK):
+            window = np.flatnonzero(stay[a : a + CHUNK])
+            if len(window):
+                data = suffixes.data[a : a + min(CHUNK, len(stay) - a) + length - 1]
+                one, two = _FIRST.sums(data), _SECOND.sums(data)
+                grams = _FIRST.grams(one, anchor)
+                least = sliding_minimum((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), length - anchor + 1)
+                at = (least[window] & _PLACE).astype(np.int64)
+                first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (window[1:] != window[:-1] + 1))))
+                start, count = window[first], np.diff(np.append(first, len(window)))
+                stop = start + count - 1 + length
+                high = (grams[at[first]] & np.uint64(0xFFFFFFFF00000000)) | (_FIRST.of(one, start, stop) >> np.uint64(32))
+                found.append((start + a, count, high, _SECOND.of(two, start, stop)))
+        empty = (*(np.zeros(0, np.int64),) * 2, *(np.zeros(0, np.uint64),) * 2)
+        self.start, self.count, high, low = (np.concatenate(x) for x in zip(*(found or [empty]), strict=True))
+        self.doc = suffixes.docs[suffixes.text[self.start]]
+        self.high, self.low, self.least, self.cls = classes(high, low, self.doc)
+
+    def windows(self, answer: np.ndarray):
+        """Place and doc of the windows of stretches that stand for their class's least document
+        and whose anchor has other stretches, and their classes."""
+        asked = np.flatnonzero((answer[self.cls] & 2 > 0) & (self.doc == self.least[self.cls]))
+        places, high, low, docs = [], [], [], []
+        for a in range(0, len(self.suffixes.data), CHUNK):
+            own = asked[(self.start[asked] >= a) & (self.start[asked] < a + CHUNK)]
+            if len(own):
+                count = self.count[own]
+                place = np.repeat(self.start[own] - a - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
+                data = self.suffixes.data[a : a + CHUNK + self.length - 1]
+                # equal windows have equal anchors: the anchor leads the key
+                anchor = np.repeat(self.high[self.cls[own]] & np.uint64(0xFFFFFFFF00000000), count)
+                high.append(anchor | (_FIRST.of(_FIRST.sums(data), place, place + self.length) >> np.uint64(32)))
+                low.append(_SECOND.of(_SECOND.sums(data), place, place + self.length))
+                places.append(place + a)
+                docs.append(np.repeat(self.doc[own], count))
+        if not places:
+            high, low, places, docs = [np.zeros(0, np.uint64)], [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        doc = np.concatenate(docs)
+        return np.concatenate(places), doc, *classes(np.concatenate(high), np.concatenate(low), doc)
+
+
+def _bucket(high: np.ndarray, buckets: int) -> np.ndarray:
+    return ((mixed(high >> np.uint64(32)) >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+
+
+def _parted(high: np.ndarray, buckets: int):
+    bucket = _bucket(high, buckets)
+    order = np.argsort(bucket, kind="stable")
+    cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
+    return [(b, order[cuts[b] : cuts[b + 1]]) for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()]
+
+
+def _rows(number: int, high: np.ndarray, low: np.ndarray, docs: np.ndarray, buckets: int) -> pa.RecordBatch:
+    return _columns([(number, b, len(at), planes(high[at]), planes(low[at]), planes(docs[at])) for b, at in _parted(high, buckets)], _WINDOWS)
+
+
+def _resolve(number: int):
+    def run(key, rows):
+        """Bit 0: the key also occurs in a smaller document. Bit 1: it doesn't, and its anchor
+        occurs with another key."""
+        sizes = rows["n"].to_pylist()
+        parts = [[from_planes(p, n, kind) for p, n in zip(rows[c].to_pylist(), sizes, strict=True)] for c, kind in (("high", np.uint64), ("low", np.uint64), ("docs", np.int64))]
+        high, low, docs = (np.concatenate(p) for p in parts)
+        keys, _, least, cls = classes(high, low, docs)
+        anchor = keys >> np.uint64(32)
+        same = np.zeros(len(keys), bool)
+        same[1:] = anchor[1:] == anchor[:-1]
+        others = same.copy()
+        others[:-1] |= same[1:]
+        covered = least[cls] < docs
+        answer = (covered | ((others[cls] & ~covered).astype(np.uint8) << 1)).astype(np.uint8)
+        cuts = np.concatenate(([0], np.cumsum(sizes)))
+        fill = lambda x: pa.array([x] * len(sizes), pa.int32())
+        return pa.table({"batch": rows["batch"], "pass": fill(number), "unit": fill(0), "bucket": fill(key[0].as_py()), "answer": pa.array([answer[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
 
-def _values(planes: bytes, n: int, kind) -> np.ndarray:
-    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(-1, n).T).view(kind).ravel()
+    return run
 
 
-def _bucket(keys: np.ndarray, buckets: int) -> np.ndarray:
-    return ((mixed(keys >> np.uint64(32)) >> np.uint64(16)) % np.uint64(buckets)).astype(np.int64)
+def _gather(high: np.ndarray, answers: dict, buckets: int) -> np.ndarray:
+    out = np.zeros(len(high), np.uint8)
+    for b, at in _parted(high, buckets):
+        out[at] = np.frombuffer(answers[0, b], np.uint8)
+    return out
 
 
-def _rows(number: int, keys: np.ndarray, more: np.ndarray, docs: np.ndarray, buckets: int):
-    out = [(number, b, len(at), _planes(keys[at]), _planes(more[at]), _planes(docs[at])) for b, at in by_bucket(_bucket(keys, buckets), buckets)]
-    types = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary(), pa.binary())
-    columns = zip(*out, strict=True) if out else [[]] * 6
-    return pa.table({name: pa.array(list(c), t) for name, c, t in zip(("batch", "bucket", "n", "keys", "more", "docs"), columns, types, strict=True)})
+def _by_pass(answers: pa.Table) -> dict[int, dict]:
+    out = {k: {} for k in range(4)}
+    for number, unit, bucket, answer in zip(*(answers[c].to_pylist() for c in ("pass", "unit", "bucket", "answer")), strict=True):
+        out[number][unit, bucket] = answer
+    return out
 
 
-def _send(buckets: int, length: int, anchor: int):
-    def run(rows):
-        for part in rows:
-            for k in range(part.num_rows):
-                found = Sorted(batch := Batch(part, k), length, anchor)
-                yield from _rows(batch.number, found.keys, found.more, found.least, buckets).to_batches()
+def _stretches(rows: pa.Table, found: dict, length: int, anchor: int) -> Stretches:
+    suffixes = Suffixes(Batch(rows.combine_chunks().to_batches()[0]))
+    m = max(0, len(suffixes.data) - length + 1)
+    stay = np.unpackbits(np.frombuffer(pa.decompress(found[0][0, 0], -(-m // 8), "zstd", asbytes=True), np.uint8), count=m).view(bool) if m else np.zeros(0, bool)
+    return Stretches(suffixes, stay, length, anchor)
+
+
+def _mark(length: int, digit: int, bits: int, buckets: int, size: int):
+    """Answer 0 of a batch: which of its suffixes stay."""
+
+    def run(key, rows, answers):
+        suffixes = Suffixes(Batch(rows.combine_chunks().to_batches()[0]))
+        stay = _staying(suffixes, _by_pass(answers)[1], length, digit, bits, buckets, size)
+        return pa.Table.from_batches([_columns([(key[0].as_py(), 0, 0, 0, _squeezed(np.packbits(stay).tobytes()))], _ANSWERS)])
 
     return run
 
 
-def _resolve(key, rows):
-    """Bit 0: the digits also occur in a smaller document. Bit 1: they don't, and digit 1 occurs
-    with another digit 2."""
-    bucket = key[0].as_py()
-    sizes = rows["n"].to_pylist()
-    parts = [[_values(p, n, kind) for p, n in zip(rows[c].to_pylist(), sizes, strict=True)] for c, kind in (("keys", np.uint64), ("more", np.uint16), ("docs", np.int64))]
-    key_, more, docs = (np.concatenate(p) for p in parts)
-    keys, _, least, cls = classes(key_, more, docs)
-    group = keys >> np.uint64(32)
-    same = np.zeros(len(keys), bool)
-    same[1:] = group[1:] == group[:-1]
-    several = same.copy()
-    several[:-1] |= same[1:]
-    covered = least[cls] < docs
-    answer = (covered | ((several[cls] & ~covered).astype(np.uint8) << 1)).astype(np.uint8)
-    cuts = np.concatenate(([0], np.cumsum(sizes)))
-    return pa.table({"batch": rows["batch"], "bucket": pa.array([bucket] * len(sizes), pa.int32()), "answer": pa.array([answer[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())})
-
-
-def _gather(keys: np.ndarray, answers, buckets: int) -> np.ndarray:
-    found = dict(zip(answers["bucket"].to_pylist(), answers["answer"].to_pylist(), strict=True))
-    out = np.zeros(len(keys), np.uint8)
-    for b, at in by_bucket(_bucket(keys, buckets), buckets):
-        out[at] = np.frombuffer(found[b], np.uint8)
-    return out
+def _send_stretches(buckets: int, length: int, anchor: int):
+    def run(key, rows, answers):
+        own = _stretches(rows, _by_pass(answers), length, anchor)
+        return pa.Table.from_batches([_rows(key[0].as_py(), own.high, own.low, own.least, buckets)])
 
+    return run
 
-def _windows(batch: Batch, found: Sorted, asked: np.ndarray, length: int):
-    """Place, run and hash of every window of the asked runs."""
-    places, owners, hashes = [], [], []
-    starts = np.concatenate(([0], batch.ends))
-    for row, data, offsets in batch.parts(PART_BYTES):
-        at = np.flatnonzero(asked & (found.text >= row) & (found.text < row + len(offsets) - 1))
-        if len(at):
-            count = found.count[at]
-            first = np.repeat(found.start[at] - starts[row] - np.concatenate(([0], np.cumsum(count)[:-1])), count)
-            place = first + np.arange(len(first))
-            sums, down = prefix_sums(data)
-            places.append(place + starts[row])
-            owners.append(np.repeat(at, count))
-            hashes.append(mixed((sums[place + length] - sums[place]) * down[place]))
-    if not places:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.uint64)
-    return np.concatenate(places), np.concatenate(owners), np.concatenate(hashes)
-
-
-def _asked(found: Sorted, answer: np.ndarray) -> np.ndarray:
-    """Runs that stand for their class's least document and whose anchor has other runs."""
-    return (answer[found.cls] & 2 > 0) & (found.doc == found.least[found.cls])
-
-
-def _window_classes(batch: Batch, found: Sorted, answer: np.ndarray, length: int):
-    place, run, hashes = _windows(batch, found, _asked(found, answer), length)
-    doc = found.doc[run]
-    # equal windows have equal anchors: digit 1 leads the key, and neighbours in order share it
-    high = found.keys[found.cls[run]] & np.uint64(0xFFFFFFFF00000000)
-    key = high | (hashes >> np.uint64(32))
-    return place, doc, *classes(key, (hashes & np.uint64(0xFFFF)).astype(np.uint16), doc)
-
-
-def _refine(buckets: int, length: int, anchor: int):
+
+def _send_windows(buckets: int, length: int, anchor: int):
     def run(key, rows, answers):
-        del key
-        batch = Batch(rows.combine_chunks().to_batches()[0])
-        found = Sorted(batch, length, anchor)
-        _, _, keys, more, least, _ = _window_classes(batch, found, _gather(found.keys, answers, buckets), length)
-        return _rows(batch.number, keys, more, least, buckets)
+        found = _by_pass(answers)
+        own = _stretches(rows, found, length, anchor)
+        _, _, high, low, least, _ = own.windows(_gather(own.high, found[2], buckets))
+        return pa.Table.from_batches([_rows(key[0].as_py(), high, low, least, buckets)])
 
     return run
 
@@ -215,16 +334,16 @@ def _refine(buckets: int, length: int, anchor: int):
 def _remove(buckets: int, length: int, anchor: int, keep_text: bool):
     def run(key, rows, answers):
         del key
-        batch = Batch(rows.combine_chunks().to_batches()[0])
-        found = Sorted(batch, length, anchor)
-        digit = answers["digit"].to_numpy()
-        answer = _gather(found.keys, answers.filter(pa.array(digit == 2)), buckets)
-        gone = (answer[found.cls] & 1 > 0) | (found.doc > found.least[found.cls])
+        found = _by_pass(answers)
+        own = _stretches(rows, found, length, anchor)
+        batch = own.suffixes.batch
+        answer = _gather(own.high, found[2], buckets)
+        gone = (answer[own.cls] & 1 > 0) | (own.doc > own.least[own.cls])
         change = np.zeros(len(batch.data) + 1, np.int32)
-        np.add.at(change, found.start[gone], 1)
-        np.add.at(change, found.start[gone] + found.count[gone] - 1 + length, -1)
-        place, doc, keys, _, least, cls = _window_classes(batch, found, answer, length)
-        fine = _gather(keys, answers.filter(pa.array(digit == 3)), buckets)
+        np.add.at(change, own.start[gone], 1)
+        np.add.at(change, own.start[gone] + own.count[gone] - 1 + length, -1)
+        place, doc, high, _, least, cls = own.windows(answer)
+        fine = _gather(high, found[3], buckets)
         lost = place[(fine[cls] & 1 > 0) | (doc > least[cls])]
         np.add.at(change, lost, 1)
         np.add.at(change, lost + length, -1)
@@ -243,21 +362,27 @@ def _remove(buckets: int, length: int, anchor: int, keep_text: bool):
     return run
 
 
-def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, keep_text: bool = True, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR, keep_text: bool = True, batch_bytes: int = BATCH_BYTES, unit: int = UNIT) -> DataFrame:
     """Per row: doc_id, n_bytes, n_removed, n_spans and kept, the bytes that remain (their
-    SHA-256 in hex where ``keep_text`` is false)."""
+    SHA-256 in hex where ``keep_text`` is false). ``anchor`` is less than ``length``."""
     ship(docs.sparkSession)
-    batches = packed(docs, batch_bytes)
-    buckets = max(96, bucket_count(batches.count()))
-    sort = lambda sent: sent.groupBy("bucket").applyInArrow(_resolve, "batch long, bucket int, answer binary")
-    second = saved(sort(batches.mapInArrow(_send(buckets, length, anchor), SENT)), "second")
-    refined = batches.groupBy("batch").cogroup(second.groupBy("batch")).applyInArrow(_refine(buckets, length, anchor), SENT)
-    third = saved(sort(refined), "third")
-    both = second.withColumn("digit", F.lit(2)).unionByName(third.withColumn("digit", F.lit(3)))
-    kind = "binary" if keep_text else "string"
-    return batches.groupBy("batch").cogroup(both.groupBy("batch")).applyInArrow(
-        _remove(buckets, length, anchor, keep_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {kind}"
-    )
+    batches, size = packed(docs, batch_bytes)
+    digit, bits = min(DIGIT, length), hash_bits(size)
+    buckets = max(32, size // BUCKET_SUFFIXES + 1)
+    grouped = batches.groupBy("batch")
+
+    def answered(sent: DataFrame, resolve) -> DataFrame:
+        return sent.groupBy("bucket").applyInArrow(resolve, _ANSWERS)
+
+    def asked(answers: DataFrame, send, ddl: str) -> DataFrame:
+        return grouped.cogroup(answers.groupBy("batch")).applyInArrow(send, ddl)
+
+    first = answered(batches.mapInArrow(_send_digits(digit, bits, buckets, unit), _DIGITS), _resolve_digits)
+    stay = saved(asked(first, _mark(length, digit, bits, buckets, unit), _ANSWERS), "stay")
+    second = saved(answered(asked(stay, _send_stretches(buckets, length, anchor), _WINDOWS), _resolve(2)), "second")
+    both = stay.unionByName(second)
+    third = saved(answered(asked(both, _send_windows(buckets, length, anchor), _WINDOWS), _resolve(3)), "third")
+    return asked(both.unionByName(third), _remove(buckets, length, anchor, keep_text), f"doc_id long, n_bytes long, n_removed long, n_spans long, kept {'binary' if keep_text else 'string'}")
 
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:

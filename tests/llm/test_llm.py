@@ -166,12 +166,20 @@ def test_bpe_equals_the_library(docs, none):
 
 
 # repeats
-@pytest.mark.parametrize("batch_bytes", [1 << 22, 2000])
-def test_repeats(spark, batch_bytes):
+@pytest.mark.parametrize("batch_bytes,unit,bits", [(1 << 22, 1 << 23, None), (2000, 1 << 23, None), (1 << 22, 700, None), (2000, 1 << 23, 4), (1 << 22, 1 << 23, 1)])
+def test_repeats(spark, monkeypatch, batch_bytes, unit, bits):
+    """Any cut into batches and units gives the same result; so do clashing digit hashes, with
+    which suffixes stay that could leave."""
+    if bits:
+        monkeypatch.setattr(repeats, "hash_bits", lambda n: bits)
     texts = dict(corpus())
     texts[60] = texts[49][:300]
+    # one common line, its anchor, in many surroundings, some of which repeat; a periodic text
+    line = "all rights reserved by the owners of this long common line of text"
+    texts |= {70 + k: f"{k % 5} before {line} after {k % 7}" for k in range(25)}
+    texts |= {100: "ab" * 200, 101: "ab" * 30 + "c" + "ab" * 30, 102: "x" * 49, 103: "y" * 50, 104: "y" * 50}
     rows = [*texts.items(), (9, texts[9]), (None, texts[49][100:400])]
-    got = repeats.without_repeats(table(spark, rows).repartition(3), batch_bytes=batch_bytes).collect()
+    got = repeats.without_repeats(table(spark, rows).repartition(3), batch_bytes=batch_bytes, unit=unit).collect()
     first = {}
     for k, t in texts.items():
         b = (t or "").encode()
