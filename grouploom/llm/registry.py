@@ -17,6 +17,7 @@ def queries():
         "op8_repeats": repeats.op8,
         "op9_lm_score": context_tree.op9,
         "op10_exact_dedup": exact_dedup.op10,
+        "chat_quotes": chat.quoted_conversations,
     }
 
 
@@ -25,4 +26,5 @@ def oracle_sql():
         "op2_topk": topk.OP2_SQL,
         "op4_near_dedup": near_dedup.OP4_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
+        "chat_quotes": chat.QUOTED_SQL,
     }
