@@ -5,15 +5,21 @@ batch is deduplicated by a sort-merge anti-join against it: the index side is re
 bucket without a shuffle, only the batch's digests move. What is new is appended, so the next
 batch sees it. Only DataFrame functions are used.
 
+A batch has a name that its caller gives. The index tells which batch brought a digest, so a job
+that died after its append, or in the midst of it, is repeated under the same name: digests of
+that name count as the batch's own. The number of buckets is stored beside the index.
+
 Defined results: a null text counts as empty, and empty texts equal one another. Among rows with
 equal text the one with the most code points stays, then the smallest doc_id (a null doc_id comes
-last), then, of repeated rows, one. Extra columns take no part. An empty table gives no rows.
+last), then, of repeated rows, one. Very long texts are hashed whole; only digests are shuffled.
+Extra columns take no part. An empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import uuid
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -23,7 +29,7 @@ from .common import WHITE, saved, shared_folder, table
 #: digests, so their index rows can be broadcast.
 HOT_SHARE = 1000
 
-INDEX_COLUMNS = "digest BINARY, keep_id BIGINT, keep_row BIGINT, batch STRING"
+INDEX_COLUMNS = "digest BINARY, keep_id BIGINT, batch STRING"
 
 
 def fingerprints(docs: DataFrame, row: Column | None = None) -> DataFrame:
@@ -38,16 +44,31 @@ def fingerprints(docs: DataFrame, row: Column | None = None) -> DataFrame:
 
 
 class DigestIndex:
-    """A digest index at ``path``; it is created when absent and attached again when present."""
-
-    def __init__(self, spark: SparkSession, path: str, buckets: int):
-        self.spark, self.buckets = spark, buckets
+    """A digest index at ``path``; it is created when absent and attached again when present, with
+    the number of buckets that it was created with. Another number is refused."""
+
+    def __init__(self, spark: SparkSession, path: str, buckets: int | None = None):
+        stored = self._stored(spark, path)
+        if stored and buckets and stored != buckets:
+            raise ValueError(f"the index at {path} has {stored} buckets, not {buckets}")
+        self.spark, self.buckets = spark, stored or buckets or buckets_of(spark)
+        if not stored:
+            spark.range(1).select(F.lit(self.buckets).alias("buckets")).write.parquet(path + "_buckets")
         self.name = "digest_index_" + uuid.uuid5(uuid.NAMESPACE_URL, path).hex
         spark.sql(
             f"CREATE TABLE IF NOT EXISTS {self.name} ({INDEX_COLUMNS}) USING parquet "
-            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {buckets} BUCKETS LOCATION '{path}'"
+            f"CLUSTERED BY (digest) SORTED BY (digest) INTO {self.buckets} BUCKETS LOCATION '{path}'"
         )
 
+    @staticmethod
+    def _stored(spark: SparkSession, path: str) -> int | None:
+        try:
+            return spark.read.parquet(path + "_buckets").first()["buckets"]
+        except AnalysisException as error:
+            if error.getCondition() != "PATH_NOT_FOUND":
+                raise
+            return None
+
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
@@ -57,7 +78,7 @@ class DigestIndex:
         # one task per bucket, so that each append adds one sorted file to a bucket
         (
             new.repartition(self.buckets, "digest")
-            .select("digest", "keep_id", "keep_row", F.lit(batch).alias("batch"))
+            .select("digest", "keep_id", F.lit(batch).alias("batch"))
             .write.mode("append").format("parquet")
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
         )
@@ -72,19 +93,21 @@ def best_row(prints: DataFrame) -> DataFrame:
     )
 
 
-def deduplicate(prints: DataFrame, index: DigestIndex) -> DataFrame:
+def deduplicate(prints: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
     """Appends a batch's new digests to the index and decides every row of the batch.
 
-    Returns doc_id, row, digest, keep_id, group_size (rows of this batch with that text) and kept.
-    In a batch whose text was indexed by an earlier one, no row is kept.
-    """
-    batch = uuid.uuid4().hex
+    ``prints`` is a saved table: its rows keep their numbers. ``batch`` names the batch; give it
+    where the job may be repeated. Returns doc_id, row, digest, keep_id, group_size (rows of this
+    batch with that text) and kept. In a batch whose text was indexed by an earlier one, no row is
+    kept."""
+    batch = batch or uuid.uuid4().hex
     summary = saved(best_row(prints), "summary")
     index.append_new(summary, batch)
-    own = F.when(F.col("batch") == batch, F.col("keep_row")).otherwise(-1)
-    group = summary.select("digest", F.col("n_rows").alias("group_size")).join(
-        index.rows().select("digest", "keep_id", own.alias("keep_row")).hint("merge"), "digest"
+    mine = F.col("batch") == batch
+    group = summary.select("digest", F.col("n_rows").alias("group_size"), F.col("keep_id").alias("own_id"), F.col("keep_row").alias("own_row")).join(
+        index.rows().select("digest", F.col("keep_id").alias("first_id"), "batch").hint("merge"), "digest"
     )
+    group = group.select("digest", "group_size", F.when(mine, F.col("own_id")).otherwise(F.col("first_id")).alias("keep_id"), F.when(mine, F.col("own_row")).otherwise(-1).alias("keep_row"))
     least = prints.count() // HOT_SHARE + 1
     hot = group.where(F.col("group_size") > least)
     rows = prints.select("doc_id", "row", "digest")
@@ -95,9 +118,12 @@ def deduplicate(prints: DataFrame, index: DigestIndex) -> DataFrame:
     return both.withColumn("kept", F.col("row") == F.col("keep_row"))
 
 
+def buckets_of(spark: SparkSession) -> int:
+    return min(max(8, int(spark.conf.get("spark.sql.shuffle.partitions"))), 100_000)
+
+
 def new_index(spark: SparkSession) -> DigestIndex:
-    buckets = max(8, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    return DigestIndex(spark, f"{shared_folder(spark)}/index", min(buckets, 100_000))
+    return DigestIndex(spark, f"{shared_folder(spark)}/index")
 
 
 def deduplicated(docs: DataFrame) -> DataFrame:
