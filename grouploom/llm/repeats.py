@@ -14,7 +14,7 @@ windows. A suffix leaves the sort as soon as one of its digits stands alone.
   one, by the bytes that they cover. Where stretches with one anchor differ, their windows are
   sorted one by one.
 
-A digit's group is found in the bucket of its hash (a radix sort's order of digits is immaterial
+A digit's group is found by counting in the bucket of its hash (the order of digits is immaterial
 to which suffixes are equal). Each batch of documents sends a digit once, however often it occurs
 there, so copies and common passages collapse before the shuffle; buckets sort what they get and
 answer the batches. A batch's row for a bucket is the unit of the exchange.
@@ -47,14 +47,14 @@ LENGTH, DIGIT, ANCHOR = 50, 16, 28
 #: Suffixes that are hashed at once.
 CHUNK = 1 << 19
 #: Suffixes whose first digits are sorted at once, in one worker's memory.
-UNIT = 1 << 23
+UNIT = 1 << 22
 #: Bytes of text in a batch.
 BATCH_BYTES = 8 << 20
 #: Suffixes of the corpus per bucket of first digits.
 BUCKET_SUFFIXES = 12 << 20
 NO_ID = np.int64(2**62)
 _FIRST, _SECOND = Rolling(1), Rolling(2)
-_PLACE = np.uint64((1 << 24) - 1)
+_PLACE, _FACTOR = np.uint64((1 << 24) - 1), np.uint64(0xD6E8FEB86659FD93)
 _DIGITS = "batch long, unit int, bucket int, n int, digits binary, several binary"
 _WINDOWS = "batch long, bucket int, n int, high binary, low binary, docs binary"
 _ANSWERS = "batch long, pass int, unit int, bucket int, answer binary"
@@ -64,6 +64,10 @@ def _squeezed(data: bytes) -> bytes:
     return pa.compress(data, "zstd", asbytes=True)
 
 
+def _bits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(pa.decompress(data, -(-n // 8), "zstd", asbytes=True), np.uint8), count=n)
+
+
 def _columns(out: list[tuple], ddl: str) -> pa.RecordBatch:
     kinds = {"long": pa.int64(), "int": pa.int32(), "binary": pa.binary()}
     fields = [x.split() for x in ddl.split(", ")]
@@ -89,32 +93,50 @@ class Suffixes:
             yield unit, a, min(a + size, len(self.data))
 
 
+def digit_hashes(data: np.ndarray, digit: int) -> np.ndarray:
+    """A hash of the ``digit`` bytes from every place on, read as words of eight bytes."""
+    if digit % 8 or len(data) < digit:
+        return _FIRST.grams(_FIRST.sums(data), digit)
+    words = np.ndarray(len(data) - 7, np.dtype("<u8"), np.ascontiguousarray(data), strides=(1,)).copy()
+    m = len(data) - digit + 1
+    out = words[:m] * _FACTOR
+    for k in range(8, digit, 8):
+        out ^= out >> np.uint64(32)
+        out += words[k : k + m]
+        out *= _FACTOR
+    out ^= out >> np.uint64(29)
+    out *= _FACTOR
+    return out
+
+
 class FirstDigits:
     """The suffixes a to b of a batch in the order of their first digits' hashes."""
 
     def __init__(self, suffixes: Suffixes, a: int, b: int, digit: int, bits: int):
-        found = []
+        keys, n = np.empty(b - a, np.uint64), 0
         for c in range(a, b, CHUNK):
             data = suffixes.data[c : min(b, c + CHUNK) + digit - 1]
-            hashes = _FIRST.grams(_FIRST.sums(data), digit) >> np.uint64(64 - bits)
+            hashes = digit_hashes(data, digit) >> np.uint64(64 - bits)
             place = np.arange(c, c + len(hashes))
             inside = suffixes.inside(place, digit)
-            found.append((hashes[inside] << np.uint64(24)) | (place[inside] - a).astype(np.uint64))
-        keys = np.concatenate(found) if found else np.zeros(0, np.uint64)
+            m = int(np.count_nonzero(inside))
+            keys[n : n + m] = (hashes[inside] << np.uint64(24)) | (place[inside] - a).astype(np.uint64)
+            n += m
+        keys = keys[:n]
         keys.sort()
-        self.place = (keys & _PLACE).astype(np.int32)
+        self.place = (keys.astype(np.uint32) & np.uint32(_PLACE)).view(np.int32)
         keys >>= np.uint64(24)
-        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))).astype(np.int32) if n else np.zeros(0, np.int32)
         self.digits = keys[first]
-        self.count = np.diff(np.append(first, len(keys)))
-        text = suffixes.text[self.place + a]
+        del keys
+        self.count = np.diff(first, append=np.int32(n))
         # places rise within a group, so its first and last text tell whether there are several
-        self.several = text[first] != text[first + self.count - 1]
+        self.several = suffixes.text[self.place[first] + a] != suffixes.text[self.place[first + self.count - 1] + a]
+
 
-    def cuts(self, bits: int, buckets: int) -> np.ndarray:
-        """Where each bucket, a range of hashes, begins."""
-        bounds = np.array([-(-(k << bits) // buckets) for k in range(buckets + 1)], np.uint64)
-        return np.searchsorted(self.digits, bounds)
+def bucket_ranges(bits: int, buckets: int) -> np.ndarray:
+    """The least hash of each bucket, and one more."""
+    return np.array([-(-(k << bits) // buckets) for k in range(buckets + 1)], np.uint64)
 
 
 def hash_bits(suffixes: int) -> int:
@@ -123,49 +145,57 @@ def hash_bits(suffixes: int) -> int:
 
 
 def _send_digits(digit: int, bits: int, buckets: int, size: int):
+    ranges = bucket_ranges(bits, buckets)
+
     def run(rows):
         for part in rows:
             for k in range(part.num_rows):
                 suffixes = Suffixes(batch := Batch(part, k))
                 for unit, a, b in suffixes.units(size):
                     own = FirstDigits(suffixes, a, b, digit, bits)
-                    cuts = own.cuts(bits, buckets)
-                    steps = np.diff(own.digits, prepend=np.uint64(0))
+                    cuts = np.searchsorted(own.digits, ranges)
                     out = []
                     for bucket in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
                         x, y = cuts[bucket], cuts[bucket + 1]
-                        step = steps[x:y].copy()
-                        step[0] = own.digits[x]
-                        out.append((batch.number, unit, bucket, y - x, _squeezed(planes(step)), np.packbits(own.several[x:y]).tobytes()))
+                        steps = np.diff((own.digits[x:y] - ranges[bucket]).astype(np.uint32), prepend=np.uint32(0))
+                        out.append((batch.number, unit, bucket, y - x, _squeezed(planes(steps)), _squeezed(np.packbits(own.several[x:y]).tobytes())))
+                    del own
                     yield _columns(out, _DIGITS)
 
     return run
 
 
-def _resolve_digits(key, rows):
-    """For each digit that a batch sent, whether it occurs in several texts."""
-    sizes = rows["n"].to_pylist()
-    sent = [np.cumsum(from_planes(pa.decompress(d, 8 * n, "zstd", asbytes=True), n, np.uint64)) for d, n in zip(rows["digits"].to_pylist(), sizes, strict=True)]
-    every = np.sort(np.concatenate(sent))
-    found = [every[1:][every[1:] == every[:-1]]]
-    for digits, several in zip(sent, rows["several"].to_pylist(), strict=True):
-        found.append(digits[np.unpackbits(np.frombuffer(several, np.uint8), count=len(digits)).view(bool)])
-    shared = np.append(np.unique(np.concatenate(found)), np.uint64(2**64 - 1))
-    answers = [_squeezed(np.packbits(shared[np.searchsorted(shared, d)] == d).tobytes()) for d in sent]
-    n = len(sizes)
-    return pa.table({"batch": rows["batch"], "pass": pa.array([1] * n, pa.int32()), "unit": rows["unit"], "bucket": pa.array([key[0].as_py()] * n, pa.int32()), "answer": pa.array(answers, pa.binary())})
+def _resolve_digits(bits: int, buckets: int):
+    ranges = bucket_ranges(bits, buckets)
+
+    def run(key, rows):
+        """For each digit that a batch sent, whether it occurs in several texts: the counts of a
+        bucket's digits, up to two."""
+        bucket, sizes = key[0].as_py(), rows["n"].to_pylist()
+        sent = list(zip(rows["digits"], sizes, strict=True))
+        digits = lambda d, n: np.cumsum(from_planes(pa.decompress(d.as_buffer(), 4 * n, "zstd", asbytes=True), n, np.uint32), dtype=np.uint32)
+        counts = np.zeros(int(ranges[bucket + 1] - ranges[bucket]), np.uint8)
+        for (d, n), several in zip(sent, rows["several"].to_pylist(), strict=True):
+            at = digits(d, n)
+            counts[at] = np.minimum(counts[at] + 1 + _bits(several, n), 2)
+        answers = [_squeezed(np.packbits(counts[digits(d, n)] > 1).tobytes()) for d, n in sent]
+        fill = lambda x: pa.array([x] * len(sizes), pa.int32())
+        return pa.table({"batch": rows["batch"], "pass": fill(1), "unit": rows["unit"], "bucket": fill(bucket), "answer": pa.array(answers, pa.binary())})
+
+    return run
 
 
 def _staying(suffixes: Suffixes, answers: dict, length: int, digit: int, bits: int, buckets: int, size: int) -> np.ndarray:
     """Which suffixes have only digits that occur in several texts."""
-    shared = np.zeros(len(suffixes.data), bool)
+    shared, ranges, own = np.zeros(len(suffixes.data), bool), bucket_ranges(bits, buckets), None
     for unit, a, b in suffixes.units(size):
+        del own
         own = FirstDigits(suffixes, a, b, digit, bits)
-        cuts = own.cuts(bits, buckets)
+        cuts = np.searchsorted(own.digits, ranges)
         stays = np.zeros(len(own.digits), np.uint8)
         for bucket in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
             n = int(cuts[bucket + 1] - cuts[bucket])
-            stays[cuts[bucket] : cuts[bucket + 1]] = np.unpackbits(np.frombuffer(pa.decompress(answers[unit, bucket], -(-n // 8), "zstd", asbytes=True), np.uint8), count=n)
+            stays[cuts[bucket] : cuts[bucket + 1]] = _bits(answers[unit, bucket], n)
         shared[own.place + a] = np.repeat(stays.view(bool), own.count)
     m = max(0, len(shared) - length + 1)
     stay = np.ones(m, bool)
@@ -298,7 +328,7 @@ def _by_pass(answers: pa.Table) -> dict[int, dict]:
 def _stretches(rows: pa.Table, found: dict, length: int, anchor: int) -> Stretches:
     suffixes = Suffixes(Batch(rows.combine_chunks().to_batches()[0]))
     m = max(0, len(suffixes.data) - length + 1)
-    stay = np.unpackbits(np.frombuffer(pa.decompress(found[0][0, 0], -(-m // 8), "zstd", asbytes=True), np.uint8), count=m).view(bool) if m else np.zeros(0, bool)
+    stay = _bits(found[0][0, 0], m).view(bool) if m else np.zeros(0, bool)
     return Stretches(suffixes, stay, length, anchor)
 
 
@@ -347,7 +377,7 @@ def _remove(buckets: int, length: int, anchor: int, keep_text: bool):
         lost = place[(fine[cls] & 1 > 0) | (doc > least[cls])]
         np.add.at(change, lost, 1)
         np.add.at(change, lost + length, -1)
-        removed = np.cumsum(change[:-1]) > 0
+        removed = np.cumsum(change[:-1], dtype=np.int32) > 0
         starts = np.concatenate(([0], batch.ends))
         out = {"doc_id": batch.ids, "n_bytes": np.diff(starts), "n_removed": [], "n_spans": [], "kept": []}
         for a, b in zip(starts[:-1], starts[1:], strict=True):
@@ -377,7 +407,7 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     def asked(answers: DataFrame, send, ddl: str) -> DataFrame:
         return grouped.cogroup(answers.groupBy("batch")).applyInArrow(send, ddl)
 
-    first = answered(batches.mapInArrow(_send_digits(digit, bits, buckets, unit), _DIGITS), _resolve_digits)
+    first = answered(batches.mapInArrow(_send_digits(digit, bits, buckets, unit), _DIGITS), _resolve_digits(bits, buckets))
     stay = saved(asked(first, _mark(length, digit, bits, buckets, unit), _ANSWERS), "stay")
     second = saved(answered(asked(stay, _send_stretches(buckets, length, anchor), _WINDOWS), _resolve(2)), "second")
     both = stay.unionByName(second)
