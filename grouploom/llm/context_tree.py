@@ -7,13 +7,16 @@ and the product of its children's. The share of the halves is the weight with wh
 estimate is mixed with what the deeper nodes say, from the full depth up to the root.
 
 The corpus job: batches send their distinct (context, byte) strings and words with their training
-counts; buckets hold whole subtrees below two context bytes and weigh them; the two upper levels
-have at most 65,280 + 255 nodes, are summed by Spark and broadcast; buckets answer each batch with
-log probabilities of its strings and counts of its words.
+counts, each once, to buckets. A bucket holds whole subtrees below ``NEAR`` context bytes and weighs
+them; the upper levels are summed by Spark and broadcast, with at most 256 * 256 * 255 nodes at any
+size of the corpus (of real text about a hundredth of that). Buckets then answer each batch with
+code lengths of its strings and counts of its words; texts don't move.
 
 Defined results: a null text counts as empty; its tokens are the end alone. Rows without doc_id
 are held out of training (their remainder is null). Repeated rows count as often as they occur.
-Extra columns take no part. Words are told apart by 64-bit hashes.
+Very long texts are read in parts; a text is held whole by one task. An empty table gives no rows.
+Extra columns take no part. Words are told apart by 64-bit hashes. Code lengths of strings are
+rounded to 2^-27 of a decimal digit, and are at most 32 digits.
 """
 
 from __future__ import annotations
@@ -26,35 +29,43 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .batches import BATCH_BYTES, Batch, bucket_count, bucket_of, by_bucket, merged_counts, packed
-from .common import lowered, saved, table, word_hashes, words_of
-
-DEPTH = 4
+from .batches import BATCH_BYTES, Batch, bucket_of, from_planes, merged_counts, packed, planes
+from .common import lowered, saved, saved_by, table, word_hashes, words_of
+
+#: Context bytes; a string of context and byte fits 64 bits.
+DEPTH = 7
+#: The strings of a bucket share their nearest context bytes.
+NEAR = 3
+#: Bytes of the corpus per bucket of strings.
+BUCKET_BYTES = 12 << 20
+#: Strings that are weighed at once, unless more share their nearest context.
+SLICE = 1 << 17
 #: Stands for the end of a text among word hashes.
 END_WORD = np.uint64(0x7F4A7C159E3779B9)
-#: Batches whose payloads of one bucket are merged, or answered, in one task.
-FAN_IN = 64
-KEYS = "batch long, kind string, bucket int, keys binary, counts binary"
+_SENT = "batch long, bucket int, n int, keys binary, counts binary"
+_MODEL = "bucket int, n int, keys binary, counts binary, total long, known long, nodes array<struct<node:long,below:double,n0:double,n1:double>>"
+_ANSWER = "batch long, bucket int, answer binary"
 
 
-def strings(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def strings(data: np.ndarray, offsets: np.ndarray, depth: int) -> tuple[np.ndarray, np.ndarray]:
     """Keys of all bytes of all texts of a run and the number of each key's text.
 
     A key holds the byte before, the one before that, and so on, and last the byte itself, from
     the most significant byte on, so that subtrees of contexts are ranges of keys."""
     n = len(offsets) - 1
-    long = np.zeros(len(data) + n * (DEPTH + 1), np.uint64)
+    long = np.zeros(len(data) + n * (depth + 1), np.uint64)
     sizes = np.diff(offsets)
-    shift = np.repeat(np.arange(n) * (DEPTH + 1) + DEPTH, sizes)
+    shift = np.repeat(np.arange(n) * (depth + 1) + depth, sizes)
     long[np.arange(len(data)) + shift] = lowered(data)
     own = np.ones(len(long), bool)
-    starts = offsets[:-1] + np.arange(n) * (DEPTH + 1)
-    for k in range(DEPTH):
+    starts = offsets[:-1] + np.arange(n) * (depth + 1)
+    for k in range(depth):
         own[starts + k] = False
     at = np.flatnonzero(own)
     keys = np.zeros(len(at), np.uint64)
-    for k in range(1, DEPTH + 1):
-        keys = (keys << np.uint64(8)) | long[at - k]
+    for k in range(1, depth + 1):
+        keys <<= np.uint64(8)
+        keys |= long[at - k]
     return (keys << np.uint64(8)) | long[at], np.repeat(np.arange(n), sizes + 1)
 
 
@@ -65,73 +76,77 @@ def word_tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.n
     return np.concatenate((word_hashes(data, starts, ends), np.full(n, END_WORD))), np.concatenate((owner, np.arange(n)))
 
 
-TOKENS = {"string": strings, "word": word_tokens}
-
-
 def is_training(ids: list) -> np.ndarray:
     return np.array([k is not None and zlib.crc32(str(k).encode()) % 10 != 0 for k in ids], bool)
 
 
 def distinct(found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys in order and how often each occurs."""
-    found = np.sort(found)
+    """Distinct keys in order and how often each occurs; sorts in place."""
+    found.sort()
     first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1]))) if len(found) else np.zeros(0, np.int64)
     return found[first], np.diff(np.append(first, len(found)))
 
 
-def batch_keys(batch: Batch, kind: str, training: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct keys of a batch and, given which texts are training texts, their counts there."""
-    keys, counts = [], []
-    for row, data, offsets in batch.parts():
-        found, owner = TOKENS[kind](data, offsets)
-        all_keys, _ = distinct(found)
-        count = np.zeros(len(all_keys), np.int64)
-        if training is not None:
-            own, times = distinct(found[training[row + owner]])
-            count[np.searchsorted(all_keys, own)] = times
-        keys.append(all_keys)
-        counts.append(count)
-    return merged_counts(keys, counts)
-
-
-def sums_by_text(found: np.ndarray, owner: np.ndarray, keys: np.ndarray, values: np.ndarray, texts: int) -> np.ndarray:
-    """Sum of the values of the string keys of every text. Keys and places are sorted as one
-    number, so that the key table is read in order."""
-    out = np.zeros(texts)
-    for a in range(0, len(found), 1 << 23):
-        part = np.sort((found[a : a + (1 << 23)] << np.uint64(23)) | np.arange(min(1 << 23, len(found) - a), dtype=np.uint64))
-        value = np.empty(len(part))
-        value[(part & np.uint64((1 << 23) - 1)).astype(np.int64)] = values[np.searchsorted(keys, part >> np.uint64(23))]
-        out += np.bincount(owner[a : a + (1 << 23)], value, texts)
-    return out
+class Keys:
+    """The distinct strings (depth > 0) or words (depth 0) of a batch, in order, with their counts
+    in its training texts, dealt over buckets."""
+
+    def __init__(self, batch: Batch, depth: int, buckets: int):
+        self.depth = depth
+        training, found = is_training(batch.ids), ([], [])
+        for row, data, offsets in batch.parts():
+            keys, owner = self.tokens(data, offsets)
+            own = training[row + owner]
+            found[0].append(keys[own])
+            found[1].append(keys[~own])
+        none = np.zeros(0, np.uint64)
+        own, times = distinct(np.concatenate([none, *found[0]]))
+        others, _ = distinct(np.concatenate([none, *found[1]]))
+        at = np.searchsorted(own, others)
+        new = np.append(own, np.uint64(0))[at] != others
+        new |= at == len(own)
+        self.keys, self.counts = np.insert(own, at[new], others[new]), np.insert(times, at[new], 0)
+        group = self.keys >> np.uint64(8 * (depth + 1 - NEAR)) if depth else self.keys
+        bucket = bucket_of(group, buckets).astype(np.int32)
+        self.order = np.argsort(bucket, kind="stable")
+        self.cuts = np.searchsorted(bucket[self.order], np.arange(buckets + 1))
+
+    def tokens(self, data: np.ndarray, offsets: np.ndarray):
+        return strings(data, offsets, self.depth) if self.depth else word_tokens(data, offsets)
+
+    def parts(self):
+        """Bucket and places of its keys, for every bucket that has any."""
+        for b in np.flatnonzero(self.cuts[1:] > self.cuts[:-1]).tolist():
+            yield b, self.order[self.cuts[b] : self.cuts[b + 1]]
+
 
+def _squeezed(values: np.ndarray) -> bytes:
+    return pa.compress(planes(values), "zstd", asbytes=True)
 
-def _bucket(keys: np.ndarray, kind: str, buckets: int) -> np.ndarray:
-    # strings of one bucket share their two nearest context bytes
-    return bucket_of(keys >> np.uint64(8 * (DEPTH - 1)), buckets) if kind == "string" else bucket_of(keys, buckets)
 
+def _restored(data: bytes, n: int, kind) -> np.ndarray:
+    return from_planes(pa.decompress(data, n * np.dtype(kind).itemsize, "zstd", asbytes=True), n, kind)
 
-def _send(buckets: int):
+
+def _in_order(keys: np.ndarray) -> bytes:
+    return _squeezed(np.diff(keys, prepend=np.uint64(0)))
+
+
+def _send(depth: int, buckets: int, word_buckets: int):
     def run(rows):
         for part in rows:
             for k in range(part.num_rows):
                 batch = Batch(part, k)
-                training = is_training(batch.ids)
-                for kind in TOKENS:
-                    keys, counts = batch_keys(batch, kind, training)
-                    out = [(batch.number, kind, b, keys[at].tobytes(), counts[at].tobytes()) for b, at in by_bucket(_bucket(keys, kind, buckets), buckets)]
+                for levels_, n, first in ((depth, buckets, 0), (0, word_buckets, buckets)):
+                    own = Keys(batch, levels_, n)
+                    out = [(batch.number, first + b, len(at), _in_order(own.keys[at]), _squeezed(own.counts[at].astype(np.uint32))) for b, at in own.parts()]
                     if out:
-                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), (pa.int64(), pa.string(), pa.int32(), pa.binary(), pa.binary()), strict=True)], names=["batch", "kind", "bucket", "keys", "counts"])
+                        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.binary(), pa.binary())
+                        yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), kinds, strict=True)], names=["batch", "bucket", "n", "keys", "counts"])
 
     return run
 
 
-def _merge(key, rows):
-    kind, bucket, slice_ = (x.as_py() for x in key)
-    keys, counts = merged_counts([np.frombuffer(x, np.uint64) for x in rows["keys"].to_pylist()], [np.frombuffer(x, np.int64) for x in rows["counts"].to_pylist()])
-    return pa.table({"kind": [kind], "bucket": pa.array([bucket], pa.int32()), "slice": pa.array([slice_], pa.int64()), "keys": [keys.tobytes()], "counts": [counts.tobytes()], "total": [int(counts.sum())], "distinct": [int((counts > 0).sum())]})
-
-
 def log_gamma(x: np.ndarray) -> np.ndarray:
     """ln of the gamma function for x > 0: Stirling's series at x + 8, stepped down."""
     product = np.ones_like(x)
@@ -141,9 +156,20 @@ def log_gamma(x: np.ndarray) -> np.ndarray:
     return (y - 0.5) * np.log(y) - y + 0.5 * np.log(2 * np.pi) + 1 / (12 * y) - 1 / (360 * y**3) + 1 / (1260 * y**5) - np.log(product)
 
 
+_SMALL = 1 << 12
+_HALVES, _WHOLES = (log_gamma(np.arange(_SMALL) + x) for x in (0.5, 1.0))
+
+
+def _log_gamma_of(counts: np.ndarray, table_: np.ndarray, more: float) -> np.ndarray:
+    out = table_[np.minimum(counts, _SMALL - 1).astype(np.int64)]
+    large = np.flatnonzero(counts >= _SMALL)
+    out[large] = log_gamma(counts[large] + more)
+    return out
+
+
 def block_probability(n0: np.ndarray, n1: np.ndarray) -> np.ndarray:
     """ln of the Krichevsky-Trofimov probability of n0 zeros and n1 ones."""
-    return log_gamma(n0 + 0.5) + log_gamma(n1 + 0.5) - np.log(np.pi) - log_gamma(n0 + n1 + 1.0)
+    return _log_gamma_of(n0, _HALVES, 0.5) + _log_gamma_of(n1, _HALVES, 0.5) - np.log(np.pi) - _log_gamma_of(n0 + n1, _WHOLES, 1.0)
 
 
 def weigh(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -152,159 +178,211 @@ def weigh(own: np.ndarray, below: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return weighted, np.exp(own - np.log(2) - weighted)
 
 
-class Subtrees:
-    """All nodes, at depths 2 to DEPTH, of the contexts of one bucket's strings."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray):
-        byte = (keys & np.uint64(255)).astype(np.int64)
-        steps = np.arange(8)
-        self.choice = (np.int64(1) << steps)[None, :] | (byte[:, None] >> (8 - steps)[None, :])
-        self.bit = (byte[:, None] >> (7 - steps)[None, :]) & 1
-        weight = np.repeat(counts.astype(float), 8)
-        ones = self.bit.ravel() == 1
-        self.place, self.one, self.share = {}, {}, {}
-        below_at, below = None, None
-        for depth in range(DEPTH, 1, -1):
-            context = (keys >> np.uint64(8 * (DEPTH - depth + 1))).astype(np.int64)
-            node = ((context[:, None] << 8) | self.choice).ravel()
-            nodes, place = np.unique(node, return_inverse=True)
-            n1 = np.bincount(place, weight * ones, len(nodes))
-            n0 = np.bincount(place, weight * ~ones, len(nodes))
-            own = block_probability(n0, n1)
-            if below is None:
-                weighted, share = own, np.ones(len(nodes))
+class Level:
+    """The nodes of one depth: for each of the eight choices of a byte, runs of the strings of that
+    depth (context, byte), which are in order."""
+
+    def __init__(self, keys: np.ndarray, counts: np.ndarray, deeper: Level | None = None, up: np.ndarray | None = None):
+        self.keys, self.counts, self.deeper, self.up = keys, counts, deeper, up
+        self.first, self.node, self.one, self.share, self.weighted, self.n = [], [], [], [], [], []
+        for step in range(8):
+            prefix = keys >> np.uint64(8 - step)
+            new = np.ones(len(keys), bool)
+            new[1:] = prefix[1:] != prefix[:-1]
+            first, node = np.flatnonzero(new), np.cumsum(new, dtype=np.int32) - 1
+            total = np.add.reduceat(counts, first)
+            n1 = np.add.reduceat(np.where(self.bit(step), counts, 0.0), first)
+            own = block_probability(total - n1, n1)
+            if deeper is None:
+                weighted, share = own, None
             else:
-                parent = ((below_at >> 16) << 8) | (below_at & 255)
-                weighted, share = weigh(own, np.bincount(np.searchsorted(nodes, parent), below, len(nodes)))
-            self.place[depth], self.one[depth], self.share[depth] = place.reshape(-1, 8), (n1 + 0.5) / (n0 + n1 + 1), share
-            below_at, below = nodes, weighted
-        # what the nodes at depth 1 get from here
-        parent = ((below_at >> 16) << 8) | (below_at & 255)
-        self.upper, at = np.unique(parent, return_inverse=True)
-        self.upper_below = np.bincount(at, below, len(self.upper))
-        self.upper_n0, self.upper_n1 = np.bincount(at, n0, len(self.upper)), np.bincount(at, n1, len(self.upper))
-
-    def log10(self, top: dict) -> np.ndarray:
-        """log10 probability of every string's byte after its context."""
-        one = None
-        for depth in range(DEPTH, 1, -1):
-            at = self.place[depth]
-            here = self.one[depth][at]
-            one = here if one is None else self.share[depth][at] * here + (1 - self.share[depth][at]) * one
-        context = self.context1[:, None] << 8 | self.choice
-        for level, at in ((1, context), (0, self.choice)):
-            share, here = top["share"][level][at], top["one"][level][at]
-            one = share * here + (1 - share) * one
-        return np.log10(np.where(self.bit == 1, one, 1 - one)).sum(axis=1)
-
-
-def _upper(rows):
-    for part in rows:
-        for keys, counts in zip(part.column("keys").to_pylist(), part.column("counts").to_pylist(), strict=True):
-            tree = Subtrees(np.frombuffer(keys, np.uint64), np.frombuffer(counts, np.int64))
-            yield pa.RecordBatch.from_arrays([pa.array(tree.upper), pa.array(tree.upper_below), pa.array(tree.upper_n0), pa.array(tree.upper_n1)], names=["node", "below", "n0", "n1"])
-
-
-def top_levels(nodes) -> dict:
-    """Depths 1 and 0, as arrays over (byte, choice) and over choices."""
-    n0, n1, below = (np.zeros(65_536) for _ in range(3))
-    n0[nodes.node], n1[nodes.node], below[nodes.node] = nodes.n0, nodes.n1, nodes.below
-    weighted, share1 = weigh(block_probability(n0, n1), below)
-    m0, m1, under = (x.reshape(256, 256).sum(axis=0) for x in (n0, n1, weighted))
-    _, share0 = weigh(block_probability(m0, m1), under)
-    return {"share": {1: share1, 0: share0}, "one": {1: (n1 + 0.5) / (n0 + n1 + 1), 0: (m1 + 0.5) / (m0 + m1 + 1)}}
-
-
-def _answers(top):
+                weighted, share = weigh(own, np.bincount(node[up[deeper.first[step]]], deeper.weighted[step], len(first)))
+            for out, value in ((self.first, first), (self.node, node), (self.one, (n1 + 0.5) / (total + 1)), (self.share, share), (self.weighted, weighted), (self.n, (total - n1, n1))):
+                out.append(value)
+
+    def bit(self, step: int) -> np.ndarray:
+        return (self.keys >> np.uint64(7 - step)) & np.uint64(1) > 0
+
+    def shallower(self) -> Level:
+        """The level above: contexts without their farthest byte."""
+        keys = ((self.keys >> np.uint64(16)) << np.uint64(8)) | (self.keys & np.uint64(255))
+        order = np.argsort(keys, kind="stable")
+        k = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], k[1:] != k[:-1])))
+        up = np.empty(len(keys), np.int32)
+        up[order] = np.repeat(np.arange(len(first), dtype=np.int32), np.diff(np.append(first, len(k))))
+        return Level(k[first], np.add.reduceat(self.counts[order], first), self, up)
+
+
+def levels(keys: np.ndarray, counts: np.ndarray, depth: int) -> Level:
+    """The level of ``NEAR`` context bytes, with the deeper ones below it."""
+    level = Level(keys, counts.astype(float))
+    for _ in range(depth - NEAR):
+        level = level.shallower()
+    return level
+
+
+def slices(keys: np.ndarray, depth: int):
+    """Ranges of about ``SLICE`` keys that don't cut subtrees below the nearest context."""
+    near = keys >> np.uint64(8 * (depth + 1 - NEAR))
+    cuts = np.flatnonzero(near[1:] != near[:-1]) + 1
+    a = 0
+    while a < len(keys):
+        k = int(np.searchsorted(cuts, a + SLICE))
+        b = int(cuts[k]) if k < len(cuts) else len(keys)
+        yield slice(a, b)
+        a = b
+
+
+def _parents(level: Level, step: int) -> np.ndarray:
+    """The nodes (two context bytes, choice) above the nodes of the level of ``NEAR`` bytes."""
+    keys = level.keys[level.first[step]]
+    choice = (np.uint64(1) << np.uint64(step)) | ((keys & np.uint64(255)) >> np.uint64(8 - step))
+    return (((keys >> np.uint64(16)) << np.uint64(8)) | choice).astype(np.int64)
+
+
+def upper_nodes(keys: np.ndarray, counts: np.ndarray, depth: int):
+    """What the nodes at depth ``NEAR - 1`` get from a bucket: node, sum of ln, zeros and ones."""
+    found = []
+    for part in slices(keys, depth):
+        level = levels(keys[part], counts[part], depth)
+        found += [(_parents(level, s), level.weighted[s], *level.n[s]) for s in range(8)]
+    if not found:
+        return [np.zeros(0, np.int64), *[np.zeros(0)] * 3]
+    node, *values = (np.concatenate(x) for x in zip(*found, strict=True))
+    nodes, at = np.unique(node, return_inverse=True)
+    return [nodes, *[np.bincount(at, v, len(nodes)) for v in values]]
+
+
+class Top:
+    """The upper levels as one step: a probability of the level of ``NEAR`` bytes below a node is
+    mixed with all nodes above it to a + b * probability."""
+
+    def __init__(self, node: np.ndarray, below: np.ndarray, n0: np.ndarray, n1: np.ndarray):
+        order = np.argsort(node)
+        self.node = node[order]
+        n, under = (n0[order], n1[order]), below[order]
+        self.a, self.b = np.zeros(len(node)), np.ones(len(node))
+        at, nodes = np.arange(len(node)), self.node
+        for _ in range(NEAR):
+            weighted, share = weigh(block_probability(*n), under)
+            one = (n[1] + 0.5) / (n[0] + n[1] + 1)
+            self.a, self.b = (1 - share[at]) * self.a + share[at] * one[at], (1 - share[at]) * self.b
+            nodes, up = np.unique(((nodes >> 16) << 8) | (nodes & 255), return_inverse=True)
+            n, under, at = tuple(np.bincount(up, x, len(nodes)) for x in n), np.bincount(up, weighted, len(nodes)), up[at]
+
+
+def code_digits(keys: np.ndarray, counts: np.ndarray, depth: int, top: Top) -> np.ndarray:
+    """-log10 probability of every string's byte after its context, in 2^-27 of a digit."""
+    out = np.empty(len(keys), np.uint32)
+    for part in slices(keys, depth):
+        upper = levels(keys[part], counts[part], depth)
+        chain = [upper]
+        while chain[-1].deeper is not None:
+            chain.append(chain[-1].deeper)
+        deepest = chain[-1]
+        places = [np.arange(len(deepest.keys), dtype=np.int32)]
+        for level in chain[-2::-1] if len(chain) > 1 else []:
+            places.append(level.up[places[-1]])
+        probability = np.ones(len(deepest.keys))
+        for step in range(8):
+            one = None
+            for level, place in zip(chain[::-1], places, strict=True):
+                node = level.node[step][place]
+                here = level.one[step][node]
+                one = here if one is None else one + level.share[step][node] * (here - one)
+            at = np.searchsorted(top.node, _parents(upper, step))[upper.node[step][places[-1]]]
+            one = top.a[at] + top.b[at] * one
+            probability *= np.where(deepest.bit(step), one, 1 - one)
+        out[part] = np.minimum(np.round(-np.log10(probability) * 2**27), 2**32 - 1).astype(np.uint32)
+    return out
+
+
+def _merge(depth: int, buckets: int):
+    def run(key, rows):
+        bucket, sizes = key[0].as_py(), rows["n"].to_pylist()
+        sent = [(np.cumsum(_restored(k, n, np.uint64), dtype=np.uint64), _restored(c, n, np.uint32).astype(np.int64)) for k, c, n in zip(rows["keys"].to_pylist(), rows["counts"].to_pylist(), sizes, strict=True)]
+        keys, counts = merged_counts([k for k, _ in sent], [c for _, c in sent])
+        del sent
+        upper = upper_nodes(keys, counts, depth) if bucket < buckets else [np.zeros(0, np.int64), *[np.zeros(0)] * 3]
+        nodes = pa.StructArray.from_arrays([pa.array(x) for x in upper], names=["node", "below", "n0", "n1"])
+        return pa.table({
+            "bucket": pa.array([bucket], pa.int32()), "n": pa.array([len(keys)], pa.int32()), "keys": [_in_order(keys)], "counts": [_squeezed(counts)], "total": [int(counts.sum())],
+            "known": [int((counts > 0).sum())], "nodes": pa.ListArray.from_arrays(pa.array([0, len(nodes)], pa.int32()), nodes),
+        })
+
+    return run
+
+
+def _answers(depth: int, buckets: int, top):
     def run(key, asked, model):
-        kind, bucket = key[0].as_py(), key[1].as_py()
-        out = {"batch": [], "answer": []}
-        if asked.num_rows and model.num_rows:
-            keys, counts = np.frombuffer(model["keys"][0].as_py(), np.uint64), np.frombuffer(model["counts"][0].as_py(), np.int64)
-            if kind == "string":
-                tree = Subtrees(keys, counts)
-                tree.context1 = (keys >> np.uint64(8 * DEPTH)).astype(np.int64)
-                values = tree.log10(top.value)
-            else:
-                values = counts.astype(float)
-            for number, own in zip(asked["batch"].to_pylist(), asked["keys"].to_pylist(), strict=True):
-                out["batch"].append(number)
-                out["answer"].append(values[np.searchsorted(keys, np.frombuffer(own, np.uint64))].astype(np.float64 if kind == "string" else np.int64).tobytes())
-        n = len(out["batch"])
-        return pa.table({"batch": pa.array(out["batch"], pa.int64()), "kind": pa.array([kind] * n, pa.string()), "bucket": pa.array([bucket] * n, pa.int32()), "answer": pa.array(out["answer"], pa.binary())})
+        bucket, n = key[0].as_py(), model["n"][0].as_py()
+        keys, values = np.cumsum(_restored(model["keys"][0].as_py(), n, np.uint64), dtype=np.uint64), _restored(model["counts"][0].as_py(), n, np.int64)
+        if bucket < buckets:
+            values = code_digits(keys, values, depth, top.value)
+        answers = []
+        for own, m in zip(asked["keys"], asked["n"].to_pylist(), strict=True):
+            own = np.cumsum(_restored(own.as_py(), m, np.uint64), dtype=np.uint64)
+            answers.append(_squeezed(values[np.searchsorted(keys, own)]))
+        return pa.table({"batch": asked["batch"], "bucket": asked["bucket"], "answer": pa.array(answers, pa.binary())})
 
     return run
 
 
-def _score(buckets: int, total: int, distinct: int):
-    unit = np.log10(total + 0.1 * (distinct + 1))
+def _sums(own: Keys, batch: Batch, values: list[np.ndarray]) -> list[np.ndarray]:
+    """Sums over every text of the values of its keys."""
+    out = [np.zeros(len(batch.ids)) for _ in values]
+    for row, data, offsets in batch.parts(1 << 18):
+        tokens, owner = own.tokens(data, offsets)
+        order = np.argsort(tokens)
+        at, m = np.searchsorted(own.keys, tokens[order]), len(offsets) - 1
+        for total, value in zip(out, values, strict=True):
+            total[row : row + m] += np.bincount(owner[order], value[at], m)
+    return out
+
+
+def _score(depth: int, buckets: int, word_buckets: int, total: int, known: int):
+    unit = np.log10(total + 0.1 * (known + 1))
 
     def run(key, rows, answers):
         del key
-        found = {(k, b): a for k, b, a in zip(answers["kind"].to_pylist(), answers["bucket"].to_pylist(), answers["answer"].to_pylist(), strict=True)}
-        out = []
-        for part in rows.combine_chunks().to_batches():
-            batch = Batch(part)
-            n = len(batch.ids)
-            sums = {c: np.zeros(n) for c in ("n_tokens", "n_known", "base", "score")}
-            for kind in TOKENS:
-                keys, _ = batch_keys(batch, kind)
-                values = np.zeros(len(keys))
-                for b, at in by_bucket(_bucket(keys, kind, buckets), buckets):
-                    values[at] = np.frombuffer(found[kind, b], np.float64 if kind == "string" else np.int64)
-                for row, data, offsets in batch.parts():
-                    tokens, owner = TOKENS[kind](data, offsets)
-                    m = len(offsets) - 1
-                    to = slice(row, row + m)
-                    if kind == "string":
-                        sums["score"][to] += sums_by_text(tokens, owner, keys, values, m)
-                    else:
-                        got = values[np.searchsorted(keys, tokens)]
-                        sums["n_tokens"][to] += np.bincount(owner, minlength=m)
-                        sums["n_known"][to] += np.bincount(owner, got > 0, m)
-                        sums["base"][to] += np.bincount(owner, np.log10(got + 0.1) - unit, m)
-            held = [None if k is None else bool(zlib.crc32(str(k).encode()) % 10 == 0) for k in batch.ids]
-            out.append(pa.table({
-                "doc_id": pa.array(batch.ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(sums["n_tokens"].astype(np.int64)), "n_known": pa.array(sums["n_known"].astype(np.int64)),
-                "train_tokens": pa.array(np.full(n, total, np.int64)), "base_score": pa.array(sums["base"]), "score": pa.array(sums["score"]), "n_bytes": pa.array(np.diff(np.concatenate(([0], batch.ends)))),
-            }))
-        return pa.concat_tables(out) if out else pa.table({c: pa.array([], t) for c, t in _RESULT.items()})
+        found = dict(zip(answers["bucket"].to_pylist(), answers["answer"].to_pylist(), strict=True))
+        batch = Batch(rows.combine_chunks().to_batches()[0])
+        sums = []
+        for levels_, n, first, kind in ((depth, buckets, 0, np.uint32), (0, word_buckets, buckets, np.int64)):
+            own = Keys(batch, levels_, n)
+            values = np.zeros(len(own.keys), kind)
+            for b, at in own.parts():
+                values[at] = _restored(found[first + b], len(at), kind)
+            wanted = [-(values / 2**27)] if levels_ else [np.ones(len(values)), values > 0, np.log10(values + 0.1) - unit]
+            sums += _sums(own, batch, wanted)
+        held = [None if k is None else bool(zlib.crc32(str(k).encode()) % 10 == 0) for k in batch.ids]
+        return pa.table({
+            "doc_id": pa.array(batch.ids, pa.int64()), "held_out": pa.array(held, pa.bool_()), "n_tokens": pa.array(sums[1].astype(np.int64)), "n_known": pa.array(sums[2].astype(np.int64)),
+            "train_tokens": pa.array(np.full(len(held), total, np.int64)), "base_score": pa.array(sums[3]), "score": pa.array(sums[0]), "n_bytes": pa.array(np.diff(np.concatenate(([0], batch.ends)))),
+        })
 
     return run
 
 
-_RESULT = {"doc_id": pa.int64(), "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_known": pa.int64(), "train_tokens": pa.int64(), "base_score": pa.float64(), "score": pa.float64(), "n_bytes": pa.int64()}
-
-
-def code_lengths(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+def code_lengths(docs: DataFrame, batch_bytes: int = BATCH_BYTES, depth: int = DEPTH) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score,
-    n_bytes and bits_per_byte (of the text and its end)."""
+    n_bytes and bits_per_byte (of the text and its end). ``depth`` is 3 to 7."""
+    if not NEAR <= depth <= 7:
+        raise ValueError(f"depth is {NEAR} to 7, not {depth}")
     spark = ship(docs.sparkSession)
-    batches, _ = packed(docs, batch_bytes)
-    n = batches.count()
-    buckets = bucket_count(n)
-    sent = saved(batches.mapInArrow(_send(buckets), KEYS), "keys")
-    slices = -(-n // FAN_IN)
-    sliced = sent.withColumn("slice", F.pmod(F.xxhash64("batch"), F.lit(max(1, slices))))
-    level, left = sliced, max(1, slices)
-    while True:
-        level = level.groupBy("kind", "bucket", "slice").applyInArrow(_merge, "kind string, bucket int, slice long, keys binary, counts binary, total long, distinct long")
-        if left == 1:
-            break
-        left = -(-left // FAN_IN)
-        level = level.select("kind", "bucket", F.pmod("slice", F.lit(left)).alias("slice"), "keys", "counts")
-    model = saved(level, "model")
-    size = model.where("kind = 'word'").agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("distinct"), F.lit(0))).first()
-    nodes = model.where("kind = 'string'").select("keys", "counts").mapInArrow(_upper, "node long, below double, n0 double, n1 double")
-    top = top_levels(nodes.groupBy("node").agg(F.sum("below").alias("below"), F.sum("n0").alias("n0"), F.sum("n1").alias("n1")).toPandas())
-    shared = spark.sparkContext.broadcast(top)
-    copies = model.select("kind", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(max(1, slices) - 1).cast("long"))).alias("slice"), "keys", "counts")
-    answers = (
-        sliced.select("kind", "bucket", "slice", "batch", "keys").groupBy("kind", "bucket", "slice")
-        .cogroup(copies.groupBy("kind", "bucket", "slice")).applyInArrow(_answers(shared), "batch long, kind string, bucket int, answer binary")
-    )
+    batches, size = packed(docs, batch_bytes)
+    buckets = max(32, size // BUCKET_BYTES + 1)
+    word_buckets = max(8, buckets // 8)
+    sent = saved_by(batches.mapInArrow(_send(depth, buckets, word_buckets), _SENT), "bucket", buckets + word_buckets)
+    model = saved_by(sent.groupBy("bucket").applyInArrow(_merge(depth, buckets), _MODEL), "bucket", buckets + word_buckets)
+    words = model.where(F.col("bucket") >= buckets).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
+    nodes = model.select(F.inline("nodes")).groupBy("node").agg(*[F.sum(c).alias(c) for c in ("below", "n0", "n1")])
+    upper = saved(nodes, "upper").toPandas()
+    top = spark.sparkContext.broadcast(Top(*[upper[c].to_numpy() for c in ("node", "below", "n0", "n1")]))
+    answers = sent.select("batch", "bucket", "n", "keys").groupBy("bucket").cogroup(model.select("bucket", "n", "keys", "counts").groupBy("bucket")).applyInArrow(_answers(depth, buckets, top), _ANSWER)
     found = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
-        _score(buckets, size[0], size[1]), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
+        _score(depth, buckets, word_buckets, *words), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
     )
     return found.withColumn("bits_per_byte", -F.col("score") / (F.log10(F.lit(2.0)) * (F.col("n_bytes") + 1)))
 
