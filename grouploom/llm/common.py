@@ -51,6 +51,25 @@ def saved_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+def hot_copies(rows: DataFrame, key: str) -> DataFrame:
+    """(key, copies) of the keys with over a thousandth of the rows; at most a thousand keys, and
+    two thousand copies."""
+    least = rows.count() // 1000 + 1
+    return saved(rows.groupBy(key).count().where(F.col("count") > least).select(key, F.ceil(F.col("count") / least).cast("int").alias("copies")), "hot")
+
+
+def dealt(rows: DataFrame, key: str, hot: DataFrame, salt: str) -> DataFrame:
+    """``rows`` with a number ``salt`` that spreads the rows of hot keys."""
+    others = [c for c in rows.columns if c != key]
+    return rows.join(F.broadcast(hot), key, "left").withColumn(salt, F.coalesce(F.pmod(F.xxhash64(*others), F.col("copies")), F.lit(0)).cast("int")).drop("copies")
+
+
+def copied(unique: DataFrame, key: str, hot: DataFrame, salt: str) -> DataFrame:
+    """``unique``, one row per key, with a copy for each ``salt`` of a hot key."""
+    every = F.sequence(F.lit(0), F.coalesce("copies", F.lit(1)) - 1)
+    return unique.join(F.broadcast(hot), key, "left").withColumn(salt, F.explode(every)).drop("copies")
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

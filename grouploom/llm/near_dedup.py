@@ -3,8 +3,8 @@
 Two collections of ``side`` half keys of ``HALF`` minhashes each are computed per text; table
 (i, j) is keyed by half key i of the first and half key j of the second collection. So
 side * side tables of 2 * HALF minhashes cost 2 * side * HALF minhashes instead of
-2 * HALF * side * side. ``sides`` chooses side by the bound on similarity. Documents that share a key are candidates; every link is confirmed on the
-full shingle sets.
+2 * HALF * side * side. ``sides`` chooses side by the bound on similarity. Documents that share a
+key are candidates; every link is confirmed on the full shingle sets.
 
 Candidates of one key are not paired with one another. A first pass compares the members of a key
 with its least document, a second with its most typical member (of a group of edited copies, the
@@ -15,6 +15,8 @@ only pairs that could be linked; so no candidate is dropped.
 Defined results: texts without words (null, empty, white space) have no shingles and link with
 nothing. Documents with equal sets are one class and are compared once. Rows that repeat a doc_id
 are one node: their links are those of the id. Rows without doc_id are kept and link with nothing.
+Very long texts give whole sets. A component is named by its smallest doc_id, so ties don't arise.
+An empty table gives no rows; extra columns take no part.
 """
 
 from __future__ import annotations
@@ -24,8 +26,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import lowered, mixed, saved, table, text_parts, word_hashes, words_of
 from ..session import ship
+from .common import copied, dealt, hot_copies, lowered, mixed, saved, table, text_parts, word_hashes, words_of
 from .components import roots
 
 HALF = 3
@@ -175,10 +177,15 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
         .where(F.least("nu", "nv") * 100 >= F.greatest("nu", "nv") * percent)
         .select("u", "v").distinct()
     )
+    near = saved(near, "near")
+    # a centre has a pair with every member of its group: its set is copied, its pairs are spread
+    hot_u, hot_v = hot_copies(near, "u"), hot_copies(near, "v")
+    near = dealt(dealt(near, "u", hot_u, "su"), "v", hot_v, "sv")
+    left = copied(n.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("members").alias("mu")), "u", hot_u, "su")
+    right = copied(n.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("members").alias("mv")), "v", hot_v, "sv")
     common = F.size(F.array_intersect("mu", "mv"))
     return (
-        near.join(n.select(F.col("node").alias("u"), F.col("n").alias("nu"), F.col("members").alias("mu")), "u")
-        .join(n.select(F.col("node").alias("v"), F.col("n").alias("nv"), F.col("members").alias("mv")), "v")
+        near.join(left, ["u", "su"]).join(right, ["v", "sv"])
         .where(common * 100 >= (F.col("nu") + F.col("nv") - common) * percent)
         .select("u", "v").distinct()
     )
