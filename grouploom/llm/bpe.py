@@ -7,7 +7,9 @@ rank. A merge rewrites two leaves and their paths to the root, until the root ho
 trees of all new words of a batch with equal width are updated together as NumPy arrays.
 
 Defined results: a null text counts as empty and gives no ids. Strings of special tokens in a text
-become those tokens, as in the library. Extra columns take no part.
+become those tokens, as in the library. Very long texts are encoded whole; a word of more than 4096
+bytes takes the same steps on a tree of its own. Repeated rows are encoded each; of pairs of equal
+rank the leftmost is merged first. An empty table gives no rows. Extra columns take no part.
 """
 
 from __future__ import annotations
@@ -15,6 +17,7 @@ from __future__ import annotations
 import hashlib
 import json
 import unicodedata
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
@@ -87,6 +90,11 @@ class Vocabulary:
         self.first = np.array([self.ids[x] for x in letters], np.int64)
         self.final = np.array([self.ids[x + self.suffix] for x in letters], np.int64)
 
+    @cached_property
+    def merges(self) -> dict[int, tuple[int, int]]:
+        """Pair -> rank and merged id, for words that are merged one by one."""
+        return dict(zip(self.pair.tolist(), zip(self.rank.tolist(), self.made.tolist(), strict=True), strict=True))
+
     def look_up(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Rank and merged id of every pair; NONE where the two don't merge (or one is absent)."""
         pair = (left << np.int64(20)) | right
@@ -156,7 +164,7 @@ class Vocabulary:
         ids[-1] = self.final[word[-1]]
         ranks = self.look_up(ids[:-1], ids[1:])[0].tolist()
         ids, n = ids.tolist(), len(ids)
-        table = dict(zip(self.pair.tolist(), zip(self.rank.tolist(), self.made.tolist(), strict=True), strict=True))
+        table = self.merges
         leaves = 1 << (n - 1).bit_length()
         worst = (int(NONE), 0)
         tree = [worst] * (2 * leaves)

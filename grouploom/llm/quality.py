@@ -8,7 +8,9 @@ features.
 
 Defined results: null and empty texts have all features 0 and are scored like any other. Labelled
 rows without a quality are left out; repeated ones count as often as they occur. Without labelled
-rows of both classes every score is the smoothed share of label 1. Extra columns take no part.
+rows of both classes every score is the smoothed share of label 1. Very long texts are counted
+whole. A score of exactly 0.5 counts as label 1; of equally good cuts the first is taken. An empty
+table gives no rows. Extra columns take no part.
 """
 
 from __future__ import annotations
@@ -268,7 +270,8 @@ def training_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE)
 def fit(found: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveModel:
     """Fits on at most ``sample`` labelled rows outside the held-out third, least hash first."""
     chosen = _chosen(labels, sample)
-    rows = chosen.join(found.select("doc_id", "x"), F.col("labelled") == F.col("doc_id")).select("labelled", "y", "x").toPandas()
+    own = found.select("doc_id", "x").join(F.broadcast(chosen.select("labelled").distinct()), F.col("doc_id") == F.col("labelled"), "left_semi")
+    rows = chosen.join(own, F.col("labelled") == F.col("doc_id")).select("labelled", "y", "x").toPandas()
     rows["order"] = [tuple(v) for v in rows.x]
     rows = rows.sort_values(["labelled", "y", "order"])
     x = np.array(rows.x.tolist(), float).reshape(len(rows), len(NAMES))

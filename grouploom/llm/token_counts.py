@@ -8,7 +8,9 @@ before it and the last separator before it, which stitches documents that cross
 
 Defined results: a document without ids between two separators has 0 tokens. Ids after a file's
 last separator are a last document with ``ended`` false. An empty file has no documents. For
-tables of documents, null texts count as empty and special strings are ordinary text.
+tables of documents, null texts count as empty and special strings are ordinary text; very long
+texts are encoded whole and may fill many blocks; repeated rows are counted each; an empty table
+gives no rows; extra columns take no part. Vocabularies whose ids exceed 65,535 are refused.
 """
 
 from __future__ import annotations
@@ -45,7 +47,11 @@ def token_files(docs: DataFrame, ranks_path: str, pattern: str, separator: int)
     doc_ids in its order (file, first_no, docs)."""
     spark = ship(docs.sparkSession)
     with open(ranks_path, "rb") as file:
-        ranks = spark.sparkContext.broadcast(file.read())
+        content = file.read()
+    largest = max(separator, *(int(line.split()[1]) for line in content.splitlines() if line))
+    if largest > 65_535:
+        raise ValueError(f"id {largest} doesn't fit a file of 16-bit ids")
+    ranks = spark.sparkContext.broadcast(content)
     docs = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
 
     def rows(file, blocks, first, names):

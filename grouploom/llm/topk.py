@@ -14,7 +14,8 @@ blocks of bounded size.
 Defined results: vectors that are null, or hold null or non-finite components, take no part as
 queries or candidates. Shorter vectors are as if padded by zeros. Ties go to the smaller vec_id.
 A query never finds rows of its own vec_id. Rows that repeat a vec_id are candidates of their own;
-repeated query rows give one answer, that of the row with the least vector.
+repeated query rows give one answer, that of the row with the least vector. Empty tables give no
+rows; extra columns take no part.
 """
 
 from __future__ import annotations
@@ -76,7 +77,7 @@ def block_top(queries: np.ndarray, query_ids: np.ndarray, rows: np.ndarray, ids:
 def top_k(queries: DataFrame, rows: DataFrame, k: int) -> DataFrame:
     """query_id, rank, vec_id, score; both tables have id (long) and v (array<long>)."""
     ship(rows.sparkSession)
-    rows, queries = saved(rows, "rows"), saved(queries, "queries")
+    rows, queries = saved(rows.select("id", "v"), "rows"), saved(queries.select("id", "v"), "queries")
     row_blocks, query_blocks = rows.count() // CANDIDATES + 1, queries.count() // QUERIES + 1
     # every block meets every block of queries: copies are dealt by the pair of block numbers
     dealt = rows.select(F.pmod(F.xxhash64("id", "v"), F.lit(row_blocks)).alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(query_blocks - 1))).alias("qb"), "id", "v")
