@@ -29,11 +29,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .batches import BATCH_BYTES, Batch, bucket_of, from_planes, merged_counts, packed, planes
+from .batches import Batch, bucket_of, from_planes, merged_counts, packed, planes
 from .common import lowered, saved, saved_by, table, word_hashes, words_of
 
-#: Context bytes; a string of context and byte fits 64 bits.
-DEPTH = 7
+#: Context bytes; a string of context and byte fits 64 bits, so at most 7.
+DEPTH = 6
+#: Bytes of text in a batch.
+BATCH_BYTES = 8 << 20
 #: The strings of a bucket share their nearest context bytes.
 NEAR = 3
 #: Bytes of the corpus per bucket of strings.
@@ -93,15 +95,19 @@ class Keys:
 
     def __init__(self, batch: Batch, depth: int, buckets: int):
         self.depth = depth
-        training, found = is_training(batch.ids), ([], [])
+        training = is_training(batch.ids)
+        n = len(batch.data) + len(batch.ids)  # there are at most as many tokens
+        found, ends = np.empty(n, np.uint64), [0, n]
         for row, data, offsets in batch.parts():
             keys, owner = self.tokens(data, offsets)
             own = training[row + owner]
-            found[0].append(keys[own])
-            found[1].append(keys[~own])
-        none = np.zeros(0, np.uint64)
-        own, times = distinct(np.concatenate([none, *found[0]]))
-        others, _ = distinct(np.concatenate([none, *found[1]]))
+            m = int(np.count_nonzero(own))
+            # keys of training texts from the front, others from the back
+            found[ends[0] : ends[0] + m], found[ends[1] - (len(keys) - m) : ends[1]] = keys[own], keys[~own]
+            ends = [ends[0] + m, ends[1] - (len(keys) - m)]
+        own, times = distinct(found[: ends[0]])
+        others, _ = distinct(found[ends[1] :])
+        del found
         at = np.searchsorted(own, others)
         new = np.append(own, np.uint64(0))[at] != others
         new |= at == len(own)
