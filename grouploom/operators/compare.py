@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import argmax, confusion, per_class
+from .ordering import numbered, quantiles, value_ranks
+from .resample import interval
 
 
 def prediction_table(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -24,8 +26,9 @@ def strata_report(rows: DataFrame, keys: list[str], classes: int) -> DataFrame:
 
 def size_edges(train: DataFrame) -> DataFrame:
     """Tertile edges, linear between ranks, of the training rows."""
-    q = F.percentile("size", F.array(F.lit(1 / 3), F.lit(2 / 3)))
-    return train.agg(q.alias("q"), F.count("*").alias("n"), F.min("size").alias("least"), F.max("size").alias("most")).select(F.element_at("q", 1).alias("low"), F.element_at("q", 2).alias("high"), "n", "least", "most")
+    rows = train.select(F.lit("all").alias("of"), "size")
+    edges = quantiles(rows, ["of"], "size", {"low": 1 / 3, "high": 2 / 3, "least": 0.0, "most": 1.0})
+    return edges.select("low", "high", "n", "least", "most")
 
 
 def weighted_cross_entropy(rows: DataFrame, keys: list[str], weights: list[float], floor: float = 1e-12) -> DataFrame:
@@ -58,21 +61,33 @@ def seed_spread(long: DataFrame, keys: list[str]) -> DataFrame:
     return long.groupBy(*keys).agg(F.avg("value").alias("mean"), std.alias("std"), n.alias("n"))
 
 
-def report_table(long: DataFrame, row: str, metrics) -> DataFrame:
-    """One row per model, <metric>_mean and <metric>_std columns."""
+def report_table(long: DataFrame, keys: list[str], metrics) -> DataFrame:
+    """One row per key, <metric>_mean and <metric>_std columns."""
     columns = []
     for m in metrics:
         value = F.when(F.col("metric") == m, F.col("value"))
         columns += [F.avg(value).alias(f"{m}_mean"), F.stddev_samp(value).alias(f"{m}_std")]
-    return long.groupBy(row).agg(*columns)
+    return long.groupBy(*keys).agg(*columns)
+
+
+def paired_intervals(means: DataFrame, baseline: str) -> DataFrame:
+    """pair, metric, ci_low, ci_high, frac_a_greater, n_valid over resamples (model, b, metric,
+    value): every pair of models, and every model against the baseline."""
+    other = means.select(F.col("model").alias("other"), "b", "metric", F.col("value").alias("less"))
+    both = means.join(other, ["b", "metric"]).where((F.col("model") != baseline) & ((F.col("other") == baseline) | (F.col("model") < F.col("other"))))
+    gaps = both.select(F.concat(F.col("model"), F.lit("_vs_"), F.col("other")).alias("pair"), "b", "metric", (F.col("value") - F.col("less")).alias("value"))
+    bounds = interval(gaps, ["pair", "metric"]).select("pair", "metric", F.col("low").alias("ci_low"), F.col("high").alias("ci_high"), "n_valid")
+    greater = gaps.groupBy("pair", "metric").agg(F.avg((F.col("value") > 1e-12).cast("double")).alias("frac_a_greater"))
+    return bounds.join(greater, ["pair", "metric"])
 
 
 def latency_summary(timings: DataFrame, key: str) -> DataFrame:
-    """Median, and the value at sorted index round(0.9 * (n - 1)), by ranks instead of a list."""
-    w = Window.partitionBy(key)
-    ranked = timings.select(key, "ms", F.row_number().over(w.orderBy("ms")).alias("k"), F.count("*").over(w).alias("n"))
-    at = F.bround(F.lit(0.9) * (F.col("n") - 1), 0) + 1
-    return ranked.groupBy(key).agg(F.count("*").alias("n"), F.percentile("ms", F.lit(0.5)).alias("median"), F.max(F.when(F.col("k") == at, F.col("ms"))).alias("p90"))
+    """Median, and the value at sorted index round(0.9 * (n - 1)), by places instead of a list."""
+    ranks = value_ranks(timings, [key], "ms")
+    at = F.bround(F.lit(0.9) * (F.col("n") - 1), 0)
+    take = lambda k: F.max(F.when((F.col("low") <= k) & (k <= F.col("high")), F.col("ms")))
+    middle = F.lit(0.5) * (F.col("n") - 1)
+    return ranks.groupBy(key).agg(F.max("n").alias("n"), ((take(F.floor(middle)) + take(F.ceil(middle))) / 2).alias("median"), take(at).alias("p90"))
 
 
 def bars(mean: DataFrame, bounds: DataFrame) -> DataFrame:
@@ -82,10 +97,16 @@ def bars(mean: DataFrame, bounds: DataFrame) -> DataFrame:
     return joined.select("model", "metric", "mean", F.coalesce(F.col("mean") - F.col("low"), zero).alias("below"), F.coalesce(F.col("high") - F.col("mean"), zero).alias("above"))
 
 
-def order_digest(rows: DataFrame, keys: list[str], order: str, line: Column) -> DataFrame:
-    """md5 of a group's lines in order."""
-    pairs = F.sort_array(F.collect_list(F.struct(F.col(order).alias("o"), line.alias("line"))))
-    return rows.groupBy(*keys).agg(F.md5(F.array_join(F.transform(pairs, lambda x: x["line"]), ",").cast("binary")).alias("digest"))
+def order_digest(rows: DataFrame, keys: list[str], order: str, line: Column, width: int = 1000) -> DataFrame:
+    """A digest of a group's lines in order: md5 of the md5s of ``width`` lines each, so that no
+    task holds a whole group."""
+    own = rows.select(*keys, F.col(order).alias("__order"), line.alias("__line"))
+    n = numbered(own, "__n", *[F.col(k) for k in keys], F.col("__order"), F.col("__line"))
+    first = n.groupBy(*keys).agg(F.min("__n").alias("__first"))
+    block = F.floor((F.col("__n") - F.col("__first")) / width)
+    joined = lambda c: F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["line"]), ",").cast("binary"))
+    blocks = n.join(first, keys).groupBy(*keys, block.alias("__block")).agg(joined(F.struct("__n", F.col("__line").alias("line"))).alias("__md5"))
+    return blocks.groupBy(*keys).agg(joined(F.struct("__block", F.col("__md5").alias("line"))).alias("digest"))
 
 
 def registration_status(found: DataFrame, registered: DataFrame, keys: list[str]) -> DataFrame:
@@ -159,5 +180,5 @@ def best_so_far(history: DataFrame, patience: int, min_delta: float = 0.0) -> Da
 
 def ranked_candidates(rows: DataFrame, order: list[Column], keep: list[str]) -> DataFrame:
     """Candidates by a complete key order; the first is selected."""
-    place = F.row_number().over(Window.orderBy(*order))
-    return rows.select(*keep, place.alias("place")).withColumn("selected", F.col("place") == 1)
+    placed = numbered(rows, "place", *order)
+    return placed.select(*keep, F.col("place").cast("int").alias("place")).withColumn("selected", F.col("place") == 1)

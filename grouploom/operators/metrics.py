@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .ordering import ranged, stored, with_earlier
+
 EPS64 = 2.220446049250313e-16
 
 
@@ -81,35 +83,56 @@ def one_vs_rest(rows: DataFrame, keys: list[str], weight: Column | None = None)
     return spread.groupBy(*keys, "class", "score").agg(F.sum(F.when(is_class, F.col("w")).otherwise(0)).alias("pos"), F.sum(F.when(is_class, 0).otherwise(F.col("w"))).alias("neg"))
 
 
+def below_scores(scores: DataFrame, keys: list[str]) -> DataFrame:
+    """``scores`` with ``pos_below`` and ``neg_below``, the counts at lower scores, and ``lower``,
+    the counts of the next lower score. Ranges of scores are summed first, so a class may have any
+    number of distinct scores."""
+    own = [*keys, "class"]
+    parts = ranged(scores, *own, "score")
+    parts = with_earlier(parts, own, {"__pos": F.sum("pos"), "__neg": F.sum("neg")}, F.max_by(F.struct("pos", "neg"), "score"))
+    within = Window.partitionBy(*own, "__part").orderBy("score")
+    before = lambda c: F.coalesce(F.sum(c).over(within.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    return parts.select(
+        *own, "score", "pos", "neg", (F.col("__pos") + before("pos")).alias("pos_below"), (F.col("__neg") + before("neg")).alias("neg_below"),
+        F.coalesce(F.lag(F.struct("pos", "neg")).over(within), "__before").alias("lower"), "__part",
+    )
+
+
 def auc(scores: DataFrame, keys: list[str]) -> DataFrame:
     """keys, class, auc (null when a side is absent), positives: rank statistic, half credit for
     ties, over distinct scores only."""
-    below = Window.partitionBy(*keys, "class").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)
-    ranked = scores.withColumn("under", F.coalesce(F.sum("neg").over(below), F.lit(0)))
     p, n = F.sum("pos"), F.sum("neg")
-    area = F.sum((F.col("under") + F.col("neg") / 2) * F.col("pos"))
-    return ranked.groupBy(*keys, "class").agg(F.when((p > 0) & (n > 0), area / (p * n)).alias("auc"), p.alias("positives"))
+    area = F.sum((F.col("neg_below") + F.col("neg") / 2) * F.col("pos"))
+    return below_scores(scores, keys).groupBy(*keys, "class").agg(F.when((p > 0) & (n > 0), area / (p * n)).alias("auc"), p.alias("positives"))
 
 
 def roc_points(scores: DataFrame, keys: list[str]) -> DataFrame:
     """keys, class, k, fpr, tpr, threshold: thresholds descend from infinity; points on a line with
     both neighbours are dropped."""
-    part = Window.partitionBy(*keys, "class")
-    down = part.orderBy(F.desc("score"))
-    run = down.rowsBetween(Window.unboundedPreceding, 0)
-    c = scores.select(*keys, "class", "score", F.sum("pos").over(run).alias("tp"), F.sum("neg").over(run).alias("fp"), F.sum("pos").over(part).alias("P"), F.sum("neg").over(part).alias("N"))
-    bend = lambda x: F.lead(x).over(down) - 2 * F.col(x) + F.lag(x).over(down)
-    kept = c.select("*", F.coalesce((bend("tp") != 0) | (bend("fp") != 0), F.lit(True)).alias("keep")).where("keep")
-    points = kept.select(*keys, "class", (F.col("fp") / F.col("N")).alias("fpr"), (F.col("tp") / F.col("P")).alias("tpr"), F.col("score").alias("threshold"))
-    origin = scores.select(*keys, "class").distinct().select(*keys, "class", F.lit(0.0).alias("fpr"), F.lit(0.0).alias("tpr"), F.lit(float("inf")).alias("threshold"))
-    return points.unionByName(origin).select(*keys, "class", (F.row_number().over(down.partitionBy(*keys, "class").orderBy(F.desc("threshold"))) - 1).cast("bigint").alias("k"), "fpr", "tpr", "threshold")
+    own = [*keys, "class"]
+    c = below_scores(scores, keys)
+    sizes = scores.groupBy(*own).agg(F.sum("pos").alias("P"), F.sum("neg").alias("N"), F.max("score").alias("most"))
+    c = c.join(sizes, own)
+    # the next point adds what this one has: all three lie on a line
+    straight = (F.col("lower.pos") == F.col("pos")) & (F.col("lower.neg") == F.col("neg"))
+    kept = c.where((F.col("score") == F.col("most")) | ~F.coalesce(straight, F.lit(False)))
+    fpr, tpr = (F.col("N") - F.col("neg_below")) / F.col("N"), (F.col("P") - F.col("pos_below")) / F.col("P")
+    kept = stored(kept.select(*own, "score", fpr.alias("fpr"), tpr.alias("tpr"), "__part"), "points")
+    placed = with_earlier(kept, own, {"__less": F.count("*")})
+    lower = F.col("__less") + F.row_number().over(Window.partitionBy(*own, "__part").orderBy("score")) - 1
+    totals = kept.groupBy(*own).agg(F.count("*").alias("__all"))
+    points = placed.withColumn("__lower", lower).join(totals, own).select(*own, (F.col("__all") - F.col("__lower")).cast("bigint").alias("k"), "fpr", "tpr", F.col("score").alias("threshold"))
+    zero = F.lit(0.0)
+    origin = totals.select(*own, F.lit(0).cast("bigint").alias("k"), zero.alias("fpr"), zero.alias("tpr"), F.lit(float("inf")).alias("threshold"))
+    return points.unionByName(origin)
 
 
 def macro_roc(points: DataFrame, keys: list[str], grid: int = 200) -> DataFrame:
     """keys, k, fpr, tpr: the class mean of curves interpolated at ``grid`` even places. A segment
     makes the places that it covers, so the job grows with the points, not points times grid."""
-    part = Window.partitionBy(*keys, "class").orderBy("k")
-    seg = points.select(*keys, "class", "fpr", "tpr", F.lead("fpr").over(part).alias("fpr2"), F.lead("tpr").over(part).alias("tpr2"))
+    points = stored(points.select(*keys, "class", "k", "fpr", "tpr"), "points")
+    after = points.select(*keys, "class", (F.col("k") - 1).alias("k"), F.col("fpr").alias("fpr2"), F.col("tpr").alias("tpr2"))
+    seg = points.join(after, [*keys, "class", "k"], "left")
     last = F.col("fpr2").isNull()
     m = grid - 1
     lo = F.ceil(F.col("fpr") * m - 1e-9)

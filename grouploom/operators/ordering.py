@@ -13,37 +13,66 @@ from pyspark.sql import functions as F
 from ..sources.tables import scratch_path
 
 
-def ranged(df: DataFrame, *order: Column) -> DataFrame:
+def stored(df: DataFrame, name: str = "stored") -> DataFrame:
+    """``df`` written in the shared folder and read again."""
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def ranged(df: DataFrame, *order) -> DataFrame:
     """``df`` with ``__part``, a number that rises with the order; parts are written once.
 
     Rows that agree in ``order`` lie in one part, so a key that many rows share needs further
     columns that tell them apart."""
-    path = scratch_path(df.sparkSession, "ranged")
-    parts = df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id())
-    parts.write.parquet(path)
-    return df.sparkSession.read.schema(parts.schema).parquet(path)
-
-
-def with_offsets(parts: DataFrame, sums: dict[str, Column], *keys: str) -> DataFrame:
-    """``parts`` with, for each name in ``sums``, the aggregate over all earlier parts (of the same
-    keys); parts of a key are as many as its tasks, so their window is small."""
-    totals = parts.groupBy(*keys, "__part").agg(*[c.alias(n) for n, c in sums.items()])
-    before = Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__p"), *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(n) for n in sums])
-    same = (F.col("__part") == F.col("__p")) if not keys else F.lit(True)
+    return stored(df.repartitionByRange(*order).withColumn("__part", F.spark_partition_id()), "ranged")
+
+
+def with_earlier(parts: DataFrame, keys: list[str], earlier: dict[str, Column], last: Column | None = None) -> DataFrame:
+    """``parts`` with, for each name in ``earlier``, the sum over the key's earlier parts, and the
+    ``last`` aggregate of the part before. A key has at most as many parts as there are tasks, so
+    windows over parts are small."""
+    totals = parts.groupBy(*keys, "__part").agg(*[c.alias(n) for n, c in earlier.items()], (F.lit(None) if last is None else last).alias("__last"))
+    by_part = Window.partitionBy(*keys).orderBy("__part")
+    sums = [F.coalesce(F.sum(n).over(by_part.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias(n) for n in earlier]
+    before = totals.select(*[F.col(k).alias(f"__{k}") for k in keys], F.col("__part").alias("__p"), *sums, F.lag("__last").over(by_part).alias("__before"))
+    same = F.col("__part") == F.col("__p")
     for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"__{k}")) & (F.col("__part") == F.col("__p"))
-    return parts.join(offsets, same, "left").drop("__p", *[f"__{k}" for k in keys])
+        same = same & F.col(k).eqNullSafe(F.col(f"__{k}"))
+    return parts.join(before, same).drop("__p", *[f"__{k}" for k in keys])
 
 
 def numbered(df: DataFrame, name: str, *order: Column) -> DataFrame:
     """``df`` with its place ``name`` (from 1) in the order."""
     parts = ranged(df, *order)
-    counts = sorted(parts.groupBy("__part").count().collect())
     starts, rows = [], 0
-    for part, n in counts:
+    for part, n in sorted(parts.groupBy("__part").count().collect()):
         starts.append((part, rows))
         rows += n
     table = df.sparkSession.createDataFrame(starts, "__part int, __start long")
     place = F.row_number().over(Window.partitionBy("__part").orderBy(*order))
     return parts.join(F.broadcast(table), "__part").withColumn(name, F.col("__start") + place).drop("__part", "__start")
+
+
+def value_ranks(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
+    """keys, value, low, high, n: the places (from 0) that a value fills among its key's n values
+    in order. Equal values collapse before the shuffle; nulls are left out."""
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count("*").alias("__count"))
+    parts = with_earlier(ranged(counts, *keys, value), keys, {"__rows": F.sum("__count")})
+    within = Window.partitionBy(*keys, "__part").orderBy(value)
+    last = F.col("__rows") + F.sum("__count").over(within) - 1
+    totals = parts.groupBy(*keys).agg(F.sum("__count").alias("n"))
+    placed = parts.select(*keys, value, (last - F.col("__count") + 1).alias("low"), last.alias("high"))
+    return placed.join(totals, keys) if keys else placed.crossJoin(F.broadcast(totals))
+
+
+def quantiles(rows: DataFrame, keys: list[str], value: str, places: dict[str, float]) -> DataFrame:
+    """keys, n, and exact quantiles, linear between neighbours; no task holds all values of a key."""
+    ranks = value_ranks(rows, keys, value)
+    columns = []
+    for name, p in places.items():
+        at = F.lit(float(p)) * (F.col("n") - 1)
+        take = lambda k: F.max(F.when((F.col("low") <= k) & (k <= F.col("high")), F.col(value)))
+        below, above = take(F.floor(at)), take(F.ceil(at))
+        columns.append((below + (above - below) * F.max(at - F.floor(at))).alias(name))
+    return ranks.groupBy(*keys).agg(F.max("n").alias("n"), *columns)

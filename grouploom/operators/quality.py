@@ -7,9 +7,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import quantiles
+
 
 def violations(*parts: DataFrame) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
@@ -99,8 +101,7 @@ def missing_combinations(rows: DataFrame, splits: list[str], labels: list[int])
 
 def percentile_profile(rows: DataFrame, value: str, keys: list[str], places=(0.0, 0.05, 0.5, 0.95, 1.0)) -> DataFrame:
     names = ("least", "p5", "median", "p95", "most")
-    q = rows.groupBy(*keys).agg(F.percentile(value, F.array(*[F.lit(x) for x in places])).alias("q"), F.count(value).alias("n"))
-    return q.select(*keys, "n", *[F.element_at("q", k + 1).alias(name) for k, name in enumerate(names)])
+    return quantiles(rows, keys, value, dict(zip(names, places, strict=True)))
 
 
 def pixel_moments(rows: DataFrame) -> DataFrame:
@@ -127,9 +128,9 @@ def check_summary(checks: list[tuple[str, DataFrame, Column, str]]) -> DataFrame
     parts = []
     for name, rows, bad, key in checks:
         failed = F.coalesce(bad, F.lit(True))
-        offenders = F.slice(F.sort_array(F.collect_list(F.when(F.col("k") <= 5, F.col("key")))), 1, 5)
+        offenders = F.sort_array(F.collect_list("key"))
         marked = rows.select(failed.alias("failed"), F.col(key).cast("bigint").alias("key"))
         counts = marked.agg(F.count("*").alias("n_checked"), F.count_if("failed").alias("n_failed"))
-        first = marked.where("failed").select("key", F.row_number().over(Window.orderBy("key")).alias("k")).where("k <= 5").agg(offenders.alias("offenders"))
+        first = marked.where("failed").select("key").orderBy("key").limit(5).agg(offenders.alias("offenders"))
         parts.append(counts.crossJoin(first).select(F.lit(name).alias("check"), (F.col("n_failed") == 0).alias("passed"), "n_checked", "n_failed", F.array_join(F.col("offenders").cast("array<string>"), ",").alias("offenders")))
     return violations(*parts)

@@ -120,17 +120,29 @@ def quantized(image: Column, levels: int = 32) -> Column:
 def cooccurrence(samples: DataFrame, levels: int = 32) -> DataFrame:
     """sample_id, d, a, i, j, n: symmetric counts of level pairs of mask pixels at an offset.
 
-    Only mask pixels are spread out, with two bytes of position; both sides of the pixel join are
-    dealt by sample, row and column."""
+    Neighbours are looked up in the row's own arrays; only pairs of levels are spread out, and they
+    are counted before the shuffle."""
     base = with_normalized(samples).select("sample_id", "width", quantized(F.col("image_normalized"), levels).alias("q"), "tumor_mask")
-    spread = base.select("sample_id", "width", "tumor_mask", F.posexplode("q").alias("pos", "q")).where(F.element_at("tumor_mask", F.col("pos") + 1) == 1)
-    px = spread.select("sample_id", F.floor(F.col("pos") / F.col("width")).cast("int").alias("r"), (F.col("pos") % F.col("width")).cast("int").alias("c"), "q")
     steps = {0: (0, 1), 45: (-1, 1), 90: (-1, 0), 135: (-1, -1)}
-    offsets = F.array(*[F.struct(F.lit(d).alias("d"), F.lit(a).alias("a"), F.lit(steps[a][0] * d).alias("dr"), F.lit(steps[a][1] * d).alias("dc")) for d in DISTANCES for a in ANGLES])
-    moved = px.select("sample_id", "r", "c", F.col("q").alias("i"), F.explode(offsets).alias("o")).select("sample_id", (F.col("r") + F.col("o.dr")).alias("r"), (F.col("c") + F.col("o.dc")).alias("c"), "i", "o.d", "o.a")
-    pairs = moved.join(px.withColumnRenamed("q", "j"), ["sample_id", "r", "c"])
-    both = pairs.select("sample_id", "d", "a", F.explode(F.array(F.struct(F.col("i").alias("i"), F.col("j").alias("j")), F.struct(F.col("j").alias("i"), F.col("i").alias("j")))).alias("p"))
-    return both.groupBy("sample_id", "d", "a", F.col("p.i").alias("i"), F.col("p.j").alias("j")).agg(F.count("*").alias("n"))
+    width, q, mask = F.col("width"), F.col("q"), F.col("tumor_mask")
+    places = F.filter(F.sequence(F.lit(0), F.size("q") - 1), lambda k: F.element_at(mask, k + 1) == 1)
+
+    def at_offset(d: int, a: int) -> Column:
+        dr, dc = steps[a][0] * d, steps[a][1] * d
+        to = lambda k: k + dr * width + dc
+
+        def pair(k: Column) -> Column:
+            c = k % width + dc
+            inside = (c >= 0) & (c < width) & (to(k) >= 0) & (to(k) < F.size("q"))
+            return inside & (F.when(inside, F.element_at(mask, (to(k) + 1).cast("int"))).otherwise(0) == 1)
+
+        struct = lambda k: F.struct(F.lit(d).alias("d"), F.lit(a).alias("a"), F.element_at(q, k + 1).alias("i"), F.element_at(q, (to(k) + 1).cast("int")).alias("j"))
+        return F.transform(F.filter(F.col("places"), pair), struct)
+
+    found = base.withColumn("places", places).select("sample_id", F.explode(F.flatten(F.array(*[at_offset(d, a) for d in DISTANCES for a in ANGLES]))).alias("o"))
+    counts = found.groupBy("sample_id", "o.d", "o.a", "o.i", "o.j").agg(F.count("*").alias("n"))
+    both = counts.unionByName(counts.select("sample_id", "d", "a", F.col("j").alias("i"), F.col("i").alias("j"), "n"))
+    return both.groupBy("sample_id", "d", "a", "i", "j").agg(F.sum("n").alias("n"))
 
 
 def cooccurrence_properties(counts: DataFrame) -> DataFrame:
@@ -148,16 +160,19 @@ def cooccurrence_properties(counts: DataFrame) -> DataFrame:
     return out.select(*keys, "contrast", "dissimilarity", "homogeneity", F.sqrt("asm").alias("energy"), "asm", F.when(F.sqrt("v") <= 1e-15, 1.0).otherwise(F.col("cv") / F.col("v")).alias("correlation"), "pairs")
 
 
+def _summaries() -> list[Column]:
+    return [f for p in PROPERTIES for f in (F.avg(p).alias(f"{p}_mean"), F.stddev_pop(p).alias(f"{p}_std"))]
+
+
 def texture_summary(properties: DataFrame) -> DataFrame:
     """12 columns: mean and population deviation of each property over offsets that have pairs."""
-    return properties.groupBy("sample_id").agg(*[f for p in PROPERTIES for f in (F.avg(p).alias(f"{p}_mean"), F.stddev_pop(p).alias(f"{p}_std"))])
+    return properties.groupBy("sample_id").agg(*_summaries())
 
 
 def texture_directional(properties: DataFrame) -> DataFrame:
     """84 columns: each property at each offset (0 without pairs), and the 12 summaries."""
     at = lambda p, d, a: F.coalesce(F.max(F.when((F.col("d") == d) & (F.col("a") == a), F.col(p))), F.lit(0.0)).alias(f"{p}_d{d}_a{a}")
-    wide = properties.groupBy("sample_id").agg(*[at(p, d, a) for p in PROPERTIES for d in DISTANCES for a in ANGLES])
-    return wide.join(texture_summary(properties), "sample_id")
+    return properties.groupBy("sample_id").agg(*[at(p, d, a) for p in PROPERTIES for d in DISTANCES for a in ANGLES], *_summaries())
 
 
 def axis_patterns(samples: DataFrame) -> DataFrame:

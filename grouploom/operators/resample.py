@@ -1,7 +1,8 @@
 """Group bootstrap by hash draws: draw k of resample b picks group md5(seed:b:k) mod groups.
 
 A resample is a table of multiplicities. Groups' confusion cells and loss sums are weighted by
-them, so the work is resamples times groups, whatever the number of rows.
+them, so the work is resamples times groups, whatever the number of rows; AUC needs the distinct
+scores of pairs of groups besides.
 """
 
 from __future__ import annotations
@@ -10,34 +11,47 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import HEADLINE, argmax, auc, fill_cells, headline, long_metrics, nll, one_vs_rest, per_class
+from .ordering import numbered, stored
 
 
 def multiplicities(groups: DataFrame, group: str, resamples: int, seed: int) -> DataFrame:
-    """b, group, times: how often each resample drew each group."""
-    numbered = groups.select(group).distinct().select(group, (F.row_number().over(Window.orderBy(group)) - 1).alias("group_no"))
-    size = numbered.agg(F.count("*").alias("n_groups"))
-    draws = size.select("n_groups", F.explode(F.sequence(F.lit(0), F.lit(resamples - 1))).alias("b")).select("b", "n_groups", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_groups") - 1)).alias("k"))
+    """b, group, times: how often each resample drew each group. Draws are rows of a range, made in
+    as many tasks as there are cores and counted before the shuffle."""
+    spark = groups.sparkSession
+    numbers = stored(numbered(groups.select(group).distinct(), "group_no", F.col(group)))
+    n = numbers.count()
+    draw = spark.range(resamples * n).select(F.floor(F.col("id") / F.lit(max(n, 1))).cast("int").alias("b"), (F.col("id") % F.lit(max(n, 1))).alias("k"))
     text = F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("k").cast("string"))
-    g = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") % F.col("n_groups")
-    return draws.groupBy("b", g.alias("group_no")).agg(F.count("*").alias("times")).join(numbered, "group_no").select("b", group, "times")
+    g = F.conv(F.substring(F.md5(text.cast("binary")), 1, 8), 16, 10).cast("bigint") % F.lit(max(n, 1)) + 1
+    return draw.groupBy("b", g.alias("group_no")).agg(F.count("*").alias("times")).join(numbers, "group_no").select("b", group, "times")
 
 
 def resampled(rows: DataFrame, draws: DataFrame, keys: list[str], group: str, classes: int, with_auc: bool = False) -> DataFrame:
-    """keys, b, metric, value."""
+    """keys, b, metric, value: threshold metrics, the F1 of every class, and log loss. With AUC, the
+    rows of every resample are ranked, at a cost of rows times resamples; ``resampled_auc`` gives
+    the same for pairs of groups."""
     own = [*keys, "b"]
     cells = rows.groupBy(*keys, group, "true_idx", argmax(F.col("p")).alias("pred_idx")).agg(F.count("*").alias("c"))
     weighted = cells.join(draws, group).groupBy(*own, "true_idx", "pred_idx").agg(F.sum(F.col("c") * F.col("times")).alias("n"))
-    base = headline(per_class(fill_cells(weighted, own, classes), own), own, classes)
+    by_class = per_class(fill_cells(weighted, own, classes), own)
+    base = headline(by_class, own, classes)
+    each = [F.max(F.when(F.col("class") == k, F.col("f1"))).alias(f"f1_{k}") for k in range(classes)]
+    base = base.join(by_class.groupBy(*own).agg(*each), own)
     loss = rows.groupBy(*keys, group).agg(F.sum(nll(F.col("p"), F.col("true_idx"))).alias("loss"), F.count("*").alias("c"))
     loss = loss.join(draws, group).groupBy(*own).agg((F.sum(F.col("loss") * F.col("times")) / F.sum(F.col("c") * F.col("times"))).alias("log_loss"))
-    wide, names = base.join(loss, own), (*HEADLINE, "log_loss")
+    wide, names = base.join(loss, own), (*HEADLINE, *class_f1(classes), "log_loss")
     if with_auc:
-        area = auc(one_vs_rest(rows.join(draws, group), own, F.col("times")), own)
+        spread = rows.join(draws, group)
+        area = auc(one_vs_rest(spread, own, F.col("times")), own)
         wide = wide.join(area.groupBy(*own).agg(F.avg("auc").alias("macro_auc")), own)
         names = (*names, "macro_auc")
     return long_metrics(wide, own, names)
 
 
+def class_f1(classes: int) -> tuple[str, ...]:
+    return tuple(f"f1_{k}" for k in range(classes))
+
+
 def resampled_auc(rows: DataFrame, draws: DataFrame, keys: list[str], group: str) -> DataFrame:
     """keys, b, metric (macro_auc), value, as ``resampled`` has it. Pairs of a positive and a negative
     row that are in order, with ties as halves, are counted once per pair of groups; a resample

@@ -77,8 +77,15 @@ def long_sql(wide: str, keys: str, names) -> str:
 CELLS = cells_sql("fx_predictions", "model, seed")
 BY_CLASS = class_sql(CELLS, "model, seed")
 HEAD = headline_sql(BY_CLASS, "model, seed")
-FULL = f"""SELECT * FROM ({HEAD}) JOIN (SELECT model, seed, avg({NLL}) AS log_loss FROM fx_predictions GROUP BY ALL) USING (model, seed)
-JOIN (SELECT model, seed, avg(auc) AS macro_auc FROM ({auc_sql(scores_sql('fx_predictions', 'model, seed'), 'model, seed')}) GROUP BY ALL) USING (model, seed)"""
+
+
+def full_sql(view: str) -> str:
+    head = headline_sql(class_sql(cells_sql(view, "model, seed"), "model, seed"), "model, seed")
+    return f"""SELECT * FROM ({head}) JOIN (SELECT model, seed, avg({NLL}) AS log_loss FROM {view} GROUP BY ALL) USING (model, seed)
+JOIN (SELECT model, seed, avg(auc) AS macro_auc FROM ({auc_sql(scores_sql(view, 'model, seed'), 'model, seed')}) GROUP BY ALL) USING (model, seed)"""
+
+
+FULL = full_sql("fx_predictions")
 FULL_NAMES = (*M.HEADLINE, "log_loss", "macro_auc")
 LONG = long_sql(FULL, "model, seed", FULL_NAMES)
 
@@ -258,48 +265,62 @@ def a18(v):
     return rounded(rows.groupBy("model", "correct").agg(F.avg("c").alias("mean"), F.percentile("c", F.lit(0.5)).alias("median"), F.count("*").alias("n")), "mean", "median")
 
 
-# resampling: SQL and the queries that it checks take 20 resamples; the queries named ..._2000, without SQL, take
-# the 2000 of the survey
-N_RESAMPLES = 20
-SURVEYED = 2000
+# resampling: 2000 resamples, and 20 for the AUC of resampled rows, which SQL takes too long for
+N_RESAMPLES = 2000
+FEW = 20
 
 
-def draws_sql(seed: int) -> str:
+def draws_sql(seed: int, n: int = N_RESAMPLES) -> str:
     return f"""(WITH g AS (SELECT patient_id, row_number() OVER (ORDER BY patient_id) - 1 AS g FROM (SELECT DISTINCT patient_id FROM fx_predictions)), n AS (SELECT count(*) AS n FROM g),
-d AS (SELECT b, CAST(('0x' || substr(md5('{seed}:' || b || ':' || k), 1, 8)) AS BIGINT) % n AS g FROM n, range({N_RESAMPLES}) t(b), range(36) u(k)) SELECT b, patient_id, count(*) AS times FROM d JOIN g USING (g) GROUP BY ALL)"""
+d AS (SELECT b, CAST(('0x' || substr(md5('{seed}:' || b || ':' || k.g), 1, 8)) AS BIGINT) % n AS g FROM n, range({n}) t(b), g k) SELECT b, patient_id, count(*) AS times FROM d JOIN g USING (g) GROUP BY ALL)"""
+
 
+CLASS_F1 = B.class_f1(K)
 
-def resampled_sql(with_auc: bool = False, where: str = "true") -> str:
-    rows = f"(SELECT p.*, d.b, d.times FROM fx_predictions p JOIN {draws_sql(7)} d USING (patient_id) WHERE {where})"
+
+def resampled_sql(view: str = "fx_predictions") -> str:
+    """Threshold metrics and log loss, from cells and loss sums of groups."""
+    hot = ", ".join(f"CASE WHEN a = {k} THEN 1.0 ELSE 0.0 END AS p{k}" for k in range(K))
+    groups = f"(SELECT model, seed, patient_id, true_idx, {hot}, count(*) AS c, sum(loss) AS loss FROM (SELECT *, {_argmax()} AS a, {NLL} AS loss FROM {view}) GROUP BY model, seed, patient_id, true_idx, a)"
+    rows = f"(SELECT p.*, d.b, d.times FROM {groups} p JOIN {draws_sql(7)} d USING (patient_id))"
     keys = "model, seed, b"
-    wide = f"SELECT * FROM ({headline_sql(class_sql(cells_sql(rows, keys, 'sum(times)'), keys), keys)}) JOIN (SELECT {keys}, sum({NLL} * times) / sum(times) AS log_loss FROM {rows} GROUP BY ALL) USING ({keys})"
-    names = (*M.HEADLINE, "log_loss")
-    if with_auc:
-        wide += f" JOIN (SELECT {keys}, avg(auc) AS macro_auc FROM ({auc_sql(scores_sql(rows, keys, 'times'), keys)}) GROUP BY ALL) USING ({keys})"
-        names = (*names, "macro_auc")
-    return long_sql(wide, keys, names)
+    by_class = class_sql(cells_sql(rows, keys, "sum(times * c)"), keys)
+    each = ", ".join(f"max(f1) FILTER (class = {k}) AS {n}" for k, n in enumerate(CLASS_F1))
+    wide = f"SELECT * FROM ({headline_sql(by_class, keys)}) JOIN (SELECT {keys}, {each} FROM ({by_class}) GROUP BY ALL) USING ({keys}) JOIN (SELECT {keys}, sum(loss * times) / sum(c * times) AS log_loss FROM {rows} GROUP BY ALL) USING ({keys})"
+    return long_sql(wide, keys, NINE)
+
+
+NINE = (*M.HEADLINE, *CLASS_F1, "log_loss")
+
+
+def resampled_auc_sql() -> str:
+    rows = f"(SELECT p.*, d.b, d.times FROM fx_predictions p JOIN {draws_sql(7, FEW)} d USING (patient_id))"
+    return f"SELECT model, seed, 'macro_auc' AS metric, avg(auc) AS value FROM ({auc_sql(scores_sql(rows, 'model, seed, b', 'times'), 'model, seed, b')}) GROUP BY model, seed, b"
 
 
 def draws(v, n: int = N_RESAMPLES) -> DataFrame:
     return B.multiplicities(v.predictions, "patient_id", n, 7)
 
 
-def resampled(v, with_auc=False, n: int = N_RESAMPLES) -> DataFrame:
-    return B.resampled(v.predictions, draws(v, n), RUN, "patient_id", K, with_auc)
+def resampled(v, n: int = N_RESAMPLES, rows: DataFrame | None = None) -> DataFrame:
+    return B.resampled(v.predictions if rows is None else rows, draws(v, n), RUN, "patient_id", K)
 
 
 def interval_sql(values: str, keys: str) -> str:
     return f"SELECT {keys}, round(quantile_cont(value, 0.025), 6) + 0.0 AS low, round(quantile_cont(value, 0.975), 6) + 0.0 AS high, count(value) AS n_valid FROM ({values}) GROUP BY ALL"
 
 
-LONG9 = long_sql(f"SELECT * FROM ({HEAD}) JOIN (SELECT model, seed, avg({NLL}) AS log_loss FROM fx_predictions GROUP BY ALL) USING (model, seed)", "model, seed", (*M.HEADLINE, "log_loss"))
+EACH_F1 = ", ".join(f"max(f1) FILTER (class = {k}) AS {n}" for k, n in enumerate(CLASS_F1))
+LONG9 = long_sql(f"SELECT * FROM ({HEAD}) JOIN (SELECT model, seed, {EACH_F1} FROM ({BY_CLASS}) GROUP BY ALL) USING (model, seed) JOIN (SELECT model, seed, avg({NLL}) AS log_loss FROM fx_predictions GROUP BY ALL) USING (model, seed)", "model, seed", NINE)
 
 
 @query("b01_group_bootstrap", f"SELECT * FROM ({interval_sql(resampled_sql(), 'model, seed, metric')}) JOIN (SELECT model, seed, metric, round(value, 6) AS point FROM ({LONG9})) USING (model, seed, metric)")
 def b01(v, n: int = N_RESAMPLES):
     loss = v.predictions.groupBy(*RUN).agg(F.avg(M.nll(F.col("p"), F.col("true_idx"))).alias("log_loss"))
-    wide = M.headline(M.per_class(M.confusion(v.predictions, RUN, K), RUN), RUN, K).join(loss, RUN)
-    point = M.long_metrics(wide, RUN, (*M.HEADLINE, "log_loss")).withColumnRenamed("value", "point")
+    by_class = M.per_class(M.confusion(v.predictions, RUN, K), RUN)
+    each = by_class.groupBy(*RUN).agg(*[F.max(F.when(F.col("class") == k, F.col("f1"))).alias(c) for k, c in enumerate(CLASS_F1)])
+    wide = M.headline(by_class, RUN, K).join(each, RUN).join(loss, RUN)
+    point = M.long_metrics(wide, RUN, NINE).withColumnRenamed("value", "point")
     return rounded(B.interval(resampled(v, n=n), [*RUN, "metric"]).join(point, [*RUN, "metric"]), "low", "high", "point")
 
 
@@ -339,17 +360,10 @@ def b04(v, n: int = N_RESAMPLES):
     return rounded(B.interval(both, ["pair", "metric"]), "low", "high")
 
 
-@query("b05_auc_bootstrap", interval_sql(f"SELECT * FROM ({resampled_sql(True, 'seed = 42')}) WHERE metric = 'macro_auc'", "model, seed, metric"))
-def b05(v):
-    part = v.predictions.where("seed = 42")
-    r = B.resampled(part, draws(v), RUN, "patient_id", K, True).where("metric = 'macro_auc'")
-    return rounded(B.interval(r, [*RUN, "metric"]), "low", "high")
-
-
-@query("b05_auc_bootstrap_2000")
-def b05_surveyed(v):
+@query("b05_auc_bootstrap", interval_sql(resampled_auc_sql(), "model, seed, metric"))
+def b05(v, n: int = FEW):
     """All runs; the cost is resamples times pairs of groups."""
-    r = B.resampled_auc(v.predictions, draws(v, SURVEYED), RUN, "patient_id")
+    r = B.resampled_auc(v.predictions, draws(v, n), RUN, "patient_id")
     return rounded(B.interval(r, [*RUN, "metric"]), "low", "high")
 
 
@@ -392,7 +406,7 @@ C06 = ("accuracy", "macro_f1", "macro_auc")
 
 @query("c06_headline_table", "SELECT model, " + ", ".join(f"round(avg(value) FILTER (metric = '{m}'), 6) AS {m}_mean, round(stddev_samp(value) FILTER (metric = '{m}'), 6) AS {m}_std" for m in C06) + f" FROM ({LONG}) GROUP BY model")
 def c06(v):
-    wide = C.report_table(long_full(v), "model", C06)
+    wide = C.report_table(long_full(v), ["model"], C06)
     return rounded(wide, *[c for c in wide.columns if c != "model"])
 
 
@@ -422,8 +436,105 @@ def c10(v, n: int = N_RESAMPLES):
     return rounded(C.bars(mean, B.interval(seed_means(v, n), ["model", "metric"])), "mean", "below", "above")
 
 
-for _name, _f in (("b01_group_bootstrap", b01), ("b02_paired_bootstrap", b02), ("b03_multi_seed_bootstrap", b03), ("b04_paired_multi_seed", b04), ("c10_headline_bars", c10)):
-    query(f"{_name}_{SURVEYED}")(lambda v, f=_f: f(v, SURVEYED))
+for _name, _f in (("b01_group_bootstrap", b01), ("b02_paired_bootstrap", b02), ("b03_multi_seed_bootstrap", b03), ("b04_paired_multi_seed", b04), ("b05_auc_bootstrap", b05), ("c10_headline_bars", c10)):
+    query(f"{_name}_{N_RESAMPLES}")(lambda v, f=_f: f(v, N_RESAMPLES))
+
+
+# the report tables, and the whole comparison with a baseline: model a, seed 42, with its classes turned round
+@query("c06_per_class_table", "SELECT model, class, " + ", ".join(f"round(avg({m}), 6) AS {m}_mean, round(stddev_samp({m}), 6) AS {m}_std" for m in ("precision", "recall", "f1")) + f" FROM ({BY_CLASS}) GROUP BY model, class")
+def c06_per_class(v):
+    by_class = M.per_class(M.confusion(v.predictions, RUN, K), RUN)
+    wide = C.report_table(M.long_metrics(by_class, [*RUN, "class"], ("precision", "recall", "f1")), ["model", "class"], ("precision", "recall", "f1"))
+    return rounded(wide, *[c for c in wide.columns if c not in ("model", "class")])
+
+
+@query("c06_stratified_table", f"SELECT model, bucket, class, round(avg(recall), 6) AS recall_mean, round(stddev_samp(recall), 6) AS recall_std FROM ({BUCKET_CLASS}) GROUP BY ALL")
+def c06_stratified(v):
+    keys = [*RUN, "bucket"]
+    by_class = M.per_class(M.confusion(with_bucket(v), keys, K), keys)
+    return rounded(C.report_table(M.long_metrics(by_class, [*keys, "class"], ("recall",)), ["model", "bucket", "class"], ("recall",)), "recall_mean", "recall_std")
+
+
+@query("c06_calibration_table", f"SELECT model, round(avg(ece), 6) AS ece_mean, round(stddev_samp(ece), 6) AS ece_std FROM ({ECE}) GROUP BY model")
+def c06_calibration(v):
+    e = M.calibration_error(M.calibration_bins(v.predictions, RUN), RUN)
+    return rounded(C.report_table(M.long_metrics(e, RUN, ("ece",)), ["model"], ("ece",)), "ece_mean", "ece_std")
+
+
+@query("c06_efficiency_table", "SELECT 'cpu' AS device, model, parameters, batch, round(quantile_cont(t.ms, 0.5), 6) AS ms_per_row FROM fx_timings t, " + COST + " GROUP BY ALL")
+def c06_efficiency(v):
+    """Parameters of every model beside the median time of every kind of batch."""
+    cost = v.spark.createDataFrame([("a", 4011391), ("b", 98307)], "model string, parameters int")
+    median = C.latency_summary(v.timings, "batch").select("batch", F.col("median").alias("ms_per_row"))
+    return rounded(median.join(F.broadcast(cost)).select(F.lit("cpu").alias("device"), "model", "parameters", "batch", "ms_per_row"), "ms_per_row")
+
+
+ALL_SQL = "(SELECT * FROM fx_predictions UNION ALL SELECT 'baseline', 0, sample_id, patient_id, true_idx, p1, p2, p0 FROM fx_predictions WHERE model = 'a' AND seed = 42)"
+PAIRS_SQL = f"""WITH s AS (SELECT model, b, metric, avg(value) AS value FROM ({resampled_sql(ALL_SQL)}) GROUP BY ALL),
+d AS (SELECT x.model || '_vs_' || y.model AS pair, x.b, x.metric, x.value - y.value AS value FROM s x JOIN s y ON x.b = y.b AND x.metric = y.metric AND ((x.model < y.model AND x.model <> 'baseline' AND y.model <> 'baseline') OR (x.model <> 'baseline' AND y.model = 'baseline')))
+SELECT pair, metric, quantile_cont(value, 0.025) AS ci_low, quantile_cont(value, 0.975) AS ci_high, avg(CASE WHEN value > 1e-12 THEN 1.0 ELSE 0.0 END) AS frac_a_greater, count(value) AS n_valid FROM d GROUP BY ALL"""
+
+
+def with_baseline(v) -> DataFrame:
+    p = F.col("p")
+    base = v.predictions.where("model = 'a' AND seed = 42").select(F.lit("baseline").alias("model"), F.lit(0).alias("seed"), "sample_id", "patient_id", "true_idx", F.array(p[1], p[2], p[0]).alias("p"))
+    return v.predictions.select(base.columns).unionByName(base)
+
+
+@query("c06_paired_table", f"SELECT pair, metric, round(ci_low, 6) + 0.0 AS ci_low, round(ci_high, 6) + 0.0 AS ci_high, round(frac_a_greater, 6) AS frac_a_greater, n_valid FROM ({PAIRS_SQL})")
+def c06_paired(v):
+    means = resampled(v, rows=with_baseline(v)).groupBy("model", "b", "metric").agg(F.avg("value").alias("value"))
+    out = C.paired_intervals(means, "baseline")
+    return out.withColumns({c: F.round(c, 6) + F.lit(0.0) for c in ("ci_low", "ci_high")}).withColumn("frac_a_greater", r6("frac_a_greater"))
+
+
+ALL_BY_CLASS = class_sql(cells_sql(ALL_SQL, "model, seed"), "model, seed")
+
+
+def _section(name: str, sql: str, part: str, metric: str, columns: str) -> str:
+    return f"SELECT '{name}' AS section, {part} AS part, {metric} AS metric, {columns} FROM ({sql})"
+
+
+_SPREAD, _NONE = "mean AS value, std AS spread, NULL::DOUBLE AS low, NULL::DOUBLE AS high, n", "NULL::DOUBLE AS low, NULL::DOUBLE AS high"
+WHOLE_SQL = " UNION ALL BY NAME ".join(
+    (
+        _section("headline", spread_sql(long_sql(full_sql(ALL_SQL), "model, seed", FULL_NAMES), "model, metric"), "''", "metric", "model AS name, " + _SPREAD),
+        _section("per_class", spread_sql(long_sql(ALL_BY_CLASS, "model, seed, class", ("precision", "recall", "f1")), "model, class, metric"), "CAST(class AS STRING)", "metric", "model AS name, " + _SPREAD),
+        _section("stratified", spread_sql(f"SELECT model, seed, bucket, class, recall AS value FROM ({BUCKET_CLASS})", "model, bucket, class"), "bucket || ':' || class", "'recall'", "model AS name, " + _SPREAD),
+        _section("calibration", spread_sql(f"SELECT model, seed, ece AS value FROM ({ECE})", "model"), "''", "'ece'", "model AS name, " + _SPREAD),
+        _section("confusion", f"SELECT model, true_idx, pred_idx, sum(n) AS n FROM ({cells_sql(ALL_SQL, 'model, seed')}) GROUP BY ALL", "true_idx || ':' || pred_idx", "'n'", f"model AS name, CAST(n AS DOUBLE) AS value, NULL::DOUBLE AS spread, {_NONE}, CAST(n AS BIGINT) AS n"),
+        _section("bootstrap", interval_sql(f"SELECT model, b, metric, avg(value) AS value FROM ({resampled_sql()}) GROUP BY ALL", "model, metric"), "''", "metric", "model AS name, NULL::DOUBLE AS value, NULL::DOUBLE AS spread, round(low, 6) + 0.0 AS low, round(high, 6) + 0.0 AS high, n_valid AS n"),
+        _section("paired", PAIRS_SQL, "''", "metric", "pair AS name, round(frac_a_greater, 6) AS value, NULL::DOUBLE AS spread, round(ci_low, 6) + 0.0 AS low, round(ci_high, 6) + 0.0 AS high, n_valid AS n"),
+    )
+)
+
+
+@query("c07_whole_comparison", WHOLE_SQL)
+def c07_whole(v):
+    """Seed aggregates, intervals, confusion sums and paired tests of all models and the baseline."""
+    rows, bucketed = with_baseline(v), with_bucket(v)
+    by_class = M.per_class(M.confusion(rows, RUN, K), RUN)
+    strata = M.per_class(M.confusion(bucketed, [*RUN, "bucket"], K), [*RUN, "bucket"])
+    resamples = resampled(v, rows=rows).groupBy("model", "b", "metric").agg(F.avg("value").alias("value"))
+    e = M.calibration_error(M.calibration_bins(v.predictions, RUN), RUN).withColumnRenamed("ece", "value").withColumn("metric", F.lit("ece"))
+    sections = {
+        "headline": C.seed_spread(M.long_metrics(M.full_headline(rows, RUN, K), RUN, FULL_NAMES), ["model", "metric"]).withColumn("part", F.lit("")),
+        "per_class": C.seed_spread(M.long_metrics(by_class, [*RUN, "class"], ("precision", "recall", "f1")), ["model", "class", "metric"]).withColumn("part", F.col("class").cast("string")),
+        "stratified": C.seed_spread(M.long_metrics(strata, [*RUN, "bucket", "class"], ("recall",)), ["model", "bucket", "class", "metric"]).withColumn("part", F.concat_ws(":", "bucket", "class")),
+        "calibration": C.seed_spread(e, ["model", "metric"]).withColumn("part", F.lit("")),
+    }
+    parts = [p.select(F.lit(s).alias("section"), "part", "metric", F.col("model").alias("name"), r6("mean").alias("value"), F.round("std", 6).alias("spread"), "n") for s, p in sections.items()]
+    cells = M.confusion(rows, RUN, K).groupBy("model", F.concat_ws(":", "true_idx", "pred_idx").alias("part")).agg(F.sum("n").cast("bigint").alias("n"))
+    parts.append(cells.select(F.lit("confusion").alias("section"), "part", F.lit("n").alias("metric"), F.col("model").alias("name"), F.col("n").cast("double").alias("value"), "n"))
+    bounds = lambda low, high: [(F.round(c, 6) + F.lit(0.0)).alias(n) for c, n in ((low, "low"), (high, "high"))]
+    pooled = B.interval(resamples.where("model <> 'baseline'"), ["model", "metric"])
+    parts.append(pooled.select(F.lit("bootstrap").alias("section"), F.lit("").alias("part"), "metric", F.col("model").alias("name"), *bounds("low", "high"), F.col("n_valid").alias("n")))
+    pairs = C.paired_intervals(resamples, "baseline")
+    parts.append(pairs.select(F.lit("paired").alias("section"), F.lit("").alias("part"), "metric", F.col("pair").alias("name"), r6("frac_a_greater").alias("value"), *bounds("ci_low", "ci_high"), F.col("n_valid").alias("n")))
+    out = parts[-1].withColumn("spread", F.lit(None).cast("double"))
+    for p in parts[:-1]:
+        out = out.unionByName(p, allowMissingColumns=True)
+    return out.select("section", "name", "part", "metric", "value", "spread", "low", "high", "n")
 
 
 # scalar functions over predictions

@@ -161,7 +161,7 @@ def i02(v):
     digest = content_hash({"id": F.col("sample_id"), "raw": F.array_join(F.col("image_raw").cast("array<string>"), ",")})
     base = v.samples.select("sample_id", "patient_id", "label", digest.alias("content_sha256"))
     boxes = R.mask_boxes(v.samples).select("sample_id", "area", "r0", "r1", "c0", "c1")
-    return base.join(F.broadcast(v.split.select("patient_id", "split")), "patient_id").join(boxes, "sample_id")
+    return base.join(v.split.select("patient_id", "split"), "patient_id").join(boxes, "sample_id")
 
 
 # kernels that SQL does not express

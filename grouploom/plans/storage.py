@@ -16,11 +16,23 @@ from .tables import SPLIT_ROWS, split_rows
 def s01(v):
     """One folder per class, named by its number; files are found by name and counted by rows."""
     path = IO.scratch_path(v.spark, "raw")
-    v.samples.select("label", F.concat_ws(",", "sample_id", "patient_id").alias("value")).repartition(1, "label").write.partitionBy("label").text(path)
+    v.samples.select("label", F.concat_ws(",", "sample_id", "patient_id").alias("value")).write.partitionBy("label").text(path)
     found = v.spark.read.option("recursiveFileLookup", "true").text(path).select("value", F.regexp_extract(F.input_file_name(), r"/label=([0-9]+)/", 1).cast("bigint").alias("number"))
     return found.groupBy("number").agg(F.count("*").alias("n"))
 
 
+@query("s01_found_files", "SELECT CAST(s_suppkey AS BIGINT) AS number, CAST(s_suppkey % 4 AS INT) AS folder FROM supplier WHERE s_suppkey > 0")
+def s01_found(v):
+    """One text file per supplier, named by its number, in folders; an index and another file, which
+    aren't samples, lie among them. Spark's committer names files, so the folders carry the names."""
+    path = IO.scratch_path(v.spark, "found")
+    rows = v.table("supplier").select((F.col("s_suppkey") % 4).alias("folder"), F.concat(F.col("s_suppkey").cast("string"), F.lit(".sample")).alias("file"), F.col("s_name").alias("value"))
+    other = rows.limit(2).select("folder", F.when(F.col("folder") >= 0, "index.sample").alias("file"), "value").unionByName(rows.limit(1).select("folder", F.lit("notes7.sample").alias("file"), "value"))
+    rows.unionByName(other).write.partitionBy("folder", "file").text(path)
+    found = IO.sample_files(v.spark, path, ".sample", "index.sample", by_folder="file=")
+    return found.select("number", F.regexp_extract("path", r"/folder=([0-9]+)/", 1).cast("int").alias("folder")).where("number > 0")
+
+
 @query("s02_typed_csv", f"SELECT sample_id, '00' || CAST(sample_id % 12 AS STRING) AS patient_id, label, split FROM {SPLIT_ROWS}")
 def s02(v):
     """Group ids that look like numbers stay text."""
@@ -68,12 +80,15 @@ def s08(v):
     return rounded(v.spark.read.parquet(f"{path}/headline"), "accuracy", "macro_f1")
 
 
-@query("i03_file_digests", "SELECT label, sha256(string_agg(sample_id || ',' || patient_id || chr(10), '' ORDER BY sample_id)) AS sha256 FROM fx_samples GROUP BY label")
+@query("i03_file_digests", "SELECT label, CAST(sample_id // 64 AS BIGINT) AS part, sha256(string_agg(sample_id || ',' || patient_id || chr(10), '' ORDER BY sample_id)) AS sha256 FROM fx_samples GROUP BY ALL")
 def i03(v):
+    """A file for every class and range of ids, so that no task writes or reads a whole class."""
     from ..operators.integrity import file_digests
 
     path = IO.scratch_path(v.spark, "digests")
-    rows = v.samples.select("label", "sample_id", F.concat_ws(",", "sample_id", "patient_id").alias("value"))
-    rows.repartition(1, "label").sortWithinPartitions("label", "sample_id").select("label", "value").write.partitionBy("label").text(path)
+    part = F.floor(F.col("sample_id") / 64)
+    rows = v.samples.select("label", part.alias("part"), "sample_id", F.concat_ws(",", "sample_id", "patient_id").alias("value"))
+    rows.repartition("label", "part").sortWithinPartitions("label", "part", "sample_id").select("label", "part", "value").write.partitionBy("label", "part").text(path)
     files = v.spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.txt").load(path)
-    return file_digests(files).select(F.regexp_extract("path", r"/label=([0-9]+)/", 1).cast("int").alias("label"), "sha256")
+    number = lambda k, t: F.regexp_extract("path", rf"/{k}=([0-9]+)/", 1).cast(t).alias(k)
+    return file_digests(files).select(number("label", "int"), number("part", "bigint"), "sha256")

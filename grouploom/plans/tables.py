@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars as S
 from ..operators import compare as C
 from ..operators import joins as J
+from ..operators import ordering as O
 from ..operators import quality as Q
 from ..operators import splits as P
 from .evaluation import ORDER_SPLIT, rounded, sizes
@@ -126,7 +127,7 @@ def v13(v):
 @query("s03_split_scan", "SELECT sample_id, s.patient_id, s.label, p.split, len(image_raw) AS n_pixels, s.label <> p.label AS mismatch FROM fx_samples s JOIN fx_split p USING (patient_id) WHERE p.split = 'val'")
 def s03(v):
     part = v.split.where("split = 'val'").withColumnRenamed("label", "split_label")
-    return v.samples.join(F.broadcast(part), "patient_id").select("sample_id", "patient_id", "label", "split", F.size("image_raw").cast("bigint").alias("n_pixels"), (F.col("label") != F.col("split_label")).alias("mismatch"))
+    return v.samples.join(part, "patient_id").select("sample_id", "patient_id", "label", "split", F.size("image_raw").cast("bigint").alias("n_pixels"), (F.col("label") != F.col("split_label")).alias("mismatch"))
 
 
 @query("s04_metadata_scan", f"SELECT sample_id, patient_id, label, split FROM {SPLIT_ROWS} WHERE split = 'train'")
@@ -271,8 +272,8 @@ def a11(v):
 @query("a19_gaps", "SELECT i AS missing FROM range(1, (SELECT max(o_orderkey) FROM orders) + 1) t(i) WHERE i % 17 = 0 OR i NOT IN (SELECT o_orderkey FROM orders)")
 def a19(v):
     ids = v.table("orders").select("o_orderkey")
-    top = ids.agg(F.max("o_orderkey").alias("m"))
-    every = top.select(F.explode(F.sequence(F.lit(1).cast("bigint"), "m")).alias("missing"))
+    top = ids.agg(F.max("o_orderkey")).first()[0] or 0
+    every = v.spark.range(1, top + 1).withColumnRenamed("id", "missing")
     return every.join(ids.where("o_orderkey % 17 <> 0"), F.col("missing") == F.col("o_orderkey"), "left_anti")
 
 
@@ -311,8 +312,7 @@ def w05(v):
 
 @query("w06_importance_rank", "SELECT candidate_id, macro_f1, row_number() OVER (ORDER BY macro_f1 DESC, candidate_id) AS rank FROM fx_candidates")
 def w06(v):
-    rank = F.row_number().over(Window.orderBy(F.desc("macro_f1"), "candidate_id"))
-    return rounded(v.candidates.select("candidate_id", "macro_f1", rank.cast("bigint").alias("rank")))
+    return O.numbered(v.candidates.select("candidate_id", "macro_f1"), "rank", F.desc("macro_f1"), F.col("candidate_id"))
 
 
 @query("w07_epoch_order", "SELECT epoch, sample_id, CAST(row_number() OVER (PARTITION BY epoch ORDER BY sha256('42:' || epoch || ':' || sample_id)) AS INT) AS place FROM fx_samples, (SELECT CAST(unnest([0, 1, 2]) AS INT) AS epoch)")
@@ -334,7 +334,7 @@ def w09(v):
 @query("t01_numeric_order", "SELECT CAST(sample_id AS STRING) AS id, row_number() OVER (ORDER BY sample_id) AS place FROM fx_samples")
 def t01(v):
     rows = v.samples.select(F.col("sample_id").cast("string").alias("id"))
-    return rows.select("id", F.row_number().over(Window.orderBy(F.col("id").cast("bigint"))).cast("bigint").alias("place"))
+    return O.numbered(rows, "place", F.col("id").cast("bigint"))
 
 
 @query("t02_top_k", "SELECT candidate_id, round(macro_f1, 6) AS macro_f1 FROM fx_candidates ORDER BY fx_candidates.macro_f1 DESC, candidate_id LIMIT 20")

@@ -16,18 +16,26 @@ RECORD_SCHEMA = f"experiment string, name string, model string, metrics {_METRIC
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
-    """A new path in the folder of spark.checkpoint.dir; a temporary one where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-grouploom-")
+    """A new path in the folder of spark.checkpoint.dir; a temporary one where that is unset, on a
+    local master only."""
+    base = spark.conf.get("spark.checkpoint.dir", None)
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        base = tempfile.mkdtemp(prefix="spark-grouploom-")
     return f"{base.rstrip('/')}/grouploom-{uuid.uuid4().hex}/{name}"
 
 
-def sample_files(spark: SparkSession, root: str, suffix: str, index_name: str) -> DataFrame:
+def sample_files(spark: SparkSession, root: str, suffix: str, index_name: str, by_folder: str | None = None) -> DataFrame:
     """path, length, number of the digit-named files below ``root``, without the index file, in the
-    order of their numbers. Contents aren't read."""
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", f"*{suffix}").load(root).select("path", "length")
-    stem = F.regexp_extract("path", rf"/([0-9]+){suffix.replace('.', '[.]')}$", 1)
+    order of their numbers. Contents aren't read. With ``by_folder``, a prefix, samples are what lies
+    in folders of such names (as a partitioned sink writes them)."""
+    read = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
+    found = (read if by_folder else read.option("pathGlobFilter", f"*{suffix}")).load(root).select("path", "length")
+    name = F.regexp_extract("path", rf"/{by_folder}([^/]+)/[^/]+$" if by_folder else r"/([^/]+)$", 1)
+    stem = F.regexp_extract(name, rf"^([0-9]+){suffix.replace('.', '[.]')}$", 1)
     numbered = found.withColumn("number", F.when(stem != "", stem.cast("bigint")))
-    return numbered.where(F.col("number").isNotNull() & ~F.col("path").endswith("/" + index_name)).orderBy("number", "path")
+    return numbered.where(F.col("number").isNotNull() & (name != index_name)).orderBy("number", "path")
 
 
 def typed_csv(spark: SparkSession, path: str, schema: str, required: list[str]) -> DataFrame:
