@@ -395,3 +395,19 @@ def code_lengths(docs: DataFrame, batch_bytes: int = BATCH_BYTES, depth: int = D
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     return code_lengths(table(spark, sf_dir, "documents"))
+
+
+def word_base(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The columns of op9 that SQL can express: tokens, known tokens and the word baseline."""
+    return op9(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
+
+
+#: crc32 of an id's digits, bit by bit.
+CRC = "xor(list_reduce(list_concat([4294967295], list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ord(c) AS BIGINT))), lambda a, b: list_reduce(list_concat([xor(a, b)], range(8)), lambda x, i: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END)), 4294967295)"
+WORD_BASE_SQL = rf"""
+WITH d AS (SELECT doc_id, {CRC} % 10 = 0 AS held_out, list_append(regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+'), ' ') AS ws FROM documents),
+t AS (SELECT doc_id, held_out, unnest(ws) AS w FROM d),
+c AS (SELECT w, count(*) AS c FROM t WHERE NOT held_out GROUP BY w), n AS (SELECT coalesce(sum(c), 0) AS n, count(*) AS v FROM c)
+SELECT doc_id, held_out, count(*) AS n_tokens, count(c.c) AS n_known, CAST(any_value(n.n) AS BIGINT) AS train_tokens, round(sum(log10((coalesce(c.c, 0) + 0.1) / (n.n + 0.1 * (n.v + 1)))), 5) AS base_score
+FROM t LEFT JOIN c USING (w), n GROUP BY doc_id, held_out
+"""

@@ -18,6 +18,7 @@ def queries():
         "op9_lm_score": context_tree.op9,
         "op10_exact_dedup": exact_dedup.op10,
         "chat_quotes": chat.quoted_conversations,
+        "lm_word_base": context_tree.word_base,
     }
 
 
@@ -25,6 +26,8 @@ def oracle_sql():
     return {
         "op2_topk": topk.OP2_SQL,
         "op4_near_dedup": near_dedup.OP4_SQL,
+        "op8_repeats": repeats.OP8_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
+        "lm_word_base": context_tree.WORD_BASE_SQL,
         "chat_quotes": chat.QUOTED_SQL,
     }

@@ -417,3 +417,19 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
 
 def op8(spark: SparkSession, sf_dir: str) -> DataFrame:
     return without_repeats(table(spark, sf_dir, "documents"), keep_text=False).withColumnRenamed("kept", "kept_sha256")
+
+
+#: Windows are 100 hex digits here; spans are runs of covered windows that touch.
+OP8_SQL = """
+WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h, length(hex(encode(coalesce(text, '')))) // 2 AS n FROM documents),
+w AS (SELECT doc_id, i, substr(h, 2 * i + 1, 100) AS s FROM (SELECT doc_id, h, unnest(range(n - 49)) AS i FROM d WHERE n >= 50)),
+f AS (SELECT s, min(doc_id) AS first FROM w GROUP BY s HAVING min(doc_id) < max(doc_id)),
+c AS (SELECT w.doc_id, w.i, lag(w.i) OVER (PARTITION BY w.doc_id ORDER BY w.i) AS before FROM w JOIN f USING (s) WHERE f.first < w.doc_id),
+g AS (SELECT doc_id, i, sum(CASE WHEN before IS NULL OR i > before + 50 THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY i) AS span FROM c),
+r AS (SELECT doc_id, span, min(i) AS a, max(i) + 50 AS b FROM g GROUP BY ALL),
+k AS (SELECT d.doc_id, substr(h, 2 * coalesce(lag(b) OVER o, 0) + 1, 2 * (a - coalesce(lag(b) OVER o, 0))) AS piece, a FROM d JOIN r USING (doc_id) WINDOW o AS (PARTITION BY d.doc_id ORDER BY a)),
+t AS (SELECT d.doc_id, d.n, coalesce(x.removed, 0) AS removed, coalesce(x.spans, 0) AS spans, coalesce(p.pieces, '') || substr(h, 2 * coalesce(x.last, 0) + 1) AS kept FROM d
+      LEFT JOIN (SELECT doc_id, sum(b - a) AS removed, count(*) AS spans, max(b) AS last FROM r GROUP BY 1) x USING (doc_id)
+      LEFT JOIN (SELECT doc_id, string_agg(piece, '' ORDER BY a) AS pieces FROM k GROUP BY 1) p USING (doc_id))
+SELECT doc_id, CAST(n AS BIGINT) AS n_bytes, CAST(removed AS BIGINT) AS n_removed, CAST(spans AS BIGINT) AS n_spans, sha256(unhex(kept)) AS kept_sha256 FROM t
+"""
