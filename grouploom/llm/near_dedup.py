@@ -31,6 +31,8 @@ from .common import copied, dealt, hot_copies, lowered, mixed, saved, table, tex
 from .components import roots
 
 HALF = 3
+#: Bytes of text whose words are hashed at once; a longer text is hashed whole.
+PART_BYTES = 1 << 19
 #: Share of pairs just at the bound that may have no key in common.
 MISSED = 0.001
 
@@ -84,7 +86,7 @@ def _signatures(words: int, side: int):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
-            for row, data, offsets in text_parts(batch.column("text")):
+            for row, data, offsets in text_parts(batch.column("text"), PART_BYTES):
                 values, ends = shingle_sets(data, offsets, words)
                 sizes = np.diff(ends)
                 full = sizes > 0
@@ -113,7 +115,7 @@ def _sets(words: int):
     def run(batches):
         for batch in batches:
             ids = batch.column("doc_id")
-            for row, data, offsets in text_parts(batch.column("text")):
+            for row, data, offsets in text_parts(batch.column("text"), PART_BYTES):
                 values, ends = shingle_sets(data, offsets, words)
                 lists = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(values.view(np.int64)))
                 yield pa.RecordBatch.from_arrays([ids.slice(row, len(offsets) - 1), lists], names=["node", "members"])

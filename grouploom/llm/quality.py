@@ -25,6 +25,8 @@ from .common import saved, table, text_parts, training_rows, word_hashes, words_
 
 #: Labelled rows that a fit uses at most.
 SAMPLE = 20_000
+#: Bytes of text whose features are counted at once; a longer text is counted whole.
+PART_BYTES = 1 << 19
 BINS, CYCLES, PAIRS, PAIR_CYCLES, RATE = 32, 120, 10, 60, 0.15
 
 _bytes = np.arange(256)
@@ -143,7 +145,7 @@ def features(docs: DataFrame, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            for row, data, offsets in text_parts(batch.column(len(keep))):
+            for row, data, offsets in text_parts(batch.column(len(keep)), PART_BYTES):
                 n = len(offsets) - 1
                 x = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * len(NAMES)), pa.array(text_features(data, offsets).ravel()))
                 yield pa.RecordBatch.from_arrays([*[batch.column(k).slice(row, n) for k in range(len(keep))], x], names=[*keep, "x"])
@@ -298,7 +300,7 @@ def accepted(docs: DataFrame, model: AdditiveModel) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            keep = [shared.value.score(text_features(data, offsets)) >= 0.5 for _, data, offsets in text_parts(batch.column(at))]
+            keep = [shared.value.score(text_features(data, offsets)) >= 0.5 for _, data, offsets in text_parts(batch.column(at), PART_BYTES)]
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
