@@ -66,13 +66,23 @@ def per_class(cells: DataFrame, keys: list[str]) -> DataFrame:
 HEADLINE = ("accuracy", "balanced_accuracy", "macro_precision", "macro_recall", "macro_f1", "weighted_precision", "weighted_recall", "weighted_f1")
 
 
-def headline(by_class: DataFrame, keys: list[str], classes: int) -> DataFrame:
+def headline(by_class: DataFrame, keys: list[str], classes: int, each_f1: bool = False) -> DataFrame:
     """Accuracy, balanced accuracy over classes present in the truth, macro metrics over all
-    classes, and support-weighted ones."""
-    present = F.col("support") > 0
-    macro = [(F.sum(c) / classes).alias(f"macro_{c}") for c in ("precision", "recall", "f1")]
-    weighted = [(F.sum(F.col(c) * F.col("support")) / F.sum("support")).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")]
-    return by_class.groupBy(*keys).agg((F.sum("hits") / F.sum("support")).alias("accuracy"), F.avg(F.when(present, F.col("recall"))).alias("balanced_accuracy"), *macro, *weighted)
+    classes, and support-weighted ones; with ``each_f1`` also f1_0, f1_1 and so on. Classes are
+    added in their order, so that equal input gives equal bits."""
+
+    def of(c: str, k: int) -> Column:
+        return F.coalesce(F.max(F.when(F.col("class") == k, F.col(c).cast("double"))), F.lit(0.0))
+
+    def over(value) -> Column:
+        return sum((value(k) for k in range(1, classes)), value(0))
+
+    present = over(lambda k: F.when(of("support", k) > 0, 1).otherwise(0))
+    balanced = over(lambda k: F.when(of("support", k) > 0, of("recall", k)).otherwise(0.0)) / F.nullif(present, F.lit(0))
+    macro = [(over(lambda k, c=c: of(c, k)) / classes).alias(f"macro_{c}") for c in ("precision", "recall", "f1")]
+    weighted = [(over(lambda k, c=c: of(c, k) * of("support", k)) / F.sum("support")).alias(f"weighted_{c}") for c in ("precision", "recall", "f1")]
+    each = [of("f1", k).alias(f"f1_{k}") for k in range(classes)] if each_f1 else []
+    return by_class.groupBy(*keys).agg((F.sum("hits") / F.sum("support")).alias("accuracy"), balanced.alias("balanced_accuracy"), *macro, *weighted, *each)
 
 
 def one_vs_rest(rows: DataFrame, keys: list[str], weight: Column | None = None) -> DataFrame:

@@ -33,10 +33,7 @@ def resampled(rows: DataFrame, draws: DataFrame, keys: list[str], group: str, cl
     own = [*keys, "b"]
     cells = rows.groupBy(*keys, group, "true_idx", argmax(F.col("p")).alias("pred_idx")).agg(F.count("*").alias("c"))
     weighted = cells.join(draws, group).groupBy(*own, "true_idx", "pred_idx").agg(F.sum(F.col("c") * F.col("times")).alias("n"))
-    by_class = per_class(fill_cells(weighted, own, classes), own)
-    base = headline(by_class, own, classes)
-    each = [F.max(F.when(F.col("class") == k, F.col("f1"))).alias(f"f1_{k}") for k in range(classes)]
-    base = base.join(by_class.groupBy(*own).agg(*each), own)
+    base = headline(per_class(fill_cells(weighted, own, classes), own), own, classes, each_f1=True)
     loss = rows.groupBy(*keys, group).agg(F.sum(nll(F.col("p"), F.col("true_idx"))).alias("loss"), F.count("*").alias("c"))
     loss = loss.join(draws, group).groupBy(*own).agg((F.sum(F.col("loss") * F.col("times")) / F.sum(F.col("c") * F.col("times"))).alias("log_loss"))
     wide, names = base.join(loss, own), (*HEADLINE, *class_f1(classes), "log_loss")

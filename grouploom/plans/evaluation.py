@@ -317,9 +317,7 @@ LONG9 = long_sql(f"SELECT * FROM ({HEAD}) JOIN (SELECT model, seed, {EACH_F1} FR
 @query("b01_group_bootstrap", f"SELECT * FROM ({interval_sql(resampled_sql(), 'model, seed, metric')}) JOIN (SELECT model, seed, metric, round(value, 6) AS point FROM ({LONG9})) USING (model, seed, metric)")
 def b01(v, n: int = N_RESAMPLES):
     loss = v.predictions.groupBy(*RUN).agg(F.avg(M.nll(F.col("p"), F.col("true_idx"))).alias("log_loss"))
-    by_class = M.per_class(M.confusion(v.predictions, RUN, K), RUN)
-    each = by_class.groupBy(*RUN).agg(*[F.max(F.when(F.col("class") == k, F.col("f1"))).alias(c) for k, c in enumerate(CLASS_F1)])
-    wide = M.headline(by_class, RUN, K).join(each, RUN).join(loss, RUN)
+    wide = M.headline(M.per_class(M.confusion(v.predictions, RUN, K), RUN), RUN, K, each_f1=True).join(loss, RUN)
     point = M.long_metrics(wide, RUN, NINE).withColumnRenamed("value", "point")
     return rounded(B.interval(resampled(v, n=n), [*RUN, "metric"]).join(point, [*RUN, "metric"]), "low", "high", "point")
 
