@@ -138,13 +138,18 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     return state, missed
 
 
-def mixed_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0) -> tuple[list[str], DataFrame, float]:
+def fitted_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0) -> tuple[list[str], DataFrame, float]:
     """Domains in order, rates of all rows of ``docs``, and the largest miss of a target."""
     domains, weights, priors, unseen = fit_domains(docs, labelled)
     members = saved(posteriors(docs, domains, weights, priors, unseen), "members")
     return domains, *fit_rates(members, domains, targets, least)
 
 
+def mixed_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0) -> tuple[list[str], DataFrame]:
+    """Domains in order and rates of all rows of ``docs``."""
+    return fitted_rates(docs, labelled, targets, least)[:2]
+
+
 def labelled_domains(docs: DataFrame, labels: DataFrame, with_quality: bool) -> DataFrame:
     """Labelled ids with their document's language, and their quality if wanted, as domain."""
     tagged = docs.select("doc_id", "lang").join(labels.select(F.col("doc_id").alias("labelled_id"), "quality").where("quality IS NOT NULL"), F.col("doc_id") == F.col("labelled_id"))
@@ -154,7 +159,7 @@ def labelled_domains(docs: DataFrame, labels: DataFrame, with_quality: bool) ->
 
 def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    domains, rates, _ = mixed_rates(docs, labelled_domains(docs, table(spark, sf_dir, "labels"), True), TARGETS)
+    domains, rates = mixed_rates(docs, labelled_domains(docs, table(spark, sf_dir, "labels"), True), TARGETS)
     best = F.array_position(F.array(*[f"p{k}" for k in range(len(domains))]), F.greatest(*[f"p{k}" for k in range(len(domains))]) if len(domains) > 1 else F.col("p0"))
     return rates.select("doc_id", "n_tokens", F.element_at(F.array(*[F.lit(d) for d in domains]), best.cast("int")).alias("domain"), F.array(*[f"p{k}" for k in range(len(domains))]).alias("membership"), "rate")
 
@@ -162,7 +167,7 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
 def repeated_to_targets(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
     """``docs`` with every row at least once, and repeated so that expected domain tokens match the
     targets: a rate's fraction is rounded up for a hash-chosen share of documents."""
-    _, rates, _ = mixed_rates(docs, labelled, targets, least=1.0)
+    _, rates = mixed_rates(docs, labelled, targets, least=1.0)
     chance = F.pmod(F.xxhash64("__id", F.lit("copies")), F.lit(1_000_000)) / 1_000_000
     rates = rates.groupBy(F.col("doc_id").alias("__id")).agg(F.avg("rate").alias("__rate"))
     copies = F.greatest(F.lit(1), F.floor(F.coalesce("__rate", F.lit(1.0)) + F.coalesce(chance, F.lit(0.0)))).cast("int")

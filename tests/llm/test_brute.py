@@ -22,7 +22,7 @@ def test_posteriors_and_rates_are_the_least_squares_ones(spark):
     rows += [(200, None), (201, " \n"), (202, "river " * 5000), (3, rows[3][1])]
     df = spark.createDataFrame(rows, "doc_id long, text string").withColumns({c: F.lit("clash") for c in ("row", "p0", "w", "bucket", "rate")})
     labelled = spark.createDataFrame(labels, "labelled_id long, domain string")
-    domains, rates, missed = mixing.mixed_rates(df, labelled, {"a": 0.2, "b": 0.3, "c": 0.5})
+    domains, rates, missed = mixing.fitted_rates(df, labelled, {"a": 0.2, "b": 0.3, "c": 0.5})
     got = rates.collect()
     # the same by hand; only the numbers of words' buckets come from Spark
     every = sorted({w for _, t in rows for w in (t or "").lower().split()})
@@ -52,14 +52,14 @@ def test_targets_that_no_rates_meet_are_reported(spark):
     df = spark.createDataFrame([(k, "river stone") for k in range(20)], "doc_id long, text string")
     labelled = spark.createDataFrame([(k, "ab"[k % 2]) for k in range(20)], "labelled_id long, domain string")
     with pytest.warns(UserWarning, match="misses a target"):
-        _, rates, missed = mixing.mixed_rates(df, labelled, {"a": 0.9, "b": 0.1})
+        _, rates, missed = mixing.fitted_rates(df, labelled, {"a": 0.9, "b": 0.1})
     assert missed > 0.3 and rates.count() == 20
 
 
 def test_more_domains_than_a_page(spark):
     rows = [(k, f"word{k % 25} " * 10) for k in range(200)]
     labelled = spark.createDataFrame([(k, f"d{k % 25:02d}") for k in range(200)], "labelled_id long, domain string")
-    domains, rates, missed = mixing.mixed_rates(spark.createDataFrame(rows, "doc_id long, text string"), labelled, {f"d{k:02d}": 1 + k % 3 for k in range(25)})
+    domains, rates, missed = mixing.fitted_rates(spark.createDataFrame(rows, "doc_id long, text string"), labelled, {f"d{k:02d}": 1 + k % 3 for k in range(25)})
     assert len(domains) == 25 and missed < 1e-2 and rates.count() == 200
 
 

@@ -96,7 +96,7 @@ def test_mixing_stage(spark, stages):
 
     before, after = stages["mixing"]
     labelled = mixing.labelled_domains(before, load(spark, SF, "labels"), with_quality=False)
-    _, rates, _ = mixing.mixed_rates(before, labelled, c.TARGETS, least=1.0)
+    _, rates, _ = mixing.fitted_rates(before, labelled, c.TARGETS, least=1.0)
     rate = {}
     for r in rates.collect():
         rate.setdefault(r.doc_id, []).append(r.rate)
