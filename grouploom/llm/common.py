@@ -138,9 +138,10 @@ def lowered(data: np.ndarray) -> np.ndarray:
     return _LOWER[data]
 
 
-def words_of(data: np.ndarray, offsets: np.ndarray):
-    """Start, end and text number of every word in a run of texts (words never cross texts)."""
-    white = _IS_WHITE[data]
+def words_of(data: np.ndarray, offsets: np.ndarray, outside: np.ndarray = _IS_WHITE):
+    """Start, end and text number of every word in a run of texts (words never cross texts);
+    ``outside`` marks the bytes that aren't in words."""
+    white = outside[data]
     before = np.ones(len(data) + 1, bool)
     before[1:] = white
     before[offsets] = True

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import bpe, chat, context_tree, exact_dedup, mixing, near_dedup, prefix_tree, quality, repeats, token_counts, topk, whitening
+from . import bpe, chat, context_tree, exact_dedup, fm_index, mixing, near_dedup, prefix_tree, quality, repeats, token_counts, topk, whitening
 
 
 def queries():
@@ -18,6 +18,7 @@ def queries():
         "op9_lm_score": context_tree.op9,
         "op10_exact_dedup": exact_dedup.op10,
         "op11_prefix_tree": prefix_tree.op11,
+        "op12_decontamination": fm_index.op12,
         "op13_whitening": whitening.op13,
         "embedding_covariances": whitening.covariances,
         "chat_quotes": chat.quoted_conversations,
@@ -32,6 +33,7 @@ def oracle_sql():
         "op8_repeats": repeats.OP8_SQL,
         "op10_exact_dedup": exact_dedup.OP10_SQL,
         "op11_prefix_tree": prefix_tree.OP11_SQL,
+        "op12_decontamination": fm_index.OP12_SQL,
         "embedding_covariances": whitening.COVARIANCES_SQL,
         "lm_word_base": context_tree.WORD_BASE_SQL,
         "chat_quotes": chat.QUOTED_SQL,
