@@ -16,8 +16,8 @@ sequence r from depth d on, w its weight and A(r) the bytes that it owns,
 
     saved(v) = sum over r through v of w(r) * S(r, d) - [sum of A(r) - A(owner) + S(owner, d)].
 
-Joins whose one side has a row per turn have a unique key on the other, so that Spark can split a
-partition in which one conversation or one common prefix weighs heavily. An end list is hashed from runs
+Joins whose one side has a row per turn have a unique key on the other, and that side is a table of its
+own, so that Spark can split a partition in which one conversation or one common prefix weighs heavily. An end list is hashed from runs
 of at most ``RUN`` ids; a list of several runs meets in one task run by run, since SHA-256 goes from the
 first byte to the last, and the task holds one run.
 
@@ -108,7 +108,8 @@ def _key(depth: Column, *sums: Column) -> Column:
     return F.unhex(F.md5(F.concat_ws(":", depth.cast("string"), *[s.cast("string") for s in sums]).cast("binary")))
 
 
-ROOT = _key(F.lit(0), F.lit(0), F.lit(0))
+def _root() -> Column:
+    return _key(F.lit(0), F.lit(0), F.lit(0))
 
 
 def prefixes(turns: DataFrame) -> DataFrame:
@@ -161,16 +162,16 @@ def tree(all_of: Rebuilt) -> Tree:
     steps = prefixes(all_of.turns)
     last = F.max(F.struct("depth", "key", "through"))
     finals = all_of.conversations.join(steps.groupBy("conv").agg(last.alias("last")), "conv", "left")
-    finals = saved(finals.select("conv", F.coalesce("last.key", ROOT).alias("key"), F.coalesce("last.through", F.lit(0)).alias("total")), "ends")
+    finals = saved(finals.select("conv", F.coalesce("last.key", _root()).alias("key"), F.coalesce("last.through", F.lit(0)).alias("total")), "ends")
     # identical conversations collapse into one weighted sequence, named by its least member
     sequences = saved(finals.groupBy("key").agg(F.min("conv").alias("first"), F.count("*").alias("weight"), F.first("total").alias("total")), "sequences")
     paths = steps.join(sequences.select(F.col("first").alias("conv")), "conv", "left_semi").withColumnRenamed("conv", "first")
-    roots = sequences.select("first", F.lit(0).cast(paths.schema["depth"].dataType).alias("depth"), ROOT.alias("key"), F.lit(None).cast("binary").alias("parent"), F.lit(0).cast("bigint").alias("bytes"), F.lit(0).cast("bigint").alias("through"))
+    roots = sequences.select("first", F.lit(0).cast(paths.schema["depth"].dataType).alias("depth"), _root().alias("key"), F.lit(None).cast("binary").alias("parent"), F.lit(0).cast("bigint").alias("bytes"), F.lit(0).cast("bigint").alias("through"))
     paths = saved(paths.unionByName(roots), "paths")
     continued = paths.where("depth > 0").select(F.col("parent").alias("key")).distinct()
     leaves = saved(sequences.join(continued, "key", "left_anti").select("key", "first", "weight"), "leaves")
     # a node belongs to the least sequence through it
-    owners = paths.groupBy("key").agg(F.min("first").alias("owner"))
+    owners = saved(paths.groupBy("key").agg(F.min("first").alias("owner")), "owners")
     owned = paths.join(owners, "key").select("first", "depth", "owner", (F.col("through") - F.col("bytes")).alias("before"))
     mine = F.col("owner") == F.col("first")
     ends_of = owned.groupBy("first").agg(
@@ -179,6 +180,7 @@ def tree(all_of: Rebuilt) -> Tree:
     )
     facts = sequences.join(ends_of, "first").join(leaves.select("first", F.lit(1).alias("leaf")), "first", "left")
     facts = facts.select("first", "weight", "total", F.coalesce("leaf", F.lit(0)).alias("leaf"), "from", "above", F.coalesce(F.col("total") - F.col("before"), F.lit(0)).alias("owns"))
+    facts = saved(facts, "facts")
     rest = (F.col("total") - F.col("through") + F.col("bytes")).alias("rest")
     through = paths.join(facts, "first").select("key", "parent", "depth", "first", "weight", "leaf", "from", "above", "owns", rest)
     nodes = through.groupBy("key").agg(
