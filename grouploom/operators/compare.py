@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from .metrics import argmax, confusion, per_class
 from .ordering import numbered, quantiles, value_ranks
-from .resample import interval
+from .resample import TOLERANCE, interval
 
 
 def prediction_table(rows: DataFrame, names: list[str]) -> DataFrame:
@@ -77,7 +77,7 @@ def paired_intervals(means: DataFrame, baseline: str) -> DataFrame:
     both = means.join(other, ["b", "metric"]).where((F.col("model") != baseline) & ((F.col("other") == baseline) | (F.col("model") < F.col("other"))))
     gaps = both.select(F.concat(F.col("model"), F.lit("_vs_"), F.col("other")).alias("pair"), "b", "metric", (F.col("value") - F.col("less")).alias("value"))
     bounds = interval(gaps, ["pair", "metric"]).select("pair", "metric", F.col("low").alias("ci_low"), F.col("high").alias("ci_high"), "n_valid")
-    greater = gaps.groupBy("pair", "metric").agg(F.avg((F.col("value") > 1e-12).cast("double")).alias("frac_a_greater"))
+    greater = gaps.groupBy("pair", "metric").agg(F.avg((F.col("value") > TOLERANCE).cast("double")).alias("frac_a_greater"))
     return bounds.join(greater, ["pair", "metric"])
 
 

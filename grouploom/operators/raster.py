@@ -146,22 +146,28 @@ def cooccurrence(samples: DataFrame, levels: int = 32) -> DataFrame:
 
 
 def cooccurrence_properties(counts: DataFrame) -> DataFrame:
-    """Six properties per (sample, d, a); correlation is 1 where the levels don't vary."""
+    """Six properties per (sample, d, a); correlation is 1 where the levels don't vary.
+
+    Counts and moments are added as whole numbers and divided once, at the end (homogeneity adds
+    decimals), so the order of addition doesn't show."""
     keys = ["sample_id", "d", "a"]
-    total = counts.groupBy(*keys).agg(F.sum("n").alias("total"), (F.sum(F.col("i") * F.col("n")) / F.sum("n")).alias("m"))
-    p = counts.join(total, keys).select(*keys, "i", "j", "m", "total", (F.col("n") / F.col("total")).alias("p"))
-    gap = F.col("i") - F.col("j")
-    variance = F.sum(F.col("p") * (F.col("i") - F.col("m")) * (F.col("i") - F.col("m")))
-    covariance = F.sum(F.col("p") * (F.col("i") - F.col("m")) * (F.col("j") - F.col("m")))
-    out = p.groupBy(*keys).agg(
-        F.sum(F.col("p") * gap * gap).alias("contrast"), F.sum(F.col("p") * F.abs(gap)).alias("dissimilarity"), F.sum(F.col("p") / (1 + gap * gap)).alias("homogeneity"), F.sum(F.col("p") * F.col("p")).alias("asm"),
-        variance.alias("v"), covariance.alias("cv"), (F.max("total") / 2).cast("bigint").alias("pairs"),
+    i, j, n = (F.col(c).cast("bigint") for c in ("i", "j", "n"))
+    gap = i - j
+    sums = {"t": n, "s": i * n, "ij": i * j * n, "ii": i * i * n, "gg": gap * gap * n, "ag": F.abs(gap) * n, "nn": n * n}
+    near = F.sum((n / (1 + gap * gap)).cast("decimal(38,15)")).cast("double").alias("near")
+    m = counts.groupBy(*keys).agg(*[F.sum(v).cast("double").alias(c) for c, v in sums.items()], near)
+    t, s = F.col("t"), F.col("s")
+    varies = t * F.col("ii") - s * s
+    asm = F.col("nn") / (t * t)
+    return m.select(
+        *keys, (F.col("gg") / t).alias("contrast"), (F.col("ag") / t).alias("dissimilarity"), (F.col("near") / t).alias("homogeneity"), F.sqrt(asm).alias("energy"), asm.alias("asm"),
+        F.when(varies <= 0, 1.0).otherwise((t * F.col("ij") - s * s) / varies).alias("correlation"), (t / 2).cast("bigint").alias("pairs"),
     )
-    return out.select(*keys, "contrast", "dissimilarity", "homogeneity", F.sqrt("asm").alias("energy"), "asm", F.when(F.sqrt("v") <= 1e-15, 1.0).otherwise(F.col("cv") / F.col("v")).alias("correlation"), "pairs")
 
 
 def _summaries() -> list[Column]:
-    return [f for p in PROPERTIES for f in (F.avg(p).alias(f"{p}_mean"), F.stddev_pop(p).alias(f"{p}_std"))]
+    mean = lambda p: F.sum(F.col(p).cast("decimal(38,15)")).cast("double") / F.count(p)
+    return [f for p in PROPERTIES for f in (mean(p).alias(f"{p}_mean"), F.stddev_pop(p).alias(f"{p}_std"))]
 
 
 def texture_summary(properties: DataFrame) -> DataFrame:

@@ -34,8 +34,10 @@ def resampled(rows: DataFrame, draws: DataFrame, keys: list[str], group: str, cl
     cells = rows.groupBy(*keys, group, "true_idx", argmax(F.col("p")).alias("pred_idx")).agg(F.count("*").alias("c"))
     weighted = cells.join(draws, group).groupBy(*own, "true_idx", "pred_idx").agg(F.sum(F.col("c") * F.col("times")).alias("n"))
     base = headline(per_class(fill_cells(weighted, own, classes), own), own, classes, each_f1=True)
-    loss = rows.groupBy(*keys, group).agg(F.sum(nll(F.col("p"), F.col("true_idx"))).alias("loss"), F.count("*").alias("c"))
-    loss = loss.join(draws, group).groupBy(*own).agg((F.sum(F.col("loss") * F.col("times")) / F.sum(F.col("c") * F.col("times"))).alias("log_loss"))
+    # losses are added as decimals, so that equal rows give equal bits whatever the order
+    loss = rows.groupBy(*keys, group).agg(F.sum(nll(F.col("p"), F.col("true_idx")).cast("decimal(38,18)")).cast("double").alias("loss"), F.count("*").alias("c"))
+    weighted_loss = F.sum((F.col("loss") * F.col("times")).cast("decimal(38,15)")).cast("double")
+    loss = loss.join(draws, group).groupBy(*own).agg((weighted_loss / F.sum(F.col("c") * F.col("times"))).alias("log_loss"))
     wide, names = base.join(loss, own), (*HEADLINE, *class_f1(classes), "log_loss")
     if with_auc:
         spread = rows.join(draws, group)
@@ -74,6 +76,10 @@ def resampled_auc(rows: DataFrame, draws: DataFrame, keys: list[str], group: str
     return long_metrics(each.groupBy(*keys, "b").agg(F.avg("auc").alias("macro_auc")), [*keys, "b"], ("macro_auc",))
 
 
+#: Differences up to this count as none.
+TOLERANCE = 1e-12
+
+
 def interval(values: DataFrame, keys: list[str], alpha: float = 0.05) -> DataFrame:
     """keys, low, high, n_valid: percentiles over resamples; undefined values are left out."""
     bounds = F.percentile("value", F.array(F.lit(alpha / 2), F.lit(1 - alpha / 2)))

@@ -111,11 +111,11 @@ def m01(v):
     return rows.groupBy("split").agg(F.count("*").alias("n"), (F.round(F.sum(total), 4) + F.lit(0.0)).alias("total"))
 
 
-HOLES = f"(SELECT sample_id, split, {', '.join(f'CASE WHEN sample_id % {7 + k} = 0 THEN NULL ELSE {n} END AS {n}' for k, n in enumerate(CO_NAMES[:6]))} FROM fx_features_a)"
-LONG_HOLES = f"(SELECT sample_id, split, unnest([{', '.join(repr(n) for n in CO_NAMES[:6])}]) AS feature, unnest([{', '.join(CO_NAMES[:6])}]) AS x FROM {HOLES})"
+HOLES = f"(SELECT sample_id, split, {', '.join(f'CASE WHEN sample_id % {7 + k} = 0 THEN NULL ELSE {n} END AS {n}' for k, n in enumerate(CO_NAMES))} FROM fx_features_a)"
+LONG_HOLES = f"(SELECT sample_id, split, unnest([{', '.join(repr(n) for n in CO_NAMES)}]) AS feature, unnest([{', '.join(CO_NAMES)}]) AS x FROM {HOLES})"
 
 
-def holes(v, names=CO_NAMES[:6]):
+def holes(v, names=CO_NAMES):
     return v.features_a.select(*T.METADATA, *[F.when(F.col("sample_id") % (7 + k) == 0, F.lit(None)).otherwise(F.col(n)).alias(n) for k, n in enumerate(names)])
 
 
@@ -123,23 +123,18 @@ STATS = f"(WITH m AS (SELECT feature, median(x) AS median FROM {LONG_HOLES} WHER
 
 
 @query("m02_imputation", f"SELECT feature, round(median, 6) + 0.0 AS median FROM {STATS}")
-def m02(v, names=CO_NAMES[:6]):
+def m02(v, names=CO_NAMES):
     rows = holes(v, names)
     return rounded(L.preprocessing(rows.where("split = 'train'"), names).select("feature", "median"), "median")
 
 
 @query("m03_scaling", f"SELECT split, feature, round(avg((coalesce(x, median) - mean) / std), 6) + 0.0 AS mean, round(stddev_pop((coalesce(x, median) - mean) / std), 6) AS std FROM {LONG_HOLES} JOIN {STATS} USING (feature) GROUP BY ALL")
-def m03(v, names=CO_NAMES[:6]):
+def m03(v, names=CO_NAMES):
     rows = holes(v, names)
     scaled = L.transformed(rows, L.preprocessing(rows.where("split = 'train'"), names), names)
     return rounded(T.melted(scaled, names, ("split",)).groupBy("split", "feature").agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("std")), "mean", "std")
 
 
-# the SQL of m02 and m03 has six features
-query("m02_imputation_all")(lambda v: m02(v, CO_NAMES))
-query("m03_scaling_all")(lambda v: m03(v, CO_NAMES))
-
-
 def _protocol(data, grid, refit=False):
     """Val-selected candidate scored once on test: split, candidate and headline metrics."""
     best, model, _ = L.search(data, grid, K, refit)

@@ -92,9 +92,9 @@ def j15(v):
     return R.cooccurrence(v.samples).groupBy("sample_id", "d", "a").agg((F.sum("n") / 2).cast("bigint").alias("pairs"))
 
 
-PROPS = f"""(WITH c AS (SELECT *, sum(n) OVER w AS total, sum(i * n) OVER w / sum(n) OVER w AS m FROM {COUNTS} WINDOW w AS (PARTITION BY sample_id, d, a)), p AS (SELECT *, n / total AS p FROM c),
-s AS (SELECT sample_id, d, a, sum(p * (i - j) * (i - j)) AS contrast, sum(p * abs(i - j)) AS dissimilarity, sum(p / (1 + (i - j) * (i - j))) AS homogeneity, sum(p * p) AS asm, sum(p * (i - m) * (i - m)) AS v, sum(p * (i - m) * (j - m)) AS cv FROM p GROUP BY ALL)
-SELECT sample_id, d, a, contrast, dissimilarity, homogeneity, sqrt(asm) AS energy, asm, CASE WHEN sqrt(v) <= 1e-15 THEN 1.0 ELSE cv / v END AS correlation FROM s)"""
+PROPS = f"""(WITH s AS (SELECT sample_id, d, a, CAST(sum(n) AS DOUBLE) AS t, CAST(sum(i * n) AS DOUBLE) AS s, CAST(sum(i * j * n) AS DOUBLE) AS ij, CAST(sum(i * i * n) AS DOUBLE) AS ii, CAST(sum((i - j) * (i - j) * n) AS DOUBLE) AS gg, CAST(sum(abs(i - j) * n) AS DOUBLE) AS ag, CAST(sum(n * n) AS DOUBLE) AS nn,
+ CAST(sum(CAST(n / (1 + (i - j) * (i - j)) AS DECIMAL(38, 15))) AS DOUBLE) AS near FROM {COUNTS} GROUP BY ALL)
+SELECT sample_id, d, a, gg / t AS contrast, ag / t AS dissimilarity, near / t AS homogeneity, sqrt(nn / (t * t)) AS energy, nn / (t * t) AS asm, CASE WHEN t * ii - s * s <= 0 THEN 1.0 ELSE (t * ij - s * s) / (t * ii - s * s) END AS correlation FROM s)"""
 ALL_PROPS = ", ".join(f"round({p}, 6) + 0.0 AS {p}" for p in R.PROPERTIES)
 
 
@@ -103,7 +103,7 @@ def r13(v):
     return rounded(R.cooccurrence_properties(R.cooccurrence(v.samples)).drop("pairs"), *R.PROPERTIES)
 
 
-SUMMARY = ", ".join(f"round(avg({p}), 6) + 0.0 AS {p}_mean, round(stddev_pop({p}), 6) AS {p}_std" for p in R.PROPERTIES)
+SUMMARY = ", ".join(f"round(CAST(sum(CAST({p} AS DECIMAL(38, 15))) AS DOUBLE) / count({p}), 6) + 0.0 AS {p}_mean, round(stddev_pop({p}), 6) AS {p}_std" for p in R.PROPERTIES)
 SUMMARY_NAMES = [f"{p}_{s}" for p in R.PROPERTIES for s in ("mean", "std")]
 
 

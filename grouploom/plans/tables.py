@@ -395,15 +395,8 @@ def f04(v):
     return v.table("part").select("p_partkey", S.run_key(F.col("p_brand"), lr, F.col("p_size")).alias("run_key"))
 
 
-@query("f05_text_from_codes", "SELECT doc_id, trim(array_to_string(list_transform(list_filter(list_transform(string_split(substr(lang || ' ' || source || '  ', 1, 40), ''), lambda c: CASE WHEN c = 'r' THEN 0 ELSE ord(c) END), lambda x: x <> 0), lambda x: chr(CAST(x AS INT))), '')) AS text FROM documents")
+@query("f05_text_from_codes", "SELECT doc_id, trim(array_to_string(list_transform(list_filter(flatten(list_transform(string_split(text, ''), lambda c: [0, ord(c)])), lambda x: x <> 0), lambda x: chr(CAST(x AS INT))), ''), ' ') AS text FROM documents")
 def f05(v):
-    label = F.substring(F.concat("lang", F.lit(" "), "source", F.lit("  ")), 1, 40)
-    codes = F.transform(F.split(label, ""), lambda c: F.when(c == "r", 0).otherwise(F.ascii(c)))
-    return v.table("documents").select("doc_id", S.text_from_codes(codes).alias("text"))
-
-
-@query("f05_text_from_codes_whole")
-def f05_whole(v):
     """The codes of whole texts, with a zero code before each character."""
     codes = F.flatten(F.transform(F.split(F.col("text"), ""), lambda c: F.array(F.lit(0), F.ascii(c))))
     return v.table("documents").select("doc_id", S.text_from_codes(codes).alias("text"))

@@ -48,24 +48,24 @@ def bounds(values):
 def test_intervals_of_2000_resamples(spark, runs):
     find = lambda name, *keys: {tuple(r[k] for k in keys): r for r in registry.queries()[name](spark, SF).where("metric = 'accuracy'").collect()}
     values = {key: accuracy(*x) for key, x in runs.items()}
-    got = find("b01_group_bootstrap_2000", *RUN)
+    got = find("b01_group_bootstrap", *RUN)
     assert set(got) == set(values) and all(r.n_valid == N and (r.low, r.high) == bounds(values[k]) for k, r in got.items())
-    got = find("b02_paired_bootstrap_2000", "seed")
+    got = find("b02_paired_bootstrap", "seed")
     for (seed,), r in got.items():
         gap = values["a", seed] - values["b", seed]
         assert (r.low, r.high) == bounds(gap) and r.frac_a_greater == pytest.approx((gap > 1e-12).mean(), abs=2e-3)
     means = {m: np.mean([values[m, s] for s in (42, 43, 44)], axis=0) for m in "ab"}
-    assert all((r.low, r.high) == bounds(means[m]) and r.n_valid == N for (m,), r in find("b03_multi_seed_bootstrap_2000", "model").items())
-    pairs = find("b04_paired_multi_seed_2000", "pair")
+    assert all((r.low, r.high) == bounds(means[m]) and r.n_valid == N for (m,), r in find("b03_multi_seed_bootstrap", "model").items())
+    pairs = find("b04_paired_multi_seed", "pair")
     assert (pairs["a-b",].low, pairs["a-b",].high) == bounds(means["a"] - means["b"])
-    for (m,), r in find("c10_headline_bars_2000", "model").items():
+    for (m,), r in find("c10_headline_bars", "model").items():
         point = np.mean([(runs[m, s][1].argmax(axis=1) == runs[m, s][0]).mean() for s in (42, 43, 44)])
         low, high = np.percentile(means[m], (2.5, 97.5))
         assert (r.below, r.above) == pytest.approx((point - low, high - point), abs=3e-6)
 
 
 def test_auc_intervals_of_all_runs(spark, runs):
-    got = {(r.model, r.seed): r for r in registry.queries()["b05_auc_bootstrap_2000"](spark, SF).collect()}
+    got = {(r.model, r.seed): r for r in registry.queries()["b05_auc_bootstrap"](spark, SF).collect()}
     assert set(got) == set(runs)
     assert all(r.n_valid == N and (r.low, r.high) == bounds(macro_auc(*runs[k])) for k, r in got.items())
 
