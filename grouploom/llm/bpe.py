@@ -16,12 +16,14 @@ from __future__ import annotations
 
 import hashlib
 import json
+import re
 import unicodedata
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 import regex
+import tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -29,6 +31,11 @@ from ..session import ship
 from .common import table, text_parts
 
 NONE = np.int64(1) << 40  # a rank that no pair has
+#: Blocks of code points whose case and classes are the same in all tables: Latin, Greek, Cyrillic, general
+#: punctuation, currency, kana and the first block of Han. Texts with others are normalised and split by the
+#: tokenizers library, whose tables have a version of their own; words are merged here in either case.
+FAMILIAR = r"\u0000-\u052f\u1e00-\u1eff\u2000-\u206f\u20a0-\u20bf\u3040-\u30ff\u4e00-\u9fa5"
+STRANGE = re.compile(f"[^{FAMILIAR}]")
 #: Words that a worker remembers at most; beyond that the memory starts anew.
 REMEMBERED = 400_000
 
@@ -74,7 +81,11 @@ class Vocabulary:
         self.suffix = spec["model"]["end_of_word_suffix"]
         self.special = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.pieces = {v: k for k, v in self.ids.items()} | {v: k for k, v in self.special.items()}
-        self.words = regex.compile(spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"])
+        pattern = spec["pre_tokenizer"]["pretokenizers"][0]["pattern"]["Regex"]
+        self.words = regex.compile(pattern)
+        # the library's own tables of letters and case, for texts with code points outside FAMILIAR
+        self.normalizer = tokenizers.Tokenizer.from_str(spec_text).normalizer
+        self.splitter = tokenizers.pre_tokenizers.Split(tokenizers.Regex(pattern), "removed", invert=True)
         self.specials = regex.compile("|".join(regex.escape(x) for x in self.special)) if self.special else None
         merges = [m if isinstance(m, list) else m.split(" ") for m in spec["model"]["merges"]]
         left = np.array([self.ids[a] for a, _ in merges], np.int64)
@@ -212,13 +223,13 @@ class Vocabulary:
         return self._plain(text)
 
     def _plain(self, text: str) -> list[str]:
-        if not text.isascii():
-            text = unicodedata.normalize("NFC", text)
-            # letter by letter: str.lower alone has a rule for a sigma at a word's end
-            text = text.lower() if "\u03a3" not in text else "".join(map(str.lower, text))
-        else:
-            text = text.lower()
-        return self.words.findall(text)
+        if text.isascii():
+            return self.words.findall(text.lower())
+        if STRANGE.search(text):
+            return [w for w, _ in self.splitter.pre_tokenize_str(self.normalizer.normalize_str(text))]
+        text = unicodedata.normalize("NFC", text)
+        # letter by letter: str.lower alone has a rule for a sigma at a word's end
+        return self.words.findall(text.lower() if "\u03a3" not in text else "".join(map(str.lower, text)))
 
 
 class Encoder:

@@ -51,6 +51,14 @@ def saved_by(df: DataFrame, key: str, buckets: int) -> DataFrame:
     return spark.table(name)
 
 
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one, that no column of ``df`` has (in any case)."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def hot_copies(rows: DataFrame, key: str) -> DataFrame:
     """(key, copies) of the keys with over a thousandth of the rows; at most a thousand keys, and
     two thousand copies."""

@@ -23,7 +23,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, saved, shared_folder, table
+from .common import WHITE, fresh, saved, shared_folder, table
 
 #: A digest with more than this share of a batch's rows is hot; there are at most 1000 such
 #: digests, so their index rows can be broadcast.
@@ -130,10 +130,12 @@ def deduplicated(docs: DataFrame) -> DataFrame:
     """The rows of ``docs``, all columns, that stay; one of equal rows.
 
     Rows are numbered once, in a saved copy that both the digests and the result are read from."""
-    numbered = saved(docs.withColumn("__own", F.monotonically_increasing_id()), "numbered")
-    prints = fingerprints(numbered, F.col("__own"))
-    kept = deduplicate(saved(prints, "prints"), new_index(docs.sparkSession)).where("kept").select(F.col("row").alias("__row"))
-    return numbered.join(kept, F.col("__own") == F.col("__row"), "left_semi").drop("__own")
+    own = fresh(docs, "own_number")
+    numbered = saved(docs.withColumn(own, F.monotonically_increasing_id()), "numbered")
+    kept_row = fresh(numbered, "kept_row")
+    prints = fingerprints(numbered, F.col(own))
+    kept = deduplicate(saved(prints, "prints"), new_index(docs.sparkSession)).where("kept").select(F.col("row").alias(kept_row))
+    return numbered.join(kept, F.col(own) == F.col(kept_row), "left_semi").drop(own)
 
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:

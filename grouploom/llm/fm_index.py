@@ -40,7 +40,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import lowered, saved, saved_by, table, text_parts, word_hashes, words_of
+from .common import fresh, lowered, saved, saved_by, table, text_parts, word_hashes, words_of
 
 #: Words of a shard; with a separator per text it has fewer than 2**21 symbols.
 SHARD = 1 << 19
@@ -456,13 +456,14 @@ def contamination(docs: DataFrame, items: DataFrame, width: int = WIDTH) -> Data
 
 def without_spans(docs: DataFrame, found: DataFrame) -> DataFrame:
     """``docs``, whose doc_id must be unique, with the bytes of the found spans cut out of their texts."""
-    hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias("__doc"), F.col("spans").alias("__spans"))
+    doc, spans = fresh(docs, "hit_doc"), fresh(docs, "hit_spans")
+    hit = found.where(F.size("spans") > 0).select(F.col("doc_id").alias(doc), F.col("spans").alias(spans))
     raw = F.col("text").cast("binary")
-    stops = F.concat(F.array(F.lit(0).cast("bigint")), F.transform("__spans", lambda s: s["stop"]))
-    starts = F.concat(F.transform("__spans", lambda s: s["start"]), F.array(F.octet_length("text").cast("bigint")))
+    stops = F.concat(F.array(F.lit(0).cast("bigint")), F.transform(spans, lambda s: s["stop"]))
+    starts = F.concat(F.transform(spans, lambda s: s["start"]), F.array(F.octet_length("text").cast("bigint")))
     kept = F.aggregate(F.zip_with(stops, starts, lambda a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int"))), F.lit(b""), lambda a, b: F.concat(a, b))
-    joined = docs.join(hit, F.col("doc_id") == F.col("__doc"), "left")
-    return joined.withColumn("text", F.when(F.col("__spans").isNull(), F.col("text")).otherwise(kept.cast("string"))).select(docs.columns)
+    joined = docs.join(hit, F.col("doc_id") == F.col(doc), "left")
+    return joined.withColumn("text", F.when(F.col(spans).isNull(), F.col("text")).otherwise(kept.cast("string"))).select(docs.columns)
 
 
 def op12(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -29,7 +29,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WHITE, saved, table
+from .common import WHITE, fresh, saved, table
 
 #: Labelled rows that a fit uses at most; their ids are broadcast.
 SAMPLE = 20_000
@@ -38,6 +38,8 @@ BUCKETS = 8192
 #: Words of a text that count as independent evidence; longer texts are tempered to as many.
 EVIDENCE = 60
 STEPS = 12
+#: Times its tokens that a corpus may grow where documents are repeated towards targets.
+MOST_GROWTH = 8.0
 
 TARGETS = {"en:1": 0.46, "de:1": 0.18, "fr:1": 0.18, "es:1": 0.14, "en:0": 0.01, "de:0": 0.01, "fr:0": 0.01, "es:0": 0.01}
 
@@ -89,10 +91,15 @@ def posteriors(docs: DataFrame, domains: list[str], weights: DataFrame, priors:
     return raised.select("row", "doc_id", "n_tokens", *[(F.col(f"e{k}") / total).alias(f"p{k}") for k in ks])
 
 
-def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], least: float = 0.0) -> tuple[DataFrame, float]:
+def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float], least: float = 0.0, most: float = MOST_GROWTH) -> tuple[DataFrame, float]:
     """``members`` with a column rate >= ``least``, and the largest miss of a target, as a share of
     all wanted tokens. With ``least`` 0 the targets add up to all
-    tokens; with 1 to as many as make every domain's target at least what it has."""
+    tokens; with 1 to as many as make every domain's target at least what it has, ``most`` times all
+    tokens at the most. The fit ends when the targets are met, when no step brings them nearer, and after
+    ``STEPS`` steps; what is missed by then is returned, and a miss of over a hundredth is a warning.
+
+    A rate is a chain of clipped linear forms of the memberships, so a trial step is one aggregate
+    over the table of members and writes nothing."""
     ks = range(len(domains))
     p = [F.col(f"p{k}") for k in ks]
     n = F.col("n_tokens").cast("double")
@@ -100,49 +107,48 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     share = share / share.sum() if share.sum() else np.full(len(domains), 1 / len(domains))
     pairs = [(i, j) for i in ks for j in range(i + 1)]
 
-    def sums(state: DataFrame):
+    def sums(rate: Column):
         free = F.when(F.col("rate") > least, n).otherwise(0.0)
-        row = state.agg(*[F.coalesce(F.sum(n * F.col("rate") * x), F.lit(0.0)) for x in p], *[F.coalesce(F.sum(free * p[i] * p[j]), F.lit(0.0)) for i, j in pairs]).first()
+        row = members.withColumn("rate", rate).agg(*[F.coalesce(F.sum(n * F.col("rate") * x), F.lit(0.0)) for x in p], *[F.coalesce(F.sum(free * p[i] * p[j]), F.lit(0.0)) for i, j in pairs]).first()
         gram = np.zeros((len(domains), len(domains)))
         for (i, j), v in zip(pairs, row[len(domains) :], strict=True):
             gram[i, j] = gram[j, i] = v
         return np.array(row[: len(domains)]), gram
 
-    state = members.withColumn("rate", F.lit(1.0 if least <= 1 else float(least)))
-    have, gram = sums(state)
-    want = share * (max(h / s for h, s in zip(have, share, strict=True) if s) if least else have.sum())
+    rate = F.lit(1.0 if least <= 1 else float(least))
+    have, gram = sums(rate)
+    want = share * (min(max(h / s for h, s in zip(have, share, strict=True) if s), most * have.sum()) if least else have.sum())
     if least and have.sum():  # begin away from the bound, with the right number of tokens in all
-        state = members.withColumn("rate", F.lit(max(float(least), float(want.sum() / have.sum()))))
-        have, gram = sums(state)
+        rate = F.lit(max(float(least), float(want.sum() / have.sum())))
+        have, gram = sums(rate)
     scale = max(want.sum(), 1.0)
     error = float((((have - want) / scale) ** 2).sum())
     for _ in range(STEPS):
         step = np.linalg.lstsq(gram + np.eye(len(domains)) * 1e-9 * max(gram.trace(), 1.0), have - want, rcond=None)[0]
         size = 1.0
         while size > 1e-3:
-            moved = F.greatest(F.lit(float(least)), F.col("rate") - sum((F.lit(float(size * c)) * x for c, x in zip(step, p, strict=True)), F.lit(0.0)))
-            next_state = saved(state.withColumn("rate", moved), "rates")
-            next_have, next_gram = sums(next_state)
+            moved = F.greatest(F.lit(float(least)), rate - sum((F.lit(float(size * c)) * x for c, x in zip(step, p, strict=True)), F.lit(0.0)))
+            next_have, next_gram = sums(moved)
             next_error = float((((next_have - want) / scale) ** 2).sum())
             if next_error < error:
                 break
             size /= 2
         else:
             break
-        gain, state, have, gram, error = error - next_error, next_state, next_have, next_gram, next_error
+        gain, rate, have, gram, error = error - next_error, moved, next_have, next_gram, next_error
         if error < 1e-10 or gain < 1e-3 * error:
             break
     missed = float(np.abs((have - want) / scale).max())
     if missed > 0.01:
         warnings.warn(f"mixing misses a target by {missed:.2%} of the tokens", stacklevel=2)
-    return state, missed
+    return members.withColumn("rate", rate), missed
 
 
-def fitted_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0) -> tuple[list[str], DataFrame, float]:
+def fitted_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, most: float = MOST_GROWTH) -> tuple[list[str], DataFrame, float]:
     """Domains in order, rates of all rows of ``docs``, and the largest miss of a target."""
     domains, weights, priors, unseen = fit_domains(docs, labelled)
     members = saved(posteriors(docs, domains, weights, priors, unseen), "members")
-    return domains, *fit_rates(members, domains, targets, least)
+    return domains, *fit_rates(members, domains, targets, least, most)
 
 
 def mixed_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0) -> tuple[list[str], DataFrame]:
@@ -164,12 +170,14 @@ def op1(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rates.select("doc_id", "n_tokens", F.element_at(F.array(*[F.lit(d) for d in domains]), best.cast("int")).alias("domain"), F.array(*[f"p{k}" for k in range(len(domains))]).alias("membership"), "rate")
 
 
-def repeated_to_targets(docs: DataFrame, labelled: DataFrame, targets: dict[str, float]) -> DataFrame:
+def repeated_to_targets(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], most: float = MOST_GROWTH) -> DataFrame:
     """``docs`` with every row at least once, and repeated so that expected domain tokens match the
-    targets: a rate's fraction is rounded up for a hash-chosen share of documents."""
-    _, rates = mixed_rates(docs, labelled, targets, least=1.0)
-    chance = F.pmod(F.xxhash64("__id", F.lit("copies")), F.lit(1_000_000)) / 1_000_000
-    rates = rates.groupBy(F.col("doc_id").alias("__id")).agg(F.avg("rate").alias("__rate"))
-    copies = F.greatest(F.lit(1), F.floor(F.coalesce("__rate", F.lit(1.0)) + F.coalesce(chance, F.lit(0.0)))).cast("int")
-    joined = docs.join(rates, docs.doc_id == F.col("__id"), "left")
-    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), copies)).alias("__copy")).drop("__copy")
+    targets: a rate's fraction is rounded up for a hash-chosen share of documents. All tokens grow to
+    ``most`` times as many at the most; targets that this leaves out of reach are a warning."""
+    _, rates, _ = fitted_rates(docs, labelled, targets, 1.0, most)
+    own, share, copy = fresh(docs, "own_id"), fresh(docs, "own_rate"), fresh(docs, "copy")
+    chance = F.pmod(F.xxhash64(own, F.lit("copies")), F.lit(1_000_000)) / 1_000_000
+    rates = rates.groupBy(F.col("doc_id").alias(own)).agg(F.avg("rate").alias(share))
+    copies = F.greatest(F.lit(1), F.floor(F.coalesce(share, F.lit(1.0)) + F.coalesce(chance, F.lit(0.0)))).cast("int")
+    joined = docs.join(rates, docs.doc_id == F.col(own), "left")
+    return joined.select(*[docs[c] for c in docs.columns], F.explode(F.sequence(F.lit(1), copies)).alias(copy)).drop(copy)

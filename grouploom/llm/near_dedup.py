@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import copied, dealt, hot_copies, lowered, mixed, saved, table, text_parts, word_hashes, words_of
+from .common import copied, dealt, fresh, hot_copies, lowered, mixed, saved, table, text_parts, word_hashes, words_of
 from .components import roots
 
 HALF = 3
@@ -244,8 +244,9 @@ def near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataF
 
 def without_near_duplicates(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
     """The rows of ``docs``, all columns, except those of a component's larger ids."""
-    gone = near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias("__gone")).distinct()
-    return docs.join(gone, docs.doc_id.cast("bigint") == F.col("__gone"), "left_anti")
+    name = fresh(docs, "gone")
+    gone = near_duplicates(docs, words, percent).where("NOT kept").select(F.col("doc_id").alias(name)).distinct()
+    return docs.join(gone, docs.doc_id.cast("bigint") == F.col(name), "left_anti")
 
 
 def op4(spark: SparkSession, sf_dir: str) -> DataFrame:

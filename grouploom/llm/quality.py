@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import ship
-from .common import saved, table, text_parts, training_rows, word_hashes, words_of
+from .common import fresh, saved, table, text_parts, training_rows, word_hashes, words_of
 
 #: Labelled rows that a fit uses at most.
 SAMPLE = 20_000
@@ -265,8 +265,9 @@ def _chosen(labels: DataFrame, sample: int) -> DataFrame:
 
 def training_documents(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> DataFrame:
     """The documents that a fit uses: at most ``sample`` labelled ids, which are broadcast."""
-    ids = F.broadcast(_chosen(labels, sample).select("labelled").distinct())
-    return docs.join(ids, F.col("doc_id") == F.col("labelled"), "left_semi")
+    name = fresh(docs, "labelled")
+    ids = F.broadcast(_chosen(labels, sample).select(F.col("labelled").alias(name)).distinct())
+    return docs.join(ids, F.col("doc_id") == F.col(name), "left_semi")
 
 
 def fit(found: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> AdditiveModel:

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from grouploom.llm import bpe, chat, context_tree, exact_dedup, mixing, near_dedup, quality, repeats, token_counts, topk
 
@@ -149,8 +150,21 @@ def test_top_k(spark):
 
 
 # BPE
+def test_bpe_of_every_code_point_equals_the_library():
+    """Code points whose words this library splits by itself, all of them; of the others, which the library
+    splits, every seventeenth."""
+    with open(bpe.default_tokenizer(), encoding="utf-8") as f:
+        spec = f.read()
+    lib, encoder = Tokenizer.from_str(spec), bpe.Encoder(bpe.Vocabulary(spec))
+    points = [chr(c) for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+    own = [c for c in points if not bpe.STRANGE.search(c)]
+    for group in (own, [c for c in points if bpe.STRANGE.search(c)][::17]):
+        texts = [" ".join(f"a{c}b {c}" for c in group[a : a + 300]) for a in range(0, len(group), 300)]
+        want = lib.encode_batch(texts, add_special_tokens=False)
+        assert [np.frombuffer(x, np.int32).tolist() for x in encoder.encode(texts)[0]] == [w.ids for w in want]
+
+
 def test_bpe_equals_the_library(docs, none):
-    from tokenizers import Tokenizer
 
     lib = Tokenizer.from_file(bpe.default_tokenizer())
     got = {r.doc_id: (r.ids, r.decoded) for r in bpe.encode(docs, bpe.default_tokenizer()).collect()}

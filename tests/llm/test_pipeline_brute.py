@@ -14,6 +14,8 @@ from grouploom.llm.common import table as load
 
 SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 CLASH = ("row", "digest", "kept", "component_id", "score", "rate", "p0", "n_chars", "n", "copies")
+#: Names of the stages' own helper columns.
+CLASH += ("labelled", "gone", "own_number", "kept_row", "own_id", "own_rate", "copy", "__row", "__own", "__gone", "__id", "__rate", "__copy", "__text", "ids", "text_", "node", "x", "y")
 
 
 @pytest.fixture(scope="module")
