@@ -158,10 +158,10 @@ def m05(v):
 
 @query("m06_kernel_svm")
 def m06(v):
-    data, names = L.prepared(v.features_a)
-    best, gamma, model, _ = L.kernel_svm_search(data, K, size=32, iterations=3)
-    mapped = L.fourier_features(data.where("split <> 'train'"), 32, gamma, 42, len(names))
-    return L.scores(L.predictions(model, mapped, K), ["split"], K).withColumn("candidate", F.lit(best))
+    """The best of 5 x 6 kernel machines on val, scored on val and test."""
+    rows, names = L.standardized(v.features_a)
+    best, _, chosen = L.kernel_search(rows, names, K, **L.KERNEL)
+    return L.scores(chosen.where("split <> 'train'"), ["split"], K).withColumn("candidate", F.lit(best))
 
 
 @query("m07_boosted")
