@@ -98,8 +98,7 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     tokens at the most. The fit ends when the targets are met, when no step brings them nearer, and after
     ``STEPS`` steps; what is missed by then is returned, and a miss of over a hundredth is a warning.
 
-    A rate is a chain of clipped linear forms of the memberships, so a trial step is one aggregate
-    over the table of members and writes nothing."""
+    A trial step is one aggregate over the table of the last step; only steps that are taken are written."""
     ks = range(len(domains))
     p = [F.col(f"p{k}") for k in ks]
     n = F.col("n_tokens").cast("double")
@@ -107,41 +106,42 @@ def fit_rates(members: DataFrame, domains: list[str], targets: dict[str, float],
     share = share / share.sum() if share.sum() else np.full(len(domains), 1 / len(domains))
     pairs = [(i, j) for i in ks for j in range(i + 1)]
 
-    def sums(rate: Column):
+    def sums(state: DataFrame):
         free = F.when(F.col("rate") > least, n).otherwise(0.0)
-        row = members.withColumn("rate", rate).agg(*[F.coalesce(F.sum(n * F.col("rate") * x), F.lit(0.0)) for x in p], *[F.coalesce(F.sum(free * p[i] * p[j]), F.lit(0.0)) for i, j in pairs]).first()
+        row = state.agg(*[F.coalesce(F.sum(n * F.col("rate") * x), F.lit(0.0)) for x in p], *[F.coalesce(F.sum(free * p[i] * p[j]), F.lit(0.0)) for i, j in pairs]).first()
         gram = np.zeros((len(domains), len(domains)))
         for (i, j), v in zip(pairs, row[len(domains) :], strict=True):
             gram[i, j] = gram[j, i] = v
         return np.array(row[: len(domains)]), gram
 
-    rate = F.lit(1.0 if least <= 1 else float(least))
-    have, gram = sums(rate)
+    state = members.withColumn("rate", F.lit(1.0 if least <= 1 else float(least)))
+    have, gram = sums(state)
     want = share * (min(max(h / s for h, s in zip(have, share, strict=True) if s), most * have.sum()) if least else have.sum())
     if least and have.sum():  # begin away from the bound, with the right number of tokens in all
-        rate = F.lit(max(float(least), float(want.sum() / have.sum())))
-        have, gram = sums(rate)
+        state = members.withColumn("rate", F.lit(max(float(least), float(want.sum() / have.sum()))))
+        have, gram = sums(state)
     scale = max(want.sum(), 1.0)
     error = float((((have - want) / scale) ** 2).sum())
     for _ in range(STEPS):
         step = np.linalg.lstsq(gram + np.eye(len(domains)) * 1e-9 * max(gram.trace(), 1.0), have - want, rcond=None)[0]
         size = 1.0
         while size > 1e-3:
-            moved = F.greatest(F.lit(float(least)), rate - sum((F.lit(float(size * c)) * x for c, x in zip(step, p, strict=True)), F.lit(0.0)))
-            next_have, next_gram = sums(moved)
+            moved = F.greatest(F.lit(float(least)), F.col("rate") - sum((F.lit(float(size * c)) * x for c, x in zip(step, p, strict=True)), F.lit(0.0)))
+            next_state = state.withColumn("rate", moved)
+            next_have, next_gram = sums(next_state)
             next_error = float((((next_have - want) / scale) ** 2).sum())
             if next_error < error:
                 break
             size /= 2
         else:
             break
-        gain, rate, have, gram, error = error - next_error, moved, next_have, next_gram, next_error
+        gain, state, have, gram, error = error - next_error, saved(next_state, "rates"), next_have, next_gram, next_error
         if error < 1e-10 or gain < 1e-3 * error:
             break
     missed = float(np.abs((have - want) / scale).max())
     if missed > 0.01:
         warnings.warn(f"mixing misses a target by {missed:.2%} of the tokens", stacklevel=2)
-    return members.withColumn("rate", rate), missed
+    return state, missed
 
 
 def fitted_rates(docs: DataFrame, labelled: DataFrame, targets: dict[str, float], least: float = 0.0, most: float = MOST_GROWTH) -> tuple[list[str], DataFrame, float]:
