@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .metrics import argmax, confusion, per_class
-from .ordering import numbered, quantiles, value_ranks
+from .ordering import numbered, quantiles, ranged, value_ranks, with_earlier
 from .resample import TOLERANCE, interval
 
 
@@ -145,37 +146,71 @@ def reload_difference(a: DataFrame, b: DataFrame, on: list[str], keys: list[str]
 
 
 def examples(rows: DataFrame, keys: list[str], n: int) -> DataFrame:
-    """Per key the first wrong row, if any, and the first n - 1 right ones."""
-    k = F.row_number().over(Window.partitionBy(*keys, "correct").orderBy("sample_id"))
-    ranked = rows.withColumn("k", k)
-    return ranked.where((F.col("correct") & (F.col("k") <= n - 1)) | (~F.col("correct") & (F.col("k") == 1))).drop("k")
+    """Per key the first wrong row, if any, and the first n - 1 right ones. Each part is a limit on a row
+    number, which Spark applies before it shuffles."""
+    k = F.row_number().over(Window.partitionBy(*keys).orderBy("sample_id"))
+    first = lambda part, most: part.withColumn("k", k).where(F.col("k") <= most).drop("k")
+    return first(rows.where("correct"), n - 1).unionByName(first(rows.where("NOT correct"), 1))
+
+
+def _so_far(parts: DataFrame, **aggregates: Column) -> DataFrame:
+    """``parts`` with, for each name, the largest value of the aggregate over the run's earlier ranges."""
+    totals = parts.groupBy("run_id", "__part").agg(*[c.alias(n) for n, c in aggregates.items()])
+    before = Window.partitionBy("run_id").orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    return parts.join(totals.select("run_id", "__part", *[F.max(n).over(before).alias(n) for n in aggregates]), ["run_id", "__part"])
+
+
+def _best_by_steps(history: DataFrame, patience: int, min_delta: float) -> DataFrame:
+    """As ``best_so_far``, run by run in the order of epochs; a task holds one epoch at a time."""
+
+    def run(batches):
+        own, best, loss, stale, stopped = None, None, None, 0, False
+        for batch in batches:
+            out = []
+            for r, e, f1, lo in zip(*[c.to_pylist() for c in batch.columns], strict=True):
+                if r != own:
+                    own, best, loss, stale, stopped = r, None, None, 0, False
+                if stopped:
+                    continue
+                tie = best is not None and round(f1, 12) == round(best, 12) and None not in (lo, loss) and lo < loss
+                improved = best is None or f1 > best + min_delta or tie
+                best, loss, stale = (f1, lo, 0) if improved else (best, loss, stale + 1)
+                stopped = stale >= patience
+                out.append((r, e, improved, stale, stopped))
+            columns = zip(*out, strict=True) if out else [[]] * 5
+            yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(columns, (batch.schema.field(0).type, batch.schema.field(1).type, pa.bool_(), pa.int32(), pa.bool_()), strict=True)], names=["run_id", "epoch", "improved", "stale", "stopped"])
+
+    rows = history.select("run_id", "epoch", "val_macro_f1", "val_loss")
+    types = dict(rows.dtypes)
+    ordered = rows.repartition("run_id").sortWithinPartitions("run_id", "epoch")
+    return ordered.mapInArrow(run, f"run_id {types['run_id']}, epoch {types['epoch']}, improved boolean, stale int, stopped boolean")
 
 
 def best_so_far(history: DataFrame, patience: int, min_delta: float = 0.0) -> DataFrame:
-    """run_id, epoch, improved, stale, stopped: an epoch improves on a score above the best plus
-    ``min_delta``, or a tie with a lower loss; after ``patience`` stale epochs the run stops.
-
-    The fold is over one run's epochs in order; epochs after the stop are not in the result."""
-    steps = F.sort_array(F.collect_list(F.struct("epoch", F.col("val_macro_f1").alias("f1"), F.col("val_loss").alias("loss"))))
-    start = F.struct(
-        F.lit(None).cast("double").alias("best"), F.lit(None).cast("double").alias("loss"), F.lit(0).alias("stale"), F.lit(False).alias("stopped"),
-        F.array().cast("array<struct<epoch:bigint,improved:boolean,stale:int,stopped:boolean>>").alias("out"),
-    )
-
-    def step(a: Column, x: Column) -> Column:
-        tie = (F.abs(x["f1"] - a["best"]) <= 1e-12) & (x["loss"] < a["loss"])
-        improved = a["best"].isNull() | (x["f1"] > a["best"] + min_delta) | tie
-        stale = F.when(improved, 0).otherwise(a["stale"] + 1)
-        stopped = stale >= patience
-        row = F.struct(x["epoch"].alias("epoch"), improved.alias("improved"), stale.alias("stale"), stopped.alias("stopped"))
-        new = F.struct(
-            F.when(improved, x["f1"]).otherwise(a["best"]).alias("best"), F.when(improved, x["loss"]).otherwise(a["loss"]).alias("loss"), stale.alias("stale"), stopped.alias("stopped"),
-            F.concat(a["out"], F.array(row)).alias("out"),
-        )
-        return F.when(a["stopped"], a).otherwise(new)
-
-    folded = history.groupBy("run_id").agg(F.aggregate(steps, start, step)["out"].alias("out"))
-    return folded.select("run_id", F.inline("out"))
+    """run_id, epoch, improved, stale, stopped: an epoch improves on a score above the best by more than
+    ``min_delta``, or on the same score with a lower loss (scores that agree to twelve places are the
+    same); after ``patience`` stale epochs the run stops, and epochs after the stop are not in the result.
+    With a ``min_delta`` what counts as best depends on all steps before, and runs are followed step by step.
+
+    A segmented scan: the best so far is a running maximum of (score, -loss), the last improvement a
+    running maximum of places. Both run within ranges of (run, epoch), and what earlier ranges of a run
+    reached is joined on, so a run may be longer than a task."""
+    if min_delta > 0:
+        return _best_by_steps(history, patience, min_delta)
+    rows = history.select("run_id", "epoch", F.struct(F.round("val_macro_f1", 12).alias("f1"), (-F.col("val_loss")).alias("loss")).alias("reached"))
+    parts = ranged(rows, "run_id", "epoch")
+    within = Window.partitionBy("run_id", "__part").orderBy("epoch")
+    earlier = within.rowsBetween(Window.unboundedPreceding, -1)
+    sizes = with_earlier(parts, ["run_id"], {"__rows": F.count("*")}).drop("__before")
+    best = F.greatest(F.max("reached").over(earlier), F.col("best"))
+    marked = _so_far(sizes, best=F.max("reached")).select("run_id", "__part", "epoch", (F.col("__rows") + F.row_number().over(within)).alias("place"), F.coalesce(F.col("reached") > best, F.lit(True)).alias("improved"))
+    at = F.when(F.col("improved"), F.col("place"))
+    last = F.greatest(F.max(at).over(within), F.col("last"))
+    scanned = _so_far(marked, last=F.max(at)).select("run_id", "epoch", "place", "improved", (F.col("place") - last).cast("int").alias("stale"))
+    scanned = scanned.withColumn("stopped", F.col("stale") >= patience)
+    stops = scanned.where("stopped").groupBy("run_id").agg(F.min("place").alias("stop"))
+    kept = scanned.join(stops, "run_id", "left").where(F.col("stop").isNull() | (F.col("place") <= F.col("stop")))
+    return kept.select("run_id", "epoch", "improved", "stale", "stopped")
 
 
 def ranked_candidates(rows: DataFrame, order: list[Column], keep: list[str]) -> DataFrame:

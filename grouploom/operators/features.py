@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .ordering import quantiles
 from .quality import found, index_violations, require_clean, violations
 from .splits import SPLITS
 
@@ -71,10 +72,9 @@ def metadata_record(rows: DataFrame, name: str, version: str) -> DataFrame:
 def class_distribution(rows: DataFrame, names: list[str]) -> DataFrame:
     """feature, label, quartiles and whisker ends (1.5 interquartile ranges, within the data)."""
     long = melted(rows, names, ("label",))
-    q = long.groupBy("feature", "label").agg(F.percentile("x", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("q"), F.count("x").alias("n"))
-    q = q.select("feature", "label", "n", *[F.element_at("q", k + 1).alias(c) for k, c in enumerate(("q1", "median", "q3"))])
+    q = quantiles(long, ["feature", "label"], "x", {"q1": 0.25, "median": 0.5, "q3": 0.75})
     reach = 1.5 * (F.col("q3") - F.col("q1"))
-    inside = long.join(F.broadcast(q), ["feature", "label"]).where((F.col("x") >= F.col("q1") - reach) & (F.col("x") <= F.col("q3") + reach))
+    inside = long.join(q, ["feature", "label"]).where((F.col("x") >= F.col("q1") - reach) & (F.col("x") <= F.col("q3") + reach))
     ends = inside.groupBy("feature", "label").agg(F.min("x").alias("low"), F.max("x").alias("high"))
     return q.join(ends, ["feature", "label"])
 

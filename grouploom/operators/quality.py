@@ -116,11 +116,12 @@ def pixel_moments(rows: DataFrame) -> DataFrame:
 
 
 def column_summary(rows: DataFrame, names: list[str]) -> DataFrame:
-    """Per column: count, nulls, mean, sample deviation, least, quartiles, most; one pass."""
+    """Per column: count, nulls, mean, sample deviation, least, quartiles, most."""
     pairs = F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("x")) for c in names]))
-    q = F.percentile("x", F.array(*[F.lit(v) for v in (0.0, 0.25, 0.5, 0.75, 1.0)]))
-    out = rows.select(pairs.alias("f")).select("f.*").groupBy("feature").agg(F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("nulls"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"), q.alias("q"))
-    return out.select("feature", "n", "nulls", "mean", "std", *[F.element_at("q", k + 1).alias(c) for k, c in enumerate(("least", "q1", "median", "q3", "most"))])
+    long = rows.select(pairs.alias("f")).select("f.*")
+    out = long.groupBy("feature").agg(F.count("x").alias("n"), F.count_if(F.col("x").isNull()).alias("nulls"), F.avg("x").alias("mean"), F.stddev_samp("x").alias("std"))
+    five = quantiles(long, ["feature"], "x", {"least": 0.0, "q1": 0.25, "median": 0.5, "q3": 0.75, "most": 1.0}).drop("n")
+    return out.join(five, "feature", "left").select("feature", "n", "nulls", "mean", "std", "least", "q1", "median", "q3", "most")
 
 
 def check_summary(checks: list[tuple[str, DataFrame, Column, str]]) -> DataFrame:

@@ -10,6 +10,7 @@ from ..operators import compare as C
 from ..operators import metrics as M
 from ..operators import resample as B
 from ..operators import splits as P
+from ..operators.ordering import quantiles
 from .registry import query
 
 RUN = ["model", "seed"]
@@ -262,7 +263,8 @@ def e15(v):
 @query("a18_confidence", f"SELECT model, true_idx = {_argmax()} AS correct, round(avg({TOP}), 6) AS mean, round(median({TOP}), 6) AS median, count(*) AS n FROM fx_predictions GROUP BY ALL")
 def a18(v):
     rows = v.predictions.select("model", (M.argmax(F.col("p")) == F.col("true_idx")).alias("correct"), F.array_max("p").alias("c"))
-    return rounded(rows.groupBy("model", "correct").agg(F.avg("c").alias("mean"), F.percentile("c", F.lit(0.5)).alias("median"), F.count("*").alias("n")), "mean", "median")
+    median = quantiles(rows, ["model", "correct"], "c", {"median": 0.5})
+    return rounded(rows.groupBy("model", "correct").agg(F.avg("c").alias("mean")).join(median, ["model", "correct"]), "mean", "median")
 
 
 N_RESAMPLES = 2000

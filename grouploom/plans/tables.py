@@ -226,11 +226,12 @@ def a05(v):
     return Q.repeated(v.files, ["content_sha256"])
 
 
-@query("a06_duplicate_content", "SELECT content_sha256, count(*) AS n, string_agg(doc_id || ':' || split, ',' ORDER BY doc_id) AS members FROM fx_files GROUP BY 1 HAVING count(*) > 1")
+@query("a06_duplicate_content", "SELECT content_sha256, doc_id, split, n, first_doc FROM (SELECT content_sha256, doc_id, split, count(*) OVER w AS n, min(doc_id) OVER w AS first_doc FROM fx_files WINDOW w AS (PARTITION BY content_sha256)) WHERE n > 1")
 def a06(v):
-    keys = Q.repeated(v.files, ["content_sha256"])
-    members = F.transform(F.sort_array(F.collect_list(F.struct("doc_id", "split"))), lambda m: F.concat_ws(":", m["doc_id"].cast("string"), m["split"]))
-    return v.files.select("content_sha256", "doc_id", "split").join(keys, "content_sha256").groupBy("content_sha256").agg(F.max("n").alias("n"), F.array_join(members, ",").alias("members"))
+    """Every file whose content another one has, with the number of such files and the first of them:
+    no list of a group's members is ever in one row."""
+    groups = v.files.groupBy("content_sha256").agg(F.count("*").alias("n"), F.min("doc_id").alias("first_doc")).where("n > 1")
+    return v.files.select("content_sha256", "doc_id", "split").join(groups, "content_sha256")
 
 
 PROFILE = ", ".join(f"round(quantile_cont({{0}}, {p}), 6) AS {n}" for p, n in ((0.0, "least"), (0.05, "p5"), (0.5, "median"), (0.95, "p95"), (1.0, "most")))
@@ -238,9 +239,8 @@ PROFILE = ", ".join(f"round(quantile_cont({{0}}, {p}), 6) AS {n}" for p, n in ((
 
 @query("a07_percentile_profile", f"SELECT label, count(size) AS n, {PROFILE.format('size')} FROM fx_orders GROUP BY label UNION ALL SELECT 'all', count(size), {PROFILE.format('size')} FROM fx_orders")
 def a07(v):
-    by = Q.percentile_profile(v.orders, "size", ["label"])
-    total = Q.percentile_profile(v.orders.withColumn("label", F.lit("all")), "size", ["label"])
-    return rounded(by.unionByName(total), "least", "p5", "median", "p95", "most")
+    twice = v.orders.select("size", F.explode(F.array("label", F.lit("all"))).alias("label"))
+    return rounded(Q.percentile_profile(twice, "size", ["label"]), "least", "p5", "median", "p95", "most")
 
 
 @query("a08_rows_per_group", "SELECT n AS rows_per_group, count(*) AS n_groups FROM (SELECT patient_id, count(*) AS n FROM fx_orders GROUP BY 1) GROUP BY 1")
@@ -263,10 +263,12 @@ def a10(v):
 
 @query("a11_run_report", "SELECT split AS status, count(*) AS n, min(len(text)) AS least, max(len(text)) AS most, array_to_string(list_slice(list_sort(list(doc_id) FILTER (len(text) < 60)), 1, 10), ',') AS short_ids FROM fx_files GROUP BY split")
 def a11(v):
-    short = F.when(F.col("k") <= 10, F.col("doc_id"))
+    """The ten first short ids of a status are a limit on a row number, applied before the shuffle."""
     files = v.files.select(F.col("split").alias("status"), "doc_id", F.char_length("text").cast("bigint").alias("n_chars"))
-    ranked = files.withColumn("k", F.when(F.col("n_chars") < 60, F.row_number().over(Window.partitionBy("status", F.col("n_chars") < 60).orderBy("doc_id"))))
-    return ranked.groupBy("status").agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most"), F.nullif(F.array_join(F.sort_array(F.collect_list(short)).cast("array<string>"), ","), F.lit("")).alias("short_ids"))
+    place = F.row_number().over(Window.partitionBy("status").orderBy("doc_id"))
+    few = files.where("n_chars < 60").withColumn("k", place).where("k <= 10")
+    ids = few.groupBy("status").agg(F.array_join(F.sort_array(F.collect_list("doc_id")).cast("array<string>"), ",").alias("short_ids"))
+    return files.groupBy("status").agg(F.count("*").alias("n"), F.min("n_chars").alias("least"), F.max("n_chars").alias("most")).join(ids, "status", "left")
 
 
 @query("a19_gaps", "SELECT i AS missing FROM range(1, (SELECT max(o_orderkey) FROM orders) + 1) t(i) WHERE i % 17 = 0 OR i NOT IN (SELECT o_orderkey FROM orders)")
