@@ -98,18 +98,6 @@ def bars(mean: DataFrame, bounds: DataFrame) -> DataFrame:
     return joined.select("model", "metric", "mean", F.coalesce(F.col("mean") - F.col("low"), zero).alias("below"), F.coalesce(F.col("high") - F.col("mean"), zero).alias("above"))
 
 
-def order_digest(rows: DataFrame, keys: list[str], order: str, line: Column, width: int = 1000) -> DataFrame:
-    """A digest of a group's lines in order: md5 of the md5s of ``width`` lines each, so that no
-    task holds a whole group."""
-    own = rows.select(*keys, F.col(order).alias("__order"), line.alias("__line"))
-    n = numbered(own, "__n", *[F.col(k) for k in keys], F.col("__order"), F.col("__line"))
-    first = n.groupBy(*keys).agg(F.min("__n").alias("__first"))
-    block = F.floor((F.col("__n") - F.col("__first")) / width)
-    joined = lambda c: F.md5(F.array_join(F.transform(F.sort_array(F.collect_list(c)), lambda x: x["line"]), ",").cast("binary"))
-    blocks = n.join(first, keys).groupBy(*keys, block.alias("__block")).agg(joined(F.struct("__n", F.col("__line").alias("line"))).alias("__md5"))
-    return blocks.groupBy(*keys).agg(joined(F.struct("__block", F.col("__md5").alias("line"))).alias("digest"))
-
-
 def registration_status(found: DataFrame, registered: DataFrame, keys: list[str]) -> DataFrame:
     status = F.when(F.col("registered").isNull(), "unregistered").when(F.col("registered") != F.col("digest"), "mismatch").otherwise("ok")
     return found.join(registered, keys, "left").select(*keys, status.alias("status"))

@@ -13,11 +13,67 @@ def content_hash(fields: dict[str, Column]) -> Column:
 
 
 def ordered_digest(rows: DataFrame, key: str, width: int) -> DataFrame:
-    """A digest of all keys in order, from digests of ranges of ``width`` keys, so that no task
-    holds more keys than a range."""
-    ranges = rows.groupBy(F.floor(F.col(key) / width).alias("part")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list(key)).cast("array<string>"), ",").cast("binary"), 256).alias("h"))
+    """A digest of all whole-number keys (from 0 on) in order, and the number of ranges of ``width`` keys
+    that hold any. Digests of ranges are hashed in ranges of ``width`` again until one is left, so no task
+    holds more than ``width`` of them."""
+    joined = lambda c: F.sha2(F.array_join(c, ",").cast("binary"), 256)
+    level = rows.groupBy(F.floor(F.col(key) / width).alias("part")).agg(joined(F.sort_array(F.collect_list(key)).cast("array<string>")).alias("h"))
     ordered = F.transform(F.sort_array(F.collect_list(F.struct("part", "h"))), lambda x: x["h"])
-    return ranges.agg(F.sha2(F.array_join(ordered, ",").cast("binary"), 256).alias("digest"), F.count("*").alias("parts"))
+    level, parts, most = level.withColumn("parts", F.lit(1)), None, (rows.agg(F.max(key)).first()[0] or 0) // width
+    while parts is None or most > 0:
+        most //= width
+        level = level.groupBy(F.floor(F.col("part") / width).alias("part")).agg(joined(ordered).alias("h"), F.sum("parts").alias("parts"))
+        parts = "parts"
+    return level.select(F.col("h").alias("digest"), F.col("parts").cast("bigint").alias("parts"))
+
+
+def _prefix(name: Column, digits: int) -> Column:
+    return F.substring(F.md5(name.cast("binary")), 1, digits)
+
+
+def merkle(rows: DataFrame, keys: list[str], name: str, digest: str, depth: int = 3) -> DataFrame:
+    """keys, level, node, digest, n: a hash tree of each key's named digests.
+
+    A name's node at level d is the first d hex digits of its MD5, whatever other names there are: so a
+    name that comes, goes or changes alters the nodes of one path only. The deepest nodes hash their names
+    and digests, others the at most 16 nodes below; no task gathers more than one node's children. The
+    root is level 0, node ''. Choose ``depth`` so that 16 ** depth is near the number of names."""
+    of = lambda c, d: F.sha2(F.array_join(F.sort_array(F.collect_list(F.concat_ws(":", c, d))), "\n").cast("binary"), 256).alias("digest")
+    level = rows.select(*keys, _prefix(F.col(name), depth).alias("node"), F.col(name).alias("__name"), F.col(digest).alias("__digest"))
+    level = level.groupBy(*keys, "node").agg(of("__name", "__digest"), F.count("*").alias("n"))
+    out = level.withColumn("level", F.lit(depth))
+    for d in range(depth - 1, -1, -1):
+        level = level.withColumn("__up", F.substring("node", 1, d)).groupBy(*keys, "__up").agg(of("node", "digest"), F.sum("n").alias("n")).withColumnRenamed("__up", "node")
+        out = out.unionByName(level.withColumn("level", F.lit(d)))
+    return out.select(*keys, "level", "node", "digest", "n")
+
+
+def merkle_roots(rows: DataFrame, keys: list[str], name: str, digest: str, depth: int = 3) -> DataFrame:
+    """keys, digest and n of the whole of each key."""
+    return merkle(rows, keys, name, digest, depth).where("level = 0").select(*keys, "digest", "n")
+
+
+def merkle_difference(old: DataFrame, new: DataFrame, keys: list[str], depth: int = 3) -> DataFrame:
+    """keys and deepest nodes at which two trees differ. The search goes down from the roots and meets, of
+    every level, only nodes below those that differ."""
+    side = lambda t, d, c: t.where(F.col("level") == d).select(*keys, "node", F.col("digest").alias(c))
+    open_ = None
+    for d in range(depth + 1):
+        a, b = side(old, d, "a"), side(new, d, "b")
+        if open_ is not None:
+            up = open_.withColumnRenamed("node", "__up")
+            a, b = (t.withColumn("__up", F.substring("node", 1, d - 1)).join(up, [*keys, "__up"], "left_semi").drop("__up") for t in (a, b))
+        open_ = a.join(b, [*keys, "node"], "full").where(~F.col("a").eqNullSafe(F.col("b"))).select(*keys, "node")
+    return open_
+
+
+def changed_names(old: DataFrame, new: DataFrame, name: str, digest: str, depth: int = 3) -> DataFrame:
+    """name and change (added, removed, changed) between two tables of named digests: only rows below
+    nodes that differ are compared."""
+    nodes = merkle_difference(merkle(old, [], name, digest, depth), merkle(new, [], name, digest, depth), [], depth)
+    below = lambda t, c: t.select(F.col(name), F.col(digest).alias(c), _prefix(F.col(name), depth).alias("node")).join(nodes, "node", "left_semi").drop("node")
+    both = below(old, "a").join(below(new, "b"), name, "full").where(~F.col("a").eqNullSafe(F.col("b")))
+    return both.select(name, F.when(F.col("a").isNull(), "added").when(F.col("b").isNull(), "removed").otherwise("changed").alias("change"))
 
 
 def fresh(recorded: DataFrame, current: DataFrame, key: str, digest: str) -> DataFrame:
@@ -30,7 +86,6 @@ def file_digests(files: DataFrame) -> DataFrame:
     return files.select("path", F.sha2("content", 256).alias("sha256"))
 
 
-def directory_digest(digests: DataFrame) -> DataFrame:
-    """One digest of a file set, in path order."""
-    lines = F.transform(F.sort_array(F.collect_list(F.struct("path", "sha256"))), lambda x: F.concat_ws(":", x["path"], x["sha256"]))
-    return digests.agg(F.sha2(F.array_join(lines, "\n").cast("binary"), 256).alias("digest"), F.count("*").alias("n_files"))
+def directory_digest(digests: DataFrame, depth: int = 3) -> DataFrame:
+    """digest and n_files of a file set (path, sha256): the root of its hash tree."""
+    return merkle_roots(digests, [], "path", "sha256", depth).select("digest", F.col("n").alias("n_files"))

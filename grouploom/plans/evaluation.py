@@ -10,6 +10,7 @@ from ..operators import compare as C
 from ..operators import metrics as M
 from ..operators import resample as B
 from ..operators import splits as P
+from ..operators.integrity import merkle_roots
 from ..operators.ordering import quantiles
 from .registry import query
 
@@ -593,7 +594,8 @@ def v08(v):
 # pairing, registration and choice
 @query("j12_registered_hash", "WITH f AS (SELECT model, seed, md5(string_agg(CAST(sample_id AS STRING) || ':' || CAST(true_idx AS STRING), ',' ORDER BY sample_id)) AS h FROM fx_predictions GROUP BY ALL), r AS (SELECT model, seed, CASE WHEN seed = 44 THEN 'x' ELSE h END AS r FROM f WHERE NOT (model = 'b' AND seed = 43)) SELECT model, seed, CASE WHEN r IS NULL THEN 'unregistered' WHEN r <> h THEN 'mismatch' ELSE 'ok' END AS status FROM f LEFT JOIN r USING (model, seed)")
 def j12(v):
-    found = C.order_digest(v.predictions, RUN, "sample_id", F.concat_ws(":", F.col("sample_id").cast("string"), F.col("true_idx").cast("string")))
+    named = v.predictions.select(*RUN, F.col("sample_id").cast("string").alias("name"), F.col("true_idx").cast("string").alias("true"))
+    found = merkle_roots(named, RUN, "name", "true").drop("n")
     registered = found.where("NOT (model = 'b' AND seed = 43)").select(*RUN, F.when(F.col("seed") == 44, "x").otherwise(F.col("digest")).alias("registered"))
     return C.registration_status(found, registered, RUN)
 

@@ -437,11 +437,31 @@ def i04(v):
     return ordered_digest(v.samples.select("sample_id"), "sample_id", 100)
 
 
+TREE = """l AS (SELECT substr(md5(path), 1, 2) AS node, sha256(string_agg(path || ':' || content_sha256, chr(10) ORDER BY path || ':' || content_sha256)) AS h, count(*) AS n FROM {rows} GROUP BY 1),
+m AS (SELECT substr(node, 1, 1) AS node, sha256(string_agg(node || ':' || h, chr(10) ORDER BY node || ':' || h)) AS h, sum(n) AS n FROM l GROUP BY 1)"""
+
+
+@query("i03_directory_digest", f"WITH {TREE.format(rows='fx_files')} SELECT sha256(string_agg(node || ':' || h, chr(10) ORDER BY node || ':' || h)) AS digest, CAST(sum(n) AS BIGINT) AS n_files FROM m")
+def i03_directory(v):
+    """One digest of a set of files, by a hash tree."""
+    from ..operators.integrity import directory_digest
+
+    return directory_digest(v.files.select("path", F.col("content_sha256").alias("sha256")), depth=2)
+
+
+@query("j09_tree_diff", f"SELECT coalesce(f.path, s.path) AS path, CASE WHEN f.path IS NULL THEN 'added' WHEN s.path IS NULL THEN 'removed' ELSE 'changed' END AS change FROM fx_files f FULL JOIN {SECOND} s USING (path) WHERE f.content_sha256 IS DISTINCT FROM s.content_sha256")
+def j09_tree(v):
+    """As j09, by two hash trees that are compared from the roots down."""
+    from ..operators.integrity import changed_names
+
+    return changed_names(v.files.select("path", "content_sha256"), second(v).select("path", "content_sha256"), "path", "content_sha256")
+
+
 @query("i05_staleness", f"WITH r AS (SELECT source, md5(string_agg(f.content_sha256, ',' ORDER BY f.path)) AS h FROM fx_files f JOIN documents d USING (doc_id) GROUP BY 1), c AS (SELECT source, md5(string_agg(s.content_sha256, ',' ORDER BY s.path)) AS h FROM {SECOND} s JOIN documents d USING (doc_id) GROUP BY 1) SELECT source, r.h IS NOT DISTINCT FROM c.h AS fresh FROM r LEFT JOIN c USING (source)")
 def i05(v):
-    from ..operators.integrity import fresh
+    from ..operators.integrity import fresh, merkle_roots
 
-    keyed = lambda rows: C.order_digest(rows.join(v.table("documents").select("doc_id", "source"), "doc_id"), ["source"], "path", F.col("content_sha256"))
+    keyed = lambda rows: merkle_roots(rows.join(v.table("documents").select("doc_id", "source"), "doc_id"), ["source"], "path", "content_sha256")
     return fresh(keyed(v.files.select("doc_id", "path", "content_sha256")), keyed(second(v)), "source", "digest")
 
 

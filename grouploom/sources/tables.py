@@ -65,8 +65,95 @@ def record_violations(records: DataFrame, classes: int, bootstrap: dict[str, flo
     return records.select(F.explode(broken).alias("rule"), F.col("experiment").alias("key"))
 
 
+MANIFEST = "manifest"
+
+
 def write_results(tables: dict[str, DataFrame], path: str, run_id: str) -> None:
-    """Result tables of a run, one folder per table, the run as partition; NaN becomes null."""
+    """Result tables of a run, one folder per table, the run as partition; NaN becomes null.
+
+    A run's partition replaces what an earlier attempt left of it, and its row of the manifest is written
+    last: the same run written twice, or again after a crash, is there once, and a run that never ended
+    isn't read."""
+    spark, counts = None, []
     for name, df in tables.items():
+        if name == MANIFEST:
+            raise ValueError("the manifest is written by itself")
+        spark = df.sparkSession
         clean = [F.when(~F.isnan(c), F.col(c)).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes]
-        df.select(*clean, F.lit(run_id).alias("run_id")).write.mode("append").partitionBy("run_id").parquet(f"{path}/{name}")
+        _replace(df.select(*clean, F.lit(run_id).alias("run_id")), f"{path}/{name}")
+        counts.append((name, run_id))
+    if counts:
+        _replace(spark.createDataFrame(counts, "table string, run_id string"), f"{path}/{MANIFEST}")
+
+
+def _replace(df: DataFrame, path: str) -> None:
+    df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("run_id").parquet(path)
+
+
+def write_as(df: DataFrame, folder: str, name: str, kind: str) -> None:
+    """``df``, a small table, as the one file ``name`` in ``folder``."""
+    spark = df.sparkSession
+    writer = df.coalesce(1).write.mode("overwrite")
+    part = f"{folder}/.{name}"
+    (writer.option("header", True).csv if kind == "csv" else writer.text)(part)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    files = hadoop.Path(part).getFileSystem(spark._jsc.hadoopConfiguration())
+    found = files.globStatus(hadoop.Path(f"{part}/part-*"))[0].getPath()
+    files.rename(found, hadoop.Path(f"{folder}/{name}"))
+    files.delete(hadoop.Path(part), True)
+
+
+def read_results(spark: SparkSession, path: str, name: str) -> DataFrame:
+    """Rows of a result table whose run ended."""
+    ended = spark.read.parquet(f"{path}/{MANIFEST}").where(F.col("table") == name).select(F.col("run_id").cast("string").alias("run_id")).distinct()
+    rows = spark.read.parquet(f"{path}/{name}")
+    return rows.withColumn("run_id", F.col("run_id").cast("string")).join(ended, "run_id", "left_semi").select(rows.columns)
+
+
+# --- studies: folders of model runs
+
+
+def load_study(spark: SparkSession, root: str, classes: int) -> dict[str, DataFrame]:
+    """Tables of a folder ``root/<model>/seed<n>/`` of predictions.csv, history.csv and metrics.json:
+    predictions, history and records, each with model and seed. A model without seeds (files right below
+    its folder, metrics in the older layout) has seed -1."""
+
+    def keyed(rows: DataFrame) -> DataFrame:
+        at = F.col("_metadata.file_path")
+        seed = F.regexp_extract(at, r"/seed([0-9]+)/[^/]+$", 1)
+        model = F.regexp_extract(at, r"/([^/]+)(?:/seed[0-9]+)?/[^/]+$", 1)
+        return rows.select(model.alias("model"), F.when(seed == "", -1).otherwise(seed.cast("int")).alias("seed"), *[c for c in rows.columns if c not in ("model", "seed")])
+
+    files = lambda name: spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", name)
+    types = "sample_id bigint, true_idx int, " + ", ".join(f"p{k} double" for k in range(classes))
+    predictions = keyed(files("predictions.csv").option("header", True).option("enforceSchema", False).schema(types).csv(root))
+    history = keyed(files("history.csv").option("header", True).option("enforceSchema", False).schema("epoch bigint, val_macro_f1 double, val_loss double").csv(root))
+    records = keyed(files("metrics.json").schema(RECORD_SCHEMA).option("multiLine", True).json(root))
+    number = lambda c: F.coalesce(F.col(f"metrics.{c}"), F.col(f"test_metrics.{c}")).alias(c)
+    return {
+        "predictions": predictions.select("model", "seed", "sample_id", "true_idx", F.array(*[f"p{k}" for k in range(classes)]).alias("p")), "history": history,
+        "records": records.select("model", "seed", number("accuracy"), number("macro_f1"), F.col("metrics").isNull().alias("older")),
+    }
+
+
+# --- folders that grow
+
+
+def convert_new(spark: SparkSession, source: str, target: str, convert) -> None:
+    """Deals with the files that ``source`` gained since the last call: a stream over the folder, with its
+    progress and its table below ``target``. ``convert`` maps a table (path, content) to
+    the rows to keep, bad files as rows with a status of their own. Every file is met
+    once, over any number of calls and restarts: a batch replaces its own partition, so one that died
+    midway leaves nothing double. Spark's scan leaves out files without content."""
+    files = spark.readStream.format("binaryFile").schema("path string, modificationTime timestamp, length bigint, content binary").option("recursiveFileLookup", "true").load(source)
+
+    def keep(batch: DataFrame, number: int) -> None:
+        done = convert(batch.select("path", "content"))
+        done.withColumn("batch", F.lit(number)).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("batch").parquet(f"{target}/table")
+
+    stream = files.writeStream.foreachBatch(keep).option("checkpointLocation", f"{target}/progress").trigger(availableNow=True).start()
+    stream.awaitTermination()
+
+
+def converted(spark: SparkSession, target: str, schema: str) -> DataFrame:
+    return spark.read.schema(f"{schema}, batch int").parquet(f"{target}/table").drop("batch")
