@@ -85,8 +85,6 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(keys) % np.uint64(buckets)).astype(np.int64)
 
 
-def bucket_count(batches: int) -> int:
-    return int(min(16_384, max(32, batches // 4)))
 
 
 def planes(values: np.ndarray) -> bytes:

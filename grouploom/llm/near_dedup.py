@@ -33,6 +33,8 @@ from .components import roots
 HALF = 3
 #: Bytes of text whose words are hashed at once; a longer text is hashed whole.
 PART_BYTES = 1 << 19
+#: Rows of a batch that are copied at once.
+SLICE = 512
 #: Share of pairs just at the bound that may have no key in common.
 MISSED = 0.001
 
@@ -79,12 +81,19 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int):
     return (np.concatenate(sets) if sets else np.zeros(0, np.uint64)), np.cumsum(sizes)
 
 
+def slices(batches):
+    """Batches in parts of few rows: a part is copied while its texts are hashed."""
+    for batch in batches:
+        for a in range(0, batch.num_rows, SLICE):
+            yield batch.slice(a, SLICE)
+
+
 def _signatures(words: int, side: int):
     seeds = mixed(np.arange(1, 2 * side * HALF + 1, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
     factors = seeds | np.uint64(1)
 
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("doc_id")
             for row, data, offsets in text_parts(batch.column("text"), PART_BYTES):
                 values, ends = shingle_sets(data, offsets, words)
@@ -113,7 +122,7 @@ def _signatures(words: int, side: int):
 
 def _sets(words: int):
     def run(batches):
-        for batch in batches:
+        for batch in slices(batches):
             ids = batch.column("doc_id")
             for row, data, offsets in text_parts(batch.column("text"), PART_BYTES):
                 values, ends = shingle_sets(data, offsets, words)
