@@ -7,11 +7,17 @@ scores of pairs of groups besides.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .metrics import HEADLINE, argmax, auc, fill_cells, headline, long_metrics, nll, one_vs_rest, per_class
-from .ordering import numbered, stored
+from .ordering import numbered, ranged, stored
+
+
+#: Groups whose rows of the matrix of ordered pairs one task holds.
+SLAB = 512
 
 
 def multiplicities(groups: DataFrame, group: str, resamples: int, seed: int) -> DataFrame:
@@ -51,25 +57,87 @@ def class_f1(classes: int) -> tuple[str, ...]:
     return tuple(f"f1_{k}" for k in range(classes))
 
 
-def resampled_auc(rows: DataFrame, draws: DataFrame, keys: list[str], group: str) -> DataFrame:
-    """keys, b, metric (macro_auc), value, as ``resampled`` has it. Pairs of a positive and a negative
-    row that are in order, with ties as halves, are counted once per pair of groups; a resample
-    weighs the counts by both groups' multiplicities."""
+def _wins(pos: np.ndarray, neg: np.ndarray, score: np.ndarray, group: np.ndarray, groups: int, step: int) -> np.ndarray:
+    """groups x groups: positives of one group above negatives of another, ties as halves. Rows are dealt
+    with in steps of the score order: pairs within a step are compared, those with earlier steps are an
+    outer product of the groups' sums."""
+    order = np.argsort(score, kind="stable")
+    pos, neg, score, group = pos[order], neg[order], score[order], group[order]
+    out, below = np.zeros((groups, groups)), np.zeros(groups)
+    a = 0
+    while a < len(score):
+        b = min(len(score), a + step)
+        b = int(np.searchsorted(score, score[b - 1], side="right")) if b - a <= step else b  # ties stay together
+        s, g = score[a:b], group[a:b]
+        p, n = pos[a:b], neg[a:b]
+        out += np.outer(np.bincount(g, p, groups), below)
+        hold, lose = np.flatnonzero(p), np.flatnonzero(n)
+        losers = np.zeros((len(lose), groups))
+        losers[np.arange(len(lose)), g[lose]] = n[lose]
+        for c in range(0, len(hold), step):
+            h = hold[c : c + step]
+            beats = (s[h][:, None] > s[lose]) + (s[h][:, None] == s[lose]) / 2
+            holders = np.zeros((len(h), groups))
+            holders[np.arange(len(h)), g[h]] = p[h]
+            out += holders.T @ (beats @ losers)
+        below += np.bincount(g, n, groups)
+        a = b
+    return out
+
+
+def ordered_pairs(rows: DataFrame, keys: list[str], group: str) -> DataFrame:
+    """keys, class, g, h, pairs: how many positives of group g lie above negatives of group h, ties as
+    halves; only pairs of groups that have any.
+
+    Scores are dealt over tasks by ranges. A range counts its own pairs from matrices of its groups; pairs
+    across ranges come from the groups' sums per range, ``SLAB`` groups at a time: so no row is joined
+    with a table of groups, and a task holds at most ``SLAB`` rows of the matrix or the groups of a range."""
     own = [*keys, "class"]
     scored = one_vs_rest(rows.withColumn("__group", F.col(group)), [*keys, "__group"])
-    cells = scored.groupBy(*own, "__group", "score").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
-    groups = rows.select(*keys, F.col(group).alias("h")).distinct()
-    # per pair (group, h): negatives of h at lower scores and at the same score
-    spread = cells.join(groups, keys)
-    own_neg = F.when(F.col("__group") == F.col("h"), F.col("neg")).otherwise(0)
-    at = spread.groupBy(*own, "h", "score").agg(F.sum(own_neg).alias("same"))
-    lower = F.coalesce(F.sum("same").over(Window.partitionBy(*own, "h").orderBy("score").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    below = at.select(*own, "h", "score", (lower + F.col("same") / 2).alias("below"))
-    ordered = cells.where("pos > 0").join(below, [*own, "score"]).groupBy(*own, F.col("__group").alias("g"), "h").agg(F.sum(F.col("pos") * F.col("below")).alias("pairs"))
+    parts = ranged(scored, *own, "score")
+    types = dict(parts.dtypes)
+    ddl = ", ".join(f"`{k}` {types[k]}" for k in own) + f", g {types['__group']}, h {types['__group']}, pairs double"
+
+    def sparse(first: pd.DataFrame, matrix: np.ndarray, left, right) -> pd.DataFrame:
+        a, b = np.nonzero(matrix)
+        return pd.DataFrame({**{k: np.full(len(a), first[k].iloc[0]) for k in own}, "g": np.asarray(left)[a], "h": np.asarray(right)[b], "pairs": matrix[a, b]})
+
+    def within(table: pd.DataFrame) -> pd.DataFrame:
+        names, number = np.unique(table["__group"].to_numpy(), return_inverse=True)
+        won = _wins(table.pos.to_numpy(float), table.neg.to_numpy(float), table.score.to_numpy(float), number, len(names), max(256, min(len(names), 2048)))
+        return sparse(table, won, names, names)
+
+    def across(table: pd.DataFrame) -> pd.DataFrame:
+        names, number = np.unique(table["__group"].to_numpy(), return_inverse=True)
+        ranges, at = np.unique(table["__part"].to_numpy(), return_inverse=True)
+        mine = table.mine.to_numpy(bool)
+        left = np.unique(number[mine])
+        pos, neg = np.zeros((len(left), len(ranges))), np.zeros((len(ranges), len(names)))
+        np.add.at(pos, (np.searchsorted(left, number[mine]), at[mine]), table.pos.to_numpy(float)[mine])
+        np.add.at(neg, (at, number), table.neg.to_numpy(float))
+        before = np.cumsum(neg, axis=0) - neg
+        return sparse(table, pos @ before, names[left], names)
+
+    sums = stored(parts.groupBy(*own, "__part", "__group").agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg")), "sums")
+    slabs = sums.select("__group").distinct().count() // SLAB + 1
+    slab = F.pmod(F.xxhash64("__group"), F.lit(slabs)).cast("int")
+    spread = sums.withColumn("slab", F.explode(F.sequence(F.lit(0), F.lit(slabs - 1)))).withColumn("mine", F.col("slab") == slab)
+    inner = parts.select(*own, "__part", "__group", "score", "pos", "neg").groupBy(*own, "__part").applyInPandas(within, ddl)
+    outer = spread.groupBy(*own, "slab").applyInPandas(across, ddl)
+    return inner.unionByName(outer).groupBy(*own, "g", "h").agg(F.sum("pairs").alias("pairs"))
+
+
+def resampled_auc(rows: DataFrame, draws: DataFrame, keys: list[str], group: str) -> DataFrame:
+    """keys, b, metric (macro_auc), value, as ``resampled`` has it. Ordered pairs are counted once per pair
+    of groups; a resample weighs the counts by both groups' multiplicities."""
+    own = [*keys, "class"]
+    ordered = ordered_pairs(rows, keys, group)
     one = draws.select("b", F.col(group).alias("g"), F.col("times").alias("times_g"))
     two = draws.select("b", F.col(group).alias("h"), F.col("times").alias("times_h"))
     won = ordered.join(one, "g").join(two, ["b", "h"]).groupBy(*own, "b").agg(F.sum(F.col("pairs") * F.col("times_g") * F.col("times_h")).alias("won"))
-    sizes = cells.groupBy(*own, F.col("__group").alias("g")).agg(F.sum("pos").alias("pos"), F.sum("neg").alias("neg"))
+    spread = rows.select(*keys, F.col(group).alias("g"), "true_idx", F.explode(F.sequence(F.lit(0), F.size("p") - 1)).alias("class"))
+    hit = F.col("true_idx") == F.col("class")
+    sizes = spread.groupBy(*own, "g").agg(F.count_if(hit).alias("pos"), F.count_if(~hit).alias("neg"))
     total = sizes.join(one, "g").groupBy(*own, "b").agg(F.sum(F.col("pos") * F.col("times_g")).alias("n_pos"), F.sum(F.col("neg") * F.col("times_g")).alias("n_neg"))
     area = F.when((F.col("n_pos") > 0) & (F.col("n_neg") > 0), F.coalesce("won", F.lit(0)) / (F.col("n_pos") * F.col("n_neg")))
     each = total.join(won, [*own, "b"], "left").select(*own, "b", area.alias("auc"))

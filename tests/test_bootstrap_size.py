@@ -77,3 +77,29 @@ def test_auc_by_pairs_of_groups_with_ties(spark):
     got = {r.b: r.value for r in B.resampled_auc(rows, draws, RUN, "patient_id").collect()}
     assert set(got) == set(want) == set(range(25))
     assert all(got[b] is None if want[b] is None else got[b] == pytest.approx(want[b], abs=1e-12) for b in want)
+
+
+def test_wins_of_groups_equal_all_pairs():
+    rng = np.random.default_rng(6)
+    for rows, groups, step in ((1, 1, 4), (300, 7, 16), (200, 40, 500)):
+        score, group = rng.integers(0, 12, rows) / 4, rng.integers(0, groups, rows)
+        pos, neg = rng.integers(0, 3, rows).astype(float), rng.integers(0, 3, rows).astype(float)
+        want = np.zeros((groups, groups))
+        beats = ((score[:, None] > score) + (score[:, None] == score) / 2) * pos[:, None] * neg
+        np.add.at(want, (group[:, None] + np.zeros(rows, int), group + np.zeros((rows, 1), int)), beats)
+        assert np.allclose(B._wins(pos, neg, score, group, groups, step), want)
+
+
+@pytest.mark.parametrize("slab", [512, 2])
+def test_ordered_pairs_across_ranges(spark, monkeypatch, slab):
+    monkeypatch.setattr(B, "SLAB", slab)
+    rng = np.random.default_rng(3)
+    rows = [("m", f"g{int(g)}", int(t), [float(v) for v in p]) for g, t, p in zip(rng.integers(0, 6, 400), rng.integers(0, 3, 400), np.round(rng.dirichlet([1, 1, 1], 400), 2), strict=True)]
+    got = {(r["class"], r.g, r.h): r.pairs for r in B.ordered_pairs(spark.createDataFrame(rows, "model string, p_id string, true_idx int, p array<double>").repartition(5), ["model"], "p_id").collect()}
+    want = {}
+    for c in range(3):
+        for _, g, t, p in rows:
+            for _, h, u, q in rows:
+                if t == c and u != c and p[c] >= q[c]:
+                    want[c, g, h] = want.get((c, g, h), 0) + (1 if p[c] > q[c] else 0.5)
+    assert got == want
