@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import re
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -79,11 +81,43 @@ def class_distribution(rows: DataFrame, names: list[str]) -> DataFrame:
     return q.join(ends, ["feature", "label"])
 
 
+_SUMS = ("n", "sx", "sy", "sxx", "syy", "sxy")
+
+
 def correlations(rows: DataFrame, names: list[str]) -> DataFrame:
-    """a, b, r of all pairs a < b of columns, in one aggregate."""
-    pairs = [(a, b) for k, a in enumerate(names) for b in names[k + 1 :]]
-    wide = rows.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in pairs])
-    return wide.select(F.explode(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])).alias("p")).select("p.*")
+    """a, b, r of all pairs a before b of columns, over the rows where both have values; null where one of
+    them is constant. A task adds up matrix products of blocks of rows, and gives a row of sums per column."""
+    width = len(names)
+    rows = rows.select(F.array(*[F.col(c).cast("double") for c in names]).alias("x"))
+    # any value near the data will do as a centre; sums of centred values lose nothing to an offset
+    first = rows.limit(1000).select(F.posexplode("x")).where("col IS NOT NULL AND NOT isnan(col)").groupBy("pos").agg(F.avg("col").alias("c"))
+    centre = np.zeros(width)
+    for k, c in first.collect():
+        centre[k] = c
+
+    def sums(batches):
+        total = {c: np.zeros((width, width)) for c in _SUMS}
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            z = batch.column(0).flatten().to_numpy(zero_copy_only=False).reshape(-1, width) - centre
+            m = (~np.isnan(z)).astype(float)
+            z = np.where(m > 0, z, 0.0)
+            for c, (a, b) in {"n": (m, m), "sx": (z, m), "sy": (m, z), "sxx": (z * z, m), "syy": (m, z * z), "sxy": (z, z)}.items():
+                total[c] += a.T @ b
+        for k in range(width - 1):
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *[pa.array([total[c][k, k + 1 :].tolist()]) for c in _SUMS]], names=["k", *_SUMS])
+
+    def added(table: pa.Table) -> pa.Table:
+        k = table["k"][0].as_py()
+        n, sx, sy, sxx, syy, sxy = (np.sum([np.array(v) for v in table[c].to_pylist()], axis=0) for c in _SUMS)
+        spread = (n * sxx - sx * sx) * (n * syy - sy * sy)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            r = np.where(spread > 0, (n * sxy - sx * sy) / np.sqrt(np.maximum(spread, 0)), np.nan)
+        return pa.table({"a": [names[k]] * len(r), "b": names[k + 1 :], "r": pa.array(r, pa.float64(), from_pandas=True)})
+
+    parts = rows.mapInArrow(sums, "k int, " + ", ".join(f"{c} array<double>" for c in _SUMS))
+    return parts.groupBy("k").applyInArrow(added, "a string, b string, r double")
 
 
 def family_correlation(pairs: DataFrame, pattern: str) -> DataFrame:
