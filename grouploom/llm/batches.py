@@ -85,8 +85,6 @@ def bucket_of(keys: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(keys) % np.uint64(buckets)).astype(np.int64)
 
 
-
-
 def planes(values: np.ndarray) -> bytes:
     """Byte planes: the high bytes of sorted keys and of ids compress well."""
     return values.view(np.uint8).reshape(len(values), -1).T.tobytes()
