@@ -5,6 +5,10 @@ batch is deduplicated by a sort-merge anti-join against it: the index side is re
 bucket without a shuffle, only the batch's digests move. What is new is appended, so the next
 batch sees it. Only DataFrame functions are used.
 
+A batch can come in parts, which meet the index one after the other: a part appends what the index
+lacks, and what is better than the row that an earlier part of its batch brought. Rows of earlier
+batches stay whatever comes. An index's row of a digest is the best that its batch brought.
+
 A batch has a name that its caller gives. The index tells which batch brought a digest, so a job
 that died after its append, or in the midst of it, is repeated under the same name: digests of
 that name count as the batch's own. The number of buckets is stored beside the index.
@@ -18,6 +22,7 @@ Extra columns take no part. An empty table gives no rows.
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -29,7 +34,15 @@ from .common import WHITE, fresh, saved, shared_folder, table
 #: digests, so their index rows can be broadcast.
 HOT_SHARE = 1000
 
-INDEX_COLUMNS = "digest BINARY, keep_id BIGINT, batch STRING"
+#: Parts in which ``op10`` brings its table to the index.
+PARTS = 2
+
+INDEX_COLUMNS = "digest BINARY, keep_id BIGINT, n_chars BIGINT, batch STRING"
+
+
+def rank(keep_id: Column, n_chars: Column) -> Column:
+    """More code points are better, then smaller ids; a null id is the worst."""
+    return F.struct(n_chars.alias("n"), F.coalesce(-keep_id, F.lit(-(2**63))).alias("a"))
 
 
 def fingerprints(docs: DataFrame, row: Column | None = None) -> DataFrame:
@@ -72,13 +85,24 @@ class DigestIndex:
     def rows(self) -> DataFrame:
         return self.spark.table(self.name)
 
+    def held(self) -> DataFrame:
+        """One row per digest: first_id, first_chars and the batch that brought it."""
+        best = F.max(F.struct(rank(F.col("keep_id"), F.col("n_chars")).alias("r"), "keep_id", "n_chars", "batch"))
+        return self.rows().groupBy("digest").agg(best.alias("best")).select(
+            "digest", F.col("best.keep_id").alias("first_id"), F.col("best.n_chars").alias("first_chars"), "best.batch"
+        )
+
     def append_new(self, summary: DataFrame, batch: str) -> None:
-        """Adds the digests of ``summary`` that the index lacks (sort-merge anti-join)."""
-        new = summary.join(self.rows().select("digest").hint("merge"), "digest", "left_anti")
+        """Adds the digests of ``summary`` that the index lacks, or has from this batch with a worse
+        row (sort-merge anti-join)."""
+        there = self.rows().select("digest", F.col("keep_id").alias("first_id"), F.col("n_chars").alias("first_chars"), F.col("batch").alias("by"))
+        stays = (F.col("by") != batch) | (rank(F.col("first_id"), F.col("first_chars")) >= rank(F.col("keep_id"), F.col("n_chars")))
+        mine = summary.withColumnRenamed("digest", "own")
+        new = mine.join(there.hint("merge"), (F.col("own") == F.col("digest")) & stays, "left_anti").withColumnRenamed("own", "digest")
         # one task per bucket, so that each append adds one sorted file to a bucket
         (
             new.repartition(self.buckets, "digest")
-            .select("digest", "keep_id", F.lit(batch).alias("batch"))
+            .select("digest", "keep_id", "n_chars", F.lit(batch).alias("batch"))
             .write.mode("append").format("parquet")
             .bucketBy(self.buckets, "digest").sortBy("digest").saveAsTable(self.name)
         )
@@ -86,28 +110,31 @@ class DigestIndex:
 
 def best_row(prints: DataFrame) -> DataFrame:
     """One row per digest; copies collapse map-side, so a hot digest sends one row per task."""
-    least_id = F.coalesce(-F.col("doc_id"), F.lit(-(2**63)))
-    best = F.max(F.struct("n_chars", least_id.alias("a"), (-F.col("row")).alias("b"), "doc_id", "row"))
+    best = F.max(F.struct(rank(F.col("doc_id"), F.col("n_chars")).alias("r"), (-F.col("row")).alias("b"), "doc_id", "row", "n_chars"))
     return prints.groupBy("digest").agg(best.alias("best"), F.count("*").alias("n_rows")).select(
-        "digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "n_rows"
+        "digest", F.col("best.doc_id").alias("keep_id"), F.col("best.row").alias("keep_row"), "best.n_chars", "n_rows"
     )
 
 
-def deduplicate(prints: DataFrame, index: DigestIndex, batch: str | None = None) -> DataFrame:
+def deduplicate(prints: DataFrame, index: DigestIndex, batch: str | None = None, parts: int = 1) -> DataFrame:
     """Appends a batch's new digests to the index and decides every row of the batch.
 
     ``prints`` is a saved table: its rows keep their numbers. ``batch`` names the batch; give it
-    where the job may be repeated. Returns doc_id, row, digest, keep_id, group_size (rows of this
+    where the job may be repeated. It is brought to the index in ``parts``. Returns doc_id, row, digest, keep_id, group_size (rows of this
     batch with that text) and kept. In a batch whose text was indexed by an earlier one, no row is
     kept."""
     batch = batch or uuid.uuid4().hex
-    summary = saved(best_row(prints), "summary")
-    index.append_new(summary, batch)
-    mine = F.col("batch") == batch
-    group = summary.select("digest", F.col("n_rows").alias("group_size"), F.col("keep_id").alias("own_id"), F.col("keep_row").alias("own_row")).join(
-        index.rows().select("digest", F.col("keep_id").alias("first_id"), "batch").hint("merge"), "digest"
-    )
-    group = group.select("digest", "group_size", F.when(mine, F.col("own_id")).otherwise(F.col("first_id")).alias("keep_id"), F.when(mine, F.col("own_row")).otherwise(-1).alias("keep_row"))
+    told = []
+    for k in range(parts):
+        part = prints if parts == 1 else prints.where(F.pmod(F.xxhash64("row"), F.lit(parts)) == k)
+        told.append(saved(best_row(part), f"summary{k}"))
+        index.append_new(told[-1], batch)
+    # the row that stays is the one the index holds, where this batch brought it
+    own = (F.col("batch") == batch) & F.col("keep_id").eqNullSafe(F.col("first_id")) & (F.col("n_chars") == F.col("first_chars"))
+    group = (
+        reduce(DataFrame.unionByName, told).join(index.held().hint("merge"), "digest").groupBy("digest")
+        .agg(F.sum("n_rows").alias("group_size"), F.any_value("first_id").alias("keep_id"), F.coalesce(F.min(F.when(own, F.col("keep_row"))), F.lit(-1)).alias("keep_row"))
+    )
     least = prints.count() // HOT_SHARE + 1
     hot = group.where(F.col("group_size") > least)
     rows = prints.select("doc_id", "row", "digest")
@@ -140,7 +167,7 @@ def deduplicated(docs: DataFrame) -> DataFrame:
 
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     prints = saved(fingerprints(table(spark, sf_dir, "documents")), "prints")
-    return deduplicate(prints, new_index(spark)).select(
+    return deduplicate(prints, new_index(spark), parts=PARTS).select(
         "doc_id", "keep_id", F.col("group_size").cast("bigint").alias("group_size"), "kept", F.lower(F.hex("digest")).alias("text_sha256")
     )
 

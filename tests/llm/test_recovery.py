@@ -31,6 +31,32 @@ def test_a_batch_repeated_after_its_append_keeps_its_rows(spark, tmp_path):
     assert kept(X.deduplicate(prints(spark, [(9, "e"), (10, "f")]), index, "four")) == []
 
 
+def test_parts_meet_the_index_one_after_the_other(spark, tmp_path):
+    rows = [(k, f"text {k % 50}" + " " * (k % 7)) for k in range(400)] + [(None, "text 3" + " " * 9), (None, "alone"), (5, "text 5"), (900, None), (901, " ")]
+    index = X.DigestIndex(spark, str(tmp_path / "f" / "index"), 4)
+    assert kept(X.deduplicate(prints(spark, [(1000, "text1"), (1001, "other")]), index, "old")) == [1000, 1001]
+    table = prints(spark, rows)
+    got = X.deduplicate(table, index, "new", parts=3).collect()
+    best = {}
+    for k, t in rows:
+        key = "".join((t or "").split())
+        best[key] = max(best.get(key, (-1, 0, None)), (len(t or ""), -(2**63) if k is None else -k, k))
+    sizes = {}
+    for _, t in rows:
+        key = "".join((t or "").split())
+        sizes[key] = sizes.get(key, 0) + 1
+    want = {k: (1000 if key == "text1" else best[key][2], sizes[key]) for k, t in rows if k is not None for key in ["".join((t or "").split())]}
+    assert {r.doc_id: (r.keep_id, r.group_size) for r in got if r.doc_id is not None} == want
+    assert len(got) == len(rows) and sum(r.kept for r in got) == len(best) - 1
+    assert {r.doc_id for r in got if r.kept} == {v[2] for key, v in best.items() if key != "text1"}
+    # some parts found better rows than earlier ones, and a repeated batch appends nothing
+    size = index.rows().count()
+    assert size > len(best) + 1
+    again = X.deduplicate(table, index, "new", parts=3).collect()
+    assert sorted(map(str, again)) == sorted(map(str, got)) and index.rows().count() == size
+    assert kept(X.deduplicate(prints(spark, [(2000, "text 9" + " " * 99), (2001, "last")]), index, "next")) == [2001]
+
+
 def test_an_index_keeps_its_number_of_buckets(spark, tmp_path):
     path = str(tmp_path / "f" / "index")
     index = X.DigestIndex(spark, path, 4)
