@@ -10,7 +10,8 @@ Candidates of one key are not paired with one another. A first pass compares the
 with its least document, a second with its most typical member (of a group of edited copies, the
 one nearest to their origin). What still shares keys across components then goes through an exact
 prefix filter with positions, which finds every remaining link among these documents and meets
-only pairs that could be linked; so no candidate is dropped.
+only pairs that could be linked; so no candidate is dropped. Rows of a shingle that many of these
+prefixes hold are dealt to many tasks, by bands of set sizes and by parts.
 
 Defined results: texts without words (null, empty, white space) have no shingles and link with
 nothing. Documents with equal sets are one class and are compared once. Rows that repeat a doc_id
@@ -21,6 +22,8 @@ An empty table gives no rows; extra columns take no part.
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -160,6 +163,25 @@ def _star_pairs(cross: DataFrame, tokens: DataFrame) -> DataFrame:
     return named.join(centre, "key").where("comp <> comp2").select(F.greatest("node", "node2").alias("x"), F.least("node", "node2").alias("y")).distinct()
 
 
+def _cells(prefix: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """Both sides of the join of ``prefix`` with itself by shingle: any two rows of a shingle whose
+    sizes allow a link meet in one cell (band, i, j).
+
+    A shingle has one cell, but for those with over a thousandth of the rows, at most a thousand.
+    Their rows are told apart by bands of n, so wide that linked sets lie in the same band or in
+    neighbours, and dealt to ``share`` parts: part i of one side meets part j of the other. A share
+    is the root of the number of thousandths: it copies no row more often than 32 times a band."""
+    hot = hot_copies(prefix, "s").select("s", F.ceil(F.sqrt("copies")).cast("int").alias("share"))
+    rows = prefix.join(F.broadcast(hot), "s", "left")
+    cold, share = F.col("share").isNull(), F.coalesce("share", F.lit(1))
+    band = F.floor(F.log(F.col("n")) / (math.log(100 / percent) + 1e-6)).cast("int")
+    part, every = F.pmod(F.xxhash64("node", "n"), share).cast("int"), F.sequence(F.lit(0), share - 1)
+    one = rows.select("s", "node", "comp", "n", "place", F.when(cold, 0).otherwise(band).alias("band"), part.alias("i"), F.explode(every).alias("j"))
+    near = F.when(cold, F.array(F.lit(0))).otherwise(F.array(band - 1, band, band + 1))
+    twin = rows.select("s", *[F.col(c).alias(c + "2") for c in ("node", "comp", "n", "place")], part.alias("j"), every.alias("every"), F.explode(near).alias("band"))
+    return one, twin.withColumn("i", F.explode("every")).drop("every")
+
+
 def _prefix_pairs(cross: DataFrame, tokens: DataFrame, percent: int) -> DataFrame:
     """All pairs between components of ``cross`` that can be linked, by a prefix filter.
 
@@ -170,11 +192,11 @@ def _prefix_pairs(cross: DataFrame, tokens: DataFrame, percent: int) -> DataFram
     nodes = cross.select("node", "comp").distinct()
     place = F.row_number().over(Window.partitionBy("node", "sid").orderBy("df", "s"))
     ordered = tokens.join(nodes, "node").select("node", "comp", "n", "s", "df", place.alias("place"))
-    prefix = ordered.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).drop("df")
-    other = prefix.select("s", *[F.col(c).alias(c + "2") for c in ("node", "comp", "n", "place")])
+    prefix = saved(ordered.where((F.col("place") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("df") > 1)).drop("df"), "prefix")
     left = F.least(F.col("n") - F.col("place"), F.col("n2") - F.col("place2")) + 1
     enough = left * (100 + percent) >= (F.col("n") + F.col("n2")) * percent
-    pairs = prefix.join(other, "s").where((F.col("comp") < F.col("comp2")) & enough)
+    one, two = _cells(prefix, percent)
+    pairs = one.join(two, ["s", "band", "i", "j"]).where((F.col("comp") < F.col("comp2")) & enough)
     return pairs.select(F.greatest("node", "node2").alias("x"), F.least("node", "node2").alias("y")).distinct()
 
 
