@@ -1,14 +1,17 @@
 """Places and shares at which doubles and exact decimals part; digests over many ranges."""
 
 import hashlib
+import math
 from decimal import ROUND_HALF_EVEN, Decimal
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from grouploom.operators import integrity as I
 from grouploom.operators import raster as R
 from grouploom.operators import splits as P
+from grouploom.plans.evaluation import to_digits
 
 
 @pytest.mark.parametrize("n", [41, 48, 64])
@@ -34,3 +37,9 @@ def test_digest_lists_every_range(spark, keys):
     parts = [hashlib.sha256(",".join(str(k) for k in keys if k // 5 == p).encode()).hexdigest() for p in sorted({k // 5 for k in keys})]
     r = I.listed_digest(spark.createDataFrame([(k,) for k in keys], "k long").repartition(4), "k", 5).first()
     assert (r.digest, r.parts) == (hashlib.sha256(",".join(parts).encode()).hexdigest(), len(parts))
+
+
+def test_rounding_next_to_ties_is_that_of_sql(spark):
+    values = [math.nextafter(0.1246875, 0), 0.1246875, -0.1246875, 0.1246874, 2.0000005, 1e12 / 7, math.inf, None]
+    got = spark.createDataFrame([(k, v) for k, v in enumerate(values)], "k int, x double").select("k", to_digits("x").alias("x")).orderBy("k").collect()
+    assert [r.x for r in got] == [duckdb.execute("SELECT round(CAST(? AS DOUBLE), 6)", [v]).fetchone()[0] for v in values]
