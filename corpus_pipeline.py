@@ -40,9 +40,9 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def encoding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every whole text."""
-    coded = bpe.encode(docs, bpe.default_tokenizer(), keep=("doc_id", "lang", "source"), decode=False)
-    return coded.withColumn("n_tokens", F.size("ids").cast("bigint"))
+    """Token ids of every whole text, and the digest of what they decode to."""
+    coded = bpe.encode(docs, bpe.default_tokenizer(), keep=("doc_id", "lang", "source"))
+    return coded.withColumns({"n_tokens": F.size("ids").cast("bigint"), "decoded_sha256": F.sha2(F.col("decoded").cast("binary"), 256)}).drop("decoded")
 
 
 STAGES = [

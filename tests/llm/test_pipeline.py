@@ -28,3 +28,18 @@ def test_pipeline(spark):
     lib = Tokenizer.from_file(bpe.default_tokenizer())
     for r in docs.limit(20).collect():
         assert r.ids == lib.encode(texts[r.doc_id] or "", add_special_tokens=False).ids and r.n_tokens == len(r.ids)
+
+
+def test_encoding_stage_decodes(spark):
+    import hashlib
+
+    from tokenizers import Tokenizer
+
+    import corpus_pipeline as c
+
+    lib = Tokenizer.from_file(bpe.default_tokenizer())
+    texts = ["Zwei  Worte,\n und 3 mehr", "", None]
+    docs = spark.createDataFrame([(k, t, "de", "s") for k, t in enumerate(texts)], "doc_id long, text string, lang string, source string")
+    for r in c.encoding_stage(spark, docs, SF).collect():
+        want = lib.decode(lib.encode(texts[r.doc_id] or "", add_special_tokens=False).ids, skip_special_tokens=False)
+        assert r.decoded_sha256 == hashlib.sha256(want.encode()).hexdigest() and r.n_tokens == len(r.ids)
