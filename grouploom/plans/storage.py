@@ -30,7 +30,10 @@ def s01_found(v):
     path = IO.scratch_path(v.spark, "found")
     rows = v.table("supplier").select((F.col("s_suppkey") % 4).alias("folder"), F.concat(F.col("s_suppkey").cast("string"), F.lit(".sample")).alias("file"), F.col("s_name").alias("value"))
     other = rows.limit(2).select("folder", F.when(F.col("folder") >= 0, "index.sample").alias("file"), "value").unionByName(rows.limit(1).select("folder", F.lit("notes7.sample").alias("file"), "value"))
-    rows.unionByName(other).write.partitionBy("folder", "file").text(path)
+    # a file a row: tasks of few files each, which they put in place themselves instead of the driver
+    tasks = max(v.spark.sparkContext.defaultParallelism, rows.count() // 500 + 1)
+    dealt = rows.unionByName(other).repartition(tasks, "file")
+    dealt.write.option("mapreduce.fileoutputcommitter.algorithm.version", "2").partitionBy("folder", "file").text(path)
     found = IO.sample_files(v.spark, path, ".sample", "index.sample", by_folder="file=")
     return found.select("number", F.regexp_extract("path", r"/folder=([0-9]+)/", 1).cast("int").alias("folder")).where("number > 0")
 
