@@ -78,3 +78,15 @@ def test_augmentation():
     assert change(contrast=0) == pytest.approx(np.full((8, 8), image.mean()))
     zoomed = N.augmented(np.full((8, 8), 0.5), **(plain | {"scale": 0.5}))
     assert zoomed[3:5, 3:5] == pytest.approx(0.5) and zoomed[0, 0] == 0
+
+
+def test_a_stack_gives_what_single_images_give(spark):
+    r = np.random.default_rng(3)
+    shapes = [(8, 8), (5, 9), (8, 8), (5, 9), (8, 8)]
+    images = [r.random(s) for s in shapes]
+    names = sorted(N.gabor_features(images[0]))
+    rows = spark.createDataFrame([(k, *s, x.ravel().tolist()) for k, (s, x) in enumerate(zip(shapes, images, strict=True))], "sample_id long, height int, width int, x array<double>")
+    got = {r.sample_id: r for r in N.per_stack(rows.coalesce(1), names, N.gabor_stacked, "x", 128).collect()}
+    for k, x in enumerate(images):
+        one = N.gabor_features(x)
+        assert np.allclose([got[k][n] for n in names], [one[n] for n in names], rtol=1e-12, atol=1e-14)
