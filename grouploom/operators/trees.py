@@ -12,7 +12,9 @@ scored by sums over its first trees and by cutting its paths.
 
 A level is imperative work on a block, and levels follow one another by the thousand; so these jobs are
 RDD jobs, which take a fraction of the time that planning a DataFrame job takes. With fewer blocks than
-tasks every block is dealt with once per group of trees.
+tasks every block is dealt with once per group of trees. Where all rows fit one block (``ROWS`` of them),
+a group's trees need nothing from other tasks: the rounds of its runs follow one another in its task, up
+to ``KEEP`` of them in a job, and give the same trees.
 
 Random draws (rows and features of a boosted tree, rows of a forest's tree, features of its nodes) are
 hashes of (seed, tree or node, row), whatever the partitioning.
@@ -36,7 +38,7 @@ from ..session import ship
 from .features import METADATA
 from .ordering import stored
 
-ROWS, BINS = 1 << 16, 128
+ROWS, BINS = 1 << 18, 128
 UNIT = 1 << 30
 #: Entries of a histogram that are sorted at once.
 ENTRIES = 1 << 22
@@ -161,13 +163,19 @@ class Dealt:
         self.spark, self.count = spark, count
         self.groups = min(most, max(1, spark.sparkContext.defaultParallelism // count))
         copies = table.select("block", "data", F.explode(F.sequence(F.lit(0), F.lit(self.groups - 1))).alias("g"))
-        self.rdd = copies.repartition(count * self.groups, "block", "g").rdd.map(lambda r: (_opened(r.block, r.data), r.g, (0, None))).persist()
+        groups = self.groups
+        self.rdd = self._placed(copies.rdd.map(lambda r: (r.block * groups + r.g, (r.block, r.g, bytes(r.data))))).map(lambda v: (_opened(v[0], v[2]), v[1], (0, None))).persist()
+
+    def _placed(self, numbered):
+        """One element a task: hashes would give some tasks several."""
+        return numbered.partitionBy(self.count * self.groups, int).values()
 
     def settle(self, state) -> None:
         """Writes the ``state`` of every element, so that later tasks go on from there."""
-        rows = self.rdd.map(lambda e: (bytearray(pickle.dumps((e[0], e[1], state(e)))),))
-        table = stored(self.spark.createDataFrame(rows, "data binary"), "state")
-        old, self.rdd = self.rdd, table.repartition(self.count * self.groups).rdd.map(lambda r: pickle.loads(bytes(r.data))).persist()
+        groups = self.groups
+        rows = self.rdd.map(lambda e: (e[0].number * groups + e[1], bytearray(pickle.dumps((e[0], e[1], state(e))))))
+        table = stored(self.spark.createDataFrame(rows, "place long, data binary"), "state")
+        old, self.rdd = self.rdd, self._placed(table.rdd.map(lambda r: (r.place, bytes(r.data)))).map(pickle.loads).persist()
         old.unpersist()
 
     def best(self, partials, choose) -> list:
@@ -195,17 +203,36 @@ def histogram(x: np.ndarray, node: np.ndarray, tree: np.ndarray, row: np.ndarray
     """(key, sums) over entries (tree, row) at ``node`` (numbers of open nodes): key is
     (node * features + feature) * bins + bin for the features ``chosen`` of the node, and sums adds up
     ``stats(tree, row)``, a column per statistic."""
-    features, width = x.shape[0], chosen.shape[1]
-    parts = None
+    features, rows = x.shape
+    flat, width, parts = np.ascontiguousarray(x).ravel(), chosen.shape[1], None
+    start = chosen * rows
     step = max(1, ENTRIES // width)
     for a in range(0, len(node), step):
         n, r = node[a : a + step], row[a : a + step]
-        f = chosen[n]
-        key = ((n[:, None] * features + f) * bins + x[f, r[:, None]]).ravel()
-        order = np.argsort(key, kind="stable")
-        found = _collapsed(key[order], stats(tree[a : a + step], r)[order // width])
+        # places of chosen features, not features, in a key: the order is the same
+        key = ((n * width)[:, None] + np.arange(width)) * bins
+        key += flat[start[n] + r[:, None]]
+        found = _added(key.ravel(), stats(tree[a : a + step], r), width, len(chosen) * width * bins)
         parts = found if parts is None else _merged(parts, found)
-    return parts
+    at, place = parts[0] // bins, parts[0] % bins
+    return (at // width * features + chosen[at // width, at % width]) * bins + place, parts[1]
+
+
+def _added(key: np.ndarray, stats: np.ndarray, width: int, size: int):
+    """Distinct keys (below ``size``) in order, with the sums of ``stats``, a row for ``width`` keys."""
+    if size <= 8 * len(key) and np.abs(stats).sum(axis=0).max(initial=0) < 2**53:
+        # doubles add whole numbers of this size exactly
+        there = np.flatnonzero(np.bincount(key, minlength=size))
+        return there, np.stack([np.bincount(key, np.repeat(c.astype(float), width), size)[there] for c in stats.T], axis=1).astype(np.int64)
+    bits = len(key).bit_length()
+    if size.bit_length() + bits < 64:
+        packed = (key << bits) | np.arange(len(key))
+        packed.sort()
+        key, order = packed >> bits, packed & ((1 << bits) - 1)
+    else:
+        order = np.argsort(key, kind="stable")
+        key = key[order]
+    return _collapsed(key, stats[order // width])
 
 
 def best_splits(key: np.ndarray, sums: np.ndarray, features: int, bins: int, gain):
@@ -285,7 +312,7 @@ def _advanced(element, runs: list[int], history: list, classes: int, to: int, to
     own state, and the trees since."""
     block, g, state = element
     key = (token, block.number, g)
-    done, margin = max(_margins.get(key, (-1, None)), state, key=lambda v: v[0] if v[0] <= to else -1)
+    done, margin = max(_margins.get(key, (-1, None)), state[:2], key=lambda v: v[0] if v[0] <= to else -1)
     margin = np.zeros((len(runs), classes, len(block.y))) if margin is None else margin
     if done < to:
         margin = margin.copy()
@@ -304,6 +331,75 @@ def _advanced(element, runs: list[int], history: list, classes: int, to: int, to
     return margin
 
 
+def _steps(block: Block, margin: np.ndarray, mine: list[int], runs: list[Run], s: Settings, round_: int):
+    """Weights of the runs ``mine`` in a round (runs x rows), and gradients and Hessians of their trees."""
+    weight = block.weights[[runs[r].weight for r in mine]] * drawn_rows(s.seed, round_, block.ids, s.rows) if mine else np.zeros((0, len(block.y)))
+    steps = [softmax_steps(margin[j], block.y, weight[j]) for j in range(len(mine))]
+    return weight, *(np.array([x[k] for x in steps]).reshape(-1, len(block.y)) for k in (0, 1))
+
+
+class Level(NamedTuple):
+    """Trees of a round as they grow: open nodes, sums by node, and the depth that each tree may have."""
+
+    trees: Trees
+    open: np.ndarray
+    stats: np.ndarray
+    depth: np.ndarray
+
+    @staticmethod
+    def first(depth: np.ndarray) -> Level:
+        n = len(depth)
+        return Level(Trees.roots(n), np.arange(n), np.zeros((n, 2), np.int64), depth)
+
+    def grown(self, splits, gains: np.ndarray, classes: int) -> Level:
+        """A level deeper; adds to ``gains`` by run and feature."""
+        trees, stats, depth = self.trees, self.stats, self.depth
+        node, feature, bin_, gain, left, total = splits
+        node = self.open[node]
+        stats[node] = total
+        good = (feature >= 0) & (depth[trees.tree[node]] > trees.depth)
+        np.add.at(gains, (trees.tree[node][good] // classes, feature[good]), gain[good])
+        order = np.flatnonzero(good)[np.argsort(node[good])]
+        if not len(order):
+            return self._replace(open=np.zeros(0, np.int64))
+        trees, new = trees.split(node[order], feature[order], bin_[order])
+        stats = np.concatenate((stats, np.stack((left[order], total[order] - left[order]), axis=1).reshape(-1, 2)))
+        # children at their depth don't split further
+        return Level(trees, new[depth[trees.tree[new]] > trees.depth], stats, depth)
+
+    def values(self, rate: np.ndarray, penalty: float) -> np.ndarray:
+        return -rate[self.trees.tree] * (self.stats[:, 0] / UNIT) / (self.stats[:, 1] / UNIT + penalty)
+
+
+def _round(block: Block, margin: np.ndarray, mine: list[int], runs: list[Run], s: Settings, round_: int, features: int, bins: int, gains: np.ndarray) -> np.ndarray:
+    """The margins after one more round of the runs ``mine`` over the only block."""
+    k, x = s.classes, block.x
+    number = np.array([r * k + c for r in mine for c in range(k)], np.int64)
+    chosen = tree_features(s.seed, round_, number, features, s.features)
+    weight, grad, hess = _steps(block, margin, mine, runs, s, round_)
+    level = Level.first(np.repeat([runs[r].depth for r in mine], k))
+    at = np.repeat(level.open[:, None], len(block.y), axis=1)
+    tree, row = np.nonzero(np.repeat(weight > 0, k, axis=0))
+    every = np.broadcast_to(np.arange(len(block.y)), at.shape)
+    while len(level.open) and len(tree):
+        place = np.full(len(level.trees.tree), -1)
+        place[level.open] = np.arange(len(level.open))
+        own = place[at[tree, row]]
+        keep = own >= 0
+        if not keep.all():
+            own, tree, row = own[keep], tree[keep], row[keep]
+        if not len(own):
+            break
+        found = histogram(x, own, tree, row, chosen[level.trees.tree[level.open]], lambda t, r: np.stack((grad[t, r], hess[t, r]), axis=1), bins)
+        level = level.grown(_choose_boosted(features, bins, s, *found), gains, k)
+        feature = level.trees.feature[at]
+        split = feature >= 0
+        node = at[split]
+        at[split] = level.trees.left[node] + (x[feature[split], every[split]] > level.trees.bin[node])
+    value = level.values(np.repeat([runs[r].rate for r in mine], k), s.penalty)
+    return margin + value[at].reshape(margin.shape)
+
+
 class Sent(NamedTuple):
     """A broadcast of the trees of some rounds, up to before round ``last``."""
 
@@ -323,18 +419,40 @@ class Boosted:
         groups, runs = self.dealt.groups, len(self.runs)
         return lambda g: list(range(g, runs, groups))
 
+    def grow_to(self, rounds: int) -> None:
+        while self.rounds < rounds:
+            if self.dealt.count == 1:
+                self._grow_within(min(rounds, self.rounds + KEEP))
+            else:
+                self.grow()
+
+    def _grow_within(self, to: int) -> None:
+        """Rounds up to ``to`` in one job: each element is the only block, and has its own runs."""
+        own, runs, s, features, bins = self._own(), self.runs, self.settings, self.features, self.bins
+
+        def state(element):
+            block, g, (done, margin, *_) = element
+            mine = own(g)
+            gains = np.zeros((len(mine), features))
+            margin = np.zeros((len(mine), s.classes, len(block.y))) if margin is None else margin
+            for t in range(done, to if mine else done):
+                margin = _round(block, margin, mine, runs, s, t, features, bins, gains)
+            return to, margin, gains
+
+        self.dealt.settle(state)
+        for g, gains in self.dealt.rdd.map(lambda e: (e[1], e[2][2])).collect():
+            self.gains[own(g)] += gains
+        self.rounds = to
+
     def grow(self) -> None:
         """One more round of every run."""
         s, sc, k = self.settings, self.dealt.spark.sparkContext, self.settings.classes
-        count = len(self.runs) * k
-        trees, open_ = Trees.roots(count), np.arange(count)
-        depth = np.repeat([r.depth for r in self.runs], k)
-        chosen_of = tree_features(s.seed, self.rounds, np.arange(count), self.features, s.features)
-        stats = np.zeros((count, 2), np.int64)
+        level = Level.first(np.repeat([r.depth for r in self.runs], k))
+        chosen_of = tree_features(s.seed, self.rounds, level.open, self.features, s.features)
         own, history, token, rounds, bins, features = self._own(), list(self.history), self.token, self.rounds, self.bins, self.features
         runs = self.runs
-        while len(open_):
-            sent = sc.broadcast((trees, open_))
+        while len(level.open):
+            sent = sc.broadcast((level.trees, level.open))
 
             def partials(element, sent=sent):
                 block, g, _ = element
@@ -345,11 +463,7 @@ class Boosted:
                 place = np.full(len(trees.tree), -1)
                 place[open_] = np.arange(len(open_))
                 at = place[trees.walk(block.x, number)] if len(number) else np.zeros((0, len(block.y)), np.int64)
-                draw = drawn_rows(s.seed, rounds, block.ids, s.rows)
-                weight = block.weights[[runs[r].weight for r in mine]] * draw if mine else np.zeros((0, len(block.y)))
-                steps = [softmax_steps(margin[j], block.y, weight[j]) for j in range(len(mine))]
-                grad = np.array([x for x, _ in steps]).reshape(-1, len(block.y))
-                hess = np.array([x for _, x in steps]).reshape(-1, len(block.y))
+                weight, grad, hess = _steps(block, margin, mine, runs, s, rounds)
                 tree, row = np.nonzero((at >= 0) & np.repeat(weight > 0, k, axis=0))
                 found = histogram(block.x, at[tree, row], tree, row, chosen_of[trees.tree[open_]], lambda t, r: np.stack((grad[t, r], hess[t, r]), axis=1), bins) if len(tree) else None
                 return g, found or (np.zeros(0, np.int64), np.zeros((0, 2), np.int64))
@@ -358,22 +472,10 @@ class Boosted:
             sent.unpersist()
             if not splits:
                 break
-            node, feature, bin_, gain, left, total = (np.concatenate(c) for c in zip(*splits, strict=True))
-            node = open_[node]
-            stats[node] = total
-            good = (feature >= 0) & (depth[trees.tree[node]] > trees.depth)
-            np.add.at(self.gains, (trees.tree[node][good] // k, feature[good]), gain[good])
-            order = np.flatnonzero(good)[np.argsort(node[good])]
-            if not len(order):
-                break
-            trees, new = trees.split(node[order], feature[order], bin_[order])
-            stats = np.concatenate((stats, np.stack((left[order], total[order] - left[order]), axis=1).reshape(-1, 2)))
-            # children at their depth don't split further
-            open_ = new[depth[trees.tree[new]] > trees.depth]
-        rate = np.array([self.runs[t // k].rate for t in trees.tree])
-        value = -rate * (stats[:, 0] / UNIT) / (stats[:, 1] / UNIT + s.penalty)
+            level = level.grown([np.concatenate(c) for c in zip(*splits, strict=True)], self.gains, k)
+        value = level.values(np.repeat([r.rate for r in self.runs], k), s.penalty)
         self.rounds += 1
-        self.history.append(Sent(self.rounds, sc.broadcast((self.rounds - 1, [trees._replace(value=value)]))))
+        self.history.append(Sent(self.rounds, sc.broadcast((self.rounds - 1, [level.trees._replace(value=value)]))))
         if self.rounds % KEEP == 0:
             own, history, token, rounds = self._own(), list(self.history), self.token, self.rounds
             self.dealt.settle(lambda e: (rounds, _advanced(e, own(e[1]), history, k, rounds, token)))
@@ -554,11 +656,10 @@ def boosted_scores(rows: DataFrame, names: list[str], weights: list[str], traine
     table, count = blocks(rows, names, edges, trained, weights)
     model = Boosted(Dealt(table, count, len(runs)), runs, settings, len(names), max(map(len, edges)) + 1)
     truth, parts = rows.where(wanted), None
-    for n in range(1, max(rounds) + 1):
-        model.grow()
-        if n in rounds:
-            part = with_truth(model.probabilities(lambda r, n=n: f"{weights[runs[r].weight]}|{n}|{runs[r].depth}|{runs[r].rate:g}"), truth)
-            parts = part if parts is None else parts.unionByName(part)
+    for n in sorted(set(rounds)):
+        model.grow_to(n)
+        part = with_truth(model.probabilities(lambda r, n=n: f"{weights[runs[r].weight]}|{n}|{runs[r].depth}|{runs[r].rate:g}"), truth)
+        parts = part if parts is None else parts.unionByName(part)
     model.dealt.rdd.unpersist()
     return parts, model
 

@@ -129,3 +129,24 @@ def test_a_table_of_one_class_gives_roots_only(spark):
     assert {tuple(r.p) for r in scored.collect()} == {(1.0, 0.0)} and forest.trees.depth == 0
     scored, _ = T.boosted_scores(rows, ["f0"], ["one"], "split = 'train'", "true", [2], [T.Run(0, 3, 0.3)], T.Settings(2))
     assert all(r.p[0] > 0.6 for r in scored.collect())
+
+
+def test_rounds_over_one_block_share_a_job(spark, table):
+    context = spark.sparkContext
+    context.setJobGroup("rounds", "rounds")
+    edges = T.binned(table, NAMES)
+    blocks, count = T.blocks(table, NAMES, edges, "split = 'train'", ["w"])
+    model = T.Boosted(T.Dealt(blocks, count, 2), [T.Run(0, 2, 0.3), T.Run(0, 3, 0.3)], T.Settings(3), len(NAMES), max(map(len, edges)) + 1)
+    before = len(context.statusTracker().getJobIdsForGroup("rounds"))
+    model.grow_to(40)
+    assert model.rounds == 40 and len(context.statusTracker().getJobIdsForGroup("rounds")) - before < 10
+    context.setLocalProperty("spark.jobGroup.id", None)
+
+
+@pytest.mark.parametrize("size", [40, 1 << 40])
+def test_sums_by_key_are_exact_by_either_way(size):
+    rng = np.random.default_rng(5)
+    key, stats = rng.integers(0, 40, 300), rng.integers(-(1 << 45), 1 << 45, (100, 2))
+    found, sums = T._added(key, stats, 3, size)
+    assert found.tolist() == sorted(set(key.tolist()))
+    assert sums.tolist() == [[sum(int(v) for v in stats[np.flatnonzero(key == k) // 3, c]) for c in (0, 1)] for k in found]
