@@ -40,6 +40,8 @@ from .ordering import stored
 
 ROWS, BINS = 1 << 18, 128
 UNIT = 1 << 30
+#: A whole share of a class in the sums over a forest's trees.
+SHARE = 1 << 40
 #: Entries of a histogram that are sorted at once.
 ENTRIES = 1 << 22
 #: Rounds after which margins are written, so that a lost task repeats few rounds.
@@ -642,6 +644,93 @@ def forest_probabilities(dealt: Dealt, forest: Forest, kinds: int, firsts: list[
     return stored(dealt.spark.createDataFrame(dealt.rdd.flatMap(rows), "candidate string, sample_id long, p array<double>"), "scored")
 
 
+def _cuts(x: np.ndarray, y: np.ndarray, ids: np.ndarray, wanted: np.ndarray, number: np.ndarray, size: int, kinds: list[Kind], depths: list[int], weight: np.ndarray, bins: int, width: int, seed: int):
+    """Grows the trees ``number`` over the only block; (place in ``depths``, class shares of the ``wanted``
+    rows by every tree cut there), in units of 2**-40."""
+    features, k, count = len(x), len(weight), len(number)
+    trees, open_, counts = Trees.roots(count), np.arange(count), np.zeros((count, k), np.int64)
+    times = poisson_times(seed, number[:, None] + np.zeros(len(y), np.int64), ids + np.zeros((count, 1), np.int64))
+    tree, row = np.nonzero(times)
+    times, node, at = times[tree, row], tree, np.repeat(np.arange(count)[:, None], wanted.shape[1], axis=1)
+    every = np.broadcast_to(np.arange(wanted.shape[1]), at.shape)
+
+    def shares():
+        w = counts * weight
+        return np.rint(w / np.maximum(w.sum(axis=1, keepdims=True), 1e-300) * SHARE).astype(np.int64)[at]
+
+    for depth in range(max(depths) + 1):
+        place = np.full(len(trees.tree), -1)
+        place[open_] = np.arange(len(open_))
+        own = place[node]
+        keep = own >= 0
+        own, tree, row, times, node = own[keep], tree[keep], row[keep], times[keep], node[keep]
+        order = good = np.zeros(0, np.int64)
+        # the last level's nodes aren't split; only a root's counts are still to be taken
+        if len(own) and (depth < max(depths) or not depth):
+            chosen = node_features(seed, number[trees.tree[open_]], trees.path[open_], features, width)
+            left_out = lambda e, r, times=times: (np.arange(k) == y[r, None]) * times[e, None]
+            key, sums = histogram(x, own, np.arange(len(own)), row, chosen, left_out, bins)
+            found, feature, bin_, _, left, total = best_splits(key, sums, features, bins, gini_gain(weight, kinds, number[trees.tree[open_]] // size))
+            found = open_[found]
+            counts[found] = total
+            good = np.flatnonzero((feature >= 0) & (depth < max(depths)))
+            order = good[np.argsort(found[good])]
+        if depth in depths:
+            yield depths.index(depth), shares()
+        if not len(order):
+            for d in depths:
+                if d > depth:
+                    yield depths.index(d), shares()
+            return
+        trees, new = trees.split(found[order], feature[order], bin_[order])
+        counts = np.concatenate((counts, np.stack((left[order], total[order] - left[order]), axis=1).reshape(-1, k)))
+        for nodes, columns, rows in ((node, x, row), (at, wanted, every)):
+            f = trees.feature[nodes]
+            split = f >= 0
+            was = nodes[split]
+            nodes[split] = trees.left[was] + (columns[f[split], rows[split]] > trees.bin[was])
+        n = counts[new]
+        least = np.array([v.least_split for v in kinds])[number[trees.tree[new]] // size]
+        open_ = new[((n > 0).sum(axis=1) > 1) & (n.sum(axis=1) >= least)]
+
+
+def forest_votes(rows: DataFrame, names: list[str], class_weight: list[float], trained: str, wanted: str, firsts: list[int], depths: list[int], kinds: list[Kind], seed: int = 42) -> DataFrame:
+    """The predictions of ``forest_scores``. Over one block, a task grows its trees a few at a time, adds up
+    what they say of the ``wanted`` rows, and drops them: no forest reaches the driver."""
+    edges = binned(rows, names)
+    flag = lambda condition: F.when(F.expr(condition), 1.0).otherwise(0.0)
+    table, count = blocks(rows.withColumns({"__trained": flag(trained), "__wanted": flag(wanted)}), names, edges, "true", ["__trained", "__wanted"])
+    if count > 1:
+        return forest_scores(rows, names, class_weight, trained, wanted, firsts, depths, kinds, seed)[0]
+    firsts, depths, size, weight = sorted(firsts), sorted(depths), max(firsts), np.array(class_weight)
+    dealt = Dealt(table, count, len(kinds) * size)
+    groups, bins, width = dealt.groups, max(map(len, edges)) + 1, max(1, int(np.sqrt(len(names))))
+
+    def votes(element):
+        block, g, _ = element
+        own, told = np.flatnonzero(block.weights[0] > 0), np.flatnonzero(block.weights[1] > 0)
+        x, y, ids = np.ascontiguousarray(block.x[:, own]), block.y[own], block.ids[own]
+        out = np.zeros((len(kinds), len(depths), len(firsts), len(told), len(weight)), np.int64)
+        number, step = np.arange(g, len(kinds) * size, groups), max(1, ENTRIES // max(1, len(y) * width))
+        for a in range(0, len(number), step):
+            some = number[a : a + step]
+            for d, shares in _cuts(x, y, ids, block.x[:, told], some, size, kinds, depths, weight, bins, width, seed):
+                for t, v in zip(some.tolist(), shares, strict=True):
+                    out[t // size, d, np.searchsorted(firsts, t % size, side="right")] += v
+        return [((k, d), (block.ids[told], out[k, d])) for k, d in product(range(len(kinds)), range(len(depths)))]
+
+    def told(item):
+        (k, d), (ids, sums) = item
+        for n, p in zip(firsts, np.cumsum(sums, axis=0), strict=True):
+            name = f"{n}|{depths[d]}|{kinds[k].least_split}|{kinds[k].least_leaf}"
+            yield from ((name, int(i), v) for i, v in zip(ids, (p / (n * SHARE)).tolist(), strict=True))
+
+    added = dealt.rdd.flatMap(votes).reduceByKey(lambda a, b: (a[0], a[1] + b[1]), len(kinds) * len(depths)).flatMap(told)
+    scored = stored(dealt.spark.createDataFrame(added, "candidate string, sample_id long, p array<double>"), "scored")
+    dealt.rdd.unpersist()
+    return with_truth(scored, rows.where(wanted))
+
+
 # --- searches
 
 

@@ -150,3 +150,12 @@ def test_sums_by_key_are_exact_by_either_way(size):
     found, sums = T._added(key, stats, 3, size)
     assert found.tolist() == sorted(set(key.tolist()))
     assert sums.tolist() == [[sum(int(v) for v in stats[np.flatnonzero(key == k) // 3, c]) for c in (0, 1)] for k in found]
+
+
+@pytest.mark.parametrize("depths", [[2, 6], [1, 30], [0, 3]])
+def test_votes_equal_the_scores_of_whole_forests(table, depths):
+    kinds = [T.Kind(2, 1), T.Kind(6, 3)]
+    args = (table, NAMES, [0.7, 1.0, 1.6], "split = 'train'", "split = 'val'", [2, 5], depths, kinds)
+    want, got = ({(r.candidate, r.sample_id): r.p for r in df.collect()} for df in (T.forest_scores(*args, seed=9)[0], T.forest_votes(*args, seed=9)))
+    assert got.keys() == want.keys() and len(got) == 2 * 2 * 2 * 30
+    assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
