@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 from grouploom.operators import integrity as I
 from grouploom.sources import tables as IO
 
+SF = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
+
 
 def table(spark, names):
     return spark.createDataFrame(sorted(names.items()), "path string, sha256 string").repartition(3)
@@ -90,3 +92,13 @@ def test_files_are_dealt_with_once_over_restarts(spark, tmp_path):
         IO.convert_new(spark, str(source), target, plain)
         got = sorted(tuple(r) for r in IO.converted(spark, target, "name string, n long").collect())
         assert got == sorted((f"{a}-{b}.bin", a + b + 1) for a in range(k + 1) for b in range(4))
+
+
+def test_the_first_run_is_chosen_in_the_scan(spark):
+    from grouploom.plans.fixtures import Views
+    from grouploom.plans.storage import first_run
+
+    history = Views(spark, SF).history
+    found = first_run(history)
+    assert "EqualTo(user_id" in found._jdf.queryExecution().executedPlan().toString()
+    assert found.count() == history.join(history.agg({"run_id": "min"}).toDF("run_id"), "run_id").count() > 0
