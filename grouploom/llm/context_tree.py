@@ -138,12 +138,17 @@ def _in_order(keys: np.ndarray) -> bytes:
     return _squeezed(np.diff(keys, prepend=np.uint64(0)))
 
 
+def _kinds(depth: int, buckets: int, word_buckets: int) -> list[tuple[int, int, int]]:
+    """Depth, buckets and first bucket of strings (none where they have no buckets) and of words."""
+    return [(depth, buckets, 0)] * (buckets > 0) + [(0, word_buckets, buckets)]
+
+
 def _send(depth: int, buckets: int, word_buckets: int):
     def run(rows):
         for part in rows:
             for k in range(part.num_rows):
                 batch = Batch(part, k)
-                for levels_, n, first in ((depth, buckets, 0), (0, word_buckets, buckets)):
+                for levels_, n, first in _kinds(depth, buckets, word_buckets):
                     own = Keys(batch, levels_, n)
                     out = [(batch.number, first + b, len(at), _in_order(own.keys[at]), _squeezed(own.counts[at].astype(np.uint32))) for b, at in own.parts()]
                     if out:
@@ -354,9 +359,9 @@ def _score(depth: int, buckets: int, word_buckets: int, total: int, known: int):
         del key
         found = dict(zip(answers["bucket"].to_pylist(), answers["answer"].to_pylist(), strict=True))
         batch = Batch(rows.combine_chunks().to_batches()[0])
-        sums = []
-        for levels_, n, first, kind in ((depth, buckets, 0, np.uint32), (0, word_buckets, buckets, np.int64)):
-            own = Keys(batch, levels_, n)
+        sums = [] if buckets else [np.full(len(batch.ids), np.nan)]
+        for levels_, n, first in _kinds(depth, buckets, word_buckets):
+            own, kind = Keys(batch, levels_, n), np.uint32 if levels_ else np.int64
             values = np.zeros(len(own.keys), kind)
             for b, at in own.parts():
                 values[at] = _restored(found[first + b], len(at), kind)
@@ -376,21 +381,33 @@ def code_lengths(docs: DataFrame, batch_bytes: int = BATCH_BYTES, depth: int = D
     n_bytes and bits_per_byte (of the text and its end). ``depth`` is 3 to 7."""
     if not NEAR <= depth <= 7:
         raise ValueError(f"depth is {NEAR} to 7, not {depth}")
+    found = _scores(docs, batch_bytes, depth)
+    return found.withColumn("bits_per_byte", -F.col("score") / (F.log10(F.lit(2.0)) * (F.col("n_bytes") + 1)))
+
+
+def word_scores(docs: DataFrame, batch_bytes: int = BATCH_BYTES) -> DataFrame:
+    """The columns of ``code_lengths`` that come from words, without the tree: no string is sent."""
+    return _scores(docs, batch_bytes, 0).drop("score")
+
+
+def _scores(docs: DataFrame, batch_bytes: int, depth: int) -> DataFrame:
     spark = ship(docs.sparkSession)
     batches, size = packed(docs, batch_bytes)
     buckets = max(32, size // BUCKET_BYTES + 1)
     word_buckets = max(8, buckets // 8)
+    buckets = buckets if depth else 0
     sent = saved_by(batches.mapInArrow(_send(depth, buckets, word_buckets), _SENT), "bucket", buckets + word_buckets)
     model = saved_by(sent.groupBy("bucket").applyInArrow(_merge(depth, buckets), _MODEL), "bucket", buckets + word_buckets)
     words = model.where(F.col("bucket") >= buckets).agg(F.coalesce(F.sum("total"), F.lit(0)), F.coalesce(F.sum("known"), F.lit(0))).first()
-    nodes = model.select(F.inline("nodes")).groupBy("node").agg(*[F.sum(c).alias(c) for c in ("below", "n0", "n1")])
-    upper = saved(nodes, "upper").toPandas()
-    top = spark.sparkContext.broadcast(Top(*[upper[c].to_numpy() for c in ("node", "below", "n0", "n1")]))
+    top = None
+    if buckets:
+        nodes = model.select(F.inline("nodes")).groupBy("node").agg(*[F.sum(c).alias(c) for c in ("below", "n0", "n1")])
+        upper = saved(nodes, "upper").toPandas()
+        top = spark.sparkContext.broadcast(Top(*[upper[c].to_numpy() for c in ("node", "below", "n0", "n1")]))
     answers = sent.select("batch", "bucket", "n", "keys").groupBy("bucket").cogroup(model.select("bucket", "n", "keys", "counts").groupBy("bucket")).applyInArrow(_answers(depth, buckets, top), _ANSWER)
-    found = batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
+    return batches.groupBy("batch").cogroup(answers.groupBy("batch")).applyInArrow(
         _score(depth, buckets, word_buckets, *words), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double, n_bytes long"
     )
-    return found.withColumn("bits_per_byte", -F.col("score") / (F.log10(F.lit(2.0)) * (F.col("n_bytes") + 1)))
 
 
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -399,7 +416,7 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def word_base(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The columns of op9 that SQL can express: tokens, known tokens and the word baseline."""
-    return op9(spark, sf_dir).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
+    return word_scores(table(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", F.round("base_score", 5).alias("base_score"))
 
 
 #: crc32 of an id's digits, bit by bit.

@@ -374,3 +374,15 @@ def test_rates_match_targets(spark, none):
     assert sum(c for k, c in counts.items() if 200 <= k < 300) == pytest.approx(80, abs=12)
     assert mixing.mixed_rates(none, labelled, {"a": 1.0})[1].count() == 0
     assert mixing.mixed_rates(df, labelled.where("false"), {"a": 1.0})[1].count() == len(rows)
+
+
+def test_word_scores_are_those_of_the_model_and_send_no_strings(spark, monkeypatch):
+    rows = [(k, " ".join(f"w{(k * j) % 7}" for j in range(k % 5))) for k in range(40)] + [(None, "a b"), (50, None)]
+    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "n_bytes"]
+    answer = lambda df: sorted(map(repr, df.select(columns).collect()))
+    want = answer(context_tree.code_lengths(table(spark, rows).repartition(3), 100))
+    monkeypatch.setattr(context_tree, "strings", None)
+    monkeypatch.setattr(context_tree, "upper_nodes", None)
+    found = context_tree.word_scores(table(spark, rows).repartition(3), 100)
+    assert answer(found) == want and len(want) == 42
+    assert context_tree._kinds(0, 0, 8) == [(0, 8, 0)]
