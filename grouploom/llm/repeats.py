@@ -4,11 +4,15 @@ Every suffix of every text is sorted by its own leading bytes, most significant
 only through ``LENGTH`` bytes; groups that are equal after the last pass are exactly the repeated
 windows. A suffix leaves the sort as soon as one of its digits stands alone.
 
-* Passes over the digits of ``DIGIT`` bytes at depths 0, 16, 32 and ``LENGTH - DIGIT``. The digit
-  of a suffix at depth d is the first digit of the suffix d bytes further on, so one exchange of
-  first digits serves all of these passes. Suffixes one of whose digits occurs in a single text
-  leave: no other text has their window. Digits are told apart by a hash with about four slots per
-  suffix of the corpus, so that a few suffixes stay that could leave; none leaves that must stay.
+* A first pass over one digit of ``ANCHOR`` bytes, at the depth that the window itself chooses: the
+  string with the least hash, the same in equal windows. Neighbours share it, so that only about a
+  tenth as many digits as suffixes are exchanged. Suffixes whose digit occurs in a single text
+  leave: no other text has their window.
+* Passes over the digits of ``DIGIT`` bytes at depths 0, 16, 32 and ``LENGTH - DIGIT`` of the
+  suffixes that stayed. The digit of a suffix at depth d is the first digit of the suffix d bytes
+  further on, so one exchange of first digits serves all of these passes, under the same rule.
+  Digits are told apart by a hash with about four slots per suffix of the corpus, so that a few
+  suffixes stay that could leave; none leaves that must stay.
 * The last pass decides on the whole window. Suffixes that stayed come in stretches of neighbours,
   and windows of a stretch that share the ``ANCHOR``-byte string with the least hash are sorted as
   one, by the bytes that they cover. Where stretches with one anchor differ, their windows are
@@ -110,18 +114,18 @@ def digit_hashes(data: np.ndarray, digit: int) -> np.ndarray:
 
 
 class FirstDigits:
-    """The suffixes a to b of a batch in the order of their first digits' hashes."""
+    """The ``needed`` ones of the suffixes a to b of a batch in the order of their first digits' hashes."""
 
-    def __init__(self, suffixes: Suffixes, a: int, b: int, digit: int, bits: int):
+    def __init__(self, suffixes: Suffixes, needed: np.ndarray, a: int, b: int, digit: int, bits: int):
         keys, n = np.empty(b - a, np.uint64), 0
         for c in range(a, b, CHUNK):
+            place = np.flatnonzero(needed[c : min(b, c + CHUNK)])
+            if not len(place):
+                continue
             data = suffixes.data[c : min(b, c + CHUNK) + digit - 1]
-            hashes = digit_hashes(data, digit) >> np.uint64(64 - bits)
-            place = np.arange(c, c + len(hashes))
-            inside = suffixes.inside(place, digit)
-            m = int(np.count_nonzero(inside))
-            keys[n : n + m] = (hashes[inside] << np.uint64(24)) | (place[inside] - a).astype(np.uint64)
-            n += m
+            hashes = digit_hashes(data, digit)[place] >> np.uint64(64 - bits)
+            keys[n : n + len(place)] = (hashes << np.uint64(24)) | (place + (c - a)).astype(np.uint64)
+            n += len(place)
         keys = keys[:n]
         keys.sort()
         self.place = (keys.astype(np.uint32) & np.uint32(_PLACE)).view(np.int32)
@@ -144,23 +148,108 @@ def hash_bits(suffixes: int) -> int:
     return min(40, max(8, math.ceil(math.log2(4 * suffixes + 1))))
 
 
-def _send_digits(digit: int, bits: int, buckets: int, size: int):
+def _digit_rows(number: int, unit: int, digits: np.ndarray, several: np.ndarray, ranges: np.ndarray) -> list[tuple]:
+    """Rows of distinct hashes in order, one per bucket."""
+    cuts, out = np.searchsorted(digits, ranges), []
+    for bucket in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+        x, y = cuts[bucket], cuts[bucket + 1]
+        steps = np.diff((digits[x:y] - ranges[bucket]).astype(np.uint32), prepend=np.uint32(0))
+        out.append((number, unit, bucket, y - x, _squeezed(planes(steps)), _squeezed(np.packbits(several[x:y]).tobytes())))
+    return out
+
+
+def _answered(digits: np.ndarray, answers: dict, unit: int, ranges: np.ndarray) -> np.ndarray:
+    """Which of a unit's distinct hashes occur in several texts."""
+    cuts, out = np.searchsorted(digits, ranges), np.zeros(len(digits), np.uint8)
+    for bucket in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
+        out[cuts[bucket] : cuts[bucket + 1]] = _bits(answers[unit, bucket], int(cuts[bucket + 1] - cuts[bucket]))
+    return out.view(bool)
+
+
+class Chosen:
+    """The digits that a batch's windows choose, in the order of their hashes."""
+
+    def __init__(self, suffixes: Suffixes, length: int, anchor: int, bits: int):
+        keys, texts, self.windows, self.repeats = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        m = max(0, len(suffixes.data) - length + 1)
+        for a in range(0, m, CHUNK):
+            window = np.flatnonzero(suffixes.inside(np.arange(a, min(m, a + CHUNK)), length))
+            if len(window):
+                data = suffixes.data[a : a + min(CHUNK, m - a) + length - 1]
+                grams = _FIRST.grams(_FIRST.sums(data), anchor)
+                least = sliding_minimum((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), length - anchor + 1)
+                at = (least[window] & _PLACE).astype(np.int64)
+                first = np.flatnonzero(np.concatenate(([True], at[1:] != at[:-1])))
+                # the least of several hashes is small: it is mixed again for the buckets
+                keys.append(mixed(grams[at[first]]) >> np.uint64(64 - bits))
+                texts.append(suffixes.text[window[first] + a])
+                self.windows.append(window + a)
+                self.repeats.append(np.diff(first, append=len(at)))
+        key, text = np.concatenate(keys), np.concatenate(texts)
+        order = np.argsort(key, kind="stable")
+        sorted_key = key[order]
+        first = np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))) if len(key) else np.zeros(0, np.int64)
+        self.digits, count = sorted_key[first], np.diff(first, append=len(key))
+        self.several = text[order[first]] != text[order[first + count - 1]]
+        self.cls = np.empty(len(key), np.int64)
+        self.cls[order] = np.repeat(np.arange(len(first)), count)
+
+    def live(self, shared: np.ndarray, m: int) -> np.ndarray:
+        """Which of the first ``m`` suffixes have a chosen digit that is ``shared``."""
+        out = np.zeros(m, bool)
+        out[np.concatenate(self.windows)] = np.repeat(shared[self.cls], np.concatenate(self.repeats))
+        return out
+
+
+def _send_chosen(length: int, anchor: int, bits: int, buckets: int):
     ranges = bucket_ranges(bits, buckets)
 
     def run(rows):
         for part in rows:
             for k in range(part.num_rows):
-                suffixes = Suffixes(batch := Batch(part, k))
-                for unit, a, b in suffixes.units(size):
-                    own = FirstDigits(suffixes, a, b, digit, bits)
-                    cuts = np.searchsorted(own.digits, ranges)
-                    out = []
-                    for bucket in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-                        x, y = cuts[bucket], cuts[bucket + 1]
-                        steps = np.diff((own.digits[x:y] - ranges[bucket]).astype(np.uint32), prepend=np.uint32(0))
-                        out.append((batch.number, unit, bucket, y - x, _squeezed(planes(steps)), _squeezed(np.packbits(own.several[x:y]).tobytes())))
-                    del own
-                    yield _columns(out, _DIGITS)
+                batch = Batch(part, k)
+                own = Chosen(Suffixes(batch), length, anchor, bits)
+                yield _columns(_digit_rows(batch.number, 0, own.digits, own.several, ranges), _DIGITS)
+
+    return run
+
+
+def _live(length: int, anchor: int, bits: int, buckets: int):
+    """Answer 0 of a batch: which of its suffixes stay after the first pass."""
+    ranges = bucket_ranges(bits, buckets)
+
+    def run(key, rows, answers):
+        suffixes = Suffixes(Batch(rows.combine_chunks().to_batches()[0]))
+        own = Chosen(suffixes, length, anchor, bits)
+        live = own.live(_answered(own.digits, _by_pass(answers)[1], 0, ranges), max(0, len(suffixes.data) - length + 1))
+        return pa.Table.from_batches([_columns([(key[0].as_py(), 0, 0, 0, _squeezed(np.packbits(live).tobytes()))], _ANSWERS)])
+
+    return run
+
+
+def _depths(length: int, digit: int) -> list[int]:
+    return sorted({min(k, length - digit) for k in range(0, length, digit)})
+
+
+def _needed(suffixes: Suffixes, live: np.ndarray, length: int, digit: int) -> np.ndarray:
+    """The suffixes whose first digits the passes over live suffixes look at."""
+    out = np.zeros(len(suffixes.data), bool)
+    for depth in _depths(length, digit):
+        out[depth : depth + len(live)] |= live
+    return out
+
+
+def _send_digits(length: int, digit: int, bits: int, buckets: int, size: int):
+    ranges = bucket_ranges(bits, buckets)
+
+    def run(key, rows, answers):
+        suffixes, live = _stayed(rows, _by_pass(answers), length)
+        needed, out = _needed(suffixes, live, length, digit), []
+        for unit, a, b in suffixes.units(size):
+            own = FirstDigits(suffixes, needed, a, b, digit, bits)
+            out += _digit_rows(key[0].as_py(), unit, own.digits, own.several, ranges)
+            del own
+        return pa.Table.from_batches([_columns(out, _DIGITS)])
 
     return run
 
@@ -185,23 +274,17 @@ def _resolve_digits(bits: int, buckets: int):
     return run
 
 
-def _staying(suffixes: Suffixes, answers: dict, length: int, digit: int, bits: int, buckets: int, size: int) -> np.ndarray:
-    """Which suffixes have only digits that occur in several texts."""
+def _staying(suffixes: Suffixes, live: np.ndarray, answers: dict, length: int, digit: int, bits: int, buckets: int, size: int) -> np.ndarray:
+    """Which of the live suffixes have only digits that occur in several texts."""
     shared, ranges, own = np.zeros(len(suffixes.data), bool), bucket_ranges(bits, buckets), None
+    needed = _needed(suffixes, live, length, digit)
     for unit, a, b in suffixes.units(size):
         del own
-        own = FirstDigits(suffixes, a, b, digit, bits)
-        cuts = np.searchsorted(own.digits, ranges)
-        stays = np.zeros(len(own.digits), np.uint8)
-        for bucket in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist():
-            n = int(cuts[bucket + 1] - cuts[bucket])
-            stays[cuts[bucket] : cuts[bucket + 1]] = _bits(answers[unit, bucket], n)
-        shared[own.place + a] = np.repeat(stays.view(bool), own.count)
-    m = max(0, len(shared) - length + 1)
-    stay = np.ones(m, bool)
-    for depth in sorted({min(k, length - digit) for k in range(0, length, digit)}):
-        stay &= shared[depth : depth + m]
-    stay &= suffixes.text[:m] == suffixes.text[length - 1 : length - 1 + m]
+        own = FirstDigits(suffixes, needed, a, b, digit, bits)
+        shared[own.place + a] = np.repeat(_answered(own.digits, answers, unit, ranges), own.count)
+    stay = live.copy()
+    for depth in _depths(length, digit):
+        stay &= shared[depth : depth + len(live)]
     return stay
 
 
@@ -325,19 +408,23 @@ def _by_pass(answers: pa.Table) -> dict[int, dict]:
     return out
 
 
-def _stretches(rows: pa.Table, found: dict, length: int, anchor: int) -> Stretches:
+def _stayed(rows: pa.Table, found: dict, length: int) -> tuple[Suffixes, np.ndarray]:
     suffixes = Suffixes(Batch(rows.combine_chunks().to_batches()[0]))
     m = max(0, len(suffixes.data) - length + 1)
-    stay = _bits(found[0][0, 0], m).view(bool) if m else np.zeros(0, bool)
-    return Stretches(suffixes, stay, length, anchor)
+    return suffixes, _bits(found[0][0, 0], m).view(bool) if m else np.zeros(0, bool)
+
+
+def _stretches(rows: pa.Table, found: dict, length: int, anchor: int) -> Stretches:
+    return Stretches(*_stayed(rows, found, length), length, anchor)
 
 
 def _mark(length: int, digit: int, bits: int, buckets: int, size: int):
-    """Answer 0 of a batch: which of its suffixes stay."""
+    """Answer 0 of a batch: which of its suffixes stay after the passes over their own digits."""
 
     def run(key, rows, answers):
-        suffixes = Suffixes(Batch(rows.combine_chunks().to_batches()[0]))
-        stay = _staying(suffixes, _by_pass(answers)[1], length, digit, bits, buckets, size)
+        found = _by_pass(answers)
+        suffixes, live = _stayed(rows, found, length)
+        stay = _staying(suffixes, live, found[1], length, digit, bits, buckets, size)
         return pa.Table.from_batches([_columns([(key[0].as_py(), 0, 0, 0, _squeezed(np.packbits(stay).tobytes()))], _ANSWERS)])
 
     return run
@@ -407,8 +494,12 @@ def without_repeats(docs: DataFrame, length: int = LENGTH, anchor: int = ANCHOR,
     def asked(answers: DataFrame, send, ddl: str) -> DataFrame:
         return grouped.cogroup(answers.groupBy("batch")).applyInArrow(send, ddl)
 
-    first = answered(batches.mapInArrow(_send_digits(digit, bits, buckets, unit), _DIGITS), _resolve_digits(bits, buckets))
-    stay = saved(asked(first, _mark(length, digit, bits, buckets, unit), _ANSWERS), "stay")
+    # about a tenth of all digits are chosen
+    few_bits, few = hash_bits(size // 8), max(32, size // 8 // BUCKET_SUFFIXES + 1)
+    chosen = answered(batches.mapInArrow(_send_chosen(length, anchor, few_bits, few), _DIGITS), _resolve_digits(few_bits, few))
+    live = saved(asked(chosen, _live(length, anchor, few_bits, few), _ANSWERS), "live")
+    first = answered(asked(live, _send_digits(length, digit, bits, buckets, unit), _DIGITS), _resolve_digits(bits, buckets))
+    stay = saved(asked(live.unionByName(first), _mark(length, digit, bits, buckets, unit), _ANSWERS), "stay")
     second = saved(answered(asked(stay, _send_stretches(buckets, length, anchor), _WINDOWS), _resolve(2)), "second")
     both = stay.unionByName(second)
     third = saved(answered(asked(both, _send_windows(buckets, length, anchor), _WINDOWS), _resolve(3)), "third")
