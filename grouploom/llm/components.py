@@ -2,7 +2,9 @@
 
 Alternating large-star and small-star rounds (a published map-reduce algorithm): every round is
 a grouped minimum and an equi-join, no neighbour list is ever gathered, and the number of links
-never grows. A round's links are written to the shared folder.
+never grows. A round's links, least neighbours and large stars are written to the shared folder: each is
+used several times, and a round in one plan would hold dozens of exchanges and broadcasts at once, whose
+threads and buffers the driver pays for.
 """
 
 from __future__ import annotations
@@ -36,10 +38,10 @@ def roots(links: DataFrame) -> DataFrame:
     while seen[0]:
         # large star: neighbours above u go to the least of u and its neighbours
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c"))
-        large = _with_least(both.where("v > u"), least, 2 * seen[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        least = saved(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"), F.count("*").alias("c")), "least")
+        large = saved(_with_least(both.where("v > u"), least, 2 * seen[0]).where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large")
         # small star: u and its neighbours below go to the least of them
-        least = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c"))
+        least = saved(large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("c")), "least")
         joined = _with_least(large, least, 2 * seen[0])
         small = joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(least.select("u", F.col("m").alias("v")))
         links = saved(small.distinct(), "links")
