@@ -12,8 +12,8 @@ scored by sums over its first trees and by cutting its paths.
 
 A level is imperative work on a block, and levels follow one another by the thousand; so these jobs are
 RDD jobs, which take a fraction of the time that planning a DataFrame job takes. With fewer blocks than
-tasks every block is dealt with once per group of trees. Where all rows fit one block (``ROWS`` of them),
-a group's trees need nothing from other tasks: the rounds of its runs follow one another in its task, up
+tasks every block is dealt with once per group of trees. Where all rows fit one block (``ROWS`` of them, or
+``BOOSTED`` times as many), a group's trees need nothing from other tasks: the rounds of its runs follow one another in its task, up
 to ``KEEP`` of them in a job, and give the same trees.
 
 Random draws (rows and features of a boosted tree, rows of a forest's tree, features of its nodes) are
@@ -42,8 +42,12 @@ ROWS, BINS = 1 << 18, 128
 UNIT = 1 << 30
 #: A whole share of a class in the sums over a forest's trees.
 SHARE = 1 << 40
+#: A block of a boosted run is so many times as large: what its rounds hold grows with its rows alone.
+BOOSTED = 4
 #: Entries of a histogram that are sorted at once.
 ENTRIES = 1 << 22
+#: Entries of a node that are added up in one call, not by feature.
+FEW = 1 << 14
 #: Rounds after which margins are written, so that a lost task repeats few rounds.
 KEEP = 50
 #: Margins that a worker keeps at most.
@@ -123,12 +127,12 @@ def binned(rows: DataFrame, names: list[str], bins: int = BINS) -> list[list[flo
     return [sorted(set(wide[c] or [])) for c in names]
 
 
-def blocks(rows: DataFrame, names: list[str], edges: list[list[float]], trained: str, weights: list[str]) -> tuple[DataFrame, int]:
-    """A stored table of pickled blocks of ``rows`` (metadata, y, features, weight columns), and their
-    number. Rows where ``trained`` (SQL) doesn't hold have weight 0."""
+def blocks(rows: DataFrame, names: list[str], edges: list[list[float]], trained: str, weights: list[str], times: int = 1) -> tuple[DataFrame, int]:
+    """A stored table of pickled blocks of ``rows`` (metadata, y, features, weight columns), of ``times`` times
+    ``ROWS`` at most, about, and their number. Rows where ``trained`` (SQL) doesn't hold have weight 0."""
     ship(rows.sparkSession)
     n = rows.count()
-    count = n // ROWS + 1
+    count = n // (times * ROWS) + 1
     w = [F.when(F.expr(trained), F.col(c).cast("double")).otherwise(0.0).alias(f"w{k}") for k, c in enumerate(weights)]
     flat = rows.select(F.col("sample_id").cast("bigint").alias("id"), F.col("y").cast("int").alias("y"), *w, *[F.col(c).cast("double").alias(f"x{k}") for k, c in enumerate(names)])
     # equal sizes whatever the ids: a hash deals the rows, ids order those of a block
@@ -142,10 +146,13 @@ def blocks(rows: DataFrame, names: list[str], edges: list[list[float]], trained:
             for b in np.unique(number):
                 held.setdefault(int(b), []).append(batch.filter(pa.array(number == b)))
         for b, parts in held.items():
-            t = pa.Table.from_batches(parts).to_pydict()
-            x = np.array([np.searchsorted(e, t[f"x{k}"], side="left") for k, e in enumerate(edges)]).astype(kind).reshape(len(edges), len(t["id"]))
+            t = pa.Table.from_batches(parts)
+            get = lambda name, t=t: t.column(name).to_numpy()
+            x = np.empty((len(edges), len(t)), kind)
+            for k, e in enumerate(edges):
+                x[k] = np.searchsorted(np.array(e, float), get(f"x{k}"), side="left")
             out = io.BytesIO()
-            np.savez(out, ids=np.array(t["id"], np.int64), y=np.array(t["y"], np.int64), weights=np.array([t[f"w{k}"] for k in range(len(weights))]), x=x)
+            np.savez(out, ids=get("id").astype(np.int64), y=get("y").astype(np.int64), weights=np.array([get(f"w{k}") for k in range(len(weights))]), x=x)
             yield pa.RecordBatch.from_arrays([pa.array([b], pa.int32()), pa.array([out.getvalue()], pa.binary())], names=["block", "data"])
 
     return stored(dealt.mapInArrow(run, "block int, data binary"), "blocks"), count
@@ -373,33 +380,87 @@ class Level(NamedTuple):
         return -rate[self.trees.tree] * (self.stats[:, 0] / UNIT) / (self.stats[:, 1] / UNIT + penalty)
 
 
+def _sums(x: np.ndarray, features: np.ndarray, rows: np.ndarray, stats: list[list[np.ndarray]], bins: int) -> np.ndarray:
+    """features x bins x statistics: sums over ``rows`` of a node. A statistic is given as doubles, or as two
+    for its high and low bits, that add up exactly."""
+    width, out = len(features), np.empty((len(features), bins, len(stats)), np.int64)
+    if len(rows) * width <= FEW:
+        key = (x.ravel().take(rows + features[:, None] * x.shape[1]) + (np.arange(width) * bins)[:, None]).ravel()
+        for c, parts in enumerate(stats):
+            out[:, :, c] = _joined([np.bincount(key, np.tile(p[rows], width), width * bins) for p in parts]).reshape(width, bins)
+        return out
+    own = [[p[rows] for p in parts] for parts in stats]
+    for k, f in enumerate(features):
+        key = x[f].take(rows).astype(np.intp)
+        for c, parts in enumerate(own):
+            out[k, :, c] = _joined([np.bincount(key, p, bins) for p in parts])
+    return out
+
+
+def _halves(stats: np.ndarray) -> list[np.ndarray]:
+    """Doubles for ``_sums``: one where all sums are below 2**53, else two."""
+    if np.abs(stats).sum() < 2**53:
+        return [stats.astype(float)]
+    return [(stats >> 32).astype(float), (stats & (2**32 - 1)).astype(float)]
+
+
+def _joined(parts: list[np.ndarray]) -> np.ndarray:
+    return parts[0].astype(np.int64) if len(parts) == 1 else (parts[0].astype(np.int64) << 32) + parts[1].astype(np.int64)
+
+
+def _best_of(sums: np.ndarray, chosen: np.ndarray, gain):
+    """``best_splits`` of nodes whose sums over all bins (nodes x features x bins x statistics) are at hand."""
+    nodes, width, bins, _ = sums.shape
+    to = np.cumsum(sums, axis=2)
+    total = np.broadcast_to(to[:, :, -1:], to.shape).reshape(-1, 2)
+    left = to.reshape(-1, 2)
+    g = gain(left, total - left, total, None).reshape(nodes, -1)
+    node, at = np.arange(nodes), g.argmax(axis=1)
+    top = g[node, at]
+    return node, np.where(top > 0, chosen[node, at // bins], -1), at % bins, top, to.reshape(nodes, -1, 2)[node, at], to[:, 0, -1]
+
+
 def _round(block: Block, margin: np.ndarray, mine: list[int], runs: list[Run], s: Settings, round_: int, features: int, bins: int, gains: np.ndarray) -> np.ndarray:
-    """The margins after one more round of the runs ``mine`` over the only block."""
-    k, x = s.classes, block.x
-    number = np.array([r * k + c for r in mine for c in range(k)], np.int64)
-    chosen = tree_features(s.seed, round_, number, features, s.features)
-    weight, grad, hess = _steps(block, margin, mine, runs, s, round_)
-    level = Level.first(np.repeat([runs[r].depth for r in mine], k))
-    at = np.repeat(level.open[:, None], len(block.y), axis=1)
-    tree, row = np.nonzero(np.repeat(weight > 0, k, axis=0))
-    every = np.broadcast_to(np.arange(len(block.y)), at.shape)
-    while len(level.open) and len(tree):
-        place = np.full(len(level.trees.tree), -1)
-        place[level.open] = np.arange(len(level.open))
-        own = place[at[tree, row]]
-        keep = own >= 0
-        if not keep.all():
-            own, tree, row = own[keep], tree[keep], row[keep]
-        if not len(own):
-            break
-        found = histogram(x, own, tree, row, chosen[level.trees.tree[level.open]], lambda t, r: np.stack((grad[t, r], hess[t, r]), axis=1), bins)
-        level = level.grown(_choose_boosted(features, bins, s, *found), gains, k)
-        feature = level.trees.feature[at]
-        split = feature >= 0
-        node = at[split]
-        at[split] = level.trees.left[node] + (x[feature[split], every[split]] > level.trees.bin[node])
-    value = level.values(np.repeat([runs[r].rate for r in mine], k), s.penalty)
-    return margin + value[at].reshape(margin.shape)
+    """The margins after one more round of the runs ``mine`` over the only block. Rows go along with their
+    nodes, and of two children only the smaller one's sums are taken: the other's are what is left."""
+    k, margin, dealt = s.classes, margin.copy(), {}
+    gain, drawn = boosted_gain(s.penalty, s.least_child), drawn_rows(s.seed, round_, block.ids, s.rows)
+    for j, r in enumerate(mine):
+        run = runs[r]
+        if run.weight not in dealt:
+            weight = block.weights[run.weight] * drawn
+            order = np.concatenate((np.flatnonzero(weight > 0), np.flatnonzero(~(weight > 0))))
+            dealt[run.weight] = order, weight[order[: np.count_nonzero(weight > 0)]], block.x.take(order, axis=1)
+        # rows that are learnt from come first
+        order, weight, x = dealt[run.weight]
+        n = len(weight)
+        steps = softmax_steps(margin[j].take(order[:n], axis=1), block.y[order[:n]], weight)
+        stats = [[_halves(v[c]) for v in steps] for c in range(k)]
+        chosen = tree_features(s.seed, round_, r * k + np.arange(k), features, s.features)
+        level = Level.first(np.full(k, run.depth))
+        rows = {c: np.arange(len(order)) for c in range(k)}
+        learnt = lambda node, rows=rows, n=n: rows[node][: np.searchsorted(rows[node], n)]
+        sums = np.stack([_sums(x, chosen[c], learnt(c), stats[c], bins) for c in range(k)])
+        while len(level.open):
+            was = level.open
+            level = level.grown(_best_of(sums, chosen[level.trees.tree[was]], gain), gains[j : j + 1], k)
+            trees, place = level.trees, np.full(len(level.trees.tree), -1)
+            place[level.open] = np.arange(len(level.open))
+            found = np.empty((len(level.open), *sums.shape[1:]), np.int64)
+            for p in np.flatnonzero(trees.feature[was] >= 0):
+                own, left, c = rows.pop(was[p]), trees.left[was[p]], trees.tree[was[p]]
+                right = x[trees.feature[was[p]]].take(own) > trees.bin[was[p]]
+                rows[left], rows[left + 1] = own[~right], own[right]
+                if place[left] >= 0:
+                    few, many = sorted((left, left + 1), key=lambda v: len(learnt(v)))
+                    found[place[few]] = _sums(x, chosen[c], learnt(few), stats[c], bins)
+                    found[place[many]] = sums[p] - found[place[few]]
+            sums = found
+        value, step = level.values(np.full(k, run.rate), s.penalty), np.empty((k, len(order)))
+        for node, own in rows.items():
+            step[level.trees.tree[node], own] = value[node]
+        margin[j][:, order] += step
+    return margin
 
 
 class Sent(NamedTuple):
@@ -742,7 +803,7 @@ def boosted_scores(rows: DataFrame, names: list[str], weights: list[str], traine
     """Predictions of the ``wanted`` rows by candidate ``weight|rounds|depth|rate``, for every run at
     every number of rounds; models learn from rows where ``trained`` holds."""
     edges = edges or binned(rows, names)
-    table, count = blocks(rows, names, edges, trained, weights)
+    table, count = blocks(rows, names, edges, trained, weights, BOOSTED)
     model = Boosted(Dealt(table, count, len(runs)), runs, settings, len(names), max(map(len, edges)) + 1)
     truth, parts = rows.where(wanted), None
     for n in sorted(set(rounds)):

@@ -159,3 +159,43 @@ def test_votes_equal_the_scores_of_whole_forests(table, depths):
     want, got = ({(r.candidate, r.sample_id): r.p for r in df.collect()} for df in (T.forest_scores(*args, seed=9)[0], T.forest_votes(*args, seed=9)))
     assert got.keys() == want.keys() and len(got) == 2 * 2 * 2 * 30
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
+
+
+def test_rounds_take_the_sums_of_the_smaller_children_only(monkeypatch):
+    rng = np.random.default_rng(8)
+    x, y = rng.integers(0, 40, (5, 900)).astype(np.uint8), rng.integers(0, 3, 900)
+    block = T.Block(0, np.arange(900), y, (rng.random((1, 900)) < 0.7) * 1.0, x)
+    added, plain = [], T._sums
+    monkeypatch.setattr(T, "_sums", lambda x, features, rows, *more: added.append(len(rows)) or plain(x, features, rows, *more))
+    T._round(block, np.zeros((1, 3, 900)), [0], [T.Run(0, 5, 0.1)], T.Settings(3), 0, 5, 41, np.zeros((1, 5)))
+    learnt = int(((block.weights[0] > 0) & T.drawn_rows(42, 0, block.ids, 0.8)).sum())
+    # of five levels the first counts whole and the others half
+    assert 3 * learnt < sum(added) <= 3 * learnt * 3
+
+
+@pytest.mark.parametrize("few, heavy", [(0, 1.0), (1 << 14, 1.0), (1 << 14, 2.0**25)])
+def test_rounds_within_a_block_equal_rounds_by_levels(spark, table, monkeypatch, few, heavy):
+    """Probabilities bit by bit; sums of heavy weights don't fit a double."""
+    from pyspark.sql import functions as F
+
+    monkeypatch.setattr(T, "FEW", few)
+    edges, rows = T.binned(table, NAMES), table.withColumn("w", F.col("w") * heavy)
+    found = []
+    for within in (True, False):
+        blocks, _ = T.blocks(rows, NAMES, edges, "split = 'train'", ["w", "one"])
+        dealt = T.Dealt(blocks, 1, 2)
+        model = T.Boosted(dealt, [T.Run(0, 4, 0.3), T.Run(1, 2, 0.5), T.Run(1, 1, 0.1)], T.Settings(3), len(NAMES), max(map(len, edges)) + 1)
+        if within:
+            model.grow_to(3)
+        else:
+            for _ in range(3):
+                model.grow()
+        found.append(({(r.candidate, r.sample_id): r.p for r in model.probabilities(str).collect()}, model.gains.tolist()))
+    assert found[0][0] == found[1][0] and len(found[0][0]) == 3 * 90
+    np.testing.assert_allclose(found[0][1], found[1][1], rtol=1e-12)
+
+
+def test_a_boosted_block_holds_four_times_the_rows_of_a_forests(table, monkeypatch):
+    monkeypatch.setattr(T, "ROWS", 30)
+    _, model = T.boosted_scores(table, NAMES, ["one"], "split = 'train'", "true", [2], [T.Run(0, 2, 0.3)], T.Settings(3))
+    assert model.dealt.count == 1
