@@ -48,8 +48,8 @@ from .batches import Batch, from_planes, packed, planes
 from .common import Rolling, mixed, saved, table
 
 LENGTH, DIGIT, ANCHOR = 50, 16, 28
-#: Suffixes that are hashed at once.
-CHUNK = 1 << 19
+#: Suffixes that are hashed at once: what is held of them fits a core's cache.
+CHUNK = 1 << 17
 #: Suffixes whose first digits are sorted at once, in one worker's memory.
 UNIT = 1 << 22
 #: Bytes of text in a batch.
@@ -135,7 +135,9 @@ class FirstDigits:
         del keys
         self.count = np.diff(first, append=np.int32(n))
         # places rise within a group, so its first and last text tell whether there are several
-        self.several = suffixes.text[self.place[first] + a] != suffixes.text[self.place[first + self.count - 1] + a]
+        self.several, more = np.zeros(len(first), bool), np.flatnonzero(self.count > 1)
+        last = first[more] + self.count[more] - 1
+        self.several[more] = suffixes.text[self.place[first[more]] + a] != suffixes.text[self.place[last] + a]
 
 
 def bucket_ranges(bits: int, buckets: int) -> np.ndarray:
@@ -166,6 +168,18 @@ def _answered(digits: np.ndarray, answers: dict, unit: int, ranges: np.ndarray)
     return out.view(bool)
 
 
+def _ordered(key: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
+    """The stable order of keys of ``bits`` bits, and the keys in order."""
+    low = max(1, len(key).bit_length())
+    if bits + low > 64:
+        order = np.argsort(key, kind="stable")
+        return order, key[order]
+    # numpy sorts plain words several times as fast as places
+    both = (key << np.uint64(low)) | np.arange(len(key), dtype=np.uint64)
+    both.sort()
+    return (both & np.uint64((1 << low) - 1)).astype(np.int64), both >> np.uint64(low)
+
+
 class Chosen:
     """The digits that a batch's windows choose, in the order of their hashes."""
 
@@ -173,9 +187,10 @@ class Chosen:
         keys, texts, self.windows, self.repeats = [np.zeros(0, np.uint64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
         m = max(0, len(suffixes.data) - length + 1)
         for a in range(0, m, CHUNK):
-            window = np.flatnonzero(suffixes.inside(np.arange(a, min(m, a + CHUNK)), length))
+            b = min(m, a + CHUNK)
+            window = np.flatnonzero(suffixes.text[a:b] == suffixes.text[a + length - 1 : b + length - 1])
             if len(window):
-                data = suffixes.data[a : a + min(CHUNK, m - a) + length - 1]
+                data = suffixes.data[a : b + length - 1]
                 grams = _FIRST.grams(_FIRST.sums(data), anchor)
                 least = sliding_minimum((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), length - anchor + 1)
                 at = (least[window] & _PLACE).astype(np.int64)
@@ -186,8 +201,7 @@ class Chosen:
                 self.windows.append(window + a)
                 self.repeats.append(np.diff(first, append=len(at)))
         key, text = np.concatenate(keys), np.concatenate(texts)
-        order = np.argsort(key, kind="stable")
-        sorted_key = key[order]
+        order, sorted_key = _ordered(key, bits)
         first = np.flatnonzero(np.concatenate(([True], sorted_key[1:] != sorted_key[:-1]))) if len(key) else np.zeros(0, np.int64)
         self.digits, count = sorted_key[first], np.diff(first, append=len(key))
         self.several = text[order[first]] != text[order[first + count - 1]]
@@ -289,25 +303,39 @@ def _staying(suffixes: Suffixes, live: np.ndarray, answers: dict, length: int, d
 
 
 def sliding_minimum(values: np.ndarray, width: int) -> np.ndarray:
-    """Minimum of every ``width`` neighbours, from running minima of blocks in both directions."""
-    n = len(values)
-    blocks = np.full(-(-n // width) * width, np.iinfo(values.dtype).max, values.dtype)
-    blocks[:n] = values
-    blocks = blocks.reshape(-1, width)
-    ahead = np.minimum.accumulate(blocks, axis=1).ravel()
-    back = np.minimum.accumulate(blocks[:, ::-1], axis=1)[:, ::-1].ravel()
-    return np.minimum(back[: n - width + 1], ahead[width - 1 : n])
+    """Minimum of every ``width`` neighbours, from minima of twice as many each time."""
+    have = 1
+    while 2 * have <= width:
+        values = np.minimum(values[:-have], values[have:])
+        have *= 2
+    more = width - have
+    return np.minimum(values[: len(values) - more], values[more:]) if more else values
+
+
+def covered(data: np.ndarray, window: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes that the windows at these rising places cover, without those between, and the windows'
+    places among them."""
+    first = np.flatnonzero(np.concatenate(([True], window[1:] != window[:-1] + 1)))
+    change = np.zeros(len(data) + 1, np.int32)
+    change[window[first]] = 1
+    change[window[np.append(first[1:] - 1, len(window) - 1)] + length] -= 1
+    there = np.cumsum(change[:-1], dtype=np.int32) > 0
+    return data[there], np.cumsum(there, dtype=np.int32)[window].astype(np.int64) - 1
 
 
 def classes(high: np.ndarray, low: np.ndarray, doc: np.ndarray):
     """Distinct (high, low) in order with their least doc, and the class of every input."""
-    order = np.lexsort((doc, low, high))
+    order = np.argsort(high)
     h, w = high[order], low[order]
     new = np.ones(len(order), bool)
-    new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
-    cls = np.empty(len(order), np.int64)
+    new[1:] = h[1:] != h[:-1]
+    if (~new[1:] & (w[1:] != w[:-1])).any():  # seldom: 64 bits agree and the others don't
+        order = np.lexsort((low, high))
+        h, w = high[order], low[order]
+        new[1:] = (h[1:] != h[:-1]) | (w[1:] != w[:-1])
+    first, cls = np.flatnonzero(new), np.empty(len(order), np.int64)
     cls[order] = np.cumsum(new) - 1
-    return h[new], w[new], doc[order][new], cls
+    return h[first], w[first], np.minimum.reduceat(doc[order], first) if len(first) else doc[order], cls
 
 
 class Stretches:
@@ -319,16 +347,16 @@ class Stretches:
         for a in range(0, len(stay), CHUNK):
             window = np.flatnonzero(stay[a : a + CHUNK])
             if len(window):
-                data = suffixes.data[a : a + min(CHUNK, len(stay) - a) + length - 1]
+                data, place = covered(suffixes.data[a : a + min(CHUNK, len(stay) - a) + length - 1], window, length)
                 one, two = _FIRST.sums(data), _SECOND.sums(data)
                 grams = _FIRST.grams(one, anchor)
                 least = sliding_minimum((grams & ~_PLACE) | np.arange(len(grams), dtype=np.uint64), length - anchor + 1)
-                at = (least[window] & _PLACE).astype(np.int64)
+                at = (least[place] & _PLACE).astype(np.int64)
                 first = np.flatnonzero(np.concatenate(([True], (at[1:] != at[:-1]) | (window[1:] != window[:-1] + 1))))
-                start, count = window[first], np.diff(np.append(first, len(window)))
+                start, count = place[first], np.diff(np.append(first, len(window)))
                 stop = start + count - 1 + length
                 high = (grams[at[first]] & np.uint64(0xFFFFFFFF00000000)) | (_FIRST.of(one, start, stop) >> np.uint64(32))
-                found.append((start + a, count, high, _SECOND.of(two, start, stop)))
+                found.append((window[first] + a, count, high, _SECOND.of(two, start, stop)))
         empty = (*(np.zeros(0, np.int64),) * 2, *(np.zeros(0, np.uint64),) * 2)
         self.start, self.count, high, low = (np.concatenate(x) for x in zip(*(found or [empty]), strict=True))
         self.doc = suffixes.docs[suffixes.text[self.start]]
@@ -344,11 +372,12 @@ class Stretches:
             if len(own):
                 count = self.count[own]
                 place = np.repeat(self.start[own] - a - np.concatenate(([0], np.cumsum(count)[:-1])), count) + np.arange(count.sum())
-                data = self.suffixes.data[a : a + CHUNK + self.length - 1]
+                data, at = covered(self.suffixes.data[a : a + CHUNK + self.length - 1 + int(count.max())], place, self.length)
                 # equal windows have equal anchors: the anchor leads the key
                 anchor = np.repeat(self.high[self.cls[own]] & np.uint64(0xFFFFFFFF00000000), count)
-                high.append(anchor | (_FIRST.of(_FIRST.sums(data), place, place + self.length) >> np.uint64(32)))
-                low.append(_SECOND.of(_SECOND.sums(data), place, place + self.length))
+                one, two = (r.grams(r.sums(data), self.length)[at] for r in (_FIRST, _SECOND))
+                high.append(anchor | (one >> np.uint64(32)))
+                low.append(two)
                 places.append(place + a)
                 docs.append(np.repeat(self.doc[own], count))
         if not places:
@@ -363,7 +392,8 @@ def _bucket(high: np.ndarray, buckets: int) -> np.ndarray:
 
 def _parted(high: np.ndarray, buckets: int):
     bucket = _bucket(high, buckets)
-    order = np.argsort(bucket, kind="stable")
+    # words of 16 bits are sorted by counting
+    order = np.argsort(bucket.astype(np.uint16) if buckets <= 1 << 16 else bucket, kind="stable")
     cuts = np.searchsorted(bucket[order], np.arange(buckets + 1))
     return [(b, order[cuts[b] : cuts[b + 1]]) for b in np.flatnonzero(cuts[1:] > cuts[:-1]).tolist()]
 
