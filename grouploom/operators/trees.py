@@ -13,7 +13,7 @@ scored by sums over its first trees and by cutting its paths.
 A level is imperative work on a block, and levels follow one another by the thousand; so these jobs are
 RDD jobs, which take a fraction of the time that planning a DataFrame job takes. With fewer blocks than
 tasks every block is dealt with once per group of trees. Where all rows fit one block (``ROWS`` of them, or
-``BOOSTED`` times as many), a group's trees need nothing from other tasks: the rounds of its runs follow one another in its task, up
+``BOOSTED`` or ``FORESTS`` times as many), a group's trees need nothing from other tasks: the rounds of its runs follow one another in its task, up
 to ``KEEP`` of them in a job, and give the same trees.
 
 Random draws (rows and features of a boosted tree, rows of a forest's tree, features of its nodes) are
@@ -44,6 +44,8 @@ UNIT = 1 << 30
 SHARE = 1 << 40
 #: A block of a boosted run is so many times as large: what its rounds hold grows with its rows alone.
 BOOSTED = 4
+#: And one of a forest's votes, which hold a few trees at a time.
+FORESTS = 8
 #: Entries of a histogram that are sorted at once.
 ENTRIES = 1 << 22
 #: Entries of a node that are added up in one call, not by feature.
@@ -624,12 +626,13 @@ class Forest(NamedTuple):
         return np.divide(per_tree, sums, out=np.zeros_like(per_tree), where=sums > 0).mean(axis=0)
 
 
-def grow_forest(dealt: Dealt, kinds: list[Kind], size: int, depth: int, class_weight: list[float], features: int, bins: int, width: int | None = None, seed: int = 42) -> Forest:
-    """``size`` trees of every kind, to ``depth``. Nodes choose among ``width`` features (the root of
-    their number by default)."""
+def grow_forest(dealt: Dealt, kinds: list[Kind], size: int, depth: int, class_weight: list[float], features: int, bins: int, width: int | None = None, seed: int = 42, number: np.ndarray | None = None) -> Forest:
+    """``size`` trees of every kind, to ``depth``; with ``number``, only those of them. Nodes choose among
+    ``width`` features (the root of their number by default)."""
     k, weight = len(class_weight), np.array(class_weight)
     width = width or max(1, int(np.sqrt(features)))
-    trees, open_ = Trees.roots(len(kinds) * size), np.arange(len(kinds) * size)
+    number = np.arange(len(kinds) * size) if number is None else number
+    trees, open_ = Trees.roots(len(number)), np.arange(len(number))
     counts, gains, level = np.zeros((len(open_), k), np.int64), np.zeros(len(open_)), np.zeros(len(open_), np.int32)
     groups, sc = dealt.groups, dealt.spark.sparkContext
     while len(open_):
@@ -642,15 +645,15 @@ def grow_forest(dealt: Dealt, kinds: list[Kind], size: int, depth: int, class_we
             place[open_] = np.arange(len(open_))
             mine = np.flatnonzero(trees.tree[open_] % groups == g)
             chosen = np.zeros((len(open_), width), np.int64)
-            chosen[mine] = node_features(seed, trees.tree[open_[mine]], trees.path[open_[mine]], features, width)
-            number, parts = np.unique(trees.tree[open_[mine]]), None
+            chosen[mine] = node_features(seed, number[trees.tree[open_[mine]]], trees.path[open_[mine]], features, width)
+            own, parts = np.unique(trees.tree[open_[mine]]), None
             trained = np.flatnonzero(block.weights[0] > 0)
             x, y, ids = block.x[:, trained], block.y[trained], block.ids[trained]
             step = max(1, ENTRIES // max(1, len(y) * width))
-            for a in range(0, len(number), step):
-                some = number[a : a + step]
+            for a in range(0, len(own), step):
+                some = own[a : a + step]
                 at = place[trees.walk(x, some)]
-                times = poisson_times(seed, some[:, None] + np.zeros(len(y), np.int64), ids + np.zeros((len(some), 1), np.int64))
+                times = poisson_times(seed, number[some][:, None] + np.zeros(len(y), np.int64), ids + np.zeros((len(some), 1), np.int64))
                 tree, row = np.nonzero((at >= 0) & (times > 0))
                 if len(tree):
                     hot = lambda t, r, times=times: (np.arange(k) == y[r, None]) * times[t, r, None]
@@ -658,7 +661,7 @@ def grow_forest(dealt: Dealt, kinds: list[Kind], size: int, depth: int, class_we
                     parts = found if parts is None else _merged(parts, found)
             return g, parts or (np.zeros(0, np.int64), np.zeros((0, k), np.int64))
 
-        gain = gini_gain(weight, kinds, trees.tree[open_] // size)
+        gain = gini_gain(weight, kinds, number[trees.tree[open_]] // size)
         splits = dealt.best(partials, lambda key, sums, gain=gain: best_splits(key, sums, features, bins, gain))
         sent.unpersist()
         if not splits:
@@ -676,7 +679,7 @@ def grow_forest(dealt: Dealt, kinds: list[Kind], size: int, depth: int, class_we
         gains, level = np.concatenate((gains, np.zeros(len(open_)))), np.concatenate((level, np.full(len(open_), trees.depth, np.int32)))
         # a pure or small child has nothing to split
         n = counts[open_]
-        least = np.array([x.least_split for x in kinds])[trees.tree[open_] // size]
+        least = np.array([x.least_split for x in kinds])[number[trees.tree[open_]] // size]
         open_ = open_[((n > 0).sum(axis=1) > 1) & (n.sum(axis=1) >= least)]
     return Forest(trees, size, level, counts, gains, weight)
 
@@ -755,14 +758,18 @@ def _cuts(x: np.ndarray, y: np.ndarray, ids: np.ndarray, wanted: np.ndarray, num
         open_ = new[((n > 0).sum(axis=1) > 1) & (n.sum(axis=1) >= least)]
 
 
+def _more(a, b):
+    """Votes (ids, sums by segment of the firsts) of the same rows, added up."""
+    return a[0], {s: a[1].get(s, 0) + b[1].get(s, 0) for s in {**a[1], **b[1]}}
+
+
 def forest_votes(rows: DataFrame, names: list[str], class_weight: list[float], trained: str, wanted: str, firsts: list[int], depths: list[int], kinds: list[Kind], seed: int = 42) -> DataFrame:
-    """The predictions of ``forest_scores``. Over one block, a task grows its trees a few at a time, adds up
-    what they say of the ``wanted`` rows, and drops them: no forest reaches the driver."""
+    """The predictions of ``forest_scores``. Trees grow a few at a time, what they say of the ``wanted`` rows is
+    added up, and they are dropped. Over one block a task does so by itself; over several, which grow a level of
+    trees by a job, a batch of trees is all that tasks and the driver hold."""
     edges = binned(rows, names)
     flag = lambda condition: F.when(F.expr(condition), 1.0).otherwise(0.0)
-    table, count = blocks(rows.withColumns({"__trained": flag(trained), "__wanted": flag(wanted)}), names, edges, "true", ["__trained", "__wanted"])
-    if count > 1:
-        return forest_scores(rows, names, class_weight, trained, wanted, firsts, depths, kinds, seed)[0]
+    table, count = blocks(rows.withColumns({"__trained": flag(trained), "__wanted": flag(wanted)}), names, edges, "true", ["__trained", "__wanted"], FORESTS)
     firsts, depths, size, weight = sorted(firsts), sorted(depths), max(firsts), np.array(class_weight)
     dealt = Dealt(table, count, len(kinds) * size)
     groups, bins, width = dealt.groups, max(map(len, edges)) + 1, max(1, int(np.sqrt(len(names))))
@@ -778,20 +785,50 @@ def forest_votes(rows: DataFrame, names: list[str], class_weight: list[float], t
             for d, shares in _cuts(x, y, ids, block.x[:, told], some, size, kinds, depths, weight, bins, width, seed):
                 for t, v in zip(some.tolist(), shares, strict=True):
                     out[t // size, d, np.searchsorted(firsts, t % size, side="right")] += v
-        return [((k, d), (block.ids[told], out[k, d])) for k, d in product(range(len(kinds)), range(len(depths)))]
+        for k, d in product(range(len(kinds)), range(len(depths))):
+            yield (0, k, d), (block.ids[told], dict(enumerate(out[k, d])))
 
     def told(item):
-        (k, d), (ids, sums) = item
-        for n, p in zip(firsts, np.cumsum(sums, axis=0), strict=True):
+        (_, k, d), (ids, sums) = item
+        total = np.zeros((len(ids), len(weight)), np.int64)
+        for s, n in enumerate(firsts):
+            total += sums.get(s, 0)
             name = f"{n}|{depths[d]}|{kinds[k].least_split}|{kinds[k].least_leaf}"
-            yield from ((name, int(i), v) for i, v in zip(ids, (p / (n * SHARE)).tolist(), strict=True))
+            yield from ((name, int(i), v) for i, v in zip(ids, (total / (n * SHARE)).tolist(), strict=True))
 
-    added = dealt.rdd.flatMap(votes).reduceByKey(lambda a, b: (a[0], a[1] + b[1]), len(kinds) * len(depths)).flatMap(told)
+    found = dealt.rdd.flatMap(votes) if count == 1 else _batched_votes(dealt, kinds, size, firsts, depths, class_weight, len(names), bins, width, seed)
+    added = found.reduceByKey(_more, count * len(kinds) * len(depths)).flatMap(told)
     scored = stored(dealt.spark.createDataFrame(added, "candidate string, sample_id long, p array<double>"), "scored")
     dealt.rdd.unpersist()
     return with_truth(scored, rows.where(wanted))
 
 
+def _batched_votes(dealt: Dealt, kinds: list[Kind], size: int, firsts: list[int], depths: list[int], class_weight: list[float], features: int, bins: int, width: int, seed: int):
+    """((block, kind, place in ``depths``), votes) of batches of trees, which are written as they are told."""
+    groups, sc, parts = dealt.groups, dealt.spark.sparkContext, []
+    batch = groups * max(1, ENTRIES // (FORESTS * ROWS * width))
+    for a in range(0, len(kinds) * size, batch):
+        number = np.arange(a, min(a + batch, len(kinds) * size))
+        forest = grow_forest(dealt, kinds, size, max(depths), class_weight, features, bins, width, seed, number)
+        sent = sc.broadcast((forest.trees, np.rint(forest.shares() * SHARE).astype(np.int64)))
+
+        def votes(element, sent=sent, number=number):
+            block, g, _ = element
+            trees, shares = sent.value
+            told, out = np.flatnonzero(block.weights[1] > 0), {}
+            x = block.x[:, told]
+            for t, d in product(range(g, len(number), groups), range(len(depths))):
+                sums = out.setdefault((block.number, int(number[t]) // size, d), (block.ids[told], {}))[1]
+                s = int(np.searchsorted(firsts, number[t] % size, side="right"))
+                sums[s] = sums.get(s, 0) + shares[trees.walk(x, np.array([t]), depths[d])[0]]
+            return list(out.items())
+
+        added = dealt.rdd.flatMap(votes).reduceByKey(_more, dealt.count * groups).map(lambda kv: (bytearray(pickle.dumps(kv)),))
+        parts.append(stored(dealt.spark.createDataFrame(added, "data binary"), "votes"))
+        sent.unpersist()
+    return sc.union([part.rdd.map(lambda r: pickle.loads(bytes(r.data))) for part in parts])
+
+
 # --- searches
 
 

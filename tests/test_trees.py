@@ -161,6 +161,27 @@ def test_votes_equal_the_scores_of_whole_forests(table, depths):
     assert all(got[k] == pytest.approx(want[k], abs=1e-9) for k in want)
 
 
+@pytest.mark.parametrize("rows_of_block", [90, 4])
+def test_votes_over_blocks_hold_a_batch_of_trees(spark, table, monkeypatch, rows_of_block):
+    """Over several blocks whole forests reached the driver, and histograms of all their trees one task."""
+    kinds, held, grow = [T.Kind(2, 1), T.Kind(6, 3)], [], T.grow_forest
+    args = (table, NAMES, [0.7, 1.0, 1.6], "split = 'train'", "split = 'val'", [2, 5], [2, 6], kinds)
+    want = {(r.candidate, r.sample_id): r.p for r in T.forest_votes(*args, seed=9).collect()}
+
+    def spied(dealt, *rest):
+        forest = grow(dealt, *rest)
+        held.append((dealt.groups, forest.trees.count))
+        return forest
+
+    monkeypatch.setattr(T, "ROWS", rows_of_block)
+    monkeypatch.setattr(T, "ENTRIES", 1)
+    monkeypatch.setattr(T, "grow_forest", spied)
+    got = {(r.candidate, r.sample_id): r.p for r in T.forest_votes(*args, seed=9).collect()}
+    assert got == want
+    # a table of up to eight times ROWS is one block
+    assert bool(held) == (rows_of_block == 4) and all(trees <= groups for groups, trees in held)
+
+
 def test_rounds_take_the_sums_of_the_smaller_children_only(monkeypatch):
     rng = np.random.default_rng(8)
     x, y = rng.integers(0, 40, (5, 900)).astype(np.uint8), rng.integers(0, 3, 900)
